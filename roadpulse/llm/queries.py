@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import html_text, packing, quality, tokens, warc
+from roadpulse.llm import fingerprints, html_text, packing, quality, tokens, warc
 from roadpulse.llm.common import tables
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(tables(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.byte_bpe_digests(tables(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -34,4 +38,4 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op5_warc, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op5_warc, op6_fingerprints, op10_byte_bpe)}
