@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import fingerprints, html_text, packing, quality, tokens, warc
+from roadpulse.llm import fingerprints, html_text, licences, line_dedup, packing, quality, tokens, warc
 from roadpulse.llm.common import tables
 
 
@@ -22,6 +22,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(tables(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(tables(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.byte_bpe_digests(tables(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -34,8 +38,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(tables(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op4_rows(tables(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op5_warc, op6_fingerprints, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op4_line_dedup, op5_warc, op6_fingerprints, op9_licence_scan, op10_byte_bpe)}
