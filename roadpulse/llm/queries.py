@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import fingerprints, html_text, licences, line_dedup, packing, quality, simhash, tokens, warc
+from roadpulse.llm import fingerprints, html_text, licences, line_dedup, packing, quality, repeats, simhash, tokens, warc
 from roadpulse.llm.common import tables
 
 
@@ -26,6 +26,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(tables(spark, sf_dir, "documents"))
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal(tables(spark, sf_dir, "documents"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(tables(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op4_line_dedup, op5_warc, op6_fingerprints, op7_simhash, op9_licence_scan, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op4_line_dedup, op5_warc, op6_fingerprints, op7_simhash, op8_repeated_bytes, op9_licence_scan, op10_byte_bpe)}
