@@ -317,3 +317,69 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, parts: int =
     """
     found = fingerprint_groups(with_fingerprints(docs, size, 1, doc_id, text), distance, parts)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def flip_rate(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of equal size and this Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def jaccard(a: str, b: str, size: int) -> float:
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def few_rows(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` (a written table of ids) marked for broadcast if it has ``most`` rows or fewer; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def verified(docs: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``edges`` (a, b: ids) whose texts have the similarity, by exact Jaccard on their shingles."""
+    ends = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "ends")
+    texts = docs.select("doc_id", "text").join(few_rows(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = stored(texts, "texts")
+    first = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
+    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            good = [(a, b) for a, b, x, y in rows if jaccard(x or "", y or "", size) >= similarity]
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good)], ["a", "b"])
+
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id of every row: documents that chains of similar pairs connect.
+
+    Similar pairs have a Jaccard similarity of their ``size``-word shingles of ``similarity`` or
+    more. Candidates differ in few bits of a SimHash of 64 * ``words`` bits, which the
+    generalised pigeonhole finds with partitions of 16 bits; of the candidates of one value a
+    minimum spanning forest is compared exactly. A null text has no words; texts without words
+    form one group; rows without id join no group; repeated rows repeat.
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    prints = stored(with_fingerprints(source, size, words), "wide-prints")
+    distinct = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    groups = [list(range(16 * k, 16 * k + 16)) for k in range(4 * words)]
+    rate = flip_rate(similarity)
+    distance = int(64 * words * rate + 2.5 * (64 * words * rate * (1 - rate)) ** 0.5)
+    found = links(probes(distinct, groups, [0] * len(groups)), distance)
+    named = found.join(distinct.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a").join(distinct.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b")
+    edges = stored(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    parts = components(verified(source, edges, size, similarity))
+    least = distinct.join(parts, distinct["first"] == parts["node"], "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
+    return prints.join(least, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the document of smallest id of each group alone; rows without id all stay.
+
+    Rows that share an id stay or go together.
+    """
+    extra = similar_groups(docs, size, similarity, doc_id=doc_id, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    extra = stored(extra, "copies")
+    return docs.join(few_rows(extra), doc_id, "left_anti").select(*docs.columns)
