@@ -185,8 +185,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
 def learn(scored: DataFrame, features: str, rules=RULES) -> LabelModel:
     """The label model of all rows of ``scored`` that the base limits leave standing."""
     vote = votes(F.col(features), rules)
-    rows = scored.where(~F.col(features)["base_failed"]).groupBy(vote.alias("v")).agg(F.count(F.lit(1)).alias("c")).collect()
-    return fit(sorted((tuple(r["v"]), r["c"]) for r in rows), len(rules))
+    failed = F.col(features)["base_failed"]  # a group, not a filter: that would count the words once more
+    rows = scored.groupBy(vote.alias("v"), failed.alias("failed")).agg(F.count(F.lit(1)).alias("c")).collect()
+    return fit(sorted((tuple(r["v"]), r["c"]) for r in rows if not r["failed"]), len(rules))
 
 
 def judge(scored: DataFrame, features: str, model: LabelModel, name: str, rules=RULES, least: float = 0.5) -> DataFrame:
@@ -214,4 +215,6 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     f, q = free_name(docs, "quality_f"), free_name(docs, "quality_q")
     model = learn(add_features(docs.select(F.col(text).alias("text")), "text", "f"), "f")
     out = judge(add_features(docs, text, f), f, model, q)
-    return out.where(F.col(q)["kept"]).select(*docs.columns)
+    # exploding none or one row keeps the optimizer from moving the verdict below the features it reads
+    row = F.when(F.col(q)["kept"], F.array(F.struct(*(F.col(c) for c in docs.columns)))).otherwise(F.array())
+    return out.select(F.explode(row).alias("row")).select("row.*")
