@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,14 +291,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     """``docs`` with repeated bytes removed from ``text``; a character that loses a byte goes whole."""
 
     @F.pandas_udf("string")
-    def kept(text, low, high):
-        return text.combine(_zipped(low, high), lambda t, s: t if s is None or t is None else without(t.encode(), _spans(*s)).decode(errors="ignore"))
-
-    def _zipped(low, high):
-        import pandas as pd
-
-        return pd.Series([None if a is None else (a, b) for a, b in zip(low, high)], index=low.index, dtype=object)
+    def kept(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or low is None else without(t.encode(), merged(list(zip(low, high)))).decode(errors="ignore") for t, low, high in zip(texts, lows, highs)], dtype=object)
 
     rows = _with_spans(docs, length, doc_id, text, [docs[c] for c in docs.columns])
-    shown = F.when(F.col("span_low").isNull(), F.col(text)).otherwise(kept(F.col(text), "span_low", "span_high"))
+    shown = kept(F.col(text), "span_low", "span_high")
     return rows.select(*(shown.alias(c) if c == text else F.col(c) for c in docs.columns))
