@@ -1,11 +1,855 @@
-"""All registered queries over the traffic operators, with their oracle statements."""
+"""All registered queries over the traffic operators, with their oracle statements.
+
+A query is a function of the derived tables; its oracle is DuckDB text over the same tables,
+listed before it by ``duck``. Queries without a statement are iterative or run Python.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadpulse.operators import cleaning, demand, disruption, matching, network, places, resilience, statistics, traffic, trips
+from roadpulse.plans.fixtures import Fixtures, duck
+
+_QUERIES: dict[str, Callable] = {}
+_ORACLES: dict[str, str] = {}
+GAP = 21600  # the test fixes are hours apart
+CAR = "CASE panel WHEN 1 THEN 1 ELSE 0 END"
+
+
+def query(sql: str | None = None, *tables: str):
+    """Registers a function of Fixtures under its name."""
+
+    def add(f: Callable[[Fixtures], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[f.__name__] = duck(sql, *tables)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+# --- A, B: rows and cleaning
+
+@query("SELECT id, idterm, ROW_NUMBER() OVER (ORDER BY timedate, id) AS row_id FROM fixes", "fixes")
+def a5_row_id(t):
+    return cleaning.add_row_id(t.fixes.select("id", "idterm", "timedate"), ["timedate", "id"]).select("id", "idterm", "row_id")
+
+
+@query("SELECT DISTINCT idterm FROM fixes WHERE idterm NOT IN (SELECT idterm FROM traversals)", "fixes", "traversals")
+def a10_pending_keys(t):
+    return cleaning.pending_keys(t.fixes, t.traversals, ["idterm"])
+
+
+@query("SELECT id, idterm, latitude, longitude FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idterm, latitude, longitude ORDER BY timedate, id) AS n FROM fixes) WHERE n = 1", "fixes")
+def b1_dedup_fixes(t):
+    return cleaning.dedup_fixes(t.fixes, ("latitude", "longitude"), "first").select("id", "idterm", "latitude", "longitude")
+
+
+@query("SELECT id, idterm, speed, grade FROM fixes WHERE grade BETWEEN 1 AND 15 AND NOT (progressive <> 0 AND speed = 0)", "fixes")
+def b2_filter_quality(t):
+    return cleaning.filter_quality(t.fixes).select("id", "idterm", "speed", "grade")
+
+
+@query("""SELECT id, idterm FROM fixes WHERE idterm IN (SELECT idterm FROM fixes GROUP BY idterm
+  HAVING COUNT(*) > 5 AND SUM(progressive) > 0 AND SUM(CASE WHEN progressive = 0 THEN 1 ELSE 0 END) * 1.0 / COUNT(*) < 0.2)""", "fixes")
+def b3_eligible_vehicles(t):
+    return cleaning.eligible_vehicles(t.fixes).select("id", "idterm")
+
+
+@query("""SELECT id, s AS totalseconds, CAST(hour(timedate) AS INTEGER) AS hour, CAST(minute(timedate) AS INTEGER) AS minute,
+  s - FIRST_VALUE(s) OVER (PARTITION BY idterm ORDER BY timedate, id) AS path_time FROM (SELECT *, CAST(FLOOR(epoch(timedate)) AS BIGINT) AS s FROM fixes)""", "fixes")
+def b4_time_parts(t):
+    return cleaning.add_time_parts(t.fixes).select("id", "totalseconds", "hour", "minute", "path_time")
+
+
+@query("SELECT f.idterm, f.vehtype, r.portata FROM (SELECT idterm, MIN(vehtype) AS vehtype FROM fixes GROUP BY idterm) f LEFT JOIN (SELECT idterm, MIN(portata) AS portata FROM registry GROUP BY idterm) r ON f.idterm = r.idterm", "fixes", "registry")
+def b5_vehicle_types(t):
+    return cleaning.vehicle_types(t.fixes, t.registry)
+
+
+@query("SELECT id, CAST(hour(timedate + CASE month(timedate) WHEN 2 THEN INTERVAL 1 HOUR WHEN 11 THEN INTERVAL 1 HOUR WHEN 5 THEN INTERVAL 2 HOUR WHEN 8 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END) AS INTEGER) AS hour FROM fixes", "fixes")
+def b6_shift_by_month(t):
+    return cleaning.shift_by_month(t.fixes).select("id", F.hour("timedate").alias("hour"))
+
+
+@query("""SELECT id, COALESCE((SELECT g.s FROM g WHERE g.idterm = h.idterm AND g.n <= h.n AND g.s IS NOT NULL ORDER BY g.n DESC LIMIT 1),
+  (SELECT g.s FROM g WHERE g.idterm = h.idterm AND g.n >= h.n AND g.s IS NOT NULL ORDER BY g.n LIMIT 1)) AS speed FROM g h""".replace("SELECT id,", "WITH g AS (SELECT id, idterm, CASE WHEN grade <= 10 THEN speed END AS s, ROW_NUMBER() OVER (PARTITION BY idterm ORDER BY timedate, id) AS n FROM fixes)\nSELECT id,", 1), "fixes")
+def b7_fill_gaps(t):
+    holes = t.fixes.withColumn("speed", F.when(F.col("grade") <= 10, F.col("speed")))
+    return cleaning.fill_gaps(holes, ["idterm"], ["timedate", "id"], ["speed"]).select("id", "speed")
+
+
+@query("SELECT DISTINCT CAST(timedate AS DATE) AS day, CAST(month(timedate) AS INTEGER) AS month FROM fixes", "fixes")
+def b8_distinct_days(t):
+    return cleaning.distinct_days(t.fixes)
+
+
+@query()
+def b9_clip_rect(t):
+    return cleaning.clip_rect(t.edges, t.nodes, xmin=14.905, xmax=14.925, ymin=37.455, ymax=37.475)
+
+
+@query("SELECT id, idterm FROM fixes WHERE timedate BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-06-30 00:00:00'", "fixes")
+def b10_between_times(t):
+    return cleaning.between_times(t.fixes, "2024-01-01 00:00:00", "2024-06-30 00:00:00").select("id", "idterm")
+
+
+# --- C: trips
+
+_LAG = "LAG({c}) OVER (PARTITION BY idterm ORDER BY timedate, id)"
+_NUMBERED = """WITH a AS (SELECT *, CAST(FLOOR(epoch(timedate)) AS BIGINT) AS s FROM fixes), b AS (SELECT *, s - LAG(s) OVER w AS gap, LAG(panel) OVER w AS last, LEAD(speed) OVER w AS next_speed, progressive - LAG(progressive) OVER w AS jump
+  FROM a WINDOW w AS (PARTITION BY idterm ORDER BY timedate, id)), c AS (SELECT *, CASE WHEN {starts} THEN 1 ELSE 0 END AS st FROM b)
+  SELECT id, idterm, CAST(SUM(st) OVER (PARTITION BY idterm ORDER BY timedate, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS trip_no FROM c"""
+
+
+@query(_NUMBERED.format(starts=f"gap >= {GAP}"), "fixes")
+def c1_split_gap(t):
+    return trips.split_trips_gap(t.fixes, GAP).select("id", "idterm", "trip_no")
+
+
+@query(_NUMBERED.format(starts=f"gap >= {GAP} AND (panel <> 1 OR (last IS NOT NULL AND last <> 1)) AND (vehtype <> 2 OR (next_speed > 0 AND speed = 0))"), "fixes")
+def c2_split_engine(t):
+    return trips.split_trips_engine(_off_on(t), GAP).select("id", "idterm", "trip_no")
+
+
+def _off_on(t):
+    return t.fixes.withColumn("panel", F.when(F.col("panel") == 1, 1).otherwise(0))
+
+
+def _trips(t):
+    return trips.assign_trip_ids(trips.split_trips_gap(_off_on(t), GAP))
+
+
+_TRIP_IDS = "SELECT id, idterm || '_' || trip_no AS TRIP_ID, FIRST_VALUE(id) OVER x AS idtrajectory, ROW_NUMBER() OVER x - 1 AS segment FROM (" + _NUMBERED.format(starts=f"gap >= {GAP}").replace("SELECT id, idterm, CAST", "SELECT id, idterm, timedate, CAST") + ") WINDOW x AS (PARTITION BY idterm, trip_no ORDER BY timedate, id)"
+
+
+@query(_TRIP_IDS, "fixes")
+def c3_trip_ids(t):
+    return _trips(t).select("id", "TRIP_ID", "idtrajectory", F.col("segment").cast("long"))
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN progressive < LAG(progressive) OVER (PARTITION BY idterm ORDER BY timedate, id) THEN 1 ELSE 0 END AS r FROM fixes),
+  b AS (SELECT *, SUM(r) OVER (PARTITION BY idterm ORDER BY timedate, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM a)
+  SELECT id, idterm || '_conc_' || CAST(k AS BIGINT) AS TRIP_ID FROM b WHERE k < (SELECT MAX(k) FROM b x WHERE x.idterm = b.idterm)""", "fixes")
+def c4_concat_odometer(t):
+    return trips.concat_trips_odometer(_trips(t)).where(F.col("TRIP_ID").contains("conc")).select("id", "TRIP_ID")
+
+
+@query()
+def c5_anomaly_codes(t):
+    return trips.anomaly_codes(_trips(t)).select("id", "TRIP_ID", "anomaly")
+
+
+@query(_NUMBERED.format(starts=f"last IS NULL OR panel = 0 OR (panel = 2 AND last = 2) OR (panel = 1 AND last = 2) OR (panel = 1 AND last <= 1 AND gap > {GAP}) OR (panel <> 0 AND jump > 10000)"), "fixes")
+def c6_split_panel(t):
+    return trips.split_trips_panel(t.fixes, GAP).select("id", "idterm", "trip_no")
+
+
+@query()
+def c7_route_summary(t):
+    clean = trips.anomaly_codes(_trips(t))
+    return trips.route_summary(clean, max_time_s=10**7).select("idtrajectory", "idterm", "idtrace_o", "idtrace_d", "tripdistance_m", "triptime_s", "breaktime_s", F.size("path").alias("points"))
+
+
+@query("""SELECT idterm, CAST(SUM(greatest(d, 0)) AS BIGINT) AS metres FROM (SELECT idterm, COALESCE(progressive - LAG(progressive) OVER (PARTITION BY idterm ORDER BY timedate, id), 0) AS d FROM fixes) GROUP BY idterm""", "fixes")
+def c10_km_increment(t):
+    return trips.km_increment(t.fixes).groupBy("idterm").agg(F.bround(F.sum("km") * 1000, 0).cast("long").alias("metres"))
+
+
+@query("SELECT idterm, trip_no, CASE WHEN end_hour + stop_h > 26 THEN 220 WHEN LEAD(hours) OVER w >= 4 AND LEAD(km) OVER w <= 60 THEN 220 ELSE 210 END AS stop_class FROM (SELECT id AS trip_no, idterm, CAST(hour(timedate) AS INTEGER) AS end_hour, speed % 12 AS stop_h, grade AS km, speed % 7 AS hours FROM fixes) WINDOW w AS (PARTITION BY idterm ORDER BY trip_no)", "fixes")
+def c12_stop_classes(t):
+    made = t.fixes.select(F.col("id").alias("trip_no"), "idterm", F.hour("timedate").alias("end_hour"), (F.col("speed") % 12).alias("stop_h"), F.col("grade").alias("km"), (F.col("speed") % 7).alias("hours"))
+    return trips.stop_classes(made).select("idterm", "trip_no", "stop_class")
+
+
+@query("SELECT idtrajectory, tripdistance_m FROM trips WHERE tripdistance_m > 0 AND tripdistance_m < 150000 AND triptime_s > 60 AND triptime_s < 20500 AND tripdistance_m * 3.6 > 15 * triptime_s * 1.0 / 1 AND 0 = 0 AND breaktime_s > 60 AND breaktime_s < 100000".replace(" AND 0 = 0", " AND tripdistance_m * 3.6 < 220.0 * triptime_s"), "trips")
+def c13_valid_trips(t):
+    return trips.valid_trips(t.trips.withColumn("triptime_s", F.floor(F.col("triptime_s") / 40))).select("idtrajectory", "tripdistance_m")
+
+
+_ORACLES["c13_valid_trips"] = duck("""SELECT idtrajectory, tripdistance_m FROM (SELECT idtrajectory, tripdistance_m, breaktime_s, CAST(FLOOR(triptime_s / 40.0) AS BIGINT) AS s FROM trips)
+  WHERE tripdistance_m > 0 AND tripdistance_m < 150000 AND s > 60 AND s < 20500 AND tripdistance_m * 3.6 > 15 * s AND tripdistance_m * 3.6 < 220 * s AND breaktime_s > 60 AND breaktime_s < 100000""", "trips")
+
+
+# --- D: places
+
+def _stops(t):
+    return t.fixes.select("id", "idterm", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), (F.col("speed") % 12).alias("stop_h"), F.lit(210).alias("stop_class"))
+
+
+@query()
+def d1_home_locations(t):
+    return places.home_locations(_stops(t))
+
+
+@query()
+def d2_work_locations(t):
+    return places.work_locations(_stops(t), 6)
+
+
+@query()
+def d3_label_stops(t):
+    return places.label_stops(_stops(t), places.home_locations(_stops(t)), places.work_locations(_stops(t), 6)).select("id", "idterm", "stop_class")
+
+
+@query("SELECT id, idterm FROM fixes WHERE abs(latitude - 37.5::DOUBLE) <= 20.0::DOUBLE / 2 / 111.195::DOUBLE AND abs(longitude - 14.95::DOUBLE) * cos(radians(37.5::DOUBLE)) <= 20.0::DOUBLE / 2 / 111.195::DOUBLE", "fixes")
+def d4_poi_visits(t):
+    return places.poi_visits(t.fixes, 14.95, 37.5, 20.0).select("id", "idterm")
+
+
+@query("""SELECT idterm, SUM(CASE WHEN n > 3 THEN 1 ELSE 0 END)::BIGINT AS busy_days, COUNT(*) AS days, SUM(n)::BIGINT AS fixes, SUM(hi - lo) / 1000.0::DOUBLE AS km
+  FROM (SELECT idterm, CAST(timedate AS DATE) AS d, COUNT(*) AS n, MAX(progressive) AS hi, MIN(progressive) AS lo FROM fixes GROUP BY 1, 2) GROUP BY idterm""", "fixes")
+def d5_vehicle_profile(t):
+    return places.vehicle_profile(t.fixes)
+
+
+@query("SELECT idterm, COUNT(*) AS trips, 2 AS reason FROM trips GROUP BY idterm HAVING COUNT(*) < 30", "trips")
+def d6_rejected_vehicles(t):
+    return places.rejected_vehicles(t.trips, 30)
+
+
+@query()
+def d7_parking_nights(t):
+    route = trips.route_summary(trips.anomaly_codes(_trips(t)), max_time_s=10**7)
+    return places.parking_nights(route, t.fixes)
+
+
+@query()
+def d8_night_place(t):
+    return places.night_place(t.fixes.select("id", "idterm", "longitude", "latitude", (F.col("speed") % 3).alias("n_nights")))
+
+
+@query()
+def d9_nearest_residence(t):
+    nights = t.fixes.groupBy("idterm").agg(F.min("longitude").alias("longitude"), F.min("latitude").alias("latitude"))
+    return places.nearest_residence(t.fixes.select("id", "idterm", "longitude", "latitude"), nights)
+
+
+# --- E: network
+
+def _costed(t):
+    return network.edge_cost(network.unique_edges(t.edges))
+
+
+_COST = "SELECT *, length / (CASE WHEN highway = 'service' THEN 30 WHEN maxspeed IS NOT NULL THEN maxspeed WHEN highway = 'motorway' THEN 110 WHEN highway = 'trunk' THEN 70 WHEN highway = 'primary' THEN 50 WHEN highway = 'secondary' THEN 40 ELSE 30 END * 1000.0::DOUBLE / 3600) AS cost FROM edges"
+
+
+@query("SELECT u, v, round_even(cost, 6) AS cost FROM (" + _COST + ")", "edges")
+def e2_edge_cost(t):
+    return _costed(t).select("u", "v", F.bround("cost", 6).alias("cost"))
+
+
+@query("SELECT u, v, MIN(key) AS key FROM edges GROUP BY u, v", "edges")
+def e1_unique_edges(t):
+    return network.unique_edges(t.edges).select("u", "v", "key")
+
+
+@query("SELECT u, v, highway FROM edges WHERE highway NOT IN ('footway', 'service')", "edges")
+def e3_filter_highways(t):
+    return network.filter_highways(t.edges).select("u", "v", "highway")
+
+
+@query("""SELECT c.u, c.v, round_even(COALESCE(s.t, c.cost), 4) AS observed_cost FROM (""" + _COST + """) c LEFT JOIN (SELECT u, v, round_even(length / 1000.0::DOUBLE / s * 3600, 4) AS t FROM (SELECT u, v, MIN(length) AS length, FLOOR(AVG(mean_speed)) AS s FROM traversals WHERE mean_speed > 90 GROUP BY u, v)) s ON c.u = s.u AND c.v = s.v""", "edges", "traversals")
+def e4_observed_cost(t):
+    seen = traffic.edge_speed_time(t.traversals.where("mean_speed > 90"), t.edges)
+    return network.observed_cost(_costed(t), seen).select("u", "v", F.bround("observed_cost", 4).alias("observed_cost"))
+
+
+@query("""SELECT highway, n, km, round_even(n * 100.0::DOUBLE / SUM(n) OVER (), 4) AS n_pct, round_even(km / SUM(km) OVER () * 100, 4) AS km_pct, mean_limit, max_limit, min_limit
+  FROM (SELECT highway, COUNT(*) AS n, SUM(length) / 1000.0::DOUBLE AS km, round_even(AVG(maxspeed), 4) AS mean_limit, MAX(maxspeed) AS max_limit, MIN(maxspeed) AS min_limit FROM edges GROUP BY highway)""", "edges")
+def e5_road_class_stats(t):
+    return network.road_class_stats(t.edges)
+
+
+def _od(t):
+    return traffic.trip_od(t.traversals).select(F.col("ORIGIN").alias("origin"), F.col("DESTINATION").alias("destination")).distinct()
+
+
+@query("""WITH RECURSIVE p(origin, node, dist, hops) AS (SELECT node, node, 0::BIGINT, 0 FROM nodes UNION SELECT p.origin, e.v, p.dist + e.length, p.hops + 1 FROM p JOIN edges e ON p.node = e.u WHERE p.hops < 7)
+  SELECT origin, node, CAST(MIN(dist) AS DOUBLE) AS dist FROM p GROUP BY origin, node""".replace("WITH RECURSIVE", "WITH"), "nodes", "edges")
+def e6_shortest_paths(t):
+    return network.shortest_paths(t.edges, t.nodes.select(F.col("node").alias("origin"))).select("origin", "node", "dist")
+
+
+_ORACLES.pop("e6_shortest_paths")
+
+
+@query()
+def e7_path_edges(t):
+    return network.path_edges(network.shortest_paths(t.edges, _od(t).select("origin")), _od(t))
+
+
+@query()
+def e8_closeness(t):
+    return network.closeness(t.edges)
+
+
+@query()
+def e9_betweenness_nodes(t):
+    return network.betweenness_nodes(t.edges)
+
+
+@query()
+def e10_betweenness_edges(t):
+    return network.betweenness_edges(t.edges)
+
+
+_COUNTS = "SELECT u, v, COUNT(*) AS counts FROM traversals GROUP BY u, v"
+
+
+@query(f"SELECT u, v, round_even(counts / m * 3 + 0.1::DOUBLE, 1) AS scales, round_even(counts / m, 3) AS share FROM (SELECT u, v, counts::DOUBLE AS counts, MAX(counts) OVER ()::DOUBLE AS m FROM ({_COUNTS}))", "traversals")
+def e11_scale_scores(t):
+    counts = t.traversals.groupBy("u", "v").agg(F.count(F.lit(1)).alias("counts"))
+    return network.scale_scores(counts, "counts").select("u", "v", "scales", "share")
+
+
+@query()
+def e12_closure_routes(t):
+    return network.closure_routes(t.edges, t.edges.where("edge_idx % 7 = 0"), _od(t))
+
+
+@query()
+def e13_nearest_node(t):
+    return network.nearest_node(t.fixes.select("id", F.col("longitude").alias("x"), F.col("latitude").alias("y")), t.nodes)
+
+
+@query()
+def e14_hex_grid(t):
+    return network.hex_grid(t.nodes)
+
+
+@query()
+def e15_cell_edges(t):
+    return network.cell_edges(network.hex_grid(t.nodes), t.edges, t.nodes)
+
+
+# --- F: matching
+
+@query("SELECT TRIP_ID, COUNT(*) AS n FROM (SELECT id, idterm || '_0' AS TRIP_ID FROM fixes) GROUP BY TRIP_ID HAVING COUNT(*) >= 6", "fixes")
+def f1_matchable_trips(t):
+    clean = t.fixes.withColumns({"TRIP_ID": F.concat_ws("_", "idterm", F.lit(0)), "anomaly": F.lit("IQ23456")})
+    return matching.matchable_trips(clean).groupBy("TRIP_ID").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def f2_bbox_nodes(t):
+    return matching.trip_bbox_nodes(_trips(t), t.nodes)
+
+
+def _candidates(t):
+    return matching.candidates(_trips(t), t.edges, t.nodes, radius_m=300.0, size=0.005)
+
+
+@query()
+def f3_candidates(t):
+    return _candidates(t).select("TRIP_ID", "id", "u", "v", F.bround("distance", 3).alias("distance"))
+
+
+@query()
+def f4_drop_ambiguous(t):
+    return matching.drop_ambiguous(_candidates(t)).select("TRIP_ID", "id", "u", "v")
+
+
+@query()
+def f5_sigma_z(t):
+    return matching.sigma_z(_candidates(t)).select("TRIP_ID", F.bround("sigma", 4).alias("sigma"))
+
+
+@query("SELECT id, round_even(exp(-power(speed / 40.0::DOUBLE, 2) / 2), 9) AS p FROM fixes", "fixes")
+def f6_emission(t):
+    return t.fixes.select("id", F.bround(matching.emission(F.col("speed"), F.lit(40.0)), 9).alias("p"))
+
+
+@query("SELECT id, CASE WHEN speed <= grade * 10 THEN round_even(exp(-abs(speed - grade * 10) / 2.0::DOUBLE), 9) END AS p FROM fixes", "fixes")
+def f7_transition(t):
+    return t.fixes.select("id", F.bround(matching.transition(F.col("speed"), F.col("grade") * 10, 2.0), 9).alias("p"))
+
+
+@query()
+def f8_match_trips(t):
+    return matching.match_trips(_candidates(t), t.edges, sigma=100.0)
+
+
+@query()
+def f10_traversals(t):
+    return matching.traversals(matching.match_trips(_candidates(t), t.edges, sigma=100.0), t.fixes)
+
+
+_ACC = """SELECT m.idtrajectory, m.matched, d.driven, CAST(FLOOR(m.matched * 100.0::DOUBLE / d.driven) AS BIGINT) AS accuracy FROM
+  (SELECT idtrajectory, SUM(length) AS matched FROM (SELECT DISTINCT idtrajectory, u, v, length FROM traversals) GROUP BY 1) m
+  JOIN (SELECT idtrajectory, SUM(d) AS driven FROM (SELECT idterm AS idtrajectory, greatest(COALESCE(progressive - LAG(progressive) OVER (PARTITION BY idterm ORDER BY timedate, id), 0), 0) AS d FROM fixes) GROUP BY 1) d ON m.idtrajectory = d.idtrajectory WHERE d.driven > 0"""
+
+
+def _acc(t):
+    return matching.match_accuracy(t.traversals, t.fixes.withColumn("idtrajectory", F.col("idterm")))
+
+
+@query(f"SELECT idtrajectory, accuracy FROM ({_ACC})", "traversals", "fixes")
+def f11_match_accuracy(t):
+    return _acc(t).select("idtrajectory", "accuracy")
+
+
+@query(f"SELECT round_even(SUM(CASE WHEN accuracy BETWEEN 80 AND 120 THEN 1 ELSE 0 END) * 100.0::DOUBLE / COUNT(*), 4) AS goodness, COUNT(*) AS trips FROM ({_ACC}) WHERE accuracy > 0 AND accuracy < 100", "traversals", "fixes")
+def f12_goodness(t):
+    return matching.accuracy_goodness(_acc(t))
+
+
+@query(f"SELECT idtrajectory, accuracy FROM ({_ACC}) WHERE accuracy > 1 AND accuracy <= 40 AND matched < 25000 AND matched > 1600", "traversals", "fixes")
+def f13_bands(t):
+    return matching.accuracy_bands(_acc(t), 1, 40).select("idtrajectory", "accuracy")
+
+
+# --- G: traffic indicators
+
+_ENRICHED = "SELECT t.*, f.speed FROM traversals t LEFT JOIN fixes f ON t.idtrace = f.id"
+_FLUX = "SELECT u, v, hour, AVG(n) AS FLUX FROM (SELECT u, v, CAST(hour(timedate) AS INTEGER) AS hour, CAST(timedate AS DATE) AS d, COUNT(*) AS n FROM traversals GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"
+_SPEED = f"SELECT u, v, CAST(hour(timedate) AS INTEGER) AS hour, CAST(FLOOR(AVG(speed)) AS INTEGER) AS speed FROM ({_ENRICHED}) GROUP BY 1, 2, 3"
+
+
+def _flux(t):
+    return traffic.hourly_flux(t.traversals)
+
+
+def _speed(t):
+    return traffic.hourly_speed(traffic.enrich_traversals(t.traversals, t.fixes))
+
+
+@query(f"SELECT idtrajectory, sequenza, u, v, speed FROM ({_ENRICHED}) WHERE vehtype = 2", "traversals", "fixes")
+def g1_enrich(t):
+    return traffic.enrich_traversals(t.traversals, t.fixes, 2).select("idtrajectory", "sequenza", "u", "v", "speed")
+
+
+_FREQ = "SELECT * FROM (SELECT *, CAST(round_even(counts * 100.0::DOUBLE / MAX(counts) OVER ({over}), 0) AS INTEGER) AS frequency FROM ({counts})) WHERE frequency >= {least}"
+
+
+@query(_FREQ.format(over="", counts=_COUNTS, least=90), "traversals")
+def g2_edge_frequency(t):
+    return traffic.edge_frequency(t.traversals, 90)
+
+
+@query(_FREQ.format(over="PARTITION BY month, weekday", counts="SELECT CAST(month(timedate) AS INTEGER) AS month, CAST(isodow(timedate) - 1 AS INTEGER) AS weekday, u, v, COUNT(*) AS counts FROM traversals GROUP BY 1, 2, 3, 4", least=80), "traversals")
+def g3_edge_frequency_dow(t):
+    return traffic.edge_frequency_dow(t.traversals, 80)
+
+
+@query("SELECT vehtype, u, v, counts, round_even(counts::DOUBLE / MAX(counts) OVER (), 4) * 100 AS load, counts::DOUBLE / MAX(counts) OVER () * 7 AS scales FROM (SELECT vehtype, u, v, COUNT(*) AS counts FROM traversals GROUP BY 1, 2, 3)", "traversals")
+def g4_edge_load(t):
+    return traffic.edge_load(t.traversals, ["vehtype"])
+
+
+@query("SELECT u, v, a - b AS diff FROM (SELECT u, v, SUM(CASE WHEN day(timedate) <= 14 THEN 1 ELSE 0 END)::BIGINT AS a, SUM(CASE WHEN day(timedate) > 14 THEN 1 ELSE 0 END)::BIGINT AS b FROM traversals GROUP BY 1, 2) WHERE a > b", "traversals")
+def g5_count_diff(t):
+    day = F.dayofmonth("timedate")
+    return traffic.edge_count_diff(t.traversals.where(day <= 14), t.traversals.where(day > 14))
+
+
+_SPEED_TIME = "SELECT u, v, s AS travel_speed, counts, length, round_even(length / 1000.0::DOUBLE / s * 3600, 4) AS travel_time FROM (SELECT u, v, CAST(FLOOR(AVG(mean_speed)) AS INTEGER) AS s, COUNT(*) AS counts, MIN(length) AS length FROM {t} GROUP BY u, v)"
+
+
+@query(_SPEED_TIME.format(t="traversals"), "traversals")
+def g6_speed_time(t):
+    return traffic.edge_speed_time(t.traversals, t.edges)
+
+
+@query(_FLUX, "traversals")
+def g7_hourly_flux(t):
+    return _flux(t)
+
+
+@query(f"SELECT hour, round_even(SUM(FLUX), 6) AS FLUX FROM ({_FLUX}) GROUP BY hour", "traversals")
+def g8_hourly_profile(t):
+    return traffic.hourly_profile(_flux(t))
+
+
+_PEAKS = f"""SELECT u, v, MAX(CASE WHEN a = 1 THEN hour END) AS peak_hour, MAX(FLUX) AS peak_flux, MAX(CASE WHEN b = 1 THEN hour END) AS low_hour, MIN(FLUX) AS low_flux
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY FLUX DESC, hour) AS a, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY FLUX, hour) AS b FROM ({_FLUX})) GROUP BY u, v"""
+
+
+@query(_PEAKS, "traversals")
+def g9_peak_hours(t):
+    return traffic.peak_hours(_flux(t))
+
+
+@query(_SPEED, "traversals", "fixes")
+def g10_hourly_speed(t):
+    return _speed(t)
+
+
+@query(f"""WITH c AS (SELECT p.u, p.v, p.peak_hour, p.low_hour, p.peak_flux, a.speed AS peak_speed, b.speed AS low_speed, abs(1 - a.speed::DOUBLE / b.speed) AS ci
+  FROM ({_PEAKS}) p JOIN ({_SPEED}) a ON p.u = a.u AND p.v = a.v AND p.peak_hour = a.hour JOIN ({_SPEED}) b ON p.u = b.u AND p.v = b.v AND p.low_hour = b.hour
+  WHERE a.speed <> 0 AND b.speed <> 0 AND p.peak_flux >= 1)
+  SELECT u, v, peak_hour, low_hour, peak_flux, peak_speed, low_speed, round_even(ci, 6) AS ci, round_even(ci / (SELECT MAX(ci) FROM c WHERE ci <= 1), 2) AS congestion FROM c WHERE ci <= 1""", "traversals", "fixes")
+def g11_congestion_index(t):
+    return traffic.congestion_index(_flux(t), _speed(t), min_flux=1)
+
+
+@query("SELECT u, v FROM edges e WHERE u < 1012 AND NOT (length <= 500 AND v >= 1012)", "edges")
+def g12_drop_stub_edges(t):
+    return traffic.drop_stub_edges(t.edges.where("u < 1012"), 500).select("u", "v")
+
+
+@query(f"SELECT t.idtrajectory, t.sequenza FROM traversals t JOIN (SELECT u, v FROM ({_COUNTS}) WHERE counts >= 1250) c ON t.u = c.u AND t.v = c.v", "traversals")
+def g13_min_records(t):
+    return traffic.min_records(t.traversals, 1250).select("idtrajectory", "sequenza")
+
+
+@query(f"SELECT u, v, COUNT(*) AS records, median(mean_speed) AS median_speed, median(speed) AS median_instant FROM ({_ENRICHED}) WHERE u < 1004 AND mean_speed < 200 GROUP BY u, v", "traversals", "fixes")
+def g14_select_edges(t):
+    return traffic.select_edges(t.traversals, t.fixes, t.edges.where("u < 1004"))
+
+
+@query("SELECT s.u, s.v, s.mean_speed, s.records, e.total, CAST(round_even(s.records * 100.0::DOUBLE / e.total, 0) AS INTEGER) AS time_pct FROM (SELECT u, v, mean_speed, COUNT(*) AS records FROM traversals GROUP BY 1, 2, 3) s JOIN (SELECT u, v, COUNT(*) AS total FROM traversals GROUP BY 1, 2) e ON s.u = e.u AND s.v = e.v", "traversals")
+def g15_speed_distribution(t):
+    return traffic.speed_distribution(t.traversals)
+
+
+@query("SELECT u, v, CAST(FLOOR(round_even(AVG(n), 1)) AS INTEGER) AS vehicles, round_even(FLOOR(round_even(AVG(n), 1)) / (MIN(length) / 1000.0::DOUBLE), 6) AS density FROM (SELECT u, v, timedate, COUNT(*) AS n, MIN(length) AS length FROM traversals GROUP BY 1, 2, 3) GROUP BY u, v", "traversals")
+def g16_edge_density(t):
+    return traffic.edge_density(t.traversals, t.edges)
+
+
+@query("SELECT u, v, round_even(AVG(n / 0.25::DOUBLE), 6) AS flux FROM (SELECT u, v, time_bucket(INTERVAL 15 MINUTE, timedate) AS q, COUNT(*) AS n FROM traversals GROUP BY 1, 2, 3) GROUP BY u, v", "traversals")
+def g17_flux_15min(t):
+    return traffic.flux_15min(t.traversals)
+
+
+def _los_sql() -> str:
+    def rng(c, lo, hi):
+        return " AND ".join(x for x in (f"{c} > {lo}" if lo is not None else "", f"{c} < {hi}" if hi is not None else "") if x)
+
+    cases = []
+    for grade, number, time, density, at50, at90 in traffic.LOS_BANDS:
+        t, d, a, b = rng("time_pct", *time), rng("density", *density), rng("speed", *at50), rng("speed", *at90)
+        if grade == "A":
+            cases += [(f"({t} AND maxspeed = 50) OR (maxspeed = 90 AND {a} AND {d})", grade, number), (f"{t} AND maxspeed IN (50, 90) AND {b} AND {d}", grade, number)]
+        else:
+            cases += [(f"({t} AND maxspeed = 50) OR (maxspeed = 90 AND {a} AND {d})", grade, number), (f"({t} AND maxspeed = 90) OR (maxspeed = 50 AND {b} AND {d})", grade, number)]
+    cases += [(f"{rng('time_pct', *time)} AND {rng('speed', *speed)}", grade, number) for grade, number, time, speed in traffic.LOS_OTHER]
+    pick = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k]!r}" for c in cases) + f" ELSE {'A' if k == 1 else 1!r} END" if k == 2 else "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[1]}'" for c in cases) + " ELSE 'A' END"
+    return f"SELECT id, {pick(1)} AS LOS, {pick(2)} AS los_class FROM (SELECT id, speed, grade * 5 AS time_pct, 30 + 20 * (id % 4) AS maxspeed, (id % 31)::DOUBLE AS density FROM fixes)"
+
+
+@query(_los_sql(), "fixes")
+def g18_level_of_service(t):
+    made = t.fixes.select("id", "speed", (F.col("grade") * 5).alias("time_pct"), (30 + 20 * (F.col("id") % 4)).alias("maxspeed"), (F.col("id") % 31).cast("double").alias("density"))
+    return traffic.level_of_service(made).select("id", "LOS", "los_class")
+
+
+@query("SELECT a.u, a.v, a.v AS next_u, b.v AS next_v FROM edges a JOIN edges b ON a.v = b.u WHERE b.v <> a.u", "edges")
+def g19_chain_edges(t):
+    return traffic.chain_edges(t.edges)
+
+
+_OD = "SELECT idtrajectory, MAX(CASE WHEN a = 1 THEN u END) AS ORIGIN, MAX(CASE WHEN b = 1 THEN v END) AS DESTINATION FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idtrajectory ORDER BY sequenza) AS a, ROW_NUMBER() OVER (PARTITION BY idtrajectory ORDER BY sequenza DESC) AS b FROM traversals) GROUP BY idtrajectory"
+
+
+@query(f"SELECT ORIGIN, DESTINATION, trips FROM (SELECT ORIGIN, DESTINATION, COUNT(*) AS trips, MAX(COUNT(*)) OVER () AS m FROM ({_OD}) GROUP BY 1, 2) WHERE trips = m", "traversals")
+def g20_top_od(t):
+    return traffic.top_od(t.traversals)
+
+
+@query("SELECT CAST(timedate AS DATE) AS day, SUM(progressive) / 1000.0::DOUBLE AS km FROM fixes GROUP BY 1 HAVING SUM(progressive) / 1000.0::DOUBLE > 100", "fixes")
+def g21_daily_km(t):
+    return traffic.daily_km(t.fixes, 100)
+
+
+# --- H: resilience
+
+_DENSE = f"SELECT f.u, f.v, f.hour, f.FLUX, s.speed, f.FLUX / s.speed AS density FROM ({_FLUX}) f JOIN ({_SPEED}) s ON f.u = s.u AND f.v = s.v AND f.hour = s.hour WHERE s.speed > 0 AND f.FLUX >= 1"
+_H = f"""WITH d AS ({_DENSE}), vol AS (SELECT u, v, MAX(FLUX) AS mf, (MAX(FLUX) - MIN(FLUX)) / 2 AS vol FROM d GROUP BY u, v),
+  pk AS (SELECT u, v, density AS pd, speed AS ps, FLUX AS mf FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY u, v ORDER BY FLUX DESC, hour) AS n FROM d) WHERE n = 1),
+  cd AS (SELECT u, MAX(FLUX) - MIN(FLUX) AS cd FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY u ORDER BY FLUX DESC, v, hour) AS n FROM d) WHERE n <= 2 GROUP BY u HAVING COUNT(*) = 2),
+  r AS (SELECT d.u, d.v, AVG(((d.FLUX + vol.vol) / d.speed) / ((pk.mf + vol.vol) / pk.ps)) AS r FROM d JOIN vol ON d.u = vol.u AND d.v = vol.v JOIN pk ON d.u = pk.u AND d.v = pk.v JOIN cd ON d.u = cd.u WHERE pk.mf > cd.cd GROUP BY d.u, d.v),
+  fi AS (SELECT v AS u, hour, AVG(FLUX) AS fi FROM d GROUP BY v, hour),
+  c AS (SELECT d.u, d.v, AVG(((d.FLUX + (fi.fi - d.FLUX)) / d.speed) / ((pk.mf - cd.cd) / pk.ps)) AS c FROM d JOIN fi ON d.u = fi.u AND d.hour = fi.hour JOIN pk ON d.u = pk.u AND d.v = pk.v JOIN cd ON d.u = cd.u WHERE pk.mf > cd.cd GROUP BY d.u, d.v)
+"""
+
+
+def _dense(t):
+    return resilience.density(_flux(t), _speed(t), 1)
+
+
+@query(f"SELECT u, v, MAX(FLUX) AS max_flux, (MAX(FLUX) - MIN(FLUX)) / 2 AS volatility FROM ({_FLUX}) GROUP BY u, v", "traversals")
+def h1_volatility(t):
+    return resilience.flux_volatility(_flux(t))
+
+
+@query(_H + "SELECT u, v, hour, round_even(density, 9) AS density FROM d", "traversals", "fixes")
+def h2_density(t):
+    return _dense(t).select("u", "v", "hour", F.bround("density", 9).alias("density"))
+
+
+@query(_H + "SELECT u, cd AS capacity_drop FROM cd", "traversals", "fixes")
+def h3_capacity_drop(t):
+    return resilience.capacity_drop(_dense(t))
+
+
+@query(_H + "SELECT u, v, round_even(r, 6) AS resistance FROM r", "traversals", "fixes")
+def h4_resistance(t):
+    return resilience.resistance(_dense(t)).select("u", "v", F.bround("resistance", 6).alias("resistance"))
+
+
+@query(_H + "SELECT u, v, round_even(c, 6) AS recovery FROM c", "traversals", "fixes")
+def h5_recovery(t):
+    return resilience.recovery(_dense(t)).select("u", "v", F.bround("recovery", 6).alias("recovery"))
+
+
+@query(_H + """SELECT u, v, round_even(CASE WHEN x <= 1 THEN 1 - x ELSE x END, 6) AS resilience, CASE WHEN x <= 1 THEN 'low' ELSE 'high' END AS part FROM
+  (SELECT r.u, r.v, CASE WHEN m.md <= pk.pd THEN r.r ELSE c.c END AS x FROM (SELECT u, v, AVG(density) AS md FROM d GROUP BY u, v) m JOIN pk ON m.u = pk.u AND m.v = pk.v JOIN r ON m.u = r.u AND m.v = r.v JOIN c ON m.u = c.u AND m.v = c.v)""", "traversals", "fixes")
+def h6_resilience(t):
+    return resilience.resilience(_dense(t)).select("u", "v", F.bround("resilience", 6).alias("resilience"), "part")
+
+
+# --- I: demand and vulnerability
+
+@query(f"SELECT DISTINCT t.u, t.v, o.ORIGIN, o.DESTINATION FROM traversals t JOIN ({_OD}) o ON t.idtrajectory = o.idtrajectory", "traversals")
+def i1_trip_od(t):
+    return demand.trip_od(t.traversals)
+
+
+@query(_SPEED_TIME.format(t="(SELECT * FROM traversals WHERE (u, v) IN (SELECT (u, v) FROM traversals WHERE vehtype = 2 AND mean_speed > 100))"), "traversals")
+def i2_heavy_subnetwork(t):
+    used = t.traversals.withColumn("vehtype", F.when(F.col("mean_speed") > 100, F.col("vehtype")).otherwise(1))
+    return demand.heavy_subnetwork(used, t.edges)
+
+
+@query("SELECT idtrajectory, sequenza FROM traversals WHERE month(timedate) = 2 AND isodow(timedate) <= 5 AND hour(timedate) IN (7, 8)", "traversals")
+def i3_peak_slice(t):
+    return demand.peak_slice(t.traversals, 2).select("idtrajectory", "sequenza")
+
+
+def _paths(t):
+    od = t.nodes.crossJoin(F.broadcast(t.nodes.select(F.col("node").alias("destination")))).select(F.col("node").alias("origin"), "destination").where("origin < 1003 and destination > 1012")
+    return od, network.path_edges(network.shortest_paths(_costed(t), od.select("origin"), "cost"), od)
+
+
+def _edge_counts(t):
+    return t.traversals.groupBy("u", "v").agg(F.count(F.lit(1)).alias("counts"))
+
+
+@query()
+def i4_travel_demand(t):
+    return demand.travel_demand(_paths(t)[1], _edge_counts(t))
+
+
+def _cells(t):
+    return network.cell_edges(network.hex_grid(t.nodes, 1800), t.edges, t.nodes)
+
+
+@query()
+def i5_closure_impact(t):
+    od, paths = _paths(t)
+    return demand.closure_impact(_cells(t), od, _costed(t), demand.travel_demand(paths, _edge_counts(t)))
+
+
+_IMPORTANCE = "SELECT e.u, e.v, e.edge_idx % 5 AS cell, c.importance FROM edges e JOIN (SELECT e.edge_idx % 5 AS cell, CAST(FLOOR(SUM(t.mean_speed / 2.0::DOUBLE)) AS BIGINT) AS importance FROM traversals t JOIN edges e ON t.u = e.u AND t.v = e.v GROUP BY 1) c ON e.edge_idx % 5 = c.cell"
+
+
+def _importance(t):
+    cells = t.edges.select("u", "v", (F.col("edge_idx") % 5).alias("cell"))
+    impacts = t.traversals.join(F.broadcast(cells), ["u", "v"]).select("cell", (F.col("mean_speed") / 2).alias("delay"))
+    return demand.cell_importance(impacts, cells)
+
+
+@query(_IMPORTANCE, "edges", "traversals")
+def i6_cell_importance(t):
+    return _importance(t)
+
+
+@query(f"SELECT u, v, cell, round_even(importance::DOUBLE / MAX(importance) OVER (), 4) AS importance, round_even(importance::DOUBLE / MAX(importance) OVER () * 3 + 0.1::DOUBLE, 4) AS scales FROM ({_IMPORTANCE})", "edges", "traversals")
+def i7_normalised(t):
+    return demand.normalise_vulnerability(_importance(t))
+
+
+@query(f"SELECT a.u, a.v, a.cell, a.importance - a.cell AS difference FROM ({_IMPORTANCE}) a WHERE a.cell < 3", "edges", "traversals")
+def i8_difference(t):
+    heavy = _importance(t).where("cell < 3").select("u", "v", "cell", F.col("cell").alias("importance"))
+    return demand.vulnerability_difference(_importance(t), heavy)
+
+
+@query(f"SELECT CASE WHEN u < v THEN 'A' ELSE 'D' END AS direction, 2 AS month, cell AS day, round_even(AVG(importance) * 100, 4) AS mean_pct FROM ({_IMPORTANCE}) GROUP BY 1, 2, 3", "edges", "traversals")
+def i9_summary(t):
+    pairs = t.edges.select("u", "v", F.when(F.col("u") < F.col("v"), "A").otherwise("D").alias("direction"))
+    return demand.vulnerability_summary(_importance(t).withColumns({"month": F.lit(2), "day": F.col("cell")}), pairs)
+
+
+@query(f"SELECT i.u, i.v, i.importance, e.highway, e.length FROM ({_IMPORTANCE}) i JOIN edges e ON i.u = e.u AND i.v = e.v WHERE e.u < 1004", "edges", "traversals")
+def i10_route_vulnerability(t):
+    return demand.route_vulnerability(_importance(t), t.edges.where("u < 1004"), t.edges).select("u", "v", "importance", "highway", "length")
+
+
+@query(f"SELECT DISTINCT t.u, t.v, o.ORIGIN, o.DESTINATION, a.x AS o_x, a.y AS o_y, b.x AS d_x, b.y AS d_y FROM traversals t JOIN ({_OD}) o ON t.idtrajectory = o.idtrajectory JOIN nodes a ON o.ORIGIN = a.node JOIN nodes b ON o.DESTINATION = b.node WHERE t.u = 1000", "traversals", "nodes")
+def i11_endpoints(t):
+    return demand.edge_endpoints(t.traversals, t.nodes, t.edges.where("u = 1000"))
+
+
+# --- J: gateways and disruption
+
+_GATES = "(SELECT u, v, 'g' || (edge_idx % 3) AS gateway FROM edges WHERE edge_idx IN (0, 10, 20))"
+_DOWN = f"""SELECT t.*, f.gateway FROM traversals t JOIN (SELECT * FROM (SELECT g.gateway, x.idterm, x.idtrajectory, x.sequenza AS at, ROW_NUMBER() OVER (PARTITION BY g.gateway, x.idterm ORDER BY x.timedate, x.idtrajectory, x.sequenza) AS n
+  FROM traversals x JOIN {_GATES} g ON x.u = g.u AND x.v = g.v) WHERE n = 1) f ON t.idterm = f.idterm AND t.idtrajectory = f.idtrajectory AND t.sequenza >= f.at"""
+_LOADS = f"SELECT gateway, u, v, counts, round_even(counts::DOUBLE / MAX(counts) OVER (PARTITION BY gateway), 1) AS scales, round_even(counts * 1.0::DOUBLE / MAX(counts) OVER (PARTITION BY gateway) * 100, 4) AS load FROM (SELECT gateway, u, v, COUNT(*) AS counts FROM ({_DOWN}) GROUP BY 1, 2, 3)"
+
+
+def _gates(t):
+    return t.edges.where("edge_idx in (0, 10, 20)").select("u", "v", F.concat(F.lit("g"), F.col("edge_idx") % 3).alias("gateway"))
+
+
+def _down(t):
+    return disruption.downstream(t.traversals, _gates(t))
+
+
+@query(f"SELECT DISTINCT g.gateway, x.idterm FROM traversals x JOIN {_GATES} g ON x.u = g.u AND x.v = g.v WHERE CAST(x.timedate AS DATE) = DATE '2019-02-03'", "traversals", "edges")
+def j1_gateway_vehicles(t):
+    return disruption.gateway_vehicles(t.traversals, _gates(t), "2019-02-03")
+
+
+@query(f"SELECT gateway, idterm, idtrajectory, sequenza FROM ({_DOWN})", "traversals", "edges")
+def j2_downstream(t):
+    return _down(t).select("gateway", "idterm", "idtrajectory", "sequenza")
+
+
+@query(_LOADS, "traversals", "edges")
+def j3_gateway_loads(t):
+    return disruption.gateway_loads(_down(t))
+
+
+@query(f"SELECT u, v, MAX(load) AS load FROM ({_LOADS}) GROUP BY u, v HAVING MAX(load) > 5", "traversals", "edges")
+def j4_merge_loads(t):
+    return disruption.merge_loads(disruption.gateway_loads(_down(t)))
+
+
+@query(f"""SELECT gateway, idterm, idtrajectory, minutes, CAST(ceil(minutes / 5.0) * 5 AS INTEGER) AS band FROM (SELECT d.gateway, d.idterm, d.idtrajectory, CAST(FLOOR(round_even(SUM(d.length / 1000.0::DOUBLE / d.mean_speed * 60), 6)) AS INTEGER) AS minutes
+  FROM ({_DOWN}) d JOIN ({_LOADS}) l ON d.gateway = l.gateway AND d.u = l.u AND d.v = l.v WHERE l.load > 3 GROUP BY 1, 2, 3 HAVING SUM(d.length / 1000.0::DOUBLE / d.mean_speed * 60) < 120) WHERE ceil(minutes / 5.0) * 5 <= 90""", "traversals", "edges")
+def j5_time_bands(t):
+    return disruption.trip_time_bands(_down(t), disruption.gateway_loads(_down(t)), least_load=3)
+
+
+@query()
+def j6_disrupted_loads(t):
+    return disruption.disrupted_loads(_od(t), t.edges, t.edges.where("edge_idx % 11 = 0"))
+
+
+@query("SELECT idtrajectory, round_even(AVG(mean_speed), 6) AS mean_load, SUM(length)::BIGINT AS length FROM traversals GROUP BY idtrajectory HAVING SUM(CASE WHEN mean_speed > 15 THEN 1 ELSE 0 END) > COUNT(*) * (1 / 1.2::DOUBLE)", "traversals")
+def j7_high_load_routes(t):
+    return disruption.high_load_routes(t.traversals.select("idtrajectory", F.col("mean_speed").alias("load"), "length"))
+
+
+@query(f"SELECT name, round_even(MAX(load), 0) AS load FROM (SELECT highway AS name, counts * 100.0::DOUBLE / MAX(counts) OVER () AS load FROM (SELECT e.highway, t.u, t.v, COUNT(*) AS counts FROM traversals t JOIN edges e ON t.u = e.u AND t.v = e.v GROUP BY 1, 2, 3)) WHERE load > 51 GROUP BY name", "traversals", "edges")
+def j8_road_loads(t):
+    counts = _edge_counts(t)
+    loads = counts.crossJoin(F.broadcast(counts.agg(F.max("counts").alias("m")))).select("u", "v", (F.col("counts") * 100.0 / F.col("m")).alias("load"))
+    return disruption.road_loads(loads, t.edges.withColumn("name", F.col("highway")))
+
+
+# --- K: statistics
+
+@query("""SELECT vehtype, bin, counts, round_even(counts * 100.0::DOUBLE / SUM(counts) OVER (), 1) AS pct FROM (SELECT vehtype, bin, COUNT(*) AS counts FROM (SELECT vehtype, greatest(ceil(speed / 10.0) * 10, 0)::DOUBLE AS bin FROM fixes
+  UNION ALL SELECT vehtype, (ceil(speed / 10.0) * 10 + 10)::DOUBLE FROM fixes WHERE speed % 10 = 0 AND speed >= 0) WHERE bin <= 140 GROUP BY 1, 2)""", "fixes")
+def k1_histogram(t):
+    return statistics.trip_histogram(t.fixes, "speed", 10, 140)
+
+
+_SHARE = "SELECT month, {p}, round_even(n * 100.0::DOUBLE / SUM(n) OVER (PARTITION BY month), 4) AS trips_pct, round_even(km * 100.0::DOUBLE / SUM(km) OVER (PARTITION BY month), 4) AS km_pct FROM (SELECT CAST(month(timedate_o) AS INTEGER) AS month, CAST({e} AS INTEGER) AS {p}, COUNT(*) AS n, SUM(tripdistance_m) AS km FROM trips GROUP BY 1, 2)"
+
+
+@query(_SHARE.format(p="weekday", e="isodow(timedate_o) - 1"), "trips")
+def k2_weekday_shares(t):
+    return statistics.weekday_shares(t.trips)
+
+
+@query("SELECT CAST(month(timedate_o) AS INTEGER) AS month, CAST(isodow(timedate_o) - 1 AS INTEGER) AS weekday, COUNT(*) AS trips, round_even(AVG(tripdistance_m / 1000.0::DOUBLE), 6) AS mean_km FROM trips GROUP BY 1, 2", "trips")
+def k3_weekday_means(t):
+    return statistics.weekday_means(t.trips)
+
+
+@query(_SHARE.format(p="hour", e="hour(timedate_o)"), "trips")
+def k4_hour_shares(t):
+    return statistics.hour_shares(t.trips)
+
+
+@query("SELECT SUM(CASE WHEN breaktime_s < 6000 THEN 1 ELSE 0 END) * 1.0::DOUBLE / COUNT(*) * 100 AS pct FROM trips", "trips")
+def k5_short_breaks(t):
+    return statistics.short_break_share(t.trips, 100)
+
+
+@query()
+def k6_anomaly_rates(t):
+    return statistics.anomaly_rates(trips.anomaly_codes(_trips(t)))
+
+
+@query("SELECT grade, fixes, round_even(fixes * 100.0::DOUBLE / SUM(fixes) OVER (), 4) AS pct FROM (SELECT grade, COUNT(*) AS fixes FROM fixes GROUP BY grade)", "fixes")
+def k7_grade_rates(t):
+    return statistics.grade_rates(t.fixes)
+
+
+@query("SELECT vehtype, SUM(n)::BIGINT AS fixes, COUNT(*) AS vehicles, MIN(CASE WHEN r = 1 THEN idterm END) AS busiest, MAX(top) AS max_speed FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehtype ORDER BY n DESC, idterm) AS r FROM (SELECT vehtype, idterm, COUNT(*) AS n, MAX(CASE WHEN speed < 160 THEN speed END) AS top FROM fixes GROUP BY 1, 2)) GROUP BY vehtype", "fixes")
+def k8_fleet_counts(t):
+    return statistics.fleet_counts(t.fixes)
+
+
+@query("SELECT idtrajectory, idterm FROM trips WHERE idtrajectory % 100 < 20", "trips")
+def k9_sample_trips(t):
+    return statistics.sample_trips(t.trips).select("idtrajectory", "idterm")
+
+
+@query("SELECT u, v, hour, load FROM (SELECT u, v, hour, round_even(counts::DOUBLE / MAX(counts) OVER (), 4) * 100 AS load FROM (SELECT CAST(hour(timedate) AS INTEGER) AS hour, u, v, COUNT(*) AS counts FROM traversals GROUP BY 1, 2, 3)) WHERE load >= 17 AND hour BETWEEN 6 AND 21", "traversals")
+def k10_web_slice(t):
+    return statistics.web_slice(traffic.edge_load(traffic.hour(t.traversals), ["hour"])).select("u", "v", "hour", "load")
+
+
+_CLASSED = "SELECT *, CASE WHEN classe IN ('2', '3') THEN 'car' ELSE 'heavy' END AS class FROM sensor WHERE classe IN ('2', '3', '4', '5', '6', '7', '8')"
+_HOURLY = f"SELECT strftime(timedate, '%Y-%m-%d %H') AS hour, direzione, corsia, class, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4"
+
+
+@query(_HOURLY, "sensor")
+def k11_sensor_hourly(t):
+    return statistics.sensor_hourly(t.sensor)
+
+
+def _ratio(t):
+    hourly = statistics.sensor_hourly(t.sensor).groupBy("hour", "direzione", "class").agg(F.sum("n").alias("n"))
+    fcd = t.traversals.groupBy(F.date_format("timedate", "yyyy-MM-dd HH").alias("hour"), F.when(F.col("u") % 2 == 0, "A").otherwise("D").alias("direzione"), F.when(F.col("vehtype") == 2, "heavy").otherwise("car").alias("class"))
+    return statistics.penetration(fcd.agg(F.count(F.lit(1)).alias("fcd")), hourly, 500)
+
+
+_RATIO = f"""SELECT hour, direzione, class, ratio FROM (SELECT f.hour, f.direzione, f.class, round_even(f.fcd * 100.0::DOUBLE / s.n, 1) AS ratio FROM (SELECT strftime(timedate, '%Y-%m-%d %H') AS hour, CASE WHEN u % 2 = 0 THEN 'A' ELSE 'D' END AS direzione, CASE WHEN vehtype = 2 THEN 'heavy' ELSE 'car' END AS class, COUNT(*) AS fcd FROM traversals GROUP BY 1, 2, 3) f
+  LEFT JOIN (SELECT hour, direzione, class, SUM(n) AS n FROM ({_HOURLY}) GROUP BY 1, 2, 3) s ON f.hour = s.hour AND f.direzione = s.direzione AND f.class = s.class) WHERE ratio IS NOT NULL AND ratio < 500"""
+
+
+@query(_RATIO.replace("f.fcd * 100.0::DOUBLE / s.n", "f.fcd::DOUBLE / s.n::DOUBLE * 100"), "traversals", "sensor")
+def k12_penetration(t):
+    return _ratio(t)
+
+
+@query("SELECT grade, round_even(AVG(speed), 6) AS mean, round_even(stddev_pop(speed), 6) AS sd, round_even(stddev_pop(speed) / sqrt(COUNT(speed)), 6) AS se_mean, round_even(stddev_pop(speed) / sqrt(2 * COUNT(speed)), 6) AS se_sd FROM fixes GROUP BY grade", "fixes")
+def k13_normal_fit(t):
+    return statistics.normal_fit(t.fixes, "grade", "speed")
+
+
+@query(f"""SELECT direzione, class, round_even(n, 6) AS n, round_even(n / SUM(n) OVER (PARTITION BY direzione) * 100, 4) AS pct FROM (SELECT direzione, class, SUM(m) AS n FROM (SELECT direzione, class, hour, AVG(n) AS m FROM
+  (SELECT direzione, class, CAST(timedate AS DATE) AS d, hour(timedate) AS hour, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2)""", "sensor")
+def k14_hour_profile(t):
+    return statistics.mean_hour_profile(t.sensor)
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT id, least(CAST(FLOOR((speed - (SELECT MIN(speed) FROM fixes)) * 13 / ((SELECT MAX(speed) FROM fixes) - (SELECT MIN(speed) FROM fixes))::DOUBLE) AS BIGINT) + 1, 13) AS bin FROM fixes", "fixes")
+def k15_class_bins(t):
+    return statistics.class_bins(t.fixes, "speed").select("id", "bin")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"SELECT direzione, CAST(month(timedate) AS INTEGER) AS month, CAST(day(timedate) AS INTEGER) AS day, CAST(hour(timedate) AS INTEGER) AS hour, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4", "sensor")
+def k16_sensor_15min(t):
+    return statistics.sensor_15min(t.sensor)
