@@ -2,4 +2,18 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_ENDS = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL),
+keyed AS (SELECT *, trim(line, {_ENDS}) AS key FROM lines),
+counts AS (SELECT source, key, COUNT(DISTINCT doc_id) AS n FROM keyed WHERE key <> '' GROUP BY source, key),
+totals AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY source),
+bad AS (SELECT c.source, c.key FROM counts c JOIN totals t ON c.source = t.source WHERE c.n >= 5 AND c.n > 0.08::DOUBLE * t.n),
+marked AS (SELECT k.*, b.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN bad b ON k.source = b.source AND k.key = b.key)
+SELECT doc_id, source, COALESCE(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT dropped), '') AS text, COUNT(*) AS n_lines,
+  CAST(SUM(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped
+FROM marked GROUP BY doc_id, source""",
+}
