@@ -63,7 +63,7 @@ def simhash_wide(text: str, size: int, words: int) -> bytes:
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
     h ^= h >> np.uint64(31)
-    return majority(h.astype(">u8").view(np.uint8).reshape(len(h), -1)).tobytes()
+    return majority(h.astype(">u8").view(np.uint8).reshape(len(h), 8 * words)).tobytes()
 
 
 def with_fingerprints(docs: DataFrame, size: int, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -143,7 +143,7 @@ def test_thresholds_cover_the_distance():
 
     picked = module.allocate([[0, 5, 50], [0, 9, 90], [0, 1, 2], [0, 7, 70]], 3)
     assert sum(t + 1 for t in picked) == 4 and picked[2] == 1
-    moments = np.eye(5) * 8
+    moments = np.eye(5) * 4 + 4
     moments[-1, -1] = 16
     moments[0, 3] = moments[3, 0] = 8
     moments[1, 2] = moments[2, 1] = 8
@@ -178,12 +178,18 @@ def removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length, prefix", [(100, 32), (20, 8)])
-def test_repeated_bytes(make, corpus, length, prefix):
+def test_difference_cover():
+    for m in (2, 3, 7, 31, 73):
+        cover = repeats.difference_cover(m)
+        assert {(a - b) % m for a in cover for b in cover} == set(range(m))
+
+
+@pytest.mark.parametrize("length, prefix, periodic", [(100, 32, False), (20, 8, False), (100, 28, True)])
+def test_repeated_bytes(make, corpus, length, prefix, periodic):
     rows = corpus + [(400, "ab" * 150), (401, "é" * 120), (402, "ab" * 60)]
     masks = removed(rows, length)
     docs = make(rows)
-    spans = {r.doc_id: repeats.merged([(s.low, s.high) for s in r.spans]) for r in repeats.repeated_spans(docs.select("doc_id", "text"), length, prefix).collect()}
+    spans = {r.doc_id: repeats.merged([(s.low, s.high) for s in r.spans]) for r in repeats.repeated_spans(docs.select("doc_id", "text"), length, prefix, periodic).collect()}
     for i, t in rows:
         mask = bytearray(len(masks[i]))
         for a, b in spans.get(i, []):
