@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import cell, haversine
 from roadpulse.operators.cleaning import BY_TIME, epoch
+from roadpulse.operators.network import path_edges, shortest_paths
 
 METRES_PER_DEGREE = 111195.0
 
@@ -159,3 +160,21 @@ def accuracy_histogram(acc: DataFrame, width: int = 10) -> DataFrame:
 def accuracy_bands(acc: DataFrame, lo: float, hi: float, most_m: float = 25000, least_m: float = 1600) -> DataFrame:
     """Trips with an accuracy in (lo, hi] and a matched length in range."""
     return acc.where((F.col("accuracy") > lo) & (F.col("accuracy") <= hi) & (F.col("matched") < most_m) & (F.col("matched") > least_m))
+
+
+def matched_route(matched: DataFrame, edges: DataFrame, weight: str = "length") -> DataFrame:
+    """(TRIP_ID, u, v, order): the edges of each trip, gaps between matched edges closed by least paths.
+
+    ``matched`` has TRIP_ID, sequenza, u and v. A gap's path comes from one batch over all distinct
+    (end, next start) pairs; an edge of a trip is listed once, where it comes first.
+    """
+    w = Window.partitionBy("TRIP_ID").orderBy("sequenza")
+    steps = matched.withColumns({"next_u": F.lead("u").over(w)})
+    gaps = steps.where(F.col("next_u").isNotNull() & (F.col("next_u") != F.col("v"))).select("TRIP_ID", "sequenza", F.col("v").alias("origin"), F.col("next_u").alias("destination"))
+    pairs = gaps.select("origin", "destination").distinct()
+    fill = path_edges(shortest_paths(edges, pairs.select("origin"), weight), pairs)
+    between = gaps.join(fill, ["origin", "destination"]).select("TRIP_ID", "u", "v", "sequenza", (-F.col("back")).alias("at"), F.lit(1).alias("kind"))
+    own = steps.select("TRIP_ID", "u", "v", "sequenza", F.lit(0).alias("at"), F.lit(0).alias("kind"))
+    place = F.struct("sequenza", "kind", "at")
+    once = own.unionByName(between).groupBy("TRIP_ID", "u", "v").agg(F.min(place).alias("p"))
+    return once.select("TRIP_ID", "u", "v", F.row_number().over(Window.partitionBy("TRIP_ID").orderBy("p")).alias("order"))

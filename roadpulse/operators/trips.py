@@ -147,3 +147,55 @@ def stop_classes(trips: DataFrame, late_h: float = 26, strange_h: float = 4, str
     w = Window.partitionBy("idterm").orderBy("trip_no")
     strange = (F.lead("hours").over(w) >= strange_h) & (F.lead("km").over(w) <= strange_km)
     return trips.withColumn("stop_class", F.when(F.col("end_hour") + F.col("stop_h") > late_h, 220).when(strange, 220).otherwise(210))
+
+
+def trip_flags(fixes: DataFrame, d_sec: int = 300, box: tuple[float, float, float, float] = (14.86, 37.426, 15.25, 37.625), long_s: int = 7200, short_km: float = 0.01) -> DataFrame:
+    """Flag of each fix at a trip's start or end (panel 1 on, 0 off), trip number and whether it lies in ``box``.
+
+    Codes: 10 and 20 regular start and end (engine on and off); 12 and 22 a start and end by a
+    gap of ``d_sec`` inside the box, 13 and 23 outside; 11 and 21 a border crossing (the other
+    side of the box than the last fix, with a gap and over 0.5 km); 5 a trip of under
+    ``short_km`` or one longer than ``long_s`` with a gap of twice ``d_sec`` inside; 0 within a
+    trip. The corrections are aggregates over provisional trips joined back.
+    """
+    w = vehicle()
+    inside = F.col("longitude").between(box[0], box[2]) & F.col("latitude").between(box[1], box[3])
+    df = fixes.withColumn("inside", inside)
+    gap = epoch("timedate") - epoch(F.lag("timedate").over(w))
+    moved = F.greatest(F.coalesce(F.col("progressive") - F.lag("progressive").over(w), F.lit(0)), F.lit(0)) / 1000
+    df = df.withColumns({"_gap": gap, "_km": moved, "_was": F.lag("inside").over(w), "_panel": F.lag("panel").over(w)})
+    crossing = (F.col("_was") != F.col("inside")) & (F.col("_gap") > d_sec) & (F.col("_km") > 0.5)
+    split = F.month("timedate") != F.month(F.lag("timedate").over(w))
+    start = (
+        F.when(F.col("_panel").isNull() | ((F.col("panel") == 1) & (F.col("_panel") == 0)), 10).when(crossing, 11)
+        .when(F.coalesce(split, F.lit(False)) | (F.col("_gap") > d_sec), F.when(F.col("inside"), 12).otherwise(13)).otherwise(0)
+    )
+    df = df.withColumn("_start", start)
+    df = df.withColumn("trip_no", F.sum(F.when(F.col("_start") > 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = F.col("_start") == 0
+    per = df.groupBy("idterm", "trip_no").agg(
+        F.sum(F.when(inner, F.col("_km")).otherwise(0.0)).alias("_len"), (F.max(epoch("timedate")) - F.min(epoch("timedate"))).alias("_dur"),
+        F.max(F.when(inner, F.col("_gap"))).alias("_longest"), F.max_by("id", F.struct("timedate", "id")).alias("_last_id"),
+    )
+    odd = (F.col("_len") < short_km) | ((F.col("_dur") > long_s) & (F.coalesce("_longest", F.lit(0)) > 2 * d_sec))
+    out = df.withColumn("_next", F.lead("_start").over(w)).join(per.withColumn("_odd", odd), ["idterm", "trip_no"])
+    end = F.when(F.col("_next").isNull() | (F.col("_next") == 10), 20).when(F.col("_next") == 11, 21).when(F.col("inside"), 22).otherwise(23)
+    ends = F.col("id") == F.col("_last_id")
+    flag = F.when(F.col("_odd") & ((F.col("_start") > 0) | ends), 5).when(F.col("_start") > 0, F.col("_start")).when(ends, end).otherwise(0)
+    return out.select("id", "idterm", "timedate", "longitude", "latitude", "progressive", "inside", "trip_no", flag.alias("flag"))
+
+
+def trip_table(flagged: DataFrame, least: int = 3) -> DataFrame:
+    """One row per regular trip of vehicles with ``least`` or more: times, ends, km, hours and the stops around it."""
+    at = F.struct("timedate", "id")
+    rise = F.greatest(F.coalesce(F.col("progressive") - F.lag("progressive").over(Window.partitionBy("idterm", "trip_no").orderBy(*BY_TIME)), F.lit(0)), F.lit(0))
+    per = flagged.withColumn("_rise", rise).groupBy("idterm", "trip_no").agg(
+        F.min("timedate").alias("start"), F.max("timedate").alias("end"), F.min_by("flag", at).alias("start_flag"), F.max_by("flag", at).alias("end_flag"),
+        F.min_by(F.struct("longitude", "latitude"), at).alias("start_at"), F.max_by(F.struct("longitude", "latitude"), at).alias("end_at"), (F.sum("_rise") / 1000).alias("km"), F.count(F.lit(1)).alias("_n"),
+    ).where((F.col("start_flag") != 5) & (F.col("_n") > 1)).drop("_n")
+    w = Window.partitionBy("idterm").orderBy("start", "trip_no")
+    per = per.withColumns({
+        "k": F.row_number().over(w), "hours": (epoch("end") - epoch("start")) / 3600, "stop_before_h": (epoch("start") - epoch(F.lag("end").over(w))) / 3600,
+        "stop_h": (epoch(F.lead("start").over(w)) - epoch("end")) / 3600, "day_of_year": F.dayofyear("start"), "week": F.weekofyear("start"), "_all": F.count(F.lit(1)).over(Window.partitionBy("idterm")),
+    })
+    return per.where(F.col("_all") >= least).drop("_all").withColumn("trip_id", F.concat_ws("_", "idterm", "k"))

@@ -168,6 +168,16 @@ def c10_km_increment(t):
     return trips.km_increment(t.fixes).groupBy("idterm").agg(F.bround(F.sum("km") * 1000, 0).cast("long").alias("metres"))
 
 
+@query()
+def c9_trip_flags(t):
+    return trips.trip_flags(_off_on(t), d_sec=GAP, long_s=4 * GAP).select("id", "trip_no", "flag")
+
+
+@query()
+def c11_trip_table(t):
+    return trips.trip_table(trips.trip_flags(_off_on(t), d_sec=GAP, long_s=4 * GAP)).select("trip_id", "start", "end", "km", "start_flag", "end_flag")
+
+
 @query("SELECT idterm, trip_no, CASE WHEN end_hour + stop_h > 26 THEN 220 WHEN LEAD(hours) OVER w >= 4 AND LEAD(km) OVER w <= 60 THEN 220 ELSE 210 END AS stop_class FROM (SELECT id AS trip_no, idterm, CAST(hour(timedate) AS INTEGER) AS end_hour, speed % 12 AS stop_h, grade AS km, speed % 7 AS hours FROM fixes) WINDOW w AS (PARTITION BY idterm ORDER BY trip_no)", "fixes")
 def c12_stop_classes(t):
     made = t.fixes.select(F.col("id").alias("trip_no"), "idterm", F.hour("timedate").alias("end_hour"), (F.col("speed") % 12).alias("stop_h"), F.col("grade").alias("km"), (F.col("speed") % 7).alias("hours"))
@@ -382,6 +392,12 @@ def f8_match_trips(t):
     return matching.match_trips(_candidates(t), t.edges, sigma=100.0)
 
 
+@query()
+def f9_matched_route(t):
+    stretches = matching.traversals(matching.match_trips(_candidates(t), t.edges, sigma=100.0), t.fixes)
+    return matching.matched_route(stretches, t.edges)
+
+
 @query()
 def f10_traversals(t):
     return matching.traversals(matching.match_trips(_candidates(t), t.edges, sigma=100.0), t.fixes)

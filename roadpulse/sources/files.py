@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIXES = "idrequest long, idterm long, timedate timestamp_ntz, latitude double, longitude double, speed long, direction long, grade long, panel int, event int, vehtype int, progressive long"
 LEGACY = "idRequest long, deviceId long, dateTime timestamp_ntz, latitude double, longitude double, speedKmh long, heading long, accuracyDop long, engineStatus int, type int, odometer long"
@@ -71,7 +72,7 @@ def write_geojson(df: DataFrame, path: str, properties: list[str]) -> None:
     df.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.text(path)
 
 
-@F.pandas_udf("array<struct<x double, y double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 def wkb_hex_to_points(hexes: pd.Series) -> pd.Series:
     """Points of hexadecimal WKB points and line strings, either byte order; others are null."""
 
@@ -92,7 +93,7 @@ def wkb_hex_to_points(hexes: pd.Series) -> pd.Series:
     return hexes.map(points)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def points_to_wkb_hex(lines: pd.Series) -> pd.Series:
     """Little-endian hexadecimal WKB: one point as a point, more as a line string."""
 

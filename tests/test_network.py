@@ -65,3 +65,12 @@ def test_nearest_and_hexes(spark):
     assert network.nearest_node(points, nodes).first().node == 1
     cells = network.cell_edges(network.hex_grid(nodes), spark.createDataFrame([(1, 2), (1, 3)], "u long, v long"), nodes)
     assert cells.select("u", "v").distinct().count() == 2
+
+
+def test_matched_route_closes_gaps(spark):
+    from roadpulse.operators import matching
+
+    edges = graph(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (2, 4, 5)])
+    matched = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 3, 4), ("b", 0, 1, 2)], "TRIP_ID string, sequenza int, u long, v long")
+    out = matching.matched_route(matched, edges).orderBy("TRIP_ID", "order").collect()
+    assert [(r.TRIP_ID, r.u, r.v) for r in out] == [("a", 1, 2), ("a", 2, 3), ("a", 3, 4), ("b", 1, 2)]

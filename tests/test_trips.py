@@ -67,3 +67,12 @@ def test_clip(spark):
 def test_empty_inputs(spark):
     empty = fixes(spark, []).where(F.lit(False))
     assert trips.route_summary(trips.anomaly_codes(trips.assign_trip_ids(trips.split_trips_gap(empty)))).collect() == []
+
+
+def test_trip_flags_and_table(spark):
+    df = fixes(spark, [(0, 1, 0), (60, 1, 500), (120, 0, 900), (2000, 1, 900), (2060, 0, 2000), (9000, 1, 2000), (9060, 1, 3000), (9100, 1, 4000)])
+    flagged = trips.trip_flags(df)
+    assert [r.flag for r in flagged.orderBy("id").collect()] == [10, 0, 20, 10, 20, 10, 0, 20]
+    out = trips.trip_table(flagged).orderBy("start").collect()
+    assert [(r.trip_id, r.km) for r in out] == [("1_1", 0.9), ("1_2", 1.1), ("1_3", 2.0)]
+    assert out[0].stop_h == out[1].stop_before_h and out[2].stop_h is None
