@@ -25,6 +25,10 @@ LONG, LEAF = 8192, 2048
 #: Units a worker keeps for good.
 KEPT = 600_000
 
+#: A character between units that are encoded together; units that hold it are encoded alone.
+SIGN = "\u27c2"
+
+_LATIN = re.compile("[!-~\xa1-\xac\xae-\xff]+")
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]|\x00")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
@@ -41,8 +45,10 @@ def byte_units(text: str) -> list[str]:
 
 
 def word_units(text: str) -> list[str]:
-    """Pieces between ASCII white space, which the word tokenizer drops."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    """Pieces between white space, which the word tokenizer drops."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for split(), not for the tokenizer
+        return text.split(" ")
+    return text.split()
 
 
 class Codec:
@@ -56,6 +62,8 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.units = units
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
         self.known: dict[str, bytes] = {"": b""}
         self.odd: dict[str, str] = {}  # units that decode to something else
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -63,8 +71,33 @@ class Codec:
     def _encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _encode_words(self, units: list[str]) -> dict[str, bytes]:
+        """Packed ids of many units.
+
+        Latin-1 units are their own NFC form, so lower case is all that the normaliser does to
+        them; they are encoded in a few long texts, with a sign that no unit has between them.
+        """
+        low = {u: u.lower() for u in units if _LATIN.fullmatch(u) and not any(x in u.lower() for x in self.specials)}
+        rest = [u for u in units if u not in low]
+        out = {u: _packed(i) for u, i in zip(rest, self._encode(rest))}
+        plain = list(set(low.values()))
+        sign = self.bare.encode(SIGN, add_special_tokens=False).ids
+        parts = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        known: dict[str, bytes] = {}
+        for part, e in zip(parts, self.bare.encode_batch_fast([f" {SIGN} ".join([*x, ""]) for x in parts], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            hit = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - len(sign) + 1 + k] == x for k, x in enumerate(sign)]))
+            packed, at = ids.tobytes(), 0
+            for u, end in zip(part, (hit * 4).tolist()):
+                known[u] = packed[at:end]
+                at = end + 4 * len(sign)
+        return out | {u: known[x] for u, x in low.items()}
+
     def learn(self, new: list[str], decoding: bool) -> None:
-        short = [u for u in new if len(u) <= LONG or self.units is not byte_units]
+        if self.units is word_units:
+            self.known.update(self._encode_words(new))
+            return
+        short = [u for u in new if len(u) <= LONG]
         found = dict(zip(short, self._encode(short)))
         if len(short) < len(new):
             found.update((u, self.long(u)) for u in new if u not in found)
