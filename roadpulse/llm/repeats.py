@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,6 @@ from roadpulse.llm.tokens import slices
 LENGTH = 100
 #: Bytes in a sample's prefix.
 PREFIX = 32
-#: Requests for contexts up to this many are sent to every executor (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -170,9 +167,8 @@ def same_contexts(found: DataFrame, length: int, prefix: int) -> DataFrame:
 def contexts(docs: DataFrame, asked: DataFrame, length: int, prefix: int) -> DataFrame:
     """(name, doc_id, at, before, bytes) around each asked place (doc_id, high: position, name)."""
     reach = length - prefix
-    wanted = stored(asked.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("high").alias("at"), "name")).alias("places"), F.count(F.lit(1)).alias("n")), "asked")
-    few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "places.at", "places.name")
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("high").alias("at"), "name")).alias("places"))
+    joined = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "places.at", "places.name")
 
     def cut(batches):
         for batch in slices(batches):
@@ -291,9 +287,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     """``docs`` with repeated bytes removed from ``text``; a character that loses a byte goes whole."""
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or low is None else without(t.encode(), merged(list(zip(low, high)))).decode(errors="ignore") for t, low, high in zip(texts, lows, highs)], dtype=object)
+    def kept(text, low, high):
+        return text.combine(_zipped(low, high), lambda t, s: t if s is None or t is None else without(t.encode(), _spans(*s)).decode(errors="ignore"))
+
+    def _zipped(low, high):
+        import pandas as pd
+
+        return pd.Series([None if a is None else (a, b) for a, b in zip(low, high)], index=low.index, dtype=object)
 
     rows = _with_spans(docs, length, doc_id, text, [docs[c] for c in docs.columns])
-    shown = kept(F.col(text), "span_low", "span_high")
+    shown = F.when(F.col("span_low").isNull(), F.col(text)).otherwise(kept(F.col(text), "span_low", "span_high"))
     return rows.select(*(shown.alias(c) if c == text else F.col(c) for c in docs.columns))
