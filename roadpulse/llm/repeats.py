@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +71,19 @@ def sample(names: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(sliding(around, width, np.maximum) == names)
 
 
-def samples(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """(name, context, doc_id, place) of each sample; place is position * 256 + bytes of context after the prefix."""
+def difference_cover(modulus: int) -> list[int]:
+    """Residues such that every residue is the difference of two of them: all small ones, then multiples of the step."""
+    step = max(1, int(modulus**0.5))
+    return sorted({*range(step), *range(step - 1, modulus, step), modulus - 1})
+
+
+def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -> DataFrame:
+    """(name, context, doc_id, place) of each sample; place is position * 256 + bytes of context after the prefix.
+
+    With ``periodic`` the positions of a difference cover modulo length - prefix + 1 are taken.
+    """
     reach = length - prefix
+    cover = np.array(difference_cover(reach + 1))
 
     def run(batches):
         for batch in slices(batches):
@@ -85,7 +96,7 @@ def samples(docs: DataFrame, length: int, prefix: int) -> DataFrame:
                 one = Rolling(data, _ONE)
                 at = np.arange(n - prefix + 1)
                 names = one.of(at, at + prefix)
-                at = sample(names, reach + 1)
+                at = at[np.isin(at % (reach + 1), cover)] if periodic else sample(names, reach + 1)
                 left, right = np.maximum(at - reach, 0), np.minimum(at + length, n)
                 context = mixed(Rolling(data, _TWO).of(left, right) + ((at - left) * 256 + right - at).astype(np.uint64) * np.uint64(_ONE))
                 parts.append((names[at].view(np.int64), context.view(np.int64), np.full(len(at), k), at * 256 + right - at - prefix))
@@ -225,10 +236,10 @@ def different_contexts(around: DataFrame, length: int, prefix: int) -> DataFrame
     return around.repartition(n, "name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(run, "doc_id long, low long, high long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, periodic: bool = False) -> DataFrame:
     """doc_id and spans (array of low, high) of the bytes to remove, overlaps included; ``docs`` has doc_id and text."""
     source = docs.where("doc_id is not null and text is not null")
-    told = stored(same_contexts(samples(source, length, prefix), length, prefix), "contexts")
+    told = stored(same_contexts(samples(source, length, prefix, periodic), length, prefix), "contexts")
     asked = told.where("low is null").distinct()
     more = different_contexts(contexts(source, asked, length, prefix), length, prefix)
     spans = told.where("low is not null").select("doc_id", "low", "high").union(more)
@@ -287,14 +298,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     """``docs`` with repeated bytes removed from ``text``; a character that loses a byte goes whole."""
 
     @F.pandas_udf("string")
-    def kept(text, low, high):
-        return text.combine(_zipped(low, high), lambda t, s: t if s is None or t is None else without(t.encode(), _spans(*s)).decode(errors="ignore"))
-
-    def _zipped(low, high):
-        import pandas as pd
-
-        return pd.Series([None if a is None else (a, b) for a, b in zip(low, high)], index=low.index, dtype=object)
+    def kept(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or low is None else without(t.encode(), merged(list(zip(low, high)))).decode(errors="ignore") for t, low, high in zip(texts, lows, highs)], dtype=object)
 
     rows = _with_spans(docs, length, doc_id, text, [docs[c] for c in docs.columns])
-    shown = F.when(F.col("span_low").isNull(), F.col(text)).otherwise(kept(F.col(text), "span_low", "span_high"))
+    shown = kept(F.col(text), "span_low", "span_high")
     return rows.select(*(shown.alias(c) if c == text else F.col(c) for c in docs.columns))
