@@ -28,6 +28,8 @@ from roadpulse.llm.tokens import slices
 LENGTH = 100
 #: Bytes in a sample's prefix.
 PREFIX = 32
+#: Documents whose samples are settled among themselves before they are dealt out.
+SLICE = 1024
 _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -77,6 +79,33 @@ def difference_cover(modulus: int) -> list[int]:
     return sorted({*range(step), *range(step - 1, modulus, step), modulus - 1})
 
 
+def settled(name, context, doc, place, reach: int, prefix: int):
+    """The samples of some documents, later copies of a context among them replaced by spans.
+
+    A passage that many documents share thus leaves a task once for every few documents. Spans
+    are merged per document; as rows they have place -1, context low * 2**32 + high, and a name
+    that only spreads them.
+    """
+    order = np.lexsort((place, doc, context, name))
+    name, context, doc, place = name[order], context[order], doc[order], place[order]
+    head = np.append(True, (name[1:] != name[:-1]) | (context[1:] != context[:-1]))
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    later = (doc != doc[first]) | (place != place[first])
+    at, of = place[later] >> 8, doc[later]
+    low, high = np.maximum(at - reach, 0), at + prefix + (place[later] & 255)
+    order = np.lexsort((low, of))
+    low, high, of = low[order], high[order], of[order]
+    number = np.cumsum(np.append(False, of[1:] != of[:-1])) if len(of) else of
+    ends = np.maximum.accumulate(number * (1 << 32) + high) if len(of) else of
+    starts = np.append(True, (number[1:] != number[:-1]) | (number[1:] * (1 << 32) + low[1:] > ends[:-1])) if len(of) else np.empty(0, bool)
+    begin = np.flatnonzero(starts)
+    last = np.append(begin[1:], len(of)) - 1 if len(begin) else begin
+    span = low[begin] * (1 << 32) + (ends[last] & 0xFFFFFFFF)
+    spread = mixed((of[begin].astype(np.uint64) * np.uint64(_ONE)) ^ span.astype(np.uint64)).view(np.int64)
+    keep = ~later
+    return tuple(np.concatenate(x) for x in ((name[keep], spread), (context[keep], span), (doc[keep], of[begin]), (place[keep], np.full(len(begin), -1))))
+
+
 def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -> DataFrame:
     """(name, context, doc_id, place) of each sample; place is position * 256 + bytes of context after the prefix.
 
@@ -86,7 +115,7 @@ def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -
     cover = np.array(difference_cover(reach + 1))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             parts = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8)
@@ -102,7 +131,8 @@ def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -
                 parts.append((names[at].view(np.int64), context.view(np.int64), np.full(len(at), k), at * 256 + right - at - prefix))
             if parts:
                 name, context, row, place = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(context), batch.column(0).take(pa.array(row)), pa.array(place)], ["name", "context", "doc_id", "place"])
+                made = settled(name, context, batch.column(0).to_numpy()[row], place, reach, prefix)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["name", "context", "doc_id", "place"])
 
     return docs.mapInArrow(run, "name long, context long, doc_id long, place long")
 
@@ -132,9 +162,17 @@ def same_contexts(found: DataFrame, length: int, prefix: int) -> DataFrame:
         pending = None  # the first row of the run's first context, told once a second context shows up
         for batch in batches:
             name, context, doc, place = (batch.column(k).to_numpy() for k in range(4))
+            doc_out, low, high, named = [], [], [], []
+            ready = place < 0  # spans that the samples' task has found
+            doc_out.append(doc[ready])
+            low.append(context[ready] >> 32)
+            high.append(context[ready] & 0xFFFFFFFF)
+            named.append(np.full(len(doc_out[0]), -1))
+            name, context, doc, place = (x[~ready] for x in (name, context, doc, place))
             if not len(name):
+                if len(doc_out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_out[0]), pa.array(low[0]), pa.array(high[0]), pa.nulls(len(doc_out[0]), pa.int64())], ["doc_id", "low", "high", "name"])
                 continue
-            doc_out, low, high, named = [], [], [], []
             same_name = np.append(name[0] == last[0], name[1:] == name[:-1])
             same_context = same_name & np.append(context[0] == last[1], context[1:] == context[:-1])
             # a later copy of a context: all strings around it are found earlier
