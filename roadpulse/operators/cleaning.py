@@ -87,7 +87,7 @@ def distinct_days(df: DataFrame) -> DataFrame:
 def clip_rect(edges: DataFrame, nodes: DataFrame, xmin: float = 14.86, xmax: float = 15.25, ymin: float = 37.426, ymax: float = 37.625) -> DataFrame:
     """Edges that meet a rectangle, with the share of each inside (Liang-Barsky)."""
     at = lambda side, node: nodes.select(F.col("node").alias(node), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"))
-    df = edges.join(F.broadcast(at(1, "u")), "u").join(F.broadcast(at(2, "v")), "v")
+    df = edges.join(at(1, "u"), "u").join(at(2, "v"), "v")
     low, high, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
     for p, q in (("x1 - x2", f"x1 - {xmin}D"), ("x2 - x1", f"{xmax}D - x1"), ("y1 - y2", f"y1 - {ymin}D"), ("y2 - y1", f"{ymax}D - y1")):
         p, q = F.expr(p), F.expr(q)

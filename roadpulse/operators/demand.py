@@ -77,7 +77,7 @@ def vulnerability_difference(everyone: DataFrame, heavy: DataFrame) -> DataFrame
 
 def vulnerability_summary(vuln: DataFrame, pairs: DataFrame) -> DataFrame:
     """Mean importance in percent by direction, month and day over the edges of ``pairs`` (u, v, direction)."""
-    return vuln.join(F.broadcast(pairs), EDGE).groupBy("direction", "month", "day").agg(F.bround(F.avg("importance") * 100, 4).alias("mean_pct"))
+    return vuln.join(pairs, EDGE).groupBy("direction", "month", "day").agg(F.bround(F.avg("importance") * 100, 4).alias("mean_pct"))
 
 
 def route_vulnerability(vuln: DataFrame, route: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def route_vulnerability(vuln: DataFrame, route: DataFrame, edges: DataFrame) ->
 
 def edge_endpoints(trav: DataFrame, nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """For each edge of ``keep``: distinct origins and destinations of its trips, with their coordinates."""
-    on = trav.join(F.broadcast(keep.select(*EDGE).distinct()), EDGE, "left_semi").select(*EDGE, "idtrajectory").distinct()
+    on = trav.join(keep.select(*EDGE).distinct(), EDGE, "left_semi").select(*EDGE, "idtrajectory").distinct()
     ends = on.join(ends_of_trips(trav), "idtrajectory").select(*EDGE, "ORIGIN", "DESTINATION").distinct()
     at = lambda col, p: nodes.select(F.col("node").alias(col), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
-    return ends.join(F.broadcast(at("ORIGIN", "o")), "ORIGIN").join(F.broadcast(at("DESTINATION", "d")), "DESTINATION").select(*EDGE, "ORIGIN", "DESTINATION", "o_x", "o_y", "d_x", "d_y")
+    return ends.join(at("ORIGIN", "o"), "ORIGIN").join(at("DESTINATION", "d"), "DESTINATION").select(*EDGE, "ORIGIN", "DESTINATION", "o_x", "o_y", "d_x", "d_y")

@@ -186,7 +186,7 @@ def scale_scores(df: DataFrame, col: str) -> DataFrame:
 
 def closure_routes(edges: DataFrame, closures: DataFrame, legs: DataFrame, weight: str = "length", penalty: float = 864000) -> DataFrame:
     """Edges of the least path of each leg (origin, destination) when edges of ``closures`` cost ``penalty`` more."""
-    closed = edges.join(F.broadcast(closures.select("u", "v", F.lit(penalty).alias("_more"))), ["u", "v"], "left")
+    closed = edges.join(closures.select("u", "v", F.lit(penalty).alias("_more")), ["u", "v"], "left")
     priced = closed.withColumn("_price", F.col(weight) + F.coalesce("_more", F.lit(0.0)))
     best = shortest_paths(priced, legs.select("origin"), "_price")
     return path_edges(best, legs.select("origin", "destination"))
@@ -219,7 +219,7 @@ def cell_edges(hexes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFram
     """(cell, u, v) of edges whose bounding box meets the hexagon's, by a join on grid squares."""
     at = lambda side, node: nodes.select(F.col("node").alias(node), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"))
     size = 0.01
-    ends = edges.select("u", "v").join(F.broadcast(at(1, "u")), "u").join(F.broadcast(at(2, "v")), "v")
+    ends = edges.select("u", "v").join(at(1, "u"), "u").join(at(2, "v"), "v")
     boxes = ends.select("u", "v", F.least("x1", "x2").alias("ax"), F.greatest("x1", "x2").alias("bx"), F.least("y1", "y2").alias("ay"), F.greatest("y1", "y2").alias("by"))
     half_h = F.col("w") / (3**0.5)
     h = hexes.select("cell", (F.col("x") - F.col("w") / 2).alias("hx0"), (F.col("x") + F.col("w") / 2).alias("hx1"), (F.col("y") - half_h).alias("hy0"), (F.col("y") + half_h).alias("hy1"))

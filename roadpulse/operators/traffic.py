@@ -54,7 +54,7 @@ def edge_count_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def edge_speed_time(trav: DataFrame, edges: DataFrame) -> DataFrame:
     """Truncated mean speed (km/h), traversals and travel time (s) of each edge."""
     per = trav.groupBy(*EDGE).agg(F.floor(F.avg("mean_speed")).cast("int").alias("travel_speed"), F.count(F.lit(1)).alias("counts"))
-    out = per.join(F.broadcast(edges.select(*EDGE, "length")), EDGE)
+    out = per.join(edges.select(*EDGE, "length"), EDGE)
     return out.withColumn("travel_time", F.bround(F.col("length") / 1000 / F.col("travel_speed") * 3600, 4))
 
 
@@ -117,7 +117,7 @@ def min_records(trav: DataFrame, least: int = 15) -> DataFrame:
 
 def select_edges(trav: DataFrame, fixes: DataFrame, pairs: DataFrame, max_speed: int = 200) -> DataFrame:
     """Traversals of the edges in ``pairs``: their number and median speeds per edge."""
-    found = trav.where(F.col("mean_speed") < max_speed).join(F.broadcast(pairs.select(*EDGE).distinct()), EDGE, "left_semi")
+    found = trav.where(F.col("mean_speed") < max_speed).join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
     out = enrich_traversals(found, fixes).groupBy(*EDGE)
     return out.agg(F.count(F.lit(1)).alias("records"), F.median("mean_speed").alias("median_speed"), F.median("speed").alias("median_instant"))
 
@@ -126,14 +126,14 @@ def speed_distribution(trav: DataFrame) -> DataFrame:
     """Per edge and mean speed: records and the percent of the edge's records."""
     per = trav.groupBy(*EDGE, "mean_speed").agg(F.count(F.lit(1)).alias("records"))
     total = trav.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("total"))
-    return per.join(F.broadcast(total), EDGE).withColumn("time_pct", F.bround(F.col("records") / F.col("total") * 100, 0).cast("int"))
+    return per.join(total, EDGE).withColumn("time_pct", F.bround(F.col("records") / F.col("total") * 100, 0).cast("int"))
 
 
 def edge_density(trav: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean records of an edge at one moment (rounded, then whole) and that per kilometre."""
     same = trav.groupBy(*EDGE, "timedate").agg(F.count(F.lit(1)).alias("n"))
     mean = same.groupBy(*EDGE).agg(F.bround(F.avg("n"), 1).cast("int").alias("vehicles"))
-    return mean.join(F.broadcast(edges.select(*EDGE, "length")), EDGE).select(*EDGE, "vehicles", F.bround(F.col("vehicles") / (F.col("length") / 1000), 6).alias("density"))
+    return mean.join(edges.select(*EDGE, "length"), EDGE).select(*EDGE, "vehicles", F.bround(F.col("vehicles") / (F.col("length") / 1000), 6).alias("density"))
 
 
 def flux_15min(trav: DataFrame) -> DataFrame:
