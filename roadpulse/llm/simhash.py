@@ -57,27 +57,41 @@ def simhash64(text: str, size: int = 3) -> int:
     return int.from_bytes(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)).tobytes(), "big")
 
 
-def simhash_wide(text: str, size: int, words: int) -> bytes:
-    """``words`` 64-bit SimHashes side by side, each over its own mix of the shingles' hashes."""
-    h = hashes(shingles(text, size))[:, None] ^ (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def simhash_wide(h: np.ndarray, words: int) -> bytes:
+    """``words`` 64-bit SimHashes side by side, each over its own mix of the hashes."""
+    h = h[:, None] ^ (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
     h ^= h >> np.uint64(31)
     return majority(h.astype(">u8").view(np.uint8).reshape(len(h), 8 * words)).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, size: int, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fingerprint (binary, 8 * ``words`` bytes) of every row; a null text has no words."""
+def with_fingerprints(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and fingerprint (8 bytes) of every row; a null text has no words."""
 
     def run(batches):
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            made = [simhash64(t, size).to_bytes(8, "big") if words == 1 else simhash_wide(t, size, words) for t in texts]
+            made = [simhash64(t or "", size).to_bytes(8, "big") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
+def wide_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """doc_id, fingerprint (8 * ``words`` bytes) and same (16 bytes, a hash of the whole set) of the shingle set of every row."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in slices(batches):
+            sets = [np.unique(hashes(shingles(t or "", size))) for t in batch.column(1).to_pylist()]
+            made = pa.array([simhash_wide(h, words) for h in sets], pa.binary())
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, same], ["doc_id", "fingerprint", "same"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint binary, same binary")
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     """Equal-length binaries as an array of unsigned 64-bit words, one row each."""
     values = column.to_pylist()
@@ -147,8 +161,9 @@ def _values(rows: np.ndarray, group: list[int]) -> np.ndarray:
     return out
 
 
-def probes(prints: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, fingerprint) for each partition's value and, with a threshold, the values near it."""
+def probes(prints: DataFrame, groups: list[list[int]], thresholds: list[int], *others: str) -> DataFrame:
+    """key, fingerprint and ``others`` for each partition's value and, with a threshold, the values near it."""
+    names = ["key", "fingerprint", *others]
 
     def run(batches):
         for batch in slices(batches, 2048):
@@ -160,9 +175,10 @@ def probes(prints: DataFrame, groups: list[list[int]], thresholds: list[int]) ->
                 value = _values(rows, group)
                 for flip in flips:
                     key = (value ^ np.uint64(flip)).astype(np.int64) * 64 + k
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "fingerprint"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names)
 
-    return prints.select("fingerprint").mapInArrow(run, "key long, fingerprint binary")
+    taken = prints.select(*names[1:])
+    return taken.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema))
 
 
 def estimated(prints: DataFrame, groups: list[list[int]], most: int) -> list[list[float]]:
@@ -181,10 +197,11 @@ def estimated(prints: DataFrame, groups: list[list[int]], most: int) -> list[lis
     return out
 
 
-def forest(rows: np.ndarray, keys: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
+def forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] | None = None) -> list[tuple[int, int, int]]:
     """Minimum spanning forests of the rows that share a key and differ in ``distance`` bits or fewer.
 
-    Links are (row, row, bits). Runs of up to RUN rows are compared by shifting the array on itself;
+    Links are (row, row, bits). Keys that have links beside the forest go to ``spare``, as do all
+    keys of long runs. Runs of up to RUN rows are compared by shifting the array on itself;
     in longer runs each row that joins is held against those still outside.
     """
     n = len(keys)
@@ -214,6 +231,10 @@ def forest(rows: np.ndarray, keys: np.ndarray, distance: int) -> list[tuple[int,
         if x != y:
             root[x] = y
             out.append((a, b, d))
+    if spare is not None:
+        run = np.repeat(np.arange(len(lengths)), lengths)
+        more = np.bincount(run[links[:, 1]], minlength=len(lengths)) > np.bincount(run[[x[0] for x in out]], minlength=len(lengths)) if out else np.zeros(len(lengths), bool)
+        spare.update(keys[starts[more | (lengths > RUN)]].tolist())
     for start, length in zip(starts[lengths > RUN], lengths[lengths > RUN]):
         out += _long_run(rows[start : start + length], int(start), distance)
     return out
@@ -315,7 +336,7 @@ def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, parts: int =
     id belong to components but never name one; repeated rows repeat; other columns are
     ignored.
     """
-    found = fingerprint_groups(with_fingerprints(docs, size, 1, doc_id, text), distance, parts)
+    found = fingerprint_groups(with_fingerprints(docs, size, doc_id, text), distance, parts)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -334,45 +355,160 @@ def few_rows(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def verified(docs: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``edges`` (a, b: ids) whose texts have the similarity, by exact Jaccard on their shingles."""
-    ends = stored(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "ends")
+def judged(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b: ids) and good: whether their texts have the similarity, by exact Jaccard on their shingles."""
+    ends = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
     texts = docs.select("doc_id", "text").join(few_rows(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
-    first = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
+    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
 
     def run(batches):
         for batch in slices(batches):
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            good = [(a, b) for a, b, x, y in rows if jaccard(x or "", y or "", size) >= similarity]
-            if good:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good)], ["a", "b"])
+            good = [jaccard(x or "", y or "", size) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
+
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, good boolean")
+
+
+def whole_keys(batches):
+    """Tables of the rows of ``batches``, which are sorted by their first column, with no value of it in two tables."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or (kept and kept[-1].column(0)[0].as_py() != keys[0]):
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks()
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _paired(pairs: list[tuple], names: str = "a b key") -> pa.RecordBatch:
+    columns = zip(*pairs) if pairs else [()] * len(names.split())
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names.split())
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key")
+
+
+def first_pairs(met: DataFrame, distance: int) -> DataFrame:
+    """a, b (nodes, a < b) of the forests of all keys, and the key if it has candidates beside its forest."""
+
+    def run(batches):
+        for table in whole_keys(batches):
+            keys, nodes, spare = table["key"].to_numpy(), table["node"].to_pylist(), set()
+            found = forest(_rows(table["fingerprint"]), keys, distance, spare)
+            named = ((nodes[a], nodes[b], int(keys[a])) for a, b, _ in found)
+            yield _paired([(min(a, b), max(a, b), key if key in spare else None) for a, b, key in named])
 
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return _dealt(met).mapInArrow(run, "a long, b long, key long").distinct()
+
+
+def untested(rows: np.ndarray, nodes: np.ndarray, labels: np.ndarray, tested: set[tuple[int, int]], distance: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of nodes of one key within ``distance`` that have different labels and are not in ``tested``.
+
+    Of each row the ``most`` nearest are given; the second value tells whether any were left over.
+    Rows of the commonest label are not held against each other.
+    """
+    values, counts = np.unique(labels, return_counts=True)
+    if len(values) < 2:
+        return [], False
+    common, place = labels == values[counts.argmax()], np.arange(len(rows))
+    out, left = [], False
+    for i in np.flatnonzero(~common).tolist():
+        d = np.bitwise_count(rows ^ rows[i]).sum(1, dtype=np.int64)
+        at = np.flatnonzero((d <= distance) & (labels != labels[i]) & (common | (place > i)))
+        taken = 0
+        for j in nodes[at[np.argsort(d[at], kind="stable")]].tolist():
+            pair = (min(int(nodes[i]), j), max(int(nodes[i]), j))
+            if pair in tested:
+                continue
+            if taken == most:
+                left = True
+                break
+            out.append(pair)
+            taken += 1
+    return out, left
+
+
+def next_pairs(met: DataFrame, keys: DataFrame, labels: DataFrame, failed: DataFrame, distance: int, most: int) -> DataFrame:
+    """a, b of candidates of ``keys`` between different components, and the key if more are left."""
+    rows = met.join(few_rows(keys), "key", "left_semi").join(labels.select("node", "component"), "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("label"), "fingerprint")
+    pairs = failed.join(few_rows(keys), "key", "left_semi").select("key", F.col("a").alias("node"), F.col("b").alias("label"), F.lit(None).cast("binary").alias("fingerprint"))
+
+    def run(batches):
+        for table in whole_keys(batches):
+            ends = np.flatnonzero(np.diff(table["key"].to_numpy())) + 1
+            for start, end in zip([0, *ends], [*ends, table.num_rows]):
+                part = table.slice(start, end - start)
+                is_row = part["fingerprint"].is_valid().combine_chunks()
+                these, done = part.filter(is_row), part.filter(np.logical_not(is_row.to_numpy(zero_copy_only=False)))
+                tested = set(zip(done["node"].to_pylist(), done["label"].to_pylist()))
+                found, left = untested(_rows(these["fingerprint"]), these["node"].to_numpy(), these["label"].to_numpy(), tested, distance, most)
+                if found:
+                    key = part["key"][0].as_py() if left else None
+                    yield _paired([(a, b, key) for a, b in found])
+
+    return _dealt(rows.union(pairs)).mapInArrow(run, "a long, b long, key long").distinct()
+
+
+def shared_keys(pairs: DataFrame, nodes: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """key, a and b for each key that both fingerprints of a pair have."""
+    one, two = (nodes.select(F.col("node").alias(c), F.col("fingerprint").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+
+    def run(batches):
+        for batch in slices(batches, 2048):
+            x, y = _rows(batch.column(2)), _rows(batch.column(3))
+            for k, group in enumerate(groups):
+                value = _values(x, group)
+                same = value == _values(y, group)
+                key = pa.array(value[same].astype(np.int64) * 64 + k)
+                yield pa.RecordBatch.from_arrays([key, *(c.filter(pa.array(same)) for c in batch.columns[:2])], ["key", "a", "b"])
+
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "key long, a long, b long")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id of every row: documents that chains of similar pairs connect.
 
-    Similar pairs have a Jaccard similarity of their ``size``-word shingles of ``similarity`` or
-    more. Candidates differ in few bits of a SimHash of 64 * ``words`` bits, which the
-    generalised pigeonhole finds with partitions of 16 bits; of the candidates of one value a
-    minimum spanning forest is compared exactly. A null text has no words; texts without words
-    form one group; rows without id join no group; repeated rows repeat.
+    Similar pairs have a Jaccard similarity of their ``size``-word shingle sets of ``similarity``
+    or more. Candidates differ in few bits of a SimHash of 64 * ``words`` bits and agree in one
+    of its partitions of 16 bits. Of the candidates of one value a minimum spanning forest is
+    compared exactly; where a link of it fails, the untested candidates between the components
+    found are compared, in rounds, until none is left. A null text has no words; texts without
+    words form one group; rows without id join no group; repeated rows repeat.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = stored(with_fingerprints(source, size, words), "wide-prints")
-    distinct = stored(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    prints = stored(wide_prints(source, size, words), "wide-prints")
+    nodes = stored(prints.where("doc_id is not null").groupBy("fingerprint", "same").agg(F.min("doc_id").alias("node")), "distinct")
     groups = [list(range(16 * k, 16 * k + 16)) for k in range(4 * words)]
     rate = flip_rate(similarity)
     distance = int(64 * words * rate + 2.5 * (64 * words * rate * (1 - rate)) ** 0.5)
-    found = links(probes(distinct, groups, [0] * len(groups)), distance)
-    named = found.join(distinct.select(F.col("fingerprint").alias("a"), F.col("first").alias("x")), "a").join(distinct.select(F.col("fingerprint").alias("b"), F.col("first").alias("y")), "b")
-    edges = stored(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-    parts = components(verified(source, edges, size, similarity))
-    least = distinct.join(parts, distinct["first"] == parts["node"], "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(least, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    met = probes(nodes, groups, [0] * len(groups), "node")
+    found = stored(first_pairs(met, distance), "candidates")
+    tested, most, keys = None, 8, None
+    while True:
+        now = stored(judged(source, found.select("a", "b").distinct(), size, similarity), "judged")
+        tested = now if tested is None else tested.union(now)
+        parts = components(tested.where("good").select("a", "b"))
+        again = found.where("key is not null")
+        if keys is None:  # a forest that holds leaves nothing to test
+            again = again.join(now.where("not good"), ["a", "b"], "left_semi")
+        keys = stored(again.select("key").distinct(), "keys")
+        if keys.first() is None:
+            break
+        failed = shared_keys(tested.where("not good"), nodes, groups)
+        found = stored(next_pairs(met, keys, parts, failed, distance, most), "candidates")
+        most *= 4
+    least = nodes.join(parts, "node", "left").select("fingerprint", "same", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(least, ["fingerprint", "same"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

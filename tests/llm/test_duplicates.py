@@ -163,6 +163,35 @@ def test_near_duplicates_are_exact_on_shingles(make, corpus):
     assert module.drop_similar(make([])).collect() == []
 
 
+def test_no_candidate_is_thinned_away(make):
+    from roadpulse.llm import simhash as module
+
+    r = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(34)]
+    rows = []
+    for i in range(300):  # edited copies, most pairs of them just under or over the similarity
+        words = list(base)
+        for k in r.choice(34, r.integers(1, 3), replace=False):
+            words[k] = f"x{r.integers(3)}"
+        rows.append((i, " ".join(words)))
+    rows += [(400, " ".join(["a b c d e"] * 30)), (401, " ".join(["a b c d e"] * 30) + " f g h i j k l m"), (402, "a b c d e " * 3 + "f")]
+    for seed in (6, 10, 23):  # the third text is nearer in bits to each of two similar ones, and similar to none
+        w = [f"s{seed}w{k}" for k in range(204)]
+        rows += [(1000 + 10 * seed + k, " ".join(x)) for k, x in enumerate((w[:163], w[17:180], w))]
+    sets = {i: set(module.shingles(t, 5)) for i, t in rows}
+    prints = {i: np.frombuffer(module.simhash_wide(np.unique(module.hashes(list(s))), 8), ">u2") for i, s in sets.items()}
+    bits = int(512 * module.flip_rate(0.8) + 2.5 * (512 * module.flip_rate(0.8) * (1 - module.flip_rate(0.8))) ** 0.5)
+
+    def same(a, b):
+        x, y = prints[a], prints[b]
+        return (x == y).any() and int(np.bitwise_count(x ^ y).sum()) <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    ids = sorted(sets)
+    groups = connected([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if same(a, b)], ids)
+    assert {r.doc_id: r.component_id for r in module.similar_groups(make(rows)).collect()} == groups
+    assert [groups[k] for k in (1060, 1061, 1062)] == [1060, 1060, 1062] and groups[401] == 401
+
+
 # --- repeated bytes
 
 def removed(rows, length):
