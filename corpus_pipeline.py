@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are boilerplate of their source."""
-    return _counted(line_dedup.drop_boilerplate(docs))
+    """All documents, without lines that are boilerplate of their source; copies are left to the next stage."""
+    return _counted(line_dedup.drop_boilerplate(docs, copies=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,19 +49,49 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", tex
     return line_ratios(docs, host, text).where(F.col("ratio") > ratio).select("host", "line_hash")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text", counts: bool = False) -> DataFrame:
+def _listed(lines: DataFrame) -> DataFrame:
+    """listed_host and drop_list of ``lines`` (host, line_hash), marked for broadcast if they are few; more are joined by a shuffle."""
+    hosts = lines.groupBy("host").agg(F.collect_set("line_hash").alias("drop_list"))
+    hosts = stored(hosts.select(F.col("host").alias("listed_host"), "drop_list"), "boilerplate")
+    size = hosts.agg(F.sum(16 + F.octet_length("listed_host") + 8 * F.size("drop_list"))).first()[0] or 0
+    return F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
+
+
+def boilerplate_beside_copies(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text") -> DataFrame:
+    """host and hash of the lines above ``ratio`` among pages that say something else each.
+
+    Lines above half the ratio are suspects, as copies may be half of a host. A page counts if its
+    other lines have half of its characters or more, and pages with the same other lines count
+    once. So exact and near copies of a page, whose lines are all suspects, never make its text
+    boilerplate, however many they are.
+    """
+    suspects = _listed(boilerplate(docs, ratio / 2, host, text))
+    source = docs.select(F.col(host).alias("host"), _lines(docs, text).alias("lines"))
+    joined = source.join(suspects, source["host"].eqNullSafe(suspects["listed_host"]), "left")
+    drop_list = F.coalesce("drop_list", F.array().cast("array<bigint>"))
+    suspect = lambda x: F.array_contains(F.col("drop_list"), F.xxhash64(_key(x)))
+    size = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(F.coalesce(_key(x), F.lit(""))))
+    parts = joined.withColumn("drop_list", drop_list).withColumn("own", F.filter("lines", lambda x: ~suspect(x)))
+    pages = parts.where((size(F.col("own")) > 0) & (2 * size(F.col("own")) >= size(F.col("lines"))))
+    pages = pages.select("host", F.xxhash64("own").alias("own"), F.array_distinct(F.transform(F.filter("lines", suspect), lambda x: F.xxhash64(_key(x)))).alias("shared"))
+    pages = stored(pages, "pages")
+    totals = pages.select("host", "own").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    each = pages.select("host", "own", F.explode("shared").alias("line_hash")).distinct()
+    n = each.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
+    found = n.join(totals, n["host"].eqNullSafe(totals["host"])).where(F.col("n_docs") / F.col("host_docs") > ratio)
+    return found.select(n["host"], "line_hash")
+
+
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source", text: str = "text", counts: bool = False, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text``, all rows and columns kept.
 
     Blank lines stay; a null text stays null; a null host is a host; repeated rows each count
-    as a document. With ``counts``, columns n_lines and n_dropped are added. The lines to drop
-    are gathered per host, in short lists (see ``boilerplate``).
+    as a document unless ``copies`` is false (see ``boilerplate_beside_copies``). With
+    ``counts``, columns n_lines and n_dropped are added. The lines to drop are gathered per
+    host, in short lists (see ``boilerplate``).
     """
     out, n_lines, n_dropped = free_name(docs, "kept_lines"), "n_lines", "n_dropped"
-    listed = boilerplate(docs, ratio, host, text).groupBy("host").agg(F.collect_set("line_hash").alias("drop_list"))
-    hosts = stored(listed.select(F.col("host").alias("listed_host"), "drop_list"), "boilerplate")
-    size = hosts.agg(F.sum(16 + F.octet_length("listed_host") + 8 * F.size("drop_list"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:  # more hosts than that are joined by a shuffle
-        hosts = F.broadcast(hosts)
+    hosts = _listed((boilerplate if copies else boilerplate_beside_copies)(docs, ratio, host, text))
     joined = docs.join(hosts, docs[host].eqNullSafe(hosts["listed_host"]), "left")
     lines = _lines(docs, text)
     kept = F.when(F.col("drop_list").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop_list", F.xxhash64(_key(x)))))

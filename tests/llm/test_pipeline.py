@@ -14,3 +14,16 @@ def test_pipeline_keeps_and_packs(spark, make, corpus, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r.doc_id for r in out.collect()}
     assert ids and not ids & set(range(100, 120)) and ids <= {i for i, _ in prose}
+
+
+def test_copies_do_not_make_their_lines_boilerplate(spark):
+    page = [f"sentence number {k} of the copied page" for k in range(6)]
+    own = lambda k: "\n".join(["Site menu", *(f"words {k} {j} of a page of its own" for j in range(4)), "All rights reserved"])
+    near = lambda k: "\n".join(page[:5] + [f"edited line {k}"])
+    texts = [own(k) for k in range(40)] + ["\n".join(page)] * 10 + [near(k) for k in range(10)] + [own(0)] * 3
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    for k, t in enumerate(texts):
+        assert out[k] == "\n".join(x for x in t.split("\n") if x not in ("Site menu", "All rights reserved"))
+    few = docs.where("doc_id between 36 and 45")
+    assert {r.text for r in corpus_pipeline.line_deduplication(spark, few, "").where("doc_id >= 40").collect()} == {"\n".join(page)}
