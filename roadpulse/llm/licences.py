@@ -1,8 +1,9 @@
 """Licence notices by a positional index of rare words, in DataFrame functions only.
 
-Templates are short licence notices. The index lists the places of their licence words. Of a
-text's licence words, the rarest in the corpus are looked up; a template is a candidate at a
-place where two or more of them agree on its position. There the template is compared word by
+Templates are short licence notices. The index lists the places of the licence words of their
+key phrases that are rarest in the corpus, two of each template. All of these are looked up in a
+text; a template is a candidate at a place where its two agree on its position (a key phrase
+with one licence word: where that stands), so none whose key phrase stands is passed over. There the template is compared word by
 word, and its mandatory key phrase has to stand complete.
 """
 
@@ -56,8 +57,8 @@ LICENCE_WORDS = tuple(
     "apache attribution binary cc charge commons copy creative forms general gnu granted hereby lesser license licensed mit modification mozilla nc obtaining permission "
     "permitted public redistribution released sa software source subject terms version".split()
 )
-#: Rarest licence words of a text that are looked up; least share of a template's words in place.
-LOOKED_UP, LEAST_SCORE = 8, 0.6
+#: Rarest licence words of a template's key phrase that are looked up; least share of a template's words in place.
+LOOKED_UP, LEAST_SCORE = 2, 0.6
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _SHIFT = 1 << 32
 
@@ -96,18 +97,31 @@ def rarity(places: DataFrame) -> list[str]:
     return sorted(LICENCE_WORDS, key=lambda x: (n.get(x, 0), x))
 
 
+def _postings(order: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """(template, place) of each word that is looked up."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, x in enumerate(TEMPLATES):
+        key = {p: x.words[p] for p in x.key if x.words[p] in LICENCE_WORDS}
+        rarest = sorted(set(key.values()), key=order.index)[:LOOKED_UP]
+        for p, word in key.items():
+            if word in rarest:
+                out.setdefault(word, []).append((t, p))
+    return out
+
+
 def _aligned(hits: Column, order: list[str]) -> Column:
     """template * 2**32 + start of each candidate, as often as looked-up words agree on it, sorted."""
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform(hits, lambda h: h["w"])), lambda x: F.array_position(_array(order), x)))
-    rarest = F.slice(ranked, 1, LOOKED_UP)
-    postings = F.array(*(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).alias("p")) for t, x in enumerate(TEMPLATES) for p, y in enumerate(x.words) if y == word)) for word in order))
-    looked = F.filter(F.transform(hits, lambda h: F.struct(F.array_position(_array(order), h["w"]).cast("int").alias("r"), h["i"].alias("i"))), lambda x: F.array_contains(rarest, x["r"].cast("long")))
+    found = _postings(order)
+    words = _array(found)
+    postings = F.array(*(F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(p).alias("p")) for t, p in places)) for places in found.values()))
+    looked = F.filter(F.transform(hits, lambda h: F.struct(F.array_position(words, h["w"]).cast("int").alias("r"), h["i"].alias("i"))), lambda x: x["r"] > 0)
     starts = F.flatten(F.transform(looked, lambda x: F.transform(F.get(postings, x["r"] - 1), lambda y: y["t"] * _SHIFT + (x["i"] - y["p"]).cast("long") + 4096)))
     return F.sort_array(starts)
 
 
 def _agreed(starts: Column) -> Column:
-    return F.array_distinct(F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + 1) == x, F.lit(False))))
+    alone = [t for t, x in enumerate(TEMPLATES) if len({x.words[p] for p in x.key} & set(LICENCE_WORDS)) < LOOKED_UP]
+    return F.array_distinct(F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + 1) == x, F.lit(False)) | (x / _SHIFT).cast("int").isin(alone)))
 
 
 def _verified(agreed: Column, w: Column) -> Column:

@@ -31,3 +31,15 @@ def test_base_scan_and_templates(make, corpus):
 def test_no_python_on_the_executors(make, corpus):
     plan = licences.scan(make(corpus))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_with_several_notices(make):
+    notices = [t.notice.replace("[", "").replace("]", "") for t in licences.TEMPLATES]
+    rare = "redistribution forms permission hereby charge copy obtaining modification attribution mozilla"
+    rows = [(1, ". ".join(notices)), (2, ". ".join(reversed(notices))), (3, f"{notices[4 + 1]}. {notices[6]}"), (4, f"{rare} licensed under the apache license version 2 0"), (5, "cc by 4 0")]
+    rows += [(10 + k, n) for k, n in enumerate(notices)] + [(100 + k, "apache license") for k in range(30)] + [(200 + k, notices[6]) for k in range(30)]
+    by = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(make(rows)).collect()}
+    every = {t.label for t in licences.TEMPLATES}
+    assert every <= by[1] and every <= by[2]
+    assert by[3] == {"mit", "bsd-3-clause"} and by[4] == {"apache", "apache-2.0"} and by[5] == {"cc-by", "cc-by-4.0"}
+    assert all(t.label in by[10 + k] for k, t in enumerate(licences.TEMPLATES))
