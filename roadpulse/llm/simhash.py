@@ -2,9 +2,10 @@
 
 Bits are grouped into partitions. If partition i is probed with all values within t_i bits and
 the sum of (t_i + 1) is the distance plus 1, fingerprints within the distance meet in at least
-one partition. The thresholds t_i (-1: not probed) are those of least estimated candidates.
-Fingerprints that meet are compared in full. Of the links found among those of one value only a
-minimum spanning forest goes on: it has the same groups, and its size is that of the rows.
+one partition. Number and thresholds t_i (-1: not probed) of the partitions are those of least
+estimated cost. Fingerprints that meet are compared in full. Of the links found among those of
+one value only a spanning forest goes on: it has the same groups, and its size is that of the rows.
+Values that very many fingerprints share are split by the partitions of their other bits.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Runs of rows with one value up to this length are compared all at once, longer ones row by row.
 RUN = 256
+#: Values that more rows share are split by further bits.
+LONG_RUN = 2048
+#: What sending a row costs, in comparisons.
+ROW_COST = 16
+#: The most partitions (a key is value * PARTS + partition).
+PARTS = 1024
 
 
 def shingles(text: str, size: int) -> list[str]:
@@ -102,24 +109,32 @@ def _unpacked(rows: np.ndarray) -> np.ndarray:
     return np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(len(rows), -1), axis=1)
 
 
-def bit_moments(prints: DataFrame, bits: int) -> np.ndarray:
-    """How often each two bits are set together, over all fingerprints: bits * bits sums."""
+def bit_moments(prints: DataFrame, words: int) -> list[np.ndarray]:
+    """How often each two bits of one 64-bit word are set together, over all fingerprints, and their number.
+
+    One matrix a word, of 65 rows: the last holds the number. Tasks send one row of sums a bit.
+    """
 
     def run(batches):
-        total = np.zeros((bits, bits), np.int64)
-        n = 0
+        total, n = np.zeros((words, 64, 64), np.int64), 0
         for batch in slices(batches, 4096):
-            x = _unpacked(_rows(batch.column(0))).astype(np.float32)
-            total += (x.T @ x).astype(np.int64)
+            x = _unpacked(_rows(batch.column(0))).astype(np.float32).reshape(batch.num_rows, words, 64)
+            for w in range(words):
+                total[w] += (x[:, w].T @ x[:, w]).astype(np.int64)
             n += len(x)
-        i, j = np.divmod(np.arange(bits * bits), bits)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total.ravel(), n))], ["i", "j", "n"])
+        bit = np.arange(64 * words)
+        if n:
+            sums = total.reshape(64 * words, 64)
+            yield pa.RecordBatch.from_arrays([pa.array(bit), pa.array(np.full(len(bit), n)), *(pa.array(sums[:, k]) for k in range(64))], ["bit", "n", *(f"s{k}" for k in range(64))])
 
-    sums = prints.select("fingerprint").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((bits + 1, bits + 1))
-    for r in sums:
-        out[r["i"], r["j"]] = r["n"]
-    return out
+    names = ["n", *(f"s{k}" for k in range(64))]
+    told = prints.select("fingerprint").mapInArrow(run, "bit long, " + ", ".join(f"{c} long" for c in names))
+    out = np.zeros((words, 65, 65))
+    for r in told.groupBy("bit").agg(*(F.sum(c).alias(c) for c in names)).collect():
+        w, i = divmod(r["bit"], 64)
+        out[w, i, :64] = [r[f"s{k}"] for k in range(64)]
+        out[w, 64, 64] = r["n"]
+    return list(out)
 
 
 def grouped_bits(moments: np.ndarray, parts: int) -> list[list[int]]:
@@ -174,7 +189,7 @@ def probes(prints: DataFrame, groups: list[list[int]], thresholds: list[int], *o
                 flips = [sum(1 << b for b in c) for n in range(t + 1) for c in combinations(range(len(group)), n)]
                 value = _values(rows, group)
                 for flip in flips:
-                    key = (value ^ np.uint64(flip)).astype(np.int64) * 64 + k
+                    key = (value ^ np.uint64(flip)).astype(np.int64) * PARTS + k
                     yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names)
 
     taken = prints.select(*names[1:])
@@ -182,9 +197,9 @@ def probes(prints: DataFrame, groups: list[list[int]], thresholds: list[int], *o
 
 
 def estimated(prints: DataFrame, groups: list[list[int]], most: int) -> list[list[float]]:
-    """Candidates of each partition for thresholds -1 to ``most``, from the counts of its values."""
+    """Cost of each partition for thresholds -1 to ``most``: candidates, by the counts of its values, and rows sent."""
     met = probes(prints, groups, [0] * len(groups)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = met.groupBy((F.pmod("key", F.lit(64))).alias("part")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).collect()
+    rows = met.groupBy((F.pmod("key", F.lit(PARTS))).alias("part")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).collect()
     by = {r["part"]: (float(r["pairs"]), float(r["rows"])) for r in rows}
     out = []
     for k, group in enumerate(groups):
@@ -193,7 +208,9 @@ def estimated(prints: DataFrame, groups: list[list[int]], most: int) -> list[lis
         for t in range(1, most + 1):
             ways = ways * (len(group) - t + 1) // t
             around.append(around[-1] + ways)
-        out.append([0.0, *((pairs + n) * a for a in around)])
+        # values near one another are no likelier than any: a ball of values meets as many rows as its size says
+        beside = n * n / 2 ** len(group)
+        out.append([0.0, *(pairs + beside * (a - 1) + ROW_COST * n * a for a in around)])
     return out
 
 
@@ -202,7 +219,8 @@ def forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] |
 
     Links are (row, row, bits). Keys that have links beside the forest go to ``spare``, as do all
     keys of long runs. Runs of up to RUN rows are compared by shifting the array on itself;
-    in longer runs each row that joins is held against those still outside.
+    in longer runs each row that joins is held against those still outside. Without ``spare``
+    their forest is any, not a minimum one.
     """
     n = len(keys)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.empty(0, int)
@@ -235,12 +253,13 @@ def forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] |
         run = np.repeat(np.arange(len(lengths)), lengths)
         more = np.bincount(run[links[:, 1]], minlength=len(lengths)) > np.bincount(run[[x[0] for x in out]], minlength=len(lengths)) if out else np.zeros(len(lengths), bool)
         spare.update(keys[starts[more | (lengths > RUN)]].tolist())
+    long = _any_forest if spare is None else _nearest_forest
     for start, length in zip(starts[lengths > RUN], lengths[lengths > RUN]):
-        out += _long_run(rows[start : start + length], int(start), distance)
+        out += long(rows[start : start + length], int(start), distance)
     return out
 
 
-def _long_run(rows: np.ndarray, start: int, distance: int) -> list[tuple[int, int, int]]:
+def _nearest_forest(rows: np.ndarray, start: int, distance: int) -> list[tuple[int, int, int]]:
     """Prim's algorithm over one run, in memory of the run's size."""
     outside = np.arange(1, len(rows))
     near = np.bitwise_count(rows[1:] ^ rows[0]).sum(1, dtype=np.int64)
@@ -259,6 +278,23 @@ def _long_run(rows: np.ndarray, start: int, distance: int) -> list[tuple[int, in
     return out
 
 
+def _any_forest(rows: np.ndarray, start: int, distance: int) -> list[tuple[int, int, int]]:
+    """A spanning forest of one run, in memory of the run's size: rows that join are not looked at again."""
+    outside = np.arange(len(rows))
+    out = []
+    while len(outside):
+        queue, outside = [int(outside[0])], outside[1:]
+        while queue and len(outside):
+            x = queue.pop()
+            d = np.bitwise_count(rows[outside] ^ rows[x]).sum(1, dtype=np.int64)
+            near = d <= distance
+            joined = outside[near].tolist()
+            out += [(start + x, start + y, int(n)) for y, n in zip(joined, d[near].tolist())]
+            queue += joined
+            outside = outside[~near]
+    return out
+
+
 def links(met: DataFrame, distance: int) -> DataFrame:
     """The links (a, b: fingerprints) of the forests of all keys."""
 
@@ -307,36 +343,71 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def fingerprint_groups(prints: DataFrame, distance: int, parts: int) -> DataFrame:
-    """doc_id, fingerprint and component_id of ``prints`` (doc_id, fingerprint): the smallest doc_id that links reach."""
+def planned(distinct: DataFrame, distance: int, words: int) -> tuple[list[list[int]], list[int]]:
+    """Groups of correlated bits and their thresholds: of the plans with 2 to distance + 1 partitions the cheapest.
+
+    With many rows wide partitions with probes around their values win over narrow ones, as the
+    rows that share a narrow value grow with the table.
+    """
+    moments, best = bit_moments(distinct, words), None
+    for parts in sorted({2, distance + 1}):
+        groups = [[64 * w + b for b in g] for w, m in enumerate(moments) for g in grouped_bits(m, parts)]
+        costs = estimated(distinct, groups, -(-(distance + 1) // parts))
+        thresholds = allocate(costs, distance)
+        total = sum(c[t + 1] for c, t in zip(costs, thresholds))
+        if best is None or total < best[0]:
+            best = total, groups, thresholds
+    return best[1:]
+
+
+def split_long(met: DataFrame, most: int) -> DataFrame:
+    """``met`` with the rows of each key that more than ``most`` rows share dealt to pairs of blocks.
+
+    Every two rows of a key meet in some pair of its blocks, so nothing is lost and no task
+    holds more than two blocks of one key.
+    """
+    n = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    long = stored(n.select(F.col("key").alias("long_key"), F.ceil(F.col("n") / most).cast("int").alias("blocks")), "long-keys")
+    if long.first() is None:
+        return met
+    rows = met.join(few_rows(long), met["key"] == long["long_key"], "left")
+    mine = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    return rows.withColumn("key", key).select(*met.columns)
+
+
+def fingerprint_groups(prints: DataFrame, distance: int) -> DataFrame:
+    """doc_id, fingerprint and component_id of ``prints`` (doc_id, fingerprint of 64 bits): the smallest doc_id that links reach."""
     prints = stored(prints, "fingerprints")
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
-    first = distinct.select("fingerprint").first()
-    if first is None:
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    if distinct.first() is None:
         return prints.select("doc_id", "fingerprint", F.col("doc_id").alias("component_id"))
-    groups = grouped_bits(bit_moments(distinct, 8 * len(first[0])), parts)
-    thresholds = allocate(estimated(distinct, groups, min(distance, 2)), distance)
-    found = links(probes(distinct, groups, thresholds), distance)
-    return prints.join(_named(distinct, found), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    groups, thresholds = planned(distinct, distance, 1)
+    found = links(split_long(probes(distinct, groups, thresholds), LONG_RUN), distance)
+    named = _named(distinct, found)
+    return prints.join(few_rows(named), "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _named(distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """fingerprint and component_id: the least doc_id of all fingerprints that ``found`` connects."""
-    number = distinct.select("fingerprint", F.conv(F.hex("fingerprint"), 16, -10).cast("long").alias("node"), "first")
+    """fingerprint and component_id of those that several rows have or that ``found`` connects: the least doc_id of all."""
+    number = distinct.select("fingerprint", F.conv(F.hex("fingerprint"), 16, -10).cast("long").alias("node"), "first", "n")
     edges = found.select(*(F.conv(F.hex(c), 16, -10).cast("long").alias(c) for c in ("a", "b")))
-    parts = number.join(components(edges), "node", "left")
-    least = parts.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    return parts.join(least, "component", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
+    labels = components(edges)
+    ends = number.join(labels, "node")
+    least = stored(ends.groupBy("component").agg(F.min("first").alias("least")), "least")
+    parts = number.join(few_rows(labels), "node", "left").join(few_rows(least), "component", "left")
+    return stored(parts.where("n > 1 or component is not null").select("fingerprint", F.coalesce("least", "first").alias("component_id")), "named")
 
 
-def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, parts: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, size: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``.
 
     A null text has no words and the fingerprint zero; it links like any other. Rows without
     id belong to components but never name one; repeated rows repeat; other columns are
     ignored.
     """
-    found = fingerprint_groups(with_fingerprints(docs, size, doc_id, text), distance, parts)
+    found = fingerprint_groups(with_fingerprints(docs, size, doc_id, text), distance)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -410,105 +481,125 @@ def first_pairs(met: DataFrame, distance: int) -> DataFrame:
     return _dealt(met).mapInArrow(run, "a long, b long, key long").distinct()
 
 
-def untested(rows: np.ndarray, nodes: np.ndarray, labels: np.ndarray, tested: set[tuple[int, int]], distance: int, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of nodes of one key within ``distance`` that have different labels and are not in ``tested``.
+def prefixes(docs: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(shingle, node, label, n, at): each member's rarest shingles, of which two similar sets share one.
 
-    Of each row the ``most`` nearest are given; the second value tells whether any were left over.
-    Rows of the commonest label are not held against each other.
+    ``members`` has node and label. Shingles are ordered by the number of members that have
+    them; sets of n shingles with a Jaccard similarity of ``similarity`` share one of their
+    first n - ceil(similarity * n) + 1; ``at`` is its place.
+    """
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(few_rows(members.select("node")), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [np.unique(hashes(shingles(t or "", size))).view(np.int64) for t in batch.column(1).to_pylist()]
+            if any(map(len, sets)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets)))))], ["shingle", "node"])
+
+    each = stored(texts.mapInArrow(run, "shingle long, node long"), "shingles")
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = each.join(few_rows(stored(shared, "shared-shingles")), "shingle", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
+    placed = ranked.select("node", n.alias("n"), F.posexplode(first).alias("at", "x")).where("x.df > 1")
+    return placed.join(few_rows(members), "node").select(F.col("x.shingle").alias("shingle"), "node", "label", "n", "at")
+
+
+def bounded_pairs(nodes: np.ndarray, labels: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of the rows of one shingle that have different labels and may be similar by sizes and places.
+
+    Of each row only the ``most`` likeliest are given, if that is set. Rows of the commonest
+    label are not held against each other.
     """
     values, counts = np.unique(labels, return_counts=True)
     if len(values) < 2:
-        return [], False
-    common, place = labels == values[counts.argmax()], np.arange(len(rows))
-    out, left = [], False
+        return []
+    common, place = labels == values[counts.argmax()], np.arange(len(nodes))
+    rest, out = n - at, []
     for i in np.flatnonzero(~common).tolist():
-        d = np.bitwise_count(rows ^ rows[i]).sum(1, dtype=np.int64)
-        at = np.flatnonzero((d <= distance) & (labels != labels[i]) & (common | (place > i)))
-        taken = 0
-        for j in nodes[at[np.argsort(d[at], kind="stable")]].tolist():
-            pair = (min(int(nodes[i]), j), max(int(nodes[i]), j))
-            if pair in tested:
-                continue
-            if taken == most:
-                left = True
-                break
-            out.append(pair)
-            taken += 1
-    return out, left
+        # the sets have nothing in common before the first shingle they share
+        bound = np.minimum(rest, rest[i]) - similarity / (1 + similarity) * (n + n[i])
+        ok = np.flatnonzero((bound >= -1e-9) & (labels != labels[i]) & (common | (place > i)))
+        if most is not None and len(ok) > most:
+            ok = ok[np.argpartition(-bound[ok], most)[:most]]
+        out += [(min(int(nodes[i]), j), max(int(nodes[i]), j)) for j in nodes[ok].tolist()]
+    return out
 
 
-def next_pairs(met: DataFrame, keys: DataFrame, labels: DataFrame, failed: DataFrame, distance: int, most: int) -> DataFrame:
-    """a, b of candidates of ``keys`` between different components, and the key if more are left."""
-    rows = met.join(few_rows(keys), "key", "left_semi").join(labels.select("node", "component"), "node", "left")
-    rows = rows.select("key", "node", F.coalesce("component", "node").alias("label"), "fingerprint")
-    pairs = failed.join(few_rows(keys), "key", "left_semi").select("key", F.col("a").alias("node"), F.col("b").alias("label"), F.lit(None).cast("binary").alias("fingerprint"))
+def next_pairs(firsts: DataFrame, labels: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """a, b (nodes) of ``firsts`` (see ``prefixes``) that may be similar and have different labels now."""
+    now = labels.select("node", F.col("component").alias("now"))
+    rows = firsts.join(few_rows(now), "node", "left").select(F.col("shingle").alias("key"), "node", F.coalesce("now", "label").alias("label"), "n", "at")
+    rows = stored(rows, "prefixes")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows = rows.join(few_rows(stored(mixed, "mixed")), "key", "left_semi")
 
     def run(batches):
         for table in whole_keys(batches):
-            ends = np.flatnonzero(np.diff(table["key"].to_numpy())) + 1
-            for start, end in zip([0, *ends], [*ends, table.num_rows]):
-                part = table.slice(start, end - start)
-                is_row = part["fingerprint"].is_valid().combine_chunks()
-                these, done = part.filter(is_row), part.filter(np.logical_not(is_row.to_numpy(zero_copy_only=False)))
-                tested = set(zip(done["node"].to_pylist(), done["label"].to_pylist()))
-                found, left = untested(_rows(these["fingerprint"]), these["node"].to_numpy(), these["label"].to_numpy(), tested, distance, most)
-                if found:
-                    key = part["key"][0].as_py() if left else None
-                    yield _paired([(a, b, key) for a, b in found])
+            key, *columns = (table[c].to_numpy() for c in ("key", "node", "label", "n", "at"))
+            ends = np.flatnonzero(np.diff(key)) + 1
+            pairs: set[tuple[int, int]] = set()
+            for start, end in zip([0, *ends], [*ends, len(key)]):
+                pairs.update(bounded_pairs(*(c[start:end] for c in columns), similarity, most))
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _dealt(rows.union(pairs)).mapInArrow(run, "a long, b long, key long").distinct()
+    return _dealt(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def shared_keys(pairs: DataFrame, nodes: DataFrame, groups: list[list[int]]) -> DataFrame:
-    """key, a and b for each key that both fingerprints of a pair have."""
-    one, two = (nodes.select(F.col("node").alias(c), F.col("fingerprint").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+def layout(rows: int, similarity: float, recall: float = 0.95) -> tuple[int, int]:
+    """64-bit words of a wide SimHash and partitions a word for a table of so many rows.
 
-    def run(batches):
-        for batch in slices(batches, 2048):
-            x, y = _rows(batch.column(2)), _rows(batch.column(3))
-            for k, group in enumerate(groups):
-                value = _values(x, group)
-                same = value == _values(y, group)
-                key = pa.array(value[same].astype(np.int64) * 64 + k)
-                yield pa.RecordBatch.from_arrays([key, *(c.filter(pa.array(same)) for c in batch.columns[:2])], ["key", "a", "b"])
-
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "key long, a long, b long")
+    Partitions grow wider with the table, so that few rows share a value by chance; there are so
+    many of them that a pair of exactly the similarity agrees in one with probability ``recall``.
+    """
+    parts = 4 if rows <= 1 << 22 else 3 if rows <= 1 << 27 else 2
+    meets = (1 - flip_rate(similarity)) ** (64 / parts)
+    return -(-int(np.ceil(np.log(1 - recall) / np.log1p(-meets))) // parts), parts
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id of every row: documents that chains of similar pairs connect.
 
     Similar pairs have a Jaccard similarity of their ``size``-word shingle sets of ``similarity``
-    or more. Candidates differ in few bits of a SimHash of 64 * ``words`` bits and agree in one
-    of its partitions of 16 bits. Of the candidates of one value a minimum spanning forest is
-    compared exactly; where a link of it fails, the untested candidates between the components
-    found are compared, in rounds, until none is left. A null text has no words; texts without
+    or more. Candidates differ in few bits of a wide SimHash and meet in one of its partitions,
+    which are groups of correlated bits with thresholds by dynamic programming. Of the
+    candidates of one value a spanning forest is compared exactly. Where a link of it fails,
+    all documents of that value are compared further, those of different components alone:
+    pairs that share none of their rarest shingles, or too late, can't be similar; of the others
+    first the likeliest, then all are compared exactly. A null text has no words; texts without
     words form one group; rows without id join no group; repeated rows repeat.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    words, parts = layout(source.count(), similarity)
     prints = stored(wide_prints(source, size, words), "wide-prints")
-    nodes = stored(prints.where("doc_id is not null").groupBy("fingerprint", "same").agg(F.min("doc_id").alias("node")), "distinct")
-    groups = [list(range(16 * k, 16 * k + 16)) for k in range(4 * words)]
+    nodes = stored(prints.where("doc_id is not null").groupBy("fingerprint", "same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct")
+    groups = [[64 * w + b for b in g] for w, m in enumerate(bit_moments(nodes, words)) for g in grouped_bits(m, parts)]
+    thresholds = allocate(estimated(nodes, groups, 1), len(groups) - 1)
     rate = flip_rate(similarity)
-    distance = int(64 * words * rate + 2.5 * (64 * words * rate * (1 - rate)) ** 0.5)
-    met = probes(nodes, groups, [0] * len(groups), "node")
+    distance = int(64 * words * rate + 3 * (64 * words * rate * (1 - rate)) ** 0.5)
+    met = split_long(probes(nodes, groups, thresholds, "node"), LONG_RUN)
     found = stored(first_pairs(met, distance), "candidates")
-    tested, most, keys = None, 8, None
-    while True:
-        now = stored(judged(source, found.select("a", "b").distinct(), size, similarity), "judged")
-        tested = now if tested is None else tested.union(now)
-        parts = components(tested.where("good").select("a", "b"))
-        again = found.where("key is not null")
-        if keys is None:  # a forest that holds leaves nothing to test
-            again = again.join(now.where("not good"), ["a", "b"], "left_semi")
-        keys = stored(again.select("key").distinct(), "keys")
-        if keys.first() is None:
-            break
-        failed = shared_keys(tested.where("not good"), nodes, groups)
-        found = stored(next_pairs(met, keys, parts, failed, distance, most), "candidates")
-        most *= 4
-    least = nodes.join(parts, "node", "left").select("fingerprint", "same", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(least, ["fingerprint", "same"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    tested = stored(judged(source, found.select("a", "b").distinct(), size, similarity), "judged")
+    labels = components(tested.where("good").select("a", "b"))
+    keys = stored(found.where("key is not null").join(tested.where("not good"), ["a", "b"], "left_semi").select("key").distinct(), "keys")
+    if keys.first() is not None:
+        members = met.join(few_rows(keys), "key", "left_semi").join(few_rows(labels), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        members = stored(members, "members")
+        mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        members = stored(members.join(few_rows(stored(mixed, "mixed")), "key", "left_semi").select("node", "label").distinct(), "members")
+        firsts = stored(prefixes(source, members, size, similarity), "prefixes")
+        for most in (8, None):
+            pairs = next_pairs(firsts, labels, similarity, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            now = stored(judged(source, stored(pairs, "candidates"), size, similarity), "judged")
+            tested = tested.unionByName(now)
+            if now.where("good").first() is not None:
+                labels = components(tested.where("good").select("a", "b"))
+    copies = stored(nodes.where("n > 1").select("same", "node"), "same")
+    named = prints.where("doc_id is not null").select("doc_id", "same").join(few_rows(copies), "same", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
+    named = named.join(few_rows(labels), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return named.unionByName(prints.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
 
 
 def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -163,7 +164,7 @@ def test_near_duplicates_are_exact_on_shingles(make, corpus):
     assert module.drop_similar(make([])).collect() == []
 
 
-def test_no_candidate_is_thinned_away(make):
+def test_no_candidate_is_thinned_away(make, monkeypatch):
     from roadpulse.llm import simhash as module
 
     r = np.random.default_rng(3)
@@ -179,17 +180,26 @@ def test_no_candidate_is_thinned_away(make):
         w = [f"s{seed}w{k}" for k in range(204)]
         rows += [(1000 + 10 * seed + k, " ".join(x)) for k, x in enumerate((w[:163], w[17:180], w))]
     sets = {i: set(module.shingles(t, 5)) for i, t in rows}
-    prints = {i: np.frombuffer(module.simhash_wide(np.unique(module.hashes(list(s))), 8), ">u2") for i, s in sets.items()}
-    bits = int(512 * module.flip_rate(0.8) + 2.5 * (512 * module.flip_rate(0.8) * (1 - module.flip_rate(0.8))) ** 0.5)
-
-    def same(a, b):
-        x, y = prints[a], prints[b]
-        return (x == y).any() and int(np.bitwise_count(x ^ y).sum()) <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-
+    words, parts = module.layout(len(rows), 0.8)
+    nodes = module.wide_prints(make(rows), 5, words).groupBy("fingerprint").count()
+    groups = [[64 * w + b for b in g] for w, m in enumerate(module.bit_moments(nodes, words)) for g in module.grouped_bits(m, parts)]
+    assert sorted(sum(groups, [])) == list(range(64 * words))
+    rate = module.flip_rate(0.8)
+    most = int(64 * words * rate + 3 * (64 * words * rate * (1 - rate)) ** 0.5)
+    prints = {i: module._rows(pa.array([module.simhash_wide(np.unique(module.hashes(list(s))), words)], pa.binary())) for i, s in sets.items()}
+    values = {i: [int(module._values(x, g)[0]) for g in groups] for i, x in prints.items()}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    meet = lambda a, b: any(x == y for x, y in zip(values[a], values[b])) and int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= most
     ids = sorted(sets)
-    groups = connected([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if same(a, b)], ids)
-    assert {r.doc_id: r.component_id for r in module.similar_groups(make(rows)).collect()} == groups
-    assert [groups[k] for k in (1060, 1061, 1062)] == [1060, 1060, 1062] and groups[401] == 401
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similar(a, b)]
+    exact = connected(pairs, ids)
+    for long_run in (module.LONG_RUN, 40):  # the second splits the common values
+        monkeypatch.setattr(module, "LONG_RUN", long_run)
+        out = {r.doc_id: r.component_id for r in module.similar_groups(make(rows)).collect()}
+        assert all(out[a] == out[b] for a, b in pairs if meet(a, b))
+        assert all(exact[out[i]] == exact[i] for i in ids)
+        assert sum(out[i] != i for i in ids) >= 0.95 * sum(exact[i] != i for i in ids)
+        assert [out[k] for k in (1062, 1232)] == [1062, 1232] and out[401] == 401
 
 
 # --- repeated bytes
