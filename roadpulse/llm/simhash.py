@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import stored
+from roadpulse.llm.common import few_rows, stored
 from roadpulse.llm.tokens import slices
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -421,11 +421,6 @@ def jaccard(a: str, b: str, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def few_rows(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """``df`` (a written table of ids) marked for broadcast if it has ``most`` rows or fewer; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def judged(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """``pairs`` (a, b: ids) and good: whether their texts have the similarity, by exact Jaccard on their shingles."""
     ends = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")

@@ -3,7 +3,8 @@
 Write: one gzip member per record, whose header names its own compressed length, so that a
 reader can leap over a record. Read: a partition plan over the archive files; filters on
 record type, target URI and record id are pushed into the reader, which inflates a record's
-headers first and leaves the payloads of unwanted records alone.
+headers first and leaves the payloads of unwanted records alone. Archives of others are read too:
+plain ones and gzip members of one or many records. Cut or damaged archives raise ValueError.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from roadpulse.llm.common import new_path
+from roadpulse.llm.common import new_path, stored
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 WRITTEN = "page_id long, url string, payload binary, digest string, revisits long"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: An archive file is closed beyond this many bytes.
 FILE_BYTES = 256 << 20
+#: Digests that several pages have are sent to every executor up to this number.
+FEW_DIGESTS = 200_000
+#: Bytes of a block that are read where its payload isn't wanted.
+HEAD_BYTES = 1 << 16
 #: Rows in a batch that a reader yields, and payload bytes after which it yields a smaller one.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 PUSHED = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id"}
@@ -74,10 +79,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own; only those that the commit lists count."""
+    """Each task writes files of its own; only those that a commit's manifest lists count."""
 
-    def __init__(self, options: dict):
-        self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.date, self.overwrite = options["path"], options.get("date", "1970-01-01T00:00:00Z"), overwrite
 
     def write(self, iterator) -> Written:
         files, out, size = [], None, 0
@@ -100,8 +105,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         where, base = _place(self.path)
         where.create_dir(base, recursive=True)
-        with where.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
+        old = manifests(where, base) if self.overwrite else []
+        with where.open_output_stream(f"{base}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        for name in old:
+            where.delete_file(name)
 
     def abort(self, messages) -> None:
         where, base = _place(self.path)
@@ -134,9 +142,12 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         where, base = _place(self.path)
-        if where.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
-            with where.open_input_file(f"{base}/{MANIFEST}") as f:
-                names = [f"{base}/{x}" for x in json.loads(f.read())]
+        told = manifests(where, base)
+        if told:
+            names = []
+            for name in told:
+                with where.open_input_file(name) as f:
+                    names += [f"{base}/{x}" for x in json.loads(f.read())]
         else:
             names = sorted(x.path for x in where.get_file_info(fs.FileSelector(base)) if x.path.endswith((".warc", ".warc.gz")))
         return [Archive(x) for x in names] or [Archive("")]
@@ -148,7 +159,7 @@ class WarcReader(DataSourceReader):
         if partition.file:
             where, _ = _place(self.path)
             with where.open_input_file(partition.file) as f:
-                for head, block in scan(f, self.wanted):
+                for head, block in scan(f, self.wanted, self.payloads or self.verify):
                     rows.append(self.row(head, block))
                     size += len(rows[-1]["payload"] or b"")
                     if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
@@ -163,7 +174,7 @@ class WarcReader(DataSourceReader):
             length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
             payload = None
         else:
-            length = len(payload)
+            length = _length(head) - (len(http) + 4 if http else 0)
             if self.verify and digest != base32_sha1(payload):
                 raise ValueError(f"payload of {head.get('warc-record-id')} doesn't have the digest in its header")
         return {
@@ -172,55 +183,135 @@ class WarcReader(DataSourceReader):
         }
 
 
+def manifests(where, base: str) -> list[str]:
+    """The manifests of all commits to a folder; a folder of archives by others has none."""
+    from pyarrow import fs
+
+    found = where.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
 def _headers(text: bytes) -> dict:
-    pairs = (x.partition(":") for x in text.decode(errors="replace").split("\r\n")[1:])
-    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+    lines = text.decode(errors="replace").strip().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"a record begins with {lines[0][:40]!r}")
+    pairs = (x.partition(":") for x in lines[1:])
+    return {"warc-type": "", **{k.strip().lower(): v.strip() for k, _, v in pairs}}
+
+
+def _length(head: dict) -> int:
+    said = head.get("content-length", "")
+    if not said.isdigit():
+        raise ValueError(f"record {head.get('warc-record-id')} has no length")
+    return int(said)
 
 
 def _wanted(head: dict, wanted: dict) -> bool:
     return all(head.get(k) in v for k, v in wanted.items())
 
 
-def scan(f, wanted: dict):
-    """(headers, block) of each wanted record of an open archive file, compressed or not."""
+class Inflated:
+    """The inflated bytes of the gzip member at ``at`` of an open file, in pieces."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.file, self.at, self.fed, self.inflate, self.ready = f, at, 0, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        if self.inflate.eof:
+            return False
+        data = self.inflate.unconsumed_tail
+        if not data:
+            data = self.file.read(1 << 16)
+            self.fed += len(data)
+            if not data:
+                raise ValueError(f"the archive ends inside the member at {self.at}")
+        try:
+            self.ready += self.inflate.decompress(data, 1 << 18)
+        except zlib.error as error:
+            raise ValueError(f"the member at {self.at} is damaged: {error}") from error
+        return True
+
+    def head(self) -> bytes | None:
+        """All up to the next blank line, which is passed; None at the member's end."""
+        while (end := self.ready.find(b"\r\n\r\n", len(self.ready) - len(self.ready.lstrip()))) < 0:
+            if not self.more():
+                if self.ready.strip():
+                    raise ValueError(f"a record's header is cut in the member at {self.at}")
+                return None
+        out, self.ready = self.ready[:end], self.ready[end + 4 :]
+        return out
+
+    def take(self, n: int, keep: int) -> bytes:
+        """Passes ``n`` bytes and gives the first ``keep`` of them."""
+        parts, left, room = [], n, keep
+        while left:
+            if not self.ready and not self.more():
+                raise ValueError(f"a record is cut in the member at {self.at}")
+            part, self.ready = self.ready[:left], self.ready[left:]
+            left -= len(part)
+            if room:
+                parts.append(part[:room])
+                room -= len(parts[-1])
+        return b"".join(parts)
+
+    def end(self) -> int:
+        """Where the next member begins."""
+        while self.more():
+            self.ready = b""
+        return self.at + self.fed - len(self.inflate.unused_data)
+
+
+def scan(f, wanted: dict, payloads: bool = True):
+    """(headers, block) of each wanted record of an open archive file, compressed or not.
+
+    Without ``payloads`` a block's first HEAD_BYTES are enough, and a record whose member tells
+    its length is left there.
+    """
     size, at = f.size(), 0
     while at < size:
         f.seek(at)
-        lead = f.read(4096)
+        lead = f.read(20)
         if lead[:2] != b"\x1f\x8b":
-            head_end = lead.find(b"\r\n\r\n")
-            while head_end < 0 and (more := f.read(4096)):
-                lead += more
-                head_end = lead.find(b"\r\n\r\n")
-            if head_end < 0:
-                return
-            head = _headers(lead[:head_end])
-            start, length = at + head_end + 4, int(head.get("content-length", 0))
-            if _wanted(head, wanted):
-                f.seek(start)
-                yield head, f.read(length)
-            at = start + length + 4
+            at = yield from _plain(f, at, size, wanted, payloads)
             continue
-        whole = struct.unpack("<I", lead[16:20])[0] if lead[3] & 4 and lead[12:14] == b"sl" else 0
-        inflate = zlib.decompressobj(31)
-        text, fed = inflate.decompress(lead, 65536), len(lead)
-        while b"\r\n\r\n" not in text and not inflate.eof:
-            text += inflate.decompress(inflate.unconsumed_tail or f.read(65536), 65536)
-        head_end = text.index(b"\r\n\r\n")
-        head = _headers(text[:head_end])
-        good = _wanted(head, wanted)
-        if good or not whole:
-            f.seek(at)
-            inflate, parts, fed = zlib.decompressobj(31), [], 0
-            while not inflate.eof and (data := f.read(whole or 1 << 16)):
-                fed += len(data)
-                part = inflate.decompress(data)
-                if good:
-                    parts.append(part)
+        whole = struct.unpack("<I", lead[16:20])[0] if len(lead) == 20 and lead[3] & 4 and lead[12:14] == b"sl" else 0
+        if at + whole > size:
+            raise ValueError(f"the archive ends inside the member at {at}")
+        stream = Inflated(f, at)
+        while (text := stream.head()) is not None:
+            head = _headers(text)
+            good = _wanted(head, wanted)
+            leap = whole and not (good and payloads)  # a member that tells its length has one record
+            keep = 0 if not good else _length(head) if payloads else HEAD_BYTES
+            n = _length(head) if not leap else min(keep, _length(head))
+            block = stream.take(n, keep)
             if good:
-                yield head, b"".join(parts)[head_end + 4 : head_end + 4 + int(head.get("content-length", 0))]
-            whole = whole or fed - len(inflate.unused_data)
-        at += whole
+                yield head, block
+            if leap:
+                break
+        at = at + whole if whole else stream.end()
+
+
+def _plain(f, at: int, size: int, wanted: dict, payloads: bool):
+    """Yields the uncompressed record at ``at`` if it is wanted; returns where the next begins."""
+    f.seek(at)
+    text = b""
+    while (end := text.find(b"\r\n\r\n", len(text) - len(text.lstrip()))) < 0:
+        more = f.read(4096)
+        if not more:
+            if text.strip():
+                raise ValueError(f"the archive ends inside the header at {at}")
+            return size
+        text += more
+    head = _headers(text[:end])
+    start, n = at + end + 4, _length(head)
+    if start + n > size:
+        raise ValueError(f"the archive ends inside the record at {at}")
+    if _wanted(head, wanted):
+        f.seek(start)
+        yield head, f.read(n if payloads else min(n, HEAD_BYTES))
+    return start + n
 
 
 class WarcDataSource(DataSource):
@@ -237,7 +328,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -254,18 +345,26 @@ def base32(sha1_hex):
 
 
 def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes a record per page to archives in ``path``.
+    """Writes a record per page to archives in ``path``, beside what is there.
 
     Of pages with equal payloads of ``least_bytes`` or more, the one with the smallest id is a
     response and the others revisit it. A null html is an empty payload; a page without id is
-    a response unless another has its payload; other columns are ignored.
+    a response unless another has its payload; rows that repeat an id each get a record of that
+    id, and those with the smallest id of their payload are all responses; other columns are
+    ignored. Only ids and digests are grouped: payloads stay where they are read, or, beside a
+    long list of revisits, are dealt by page.
     """
     spark = pages.sparkSession
     spark.dataSource.register(WarcDataSource)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(shared, "sha1", "left")
+    same = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = stored(same, "same-payloads")
+    if same.count() <= FEW_DIGESTS:
+        told = rows.join(F.broadcast(same), "sha1", "left")
+    else:
+        rows = rows.withColumn("at", F.coalesce("page_id", F.xxhash64("url", "sha1")))
+        told = rows.join(rows.select("at", "sha1").distinct().join(same, "sha1"), ["at", "sha1"], "left")
     told.select("page_id", "url", "payload", base32(F.col("sha1")).alias("digest"), F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("revisits")).write.format("warc").mode("append").save(path)
 
 

@@ -60,3 +60,55 @@ def test_plain_warc_records_are_read(tmp_path):
     reader = warc.WarcReader({"path": f"file://{tmp_path}"})
     found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert [r["record_type"] for r in found] == ["response", "metadata"]
+
+
+def test_appends_add_and_overwrites_replace(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    one, two = (spark.createDataFrame([(k, f"u{k}", f"page {k}")], "page_id long, url string, html string") for k in (1, 2))
+    warc.write_pages(one, path)
+    warc.write_pages(two, path)
+    assert {r.target_uri for r in warc.read_warc(spark, path).collect()} == {"u1", "u2"}
+    rows = spark.createDataFrame([(3, "u3", bytearray(b"x"), "D", None)], warc.WRITTEN)
+    rows.write.format("warc").mode("overwrite").save(path)
+    assert {r.target_uri for r in warc.read_warc(spark, path).collect()} == {"u3"}
+
+
+def found(data: bytes, wanted=None, payloads=True):
+    import pyarrow as pa
+
+    return list(warc.scan(pa.BufferReader(data), wanted or {}, payloads))
+
+
+def test_members_of_many_records_and_cut_ones():
+    import gzip
+
+    import pytest
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    many = [warc.record("response", [("WARC-Target-URI", f"u{k}"), ("Content-Type", "application/http")], http + bytes([65 + k]) * (70000 * k)) for k in range(4)]
+    for data in (gzip.compress(b"".join(many)), b"".join(map(gzip.compress, many)), b"".join(many), b"".join(map(warc.member, many)), gzip.compress(many[0] + many[1]) + warc.member(many[2]) + many[3]):
+        assert [(h["warc-target-uri"], len(b)) for h, b in found(data)] == [(f"u{k}", len(http) + 70000 * k) for k in range(4)]
+        assert [b[len(http) :][:1] for _, b in found(data, {"warc-target-uri": {"u2"}})] == [b"C"]
+        assert [len(b) for _, b in found(data, payloads=False)] == [len(http)] + [warc.HEAD_BYTES] * 3
+        if data[:1] == b"\x1f" and data[-1:] == b"\0":  # cut anywhere in the last member
+            for cut in (1, 5, 30):
+                with pytest.raises(ValueError):
+                    found(data[:-cut])
+    one = gzip.compress(many[1])
+    for cut in (len(one) - 4, len(one) // 2, 30, 15):
+        with pytest.raises(ValueError):
+            found(one[:cut])
+    with pytest.raises(ValueError):
+        found(b"no archive at all\r\n\r\n")
+    with pytest.raises(ValueError):
+        found(many[1][:-100])
+    reader = warc.WarcReader({"path": "file:///", "payloads": "false"})
+    assert [reader.row(h, b)["payload_bytes"] for h, b in found(b"".join(map(warc.member, many)), payloads=False)] == [70000 * k for k in range(4)]
+
+
+def test_long_lists_of_revisits_join_by_page(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"text {k % 3}") for k in range(12)] + [(None, "n", "text 1"), (None, "m", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(str, warc.round_trip(pages).collect()))
+    monkeypatch.setattr(warc, "FEW_DIGESTS", 0)
+    assert sorted(map(str, warc.round_trip(pages).collect())) == few
