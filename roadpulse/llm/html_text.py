@@ -2,10 +2,10 @@
 
 Parser events of the standard library become lines, one per block element, each with its
 characters and tags. The text-to-tag ratios of a page's lines are smoothed with a Gaussian and
-cut at a share of their deviation; the lines above hold the page's content. The region is the
-article (or main) element that holds most of it, else the deepest element with nearly all of
-it, and all the region's lines count, short ones too, but for parts that their element, role
-or class marks as no part of an article.
+their logarithms parted in two clusters; the lines of the upper cluster are content. The
+region is the article (or main) element that holds most content, else the deepest element with
+nearly all of it. Its lines count, short ones too, but for lists of links in the lower cluster
+and for parts that their element, role or class marks as no part of an article.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from roadpulse.llm.tokens import slices
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never an article's.
-NOT_TEXT = frozenset("script style noscript template nav footer aside form head title iframe svg math button select textarea menu dialog object canvas audio video datalist".split())
+NOT_TEXT = frozenset("script style noscript template nav footer aside head title iframe svg math button select textarea menu dialog object canvas audio video datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id attributes that mark menus, notices, adverts and reader comments.
 MARKS = frozenset(
@@ -31,78 +31,97 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond reply replies widget toolbar pagination pager copyright skip hidden alert".split()
 )
+#: Of these, those under which no article is the page's own.
+OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus respond reply replies".split())
 #: Their class says nothing of all that they hold.
 ROOTS = frozenset(("html", "body", "main", "article"))
+#: Elements of a head; any other ends it.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 #: Elements that hold one paragraph or item, never a whole article.
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
 #: What a start tag ends, where the end tag was left out, up to the nearest element that holds such.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
-#: Deviations of the smoothed ratios above which a line is content; share of the content that the region holds.
-CUT, SHARE = 0.5, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the content that the region holds; share of a line's characters in links that makes it one of a list of links.
+SHARE, LINKED = 0.8, 0.8
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, path of elements, marked) per block of a page."""
+    """Collects (text, tags, link characters, element, marked) per block of a page.
+
+    Elements are numbers, each with its name and the number of the block around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.kinds: dict[int, str] = {}
-        self.open: list[tuple[str, int, int]] = []  # name, 2 dropped or 1 marked or 0, number
-        self.path: tuple[int, ...] = ()
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # name, 2 dropped or 1 marked or 0, whether a block, innermost block
+        self.count: dict[str, int] = {}  # how many of each name are open
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def end_line(self) -> None:
         if self.text:
             said = " ".join("".join(self.text).split())
-            if said and self.state() < 2:
-                self.lines.append((said, self.tags + 1, self.linked, self.path, self.state() == 1))
+            if said:
+                self.lines.append((said, self.tags + 1, self.linked, self.here(), self.state() > 0))
         self.text, self.tags, self.linked = [], 0, 0
 
     def state(self) -> int:
         return self.open[-1][1] if self.open else 0
 
-    def names(self) -> list[str]:
-        return [x[0] for x in self.open]
+    def here(self) -> int:
+        return self.open[-1][3] if self.open else -1
+
+    def push(self, tag: str, mark: int, block: bool) -> None:
+        number = self.here()
+        if block:
+            self.kinds.append(tag)
+            self.parents.append(number)
+            number = len(self.kinds) - 1
+        self.open.append((tag, mark, block, number))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def judged(self, tag: str, attrs: list) -> int:
         has = {k: (v or "").lower() for k, v in attrs}
         if tag in NOT_TEXT or has.get("role") in ROLES or "hidden" in has or has.get("aria-hidden") == "true" or _HIDDEN.search(has.get("style", "")):
             return 2
         if tag == "header":
-            return 0 if "article" in self.names() else 2
-        said = f"{has.get('class', '')} {has.get('id', '')}"
-        marked = said != " " and not MARKS.isdisjoint(_WORDS.findall(said))
+            return 0 if self.count.get("article") else 2
+        found = set(_WORDS.findall(f"{has.get('class', '')} {has.get('id', '')}"))
         if tag == "article":
-            return int("comment" in said or "reply" in said)
-        return int(marked and tag not in ROOTS)
+            return 2 * any(x.startswith(("comment", "repl")) for x in found)
+        if tag in ROOTS:
+            return 0
+        return 2 if found & OTHERS else int(tag == "form" or bool(found & MARKS))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.count.get("head") and tag not in HEAD:
+            self.handle_endtag("head")
         if tag in VOID:
             if tag in ("br", "hr", "img"):
                 self.text.append(" ")
             self.tags += 1
             return
-        mark = max(self.judged(tag, attrs), self.state())
         if tag in INLINE:
+            mark = max(self.judged(tag, attrs), self.state())
             self.tags += 1
             if mark > self.state():  # its own words are no part of the line around it
                 self.end_line()
-            self.open.append((tag, mark, -1))
+            self.push(tag, mark, False)
             return
         self.end_line()
         self.close_open("p", ("td", "th", "li", "div", "article", "section", "body", "table", "blockquote"))
         if tag in ENDS:
             for name in ENDS[tag][0].split():
                 self.close_open(name, ENDS[tag][1])
-        mark = max(self.judged(tag, attrs), self.state())
-        number = len(self.kinds)
-        self.kinds[number] = tag
-        self.open.append((tag, mark, number))
-        self.path += (number,)
+        # an article is its page's own whatever the class of a wrapper or a form around it says
+        around = 0 if tag in ("article", "main") and self.state() == 1 else self.state()
+        self.push(tag, max(self.judged(tag, attrs), around), True)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,6 +130,8 @@ class Lines(HTMLParser):
 
     def close_open(self, name: str, within: tuple) -> None:
         """Closes the innermost ``name`` unless an element of ``within`` stands inside it."""
+        if not self.count.get(name):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == name:
                 self.cut(k)
@@ -119,21 +140,24 @@ class Lines(HTMLParser):
                 return
 
     def cut(self, k: int) -> None:
-        if self.open[k][2] >= 0 or self.open[k][1] > (self.open[k - 1][1] if k else 0):
+        if any(x[2] for x in self.open[k:]) or self.state() > (self.open[k - 1][1] if k else 0):
             self.end_line()
+        for x in self.open[k:]:
+            self.count[x[0]] -= 1
         del self.open[k:]
-        self.path = tuple(x[2] for x in self.open if x[2] >= 0)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
         if tag in INLINE:
             self.tags += 1
+        if not self.count.get(tag):
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.cut(k)
                 return
-            if tag in INLINE and self.open[k][2] >= 0:
+            if tag in INLINE and self.open[k][2]:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -148,31 +172,65 @@ def smoothed(ratios: np.ndarray, radius: int = 3) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="edge"), weights / weights.sum(), mode="valid")
 
 
-def region(lines: list, kinds: dict[int, str]) -> list[str]:
+def upper_cluster(values: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Which values lie in the upper of two clusters; all, where they hardly differ."""
+    low, high = values.min(), values.max()
+    if high - low < np.log(2):
+        return np.ones(len(values), bool)
+    for _ in range(rounds):
+        up = values >= (low + high) / 2
+        low, high = values[~up].mean(), values[up].mean()
+    return values >= (low + high) / 2
+
+
+def region(lines: list, kinds: list[str], parents: list[int]) -> list[str]:
     """The texts of the lines that belong to the page's main text, in page order."""
-    plain = [x for x in lines if not x[4]] or lines
-    if not plain:
+    if all(x[4] for x in lines):
         return []
-    sizes = np.array([len(x[0]) for x in plain], float)
-    ratios = smoothed(sizes / np.array([x[1] for x in plain]))
-    content = ratios >= CUT * ratios.std()
-    mass: dict[int, float] = {}
-    for x, n, good in zip(plain, sizes, content):
-        for number in x[3]:
-            mass[number] = mass.get(number, 0.0) + n * good
-    articles = {next(i for i in x[3] if kinds[i] == "article") for x in plain if any(kinds[i] == "article" for i in x[3])}
-    mains = {i for x in plain for i in x[3] if kinds[i] == "main"}
-    total = float((sizes * content).sum())
+    sizes = np.array([len(x[0]) for x in lines], float)
+    # notices and menus beside the content take part in the clusters, as they tell what low ratios are
+    content = upper_cluster(np.log1p(smoothed(sizes / np.array([x[1] for x in lines]))))
+    plain = np.array([not x[4] for x in lines])
+    content = content & plain if (content & plain).any() else plain
+    mass = [0.0] * len(kinds)
+    for x, n in zip(lines, sizes * content):
+        if x[3] >= 0:
+            mass[x[3]] += float(n)
+    for i in range(len(kinds) - 1, 0, -1):  # elements are numbered from the outside in
+        if parents[i] >= 0:
+            mass[parents[i]] += mass[i]
+    around = {kind: _outermost(kind, kinds, parents) for kind in ("article", "main")}
+    articles = {i for i in set(around["article"]) if i >= 0 and mass[i] > 0}
+    mains = {i for i in set(around["main"]) if i >= 0 and mass[i] > 0}
     if articles:
         best = max(articles, key=lambda i: (mass[i], -i))
         chosen = {best} if 2 * mass[best] >= sum(mass[i] for i in articles) else articles
-        return [x[0] for x in plain if not chosen.isdisjoint(x[3])]
-    if mains:
-        return [x[0] for x in plain if not mains.isdisjoint(x[3])]
-    holds = [i for i, m in mass.items() if m >= SHARE * total and kinds[i] not in TEXT_ELEMENTS]
-    inner = max(holds, default=None)  # elements are numbered from the outside in
-    inside = [k for k, x in enumerate(plain) if inner is None or inner in x[3]]
-    return [plain[k][0] for k in inside if content[k] or plain[k][2] < 0.8 * sizes[k]]
+        inside = lambda i: i >= 0 and around["article"][i] in chosen
+    elif mains:
+        inside = lambda i: i >= 0 and around["main"][i] in mains
+    else:
+        total = float((sizes * content).sum())
+        inner = max((i for i, m in enumerate(mass) if m >= SHARE * total and kinds[i] not in TEXT_ELEMENTS), default=-1)
+        held = _under(inner, parents)
+        inside = lambda i: inner < 0 or (i >= 0 and held[i])
+    listed = lambda k, x: not content[k] and x[2] >= LINKED * len(x[0]) and (x[3] < 0 or kinds[x[3]] not in HEADINGS)
+    return [x[0] for k, x in enumerate(lines) if plain[k] and inside(x[3]) and not listed(k, x)]
+
+
+def _outermost(kind: str, kinds: list[str], parents: list[int]) -> list[int]:
+    """Per element the outermost element of a kind that holds it or is it, -1 where none does."""
+    out: list[int] = []
+    for i, name in enumerate(kinds):
+        above = out[parents[i]] if parents[i] >= 0 else -1
+        out.append(above if above >= 0 else i if name == kind else -1)
+    return out
+
+
+def _under(top: int, parents: list[int]) -> list[bool]:
+    out: list[bool] = []
+    for i, parent in enumerate(parents):
+        out.append(i == top or (parent >= 0 and out[parent]))
+    return out
 
 
 def main_text(html: str) -> str:
@@ -180,13 +238,14 @@ def main_text(html: str) -> str:
     lines.feed(html)
     lines.close()
     lines.end_line()
-    return " ".join(region(lines.lines, lines.kinds))
+    return " ".join(region(lines.lines, lines.kinds, lines.parents))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    A null or empty html gives an empty text; broken markup is read as far as it goes; repeated
+    A null or empty html gives an empty text, as does a page of menus, notices and adverts
+    alone; broken markup is read as far as it goes; repeated
     rows give repeated rows; other columns are ignored.
     """
 
