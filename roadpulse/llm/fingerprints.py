@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import stored
+from roadpulse.llm.common import few_rows, stored
 from roadpulse.llm.tokens import slices
 
 #: Rows of a range of neighbouring ids, and the most ranges; larger ranges are read as a stream.
@@ -48,18 +48,26 @@ def _squeezer():
 def shared_fingerprints(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """The fingerprints in ``prints`` that stand for more than one canonical form (seldom any).
 
-    Only the texts whose fingerprint occurs twice are compared. The comparison is between each
-    fingerprint's smallest and largest form, so a large group of copies shrinks where it lies.
+    Only texts whose fingerprint occurs twice are compared. Each task compares the forms that it
+    reads byte by byte and sends on each form once a batch, so a large group of copies shrinks
+    where it lies; the smallest and the largest form of each fingerprint are compared at last.
     """
-    twice = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    twice = stored(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "repeated-prints")
+    if twice.first() is None:
+        return twice
 
     def forms(batches):
         squeeze, _ = _squeezer()
-        for batch in slices(batches):
-            made = [canonical(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in made]), pa.array([squeeze(x.encode()) for x in made], pa.binary())], ["fingerprint", "form"])
-
-    found = docs.select("text").mapInArrow(forms, "fingerprint string, form binary").join(twice, "fingerprint", "left_semi")
+        for batch in batches:
+            made: dict[str, set[str]] = {}
+            for part in slices([batch]):
+                for t in part.column(0).to_pylist():
+                    form = canonical(t or "")
+                    made.setdefault(digest(form), set()).add(form)
+            rows = [(k, squeeze(x.encode())) for k, found in made.items() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], ["fingerprint", "form"])
+
+    found = docs.select("text").mapInArrow(forms, "fingerprint string, form binary").join(few_rows(twice), "fingerprint", "left_semi")
     return found.groupBy("fingerprint").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("fingerprint")
 
 
@@ -77,16 +85,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in made]), pa.array([long_digest(x) for x in made])], ["doc_id", "fingerprint", "long"])
 
     found = stored(source.mapInArrow(prints, "doc_id long, fingerprint string, long string"), "prints")
-    found = lengthened(found, shared_fingerprints(source, found), ("fingerprint", "long"))
-    groups = found.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
-    return found.select("doc_id", "fingerprint").join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
+    found = lengthened(found, stored(shared_fingerprints(source, found), "shared-prints"), ("fingerprint", "long"))
+    groups = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
+    rows = found.select("doc_id", "fingerprint").join(few_rows(groups), "fingerprint", "left")
+    lone = F.col("copies").isNull()
+    return rows.select("doc_id", "fingerprint", F.when(lone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def lengthened(found: DataFrame, shared: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """Each (fingerprint, long) pair of columns, lengthened where ``shared`` has the fingerprint."""
     for short, long in pairs:
         marked = shared.select(F.col("fingerprint").alias("shared_print"), F.lit(True).alias("is_shared"))
-        found = found.join(marked, found[short] == marked["shared_print"], "left")
+        found = found.join(few_rows(marked), found[short] == marked["shared_print"], "left")
         found = found.withColumn(short, F.when(F.col("is_shared"), F.concat_ws("-", short, long)).otherwise(F.col(short))).drop("shared_print", "is_shared", long)
     return found
 
@@ -121,8 +131,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     start of the next document, in descending order of id; the first follows the last. Rows:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Being exact, likeness is 1 for equal canonical forms and else 0. A null text counts as
-    empty; rows without id come last in the order; equal ids are ordered by their texts'
-    bytes; a lone row follows itself; other columns are ignored.
+    empty; rows without id come last in the order; rows of equal ids come in a fixed order,
+    that of their compressed texts; a lone row follows itself; other columns are ignored.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     edges, follows = _ranges(source.select("doc_id"))
@@ -168,9 +178,9 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     dealt = source.mapInArrow(deal, "part int, border boolean, doc_id long, packed binary")
-    n = source.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = dealt.repartition(int(n), "part").sortWithinPartitions("part", "border", F.col("doc_id").desc_nulls_last(), F.col("packed").desc())
+    n = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(edges) + 1)
+    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "border", F.col("doc_id").desc_nulls_last(), F.col("packed").desc())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, long string, edited_fingerprint string, edited_long string, near_edited double, near_next double"
     found = stored(ordered.mapInArrow(compare, schema), "prints")
-    out = lengthened(found, shared_fingerprints(source, found), ("fingerprint", "long"), ("edited_fingerprint", "edited_long"))
+    out = lengthened(found, stored(shared_fingerprints(source, found), "shared-prints"), ("fingerprint", "long"), ("edited_fingerprint", "edited_long"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

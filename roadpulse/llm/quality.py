@@ -211,10 +211,11 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns they had."""
+    """The rows of ``docs`` that the rules keep, with the columns they had.
+
+    Rows and features are written once to the shared folder, as both the model and the verdicts
+    read them.
+    """
     f, q = free_name(docs, "quality_f"), free_name(docs, "quality_q")
-    model = learn(add_features(docs.select(F.col(text).alias("text")), "text", "f"), "f")
-    out = judge(add_features(docs, text, f), f, model, q)
-    # exploding none or one row keeps the optimizer from moving the verdict below the features it reads
-    row = F.when(F.col(q)["kept"], F.array(F.struct(*(F.col(c) for c in docs.columns)))).otherwise(F.array())
-    return out.select(F.explode(row).alias("row")).select("row.*")
+    scored = stored(add_features(docs, text, f), "scored")
+    return judge(scored, f, learn(scored, f), q).where(F.col(q)["kept"]).select(*docs.columns)

@@ -8,6 +8,7 @@ repeat. So a sample of positions is taken such that equal strings hold equal sam
 places (a cover: each string of ``length`` bytes has one, at the same offset in every copy).
 Samples are named by their prefix, names are sorted, and what follows and precedes equal names
 is compared: first whole contexts, then, where contexts differ, every string around the sample.
+Names of very many different contexts are compared string by string instead, in no task of one name.
 The sample is content-defined (local minima of prefix hashes) rather than periodic: README.md
 has the figures of both.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import stored
+from roadpulse.llm.common import few_rows, stored
 from roadpulse.llm.tokens import slices
 
 LENGTH = 100
@@ -30,6 +31,10 @@ LENGTH = 100
 PREFIX = 32
 #: Documents whose samples are settled among themselves before they are dealt out.
 SLICE = 1024
+#: Names of more places with different contexts are split into the strings around them.
+LONG_NAME = 1024
+#: Low bits of a place that hold the bytes of context after the prefix.
+REST_BITS = 16
 _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -75,6 +80,8 @@ def sample(names: np.ndarray, width: int) -> np.ndarray:
 
 def difference_cover(modulus: int) -> list[int]:
     """Residues such that every residue is the difference of two of them: all small ones, then multiples of the step."""
+    if modulus == 73:  # the powers of two are a perfect difference set: 72 differences of 9 residues
+        return sorted(pow(2, k, 73) for k in range(9))
     step = max(1, int(modulus**0.5))
     return sorted({*range(step), *range(step - 1, modulus, step), modulus - 1})
 
@@ -91,8 +98,8 @@ def settled(name, context, doc, place, reach: int, prefix: int):
     head = np.append(True, (name[1:] != name[:-1]) | (context[1:] != context[:-1]))
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     later = (doc != doc[first]) | (place != place[first])
-    at, of = place[later] >> 8, doc[later]
-    low, high = np.maximum(at - reach, 0), at + prefix + (place[later] & 255)
+    at, of = place[later] >> REST_BITS, doc[later]
+    low, high = np.maximum(at - reach, 0), at + prefix + (place[later] & ((1 << REST_BITS) - 1))
     order = np.lexsort((low, of))
     low, high, of = low[order], high[order], of[order]
     number = np.cumsum(np.append(False, of[1:] != of[:-1])) if len(of) else of
@@ -107,12 +114,14 @@ def settled(name, context, doc, place, reach: int, prefix: int):
 
 
 def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -> DataFrame:
-    """(name, context, doc_id, place) of each sample; place is position * 256 + bytes of context after the prefix.
+    """(name, context, doc_id, place) of each sample; place is position * 2**REST_BITS + bytes of context after the prefix.
 
     With ``periodic`` the positions of a difference cover modulo length - prefix + 1 are taken.
     """
     reach = length - prefix
-    cover = np.array(difference_cover(reach + 1))
+    if not 0 < reach < 1 << REST_BITS:
+        raise ValueError(f"length has to be above {prefix} and below {prefix + (1 << REST_BITS)}")
+    cover = np.array(difference_cover(reach + 1)) if periodic else None
 
     def run(batches):
         for batch in slices(batches, SLICE):
@@ -127,8 +136,8 @@ def samples(docs: DataFrame, length: int, prefix: int, periodic: bool = False) -
                 names = one.of(at, at + prefix)
                 at = at[np.isin(at % (reach + 1), cover)] if periodic else sample(names, reach + 1)
                 left, right = np.maximum(at - reach, 0), np.minimum(at + length, n)
-                context = mixed(Rolling(data, _TWO).of(left, right) + ((at - left) * 256 + right - at).astype(np.uint64) * np.uint64(_ONE))
-                parts.append((names[at].view(np.int64), context.view(np.int64), np.full(len(at), k), at * 256 + right - at - prefix))
+                context = mixed(Rolling(data, _TWO).of(left, right) + ((at - left) * (1 << REST_BITS) + right - at).astype(np.uint64) * np.uint64(_ONE))
+                parts.append((names[at].view(np.int64), context.view(np.int64), np.full(len(at), k), at * (1 << REST_BITS) + right - at - prefix))
             if parts:
                 name, context, row, place = (np.concatenate(x) for x in zip(*parts))
                 made = settled(name, context, batch.column(0).to_numpy()[row], place, reach, prefix)
@@ -181,10 +190,10 @@ def same_contexts(found: DataFrame, length: int, prefix: int) -> DataFrame:
             first_doc = np.where(group >= 0, doc[head[group]] if len(head) else 0, last[2] if last[2] is not None else 0)
             first_place = np.where(group >= 0, place[head[group]] if len(head) else 0, last[3] if last[3] is not None else 0)
             later = same_context & ((doc != first_doc) | (place != first_place))
-            at = place[later] >> 8
+            at = place[later] >> REST_BITS
             doc_out.append(doc[later])
             low.append(np.maximum(at - reach, 0))
-            high.append(at + prefix + (place[later] & 255))
+            high.append(at + prefix + (place[later] & ((1 << REST_BITS) - 1)))
             named.append(np.full(len(at), -1))
             # first rows of a name's contexts, where it has two or more
             lead_same = same_name[head]
@@ -193,13 +202,13 @@ def same_contexts(found: DataFrame, length: int, prefix: int) -> DataFrame:
                 doc_out.append(np.array([pending[2]]))
                 named.append(np.array([pending[0]]))
                 low.append(np.array([-1]))
-                high.append(np.array([pending[3] >> 8]))
+                high.append(np.array([pending[3] >> REST_BITS]))
                 pending = None
             ask = head[lead_same | follows]
             doc_out.append(doc[ask])
             named.append(name[ask])
             low.append(np.full(len(ask), -1))
-            high.append(place[ask] >> 8)
+            high.append(place[ask] >> REST_BITS)
             if len(head):
                 pending = None if lead_same[-1] else (name[head[-1]], context[head[-1]], doc[head[-1]], place[head[-1]])
                 last = (name[head[-1]], context[head[-1]], doc[head[-1]], place[head[-1]])
@@ -274,13 +283,75 @@ def different_contexts(around: DataFrame, length: int, prefix: int) -> DataFrame
     return around.repartition(n, "name").sortWithinPartitions("name", "doc_id", "at").mapInArrow(run, "doc_id long, low long, high long")
 
 
+def by_strings(around: DataFrame, length: int, prefix: int) -> DataFrame:
+    """What ``different_contexts`` gives, by a sort of all strings around the places of ``around``.
+
+    A task tells of later copies that it sees itself and sends on the first of each string alone;
+    dealt by string and sorted, those are read as a stream.
+    """
+    reach = length - prefix
+
+    def strings(batches):
+        for batch in slices(batches, 4096):
+            doc, at, before = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            keys, docs, starts = [], [], []
+            for d, a, b, x in zip(doc.tolist(), at.tolist(), before.tolist(), batch.column(4).to_pylist()):
+                data = np.frombuffer(x, np.uint8)
+                n = len(data) - length + 1
+                if n > 0:
+                    begin = np.arange(n)
+                    keys.append(Rolling(data, _TWO).of(begin, begin + length))
+                    docs.append(np.full(n, d))
+                    starts.append(a - b + begin)
+            if not keys:
+                continue
+            key, d, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+            order = np.lexsort((start, d, key))
+            key, d, start = key[order], d[order], start[order]
+            head = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = (d != d[first]) | (start != start[first])
+            # runs of later strings of a document are one span
+            order = np.lexsort((start[later], d[later]))
+            of, low = d[later][order], start[later][order]
+            begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (low[1:] > low[:-1] + length))) if len(of) else np.empty(0, int)
+            last = np.append(begin[1:], len(of)) - 1 if len(begin) else begin
+            ready = pa.nulls(len(begin), pa.int64())
+            yield pa.RecordBatch.from_arrays([ready, pa.array(of[begin]), pa.array(low[begin]), pa.array(low[last] + length)], ["string", "doc_id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(d[head]), pa.array(start[head]), pa.array(start[head] + length)], ["string", "doc_id", "low", "high"])
+
+    def later_ones(batches):
+        last = None  # the string, document and start of the current run's first row
+        for batch in batches:
+            key, doc, low, high = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            head = np.append(last is None or key[0] != last[0], key[1:] != key[:-1])
+            at = np.where(head, np.arange(len(key)), -1)
+            at = np.maximum.accumulate(at)
+            first_doc, first_low = np.where(at >= 0, doc[at], last[1] if last else 0), np.where(at >= 0, low[at], last[2] if last else 0)
+            later = (doc != first_doc) | (low != first_low)
+            yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (doc, low, high)], ["doc_id", "low", "high"])
+            last = (key[-1], int(first_doc[-1]), int(first_low[-1]))
+
+    told = stored(around.mapInArrow(strings, "string long, doc_id long, low long, high long"), "strings")
+    n = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = told.where("string is not null").repartition(n, "string").sortWithinPartitions("string", "doc_id", "low")
+    found = dealt.mapInArrow(later_ones, "doc_id long, low long, high long")
+    return told.where("string is null").select("doc_id", "low", "high").unionByName(found)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, periodic: bool = False) -> DataFrame:
-    """doc_id and spans (array of low, high) of the bytes to remove, overlaps included; ``docs`` has doc_id and text."""
+    """doc_id and spans (array of low, high) of the bytes to remove, overlaps included; ``docs`` has doc_id and text, ids are unique."""
     source = docs.where("doc_id is not null and text is not null")
     told = stored(same_contexts(samples(source, length, prefix, periodic), length, prefix), "contexts")
-    asked = told.where("low is null").distinct()
-    more = different_contexts(contexts(source, asked, length, prefix), length, prefix)
-    spans = told.where("low is not null").select("doc_id", "low", "high").union(more)
+    asked = told.where("low is null").select("doc_id", "high", "name").distinct()
+    long = stored(asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_NAME).select("name"), "long-names")
+    some = long.first() is not None
+    short = asked.join(few_rows(long), "name", "left_anti").select("doc_id", "high", "name") if some else asked
+    spans = told.where("low is not null").select("doc_id", "low", "high").union(different_contexts(contexts(source, short, length, prefix), length, prefix))
+    if some:
+        spans = spans.union(by_strings(contexts(source, asked.join(few_rows(long), "name", "left_semi").select("doc_id", "high", "name"), length, prefix), length, prefix))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
@@ -303,9 +374,19 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str, kept: list[str]) -> DataFrame:
-    spans = repeated_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), length)
-    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("spans.low").alias("span_low"), F.col("spans.high").alias("span_high"))
-    return docs.join(spans, F.col(doc_id) == F.col("span_doc"), "left").select(*kept, "span_low", "span_high")
+    """``kept`` columns of ``docs`` with span_low and span_high, arrays."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ends = lambda spans, key: spans.select(F.col("doc_id").alias(key), F.col("spans.low").alias("span_low"), F.col("spans.high").alias("span_high"))
+    ids = source.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").limit(1).count() == 0:
+        return docs.join(ends(repeated_spans(source, length), "span_doc"), F.col(doc_id) == F.col("span_doc"), "left").select(*kept, "span_low", "span_high")
+    # different texts of one id are documents of their own, numbered in order of id and text
+    rows = source.where("doc_id is not null and text is not null").distinct().orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, "numbered")
+    spans = ends(repeated_spans(rows.select(F.col("row").alias("doc_id"), "text"), length), "row")
+    named = rows.join(spans, "row").select(F.col("doc_id").alias("span_doc"), F.xxhash64("text").alias("span_hash"), F.col("text").alias("span_text"), "span_low", "span_high")
+    same = (F.col(doc_id) == F.col("span_doc")) & (F.xxhash64(docs[text]) == F.col("span_hash")) & (docs[text] == F.col("span_text"))
+    return docs.join(named, same, "left").select(*kept, "span_low", "span_high")
 
 
 def _spans(low, high) -> list[tuple[int, int]]:
@@ -315,9 +396,9 @@ def _spans(low, high) -> list[tuple[int, int]]:
 def removal(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
-    A null text counts as empty. Ids order the documents and have to be unique: rows that share
-    one count as one document, and rows without id neither lose bytes nor make others lose
-    them. Other columns are ignored.
+    A null text counts as empty. Ids order the documents; different texts of one id are documents
+    in the order of their texts; rows of one id and text count as one document. Rows without
+    id neither lose bytes nor make others lose them. Other columns are ignored.
     """
 
     def run(batches):

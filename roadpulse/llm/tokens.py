@@ -3,8 +3,9 @@
 A text is cut only where the tokenizer's own pattern always cuts: the byte-level one before a
 space that a visible character follows and around a lone newline, the word one at ASCII
 white space. What lies between is a unit; a worker encodes each new unit once and keeps it in
-a bounded table. Long units (no such cut for LONG characters) are encoded by tree
-concatenation.
+a bounded table. Of byte-level units over LONG characters the pieces that no pattern splits
+are encoded by tree concatenation: leaves together, in threads where there are many, then
+neighbours joined level by level with windows that grow until both sides agree.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import os
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Units longer than this many characters go through tree concatenation, in leaves of LEAF.
-LONG, LEAF = 8192, 2048
+LONG, LEAF = 16, 8
+#: Leaves that one call encodes; several calls run in threads.
+CHUNK, THREADS = 4096, 4
 #: Units a worker keeps for good.
 KEPT = 600_000
 
@@ -133,7 +137,13 @@ class Codec:
 
     def tree(self, piece: str, leaf: int = LEAF) -> list[int]:
         """Encodes leaves of one unsplit piece together, then joins neighbours level by level."""
-        level = self._encode([piece[i : i + leaf] for i in range(0, len(piece), leaf)])
+        parts = [piece[i : i + leaf] for i in range(0, len(piece), leaf)]
+        chunks = [parts[i : i + CHUNK] for i in range(0, len(parts), CHUNK)]
+        if len(chunks) > 1:  # the library lets go of the interpreter while it encodes
+            with ThreadPoolExecutor(THREADS) as pool:
+                level = [ids for found in pool.map(self._encode, chunks) for ids in found]
+        else:
+            level = self._encode(parts)
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]

@@ -223,8 +223,9 @@ def test_difference_cover():
         assert {(a - b) % m for a in cover for b in cover} == set(range(m))
 
 
-@pytest.mark.parametrize("length, prefix, periodic", [(100, 32, False), (20, 8, False), (100, 28, True)])
-def test_repeated_bytes(make, corpus, length, prefix, periodic):
+@pytest.mark.parametrize("length, prefix, periodic, long_name", [(100, 32, False, 1024), (20, 8, False, 1024), (100, 28, True, 1024), (20, 8, False, 3), (400, 32, False, 1024), (150, 32, False, 2)])
+def test_repeated_bytes(make, corpus, length, prefix, periodic, long_name, monkeypatch):
+    monkeypatch.setattr(repeats, "LONG_NAME", long_name)
     rows = corpus + [(400, "ab" * 150), (401, "é" * 120), (402, "ab" * 60)]
     masks = removed(rows, length)
     docs = make(rows)
@@ -235,6 +236,16 @@ def test_repeated_bytes(make, corpus, length, prefix, periodic):
             mask[a:b] = b"\1" * (b - a)
         assert mask == masks[i], i
     assert any(spans.values())
+    with pytest.raises(ValueError):
+        repeats.repeated_spans(docs, 1 << 17).collect()
+
+
+def test_different_texts_of_one_id(make):
+    r = np.random.default_rng(1)
+    one, two = ("".join(r.choice(list("abcdefgh"), 300)) for _ in range(2))
+    rows = [(1, one), (5, one), (5, two), (5, None), (9, two), (None, one)]
+    out = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.removal(make(rows)).collect())
+    assert out == [(0, 300, 0), (1, 300, 0), (5, 0, 0), (5, 300, 0), (5, 300, 300), (9, 300, 300)]
 
 
 def test_removal_rows(make, corpus):
