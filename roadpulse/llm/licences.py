@@ -1,6 +1,6 @@
 """Licence notices by a positional index of rare words, in DataFrame functions only.
 
-Templates are short licence notices. The index lists the places of the licence words of their
+Templates are licence notices, short and full ones. The index lists the places of the licence words of their
 key phrases that are rarest in the corpus, two of each template. All of these are looked up in a
 text; a template is a candidate at a place where its two agree on its position (a key phrase
 with one licence word: where that stands), so none whose key phrase stands is passed over. There the template is compared word by
@@ -23,7 +23,7 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 
 @dataclass(frozen=True)
 class Template:
-    """A notice; the words between brackets are its key phrase."""
+    """A notice; the words between brackets are its key phrases."""
 
     label: str
     notice: str
@@ -34,8 +34,13 @@ class Template:
 
     @property
     def key(self) -> list[int]:
-        before = len(re.findall(r"[a-z0-9]+", self.notice.partition("[")[0]))
-        return list(range(before, before + len(re.findall(r"[a-z0-9]+", self.notice.partition("[")[2].partition("]")[0]))))
+        """The places of the words of the key phrases."""
+        out, at = [], 0
+        for k, part in enumerate(re.split(r"[\[\]]", self.notice)):
+            n = len(re.findall(r"[a-z0-9]+", part))
+            out += range(at, at + n) if k % 2 else ()
+            at += n
+        return out
 
 
 TEMPLATES = (
@@ -51,12 +56,32 @@ TEMPLATES = (
     Template("cc-by-nc-4.0", "licensed under [cc by nc 4 0]"),
     Template("cc-by-sa-4.0", "licensed under [cc by sa 4 0]"),
     Template("cc-by", "licensed under a [creative commons attribution] license"),
-)
-#: Words of the templates that the index lists; the others are too common to look up.
-LICENCE_WORDS = tuple(
-    "apache attribution binary cc charge commons copy creative forms general gnu granted hereby lesser license licensed mit modification mozilla nc obtaining permission "
-    "permitted public redistribution released sa software source subject terms version".split()
-)
+    Template("agpl", "under the terms of the [gnu affero general public license]"),
+    Template("boost-1.0", "distributed under the [boost software license version 1 0]"),
+    Template("unlicense", "[this is free and unencumbered software released into the public domain]"),
+    Template("isc", "[permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted] provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("apache-2.0", """licensed under the [apache license version 2 0] the license you may not use this file except in compliance with the license you may obtain a copy of the license at
+        http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"""),
+    Template("mit", """[permission is hereby granted free of charge to any person] obtaining a copy of this software and associated documentation files the software to deal in the software without
+        restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
+        software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a
+        particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability"""),
+    Template("bsd-3-clause", """[redistribution and use in source and binary forms with or without modification are permitted] provided that the following conditions are met redistributions of source code
+        must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of
+        conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""),
+    Template("gpl-2.0", """this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license] as published by the free software foundation
+        either [version 2] of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty"""),
+    Template("gpl-3.0", """this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license] as published by the free software foundation
+        either [version 3] of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty"""),
+    Template("mpl-2.0", """this source code form is subject to the terms of the [mozilla public license v 2 0] if a copy of the mpl was not distributed with this file you can obtain one at http mozilla
+        org mpl 2 0"""),
+)
+#: Words that say little of a licence, wherever they stand.
+COMMON = frozenset("a and any are by for in into is of or the this to with without 0 1 2 3 4 v".split())
+#: Words of the key phrases that the index lists.
+LICENCE_WORDS = tuple(sorted({t.words[k] for t in TEMPLATES for k in t.key} - COMMON))
 #: Rarest licence words of a template's key phrase that are looked up; least share of a template's words in place.
 LOOKED_UP, LEAST_SCORE = 2, 0.6
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

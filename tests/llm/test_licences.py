@@ -1,3 +1,4 @@
+import random
 import re
 
 from roadpulse.llm import licences
@@ -43,3 +44,35 @@ def test_texts_with_several_notices(make):
     assert every <= by[1] and every <= by[2]
     assert by[3] == {"mit", "bsd-3-clause"} and by[4] == {"apache", "apache-2.0"} and by[5] == {"cc-by", "cc-by-4.0"}
     assert all(t.label in by[10 + k] for k, t in enumerate(licences.TEMPLATES))
+
+
+def brute(text):
+    """Labels and score by holding every template against every place of a text."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels = {label for phrase, label in licences.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()}
+    best = 0.0
+    for t in licences.TEMPLATES:
+        for start in range(-len(t.words), len(w)):
+            at = lambda k: w[start + k] if 0 <= start + k < len(w) else ""  # noqa: B023, E731
+            if all(at(k) == t.words[k] for k in t.key):
+                score = sum(at(k) == x for k, x in enumerate(t.words)) / len(t.words)
+                if score >= licences.LEAST_SCORE:
+                    labels.add(t.label)
+                    best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_match_brute_force(make, corpus):
+    r = random.Random(4)
+    notices = [t.notice.replace("[", "").replace("]", "") for t in licences.TEMPLATES]
+    rows = [(i, t) for i, t in corpus if not t or len(t) < 5000] + [(1000 + k, n) for k, n in enumerate(notices)]
+    for k in range(150):  # notices with words changed, dropped and added, several in a text
+        words = " ".join(r.choice(notices) for _ in range(r.randint(1, 3))).split()
+        for _ in range(r.randint(0, 8)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice(([], ["Word"], [words[at], "license"], [words[at].upper()], ["gnu", words[at]]))
+        rows.append((2000 + k, " ".join(words)))
+    rows += [(5000, "the gnu " * 3000 + "released under the MIT license" + " x" * 9000), (5001, "mit" * 5000)]
+    for x in licences.scan(make(rows)).collect():
+        labels, score = brute(dict(rows)[x.doc_id])
+        assert x.labels == labels and abs(x.score - score) < 1e-12, x.doc_id
