@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadpulse.functions.store import kept
+
 BY_TIME = ["timedate", "id"]
 
 
@@ -19,11 +21,13 @@ def dedup_fixes(df: DataFrame, keys: tuple[str, ...] = ("latitude", "longitude",
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def filter_quality(df: DataFrame, grade: tuple[int, int] = (1, 15), drop_idle: bool = True, drop_zero_speed: bool = False, year: int | None = None) -> DataFrame:
-    """Fixes of grades in a range; optionally none that stand while the odometer has run, none at speed 0, one year."""
+def filter_quality(df: DataFrame, grade: tuple[int, int] = (1, 15), drop_idle: bool = True, drop_zero_speed: bool = False, drop_zero_odometer: bool = False, drop_engine_off: bool = False, year: int | None = None) -> DataFrame:
+    """Fixes of grades in a range; optionally none that stand while the odometer has run, none at speed 0, odometer 0 or panel 0, one year."""
     out = df.where(F.col("grade").between(*grade))
     out = out.where(~((F.col("progressive") != 0) & (F.col("speed") == 0))) if drop_idle else out
     out = out.where(F.col("speed") != 0) if drop_zero_speed else out
+    out = out.where(F.col("progressive") != 0) if drop_zero_odometer else out
+    out = out.where(F.col("panel") != 0) if drop_engine_off else out
     return out if year is None else out.where(F.year("timedate") == year)
 
 
@@ -107,15 +111,17 @@ def between_times(df: DataFrame, first: str, last: str, idterm: int | None = Non
 def add_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Consecutive numbers from 1 in ``order``.
 
-    Rows are sorted by range over all partitions and numbered within each; each partition then
-    starts after the rows of those before it, so no task holds them all.
+    Rows are sorted by range over all partitions and written with their place in their partition;
+    sizes and numbers both come from that table, as a second sort might cut its ranges
+    elsewhere. Each partition starts after the rows of those before it, so no task holds them all.
     """
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    # the id's low 33 bits number a partition's rows
-    ordered = ordered.withColumn("_at", F.col("_mono").bitwiseAND((1 << 33) - 1))
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    place = "_place"
+    ordered = kept(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "row-ids")
+    part, at = F.shiftright(place, 33), F.col(place).bitwiseAND((1 << 33) - 1)  # the id's low 33 bits number a partition's rows
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ordered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_mono", "_at", "_before")
+    numbered = ordered.join(F.broadcast(before), part == F.col("_part"))  # a row a partition
+    return numbered.select(*(ordered[c] for c in df.columns), (F.col("_before") + at + 1).alias(name))
 
 
 def pending_keys(all_keys: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

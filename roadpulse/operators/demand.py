@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadpulse.functions.store import kept
 from roadpulse.operators.network import path_edges, shortest_paths
 from roadpulse.operators.traffic import EDGE, edge_speed_time
 from roadpulse.operators.traffic import trip_od as ends_of_trips
@@ -33,6 +34,13 @@ def travel_demand(paths: DataFrame, counts: DataFrame, months: int = 1, hours: i
     return on.agg((F.sum("counts") / months / 30 / hours).alias("demand"))
 
 
+def travel_demand_15min(paths: DataFrame, trav: DataFrame) -> DataFrame:
+    """Vehicles per hour along each path: the mean, over its quarters of an hour with traffic, of the records per edge and quarter / 0.25."""
+    quarter = trav.groupBy(*EDGE, F.window(F.col("timedate").cast("timestamp"), "15 minutes").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    per = paths.join(quarter, EDGE).groupBy("origin", "destination", "q").agg(F.avg("n").alias("n"))
+    return per.groupBy("origin", "destination").agg((F.avg("n") / 0.25).alias("demand"))
+
+
 def delay(demand: Column, dt: Column, closed_h: float) -> Column:
     """Delay of a demand while edges are closed for ``closed_h`` hours: detours of ``dt`` hours, or waiting if those are longer."""
     return F.when(dt < closed_h, demand * dt * (closed_h - dt / 2)).otherwise(demand * closed_h * closed_h / 2)
@@ -47,9 +55,9 @@ def closure_impact(cell_edges: DataFrame, od: DataFrame, edges: DataFrame, deman
     base = shortest_paths(edges, od.select("origin"), "cost")
     along = path_edges(base, od.select("origin", "destination"))
     crossed = along.join(cell_edges, EDGE).select("cell", "origin", "destination").distinct()
-    price = edges.select(*EDGE, "cost").crossJoin(F.broadcast(crossed.select("cell").distinct()))
-    closed = price.join(cell_edges.withColumn("_in", F.lit(1)), ["cell", *EDGE], "left").withColumn("cost", F.col("cost") + F.when(F.col("_in").isNotNull(), penalty).otherwise(0.0)).drop("_in")
-    then = shortest_paths(closed, crossed.select("cell", "origin"), "cost").select("cell", "origin", F.col("node").alias("destination"), F.col("dist").alias("t1"))
+    crossed = kept(crossed, "crossed")
+    more = cell_edges.select("cell", *EDGE).distinct().withColumn("extra", F.lit(float(penalty)))
+    then = shortest_paths(edges, crossed.select("cell", "origin"), "cost", extra=more).select("cell", "origin", F.col("node").alias("destination"), F.col("dist").alias("t1"))
     before = base.select("origin", F.col("node").alias("destination"), F.col("dist").alias("t0"))
     out = crossed.join(before, ["origin", "destination"]).join(then, ["cell", "origin", "destination"]).join(demand, ["origin", "destination"])
     out = out.withColumn("dt", (F.col("t1") - F.col("t0")) / 3600)
@@ -62,11 +70,17 @@ def cell_importance(impacts: DataFrame, cell_edges: DataFrame) -> DataFrame:
     return cell_edges.select(*EDGE, "cell").distinct().join(per, "cell").select(*EDGE, "cell", "importance")
 
 
-def normalise_vulnerability(df: DataFrame) -> DataFrame:
-    """Importance relative to the largest, and its scale."""
-    out = df.crossJoin(F.broadcast(df.agg(F.max("importance").alias("_top"))))
+def normalise_vulnerability(df: DataFrame, tags: tuple[str, ...] = (), per_edge: bool = False) -> DataFrame:
+    """Importance relative to the largest, and its scale, for each edge and cell or, with ``per_edge``, each edge (the sum over its cells).
+
+    With ``tags`` (such as month and day) each of their values has a largest of its own.
+    """
+    key = [*EDGE] if per_edge else [*EDGE, "cell"]
+    rows = df.groupBy(*tags, *EDGE).agg(F.sum("importance").alias("importance")) if per_edge else df
+    top = rows.groupBy(*tags).agg(F.max("importance").alias("_top")) if tags else rows.agg(F.max("importance").alias("_top"))
+    out = rows.join(top, list(tags)) if tags else rows.crossJoin(F.broadcast(top))
     share = F.col("importance") / F.col("_top")
-    return out.select(*EDGE, "cell", F.bround(share, 4).alias("importance"), F.bround(share * 3 + 0.1, 4).alias("scales"))
+    return out.select(*tags, *key, F.bround(share, 4).alias("importance"), F.bround(share * 3 + 0.1, 4).alias("scales"))
 
 
 def vulnerability_difference(everyone: DataFrame, heavy: DataFrame) -> DataFrame:

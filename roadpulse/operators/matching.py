@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpulse.functions.geo import cell, haversine
-from roadpulse.operators.cleaning import BY_TIME, epoch
-from roadpulse.operators.network import path_edges, shortest_paths
-
-METRES_PER_DEGREE = 111195.0
+from roadpulse.functions.geo import along_segment, cell, to_segment
+from roadpulse.functions.store import kept
+from roadpulse.operators.cleaning import BY_TIME, epoch, fill_gaps
+from roadpulse.operators.network import path_edges, shortest_paths, with_ends
 
 
 def matchable_trips(clean: DataFrame, min_fixes: int = 6) -> DataFrame:
@@ -31,29 +31,22 @@ def trip_bbox_nodes(trips: DataFrame, nodes: DataFrame, ext: float = 0.03, size:
     return b.join(n, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").select("TRIP_ID", "node")
 
 
-def _to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Metres from a point to a segment on the local plane."""
-    k = F.cos(F.radians(py))
-    ax, ay, bx, by = (px - x1) * k, py - y1, (x2 - x1) * k, y2 - y1
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(ax * bx + ay * by, bx * bx + by * by), F.lit(0.0))))
-    return F.sqrt(F.pow(ax - t * bx, 2) + F.pow(ay - t * by, 2)) * METRES_PER_DEGREE
-
-
 def candidates(fixes: DataFrame, edges: DataFrame, nodes: DataFrame, radius_m: float = 9.0, size: float = 0.001) -> DataFrame:
-    """(TRIP_ID, id, timedate, longitude, latitude, progressive, u, v, distance) of edges within ``radius_m`` of each fix.
+    """(TRIP_ID, id, timedate, longitude, latitude, progressive, u, v, distance, along) of edges within ``radius_m`` of each fix.
 
-    Edges are listed in the squares of their bounding boxes, fixes in theirs and the eight around.
+    ``along`` is the share of the edge at which it is nearest. Edges are listed in the squares of
+    their bounding boxes, fixes in theirs and as many around as the radius reaches.
     """
-    at = lambda p, c: nodes.select(F.col("node").alias(c), F.col("x").alias(f"x{p}"), F.col("y").alias(f"y{p}"))
-    e = edges.select("u", "v").distinct().join(at(1, "u"), "u").join(at(2, "v"), "v")
+    e = with_ends(edges, nodes)
     span = lambda a, b: F.sequence(cell(F.least(a, b), size), cell(F.greatest(a, b), size))
     e = e.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    f = fixes.select("TRIP_ID", "id", "timedate", "longitude", "latitude", "progressive").withColumn("_c", F.explode(around))
-    f = f.withColumns({"cx": cell(F.col("longitude"), size) + F.col("_c.i"), "cy": cell(F.col("latitude"), size) + F.col("_c.j")}).drop("_c")
-    d = _to_segment(F.col("longitude"), F.col("latitude"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    out = f.join(e, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius_m)
-    return out.select("TRIP_ID", "id", "timedate", "longitude", "latitude", "progressive", "u", "v", "distance").distinct()
+    far = F.lit(radius_m / 111195.0) / F.cos(F.radians("latitude"))
+    f = fixes.select("TRIP_ID", "id", "timedate", "longitude", "latitude", "progressive")
+    f = f.withColumn("cx", F.explode(F.sequence(cell(F.col("longitude") - far, size), cell(F.col("longitude") + far, size))))
+    f = f.withColumn("cy", F.explode(F.sequence(cell(F.col("latitude") - radius_m / 111195.0, size), cell(F.col("latitude") + radius_m / 111195.0, size))))
+    ends = [F.col(c) for c in ("longitude", "latitude", "x1", "y1", "x2", "y2")]
+    out = f.join(e, ["cx", "cy"]).withColumn("distance", to_segment(*ends)).where(F.col("distance") <= radius_m)
+    return out.select("TRIP_ID", "id", "timedate", "longitude", "latitude", "progressive", "u", "v", "distance", along_segment(*ends).alias("along")).distinct()
 
 
 def drop_ambiguous(cands: DataFrame, max_edges: int = 3) -> DataFrame:
@@ -82,50 +75,87 @@ def beta_of(differences: DataFrame, col: str = "difference") -> DataFrame:
     return differences.agg((F.median(col) / math.log(2)).alias("beta"))
 
 
-def match_trips(cands: DataFrame, edges: DataFrame, sigma: float = 5.0, beta: float = 0.5) -> DataFrame:
+def steps(cands: DataFrame, edges: DataFrame, slack_m: float = 5.0) -> DataFrame:
+    """Pairs of candidates of consecutive fixes with the route between them: TRIP_ID, id, u, v, from_u, from_v, route_km, odometer_km.
+
+    A route goes along the first edge to its end, by the least path to the start of the second
+    and along that. Least paths come from one batch over the distinct pairs of nodes and go no
+    farther than some odometer does. Pairs whose route is longer than the odometer by more than
+    ``slack_m`` are left out, as are those without a route.
+    """
+    w = Window.partitionBy("TRIP_ID").orderBy(*BY_TIME)
+    fixes = cands.groupBy("TRIP_ID", "timedate", "id").agg(F.first("progressive").alias("progressive"))
+    fixes = fixes.select("TRIP_ID", "id", F.lag("id").over(w).alias("last_id"), (F.col("progressive") - F.lag("progressive").over(w)).alias("odometer"))
+    long = edges.groupBy("u", "v").agg(F.min("length").cast("double").alias("length"))
+    placed = kept(cands.select("TRIP_ID", "id", "u", "v", "along").join(long, ["u", "v"]), "candidates")
+    last = placed.select("TRIP_ID", *(F.col(c).alias(f"last_{c}") for c in ("id", "u", "v", "along", "length")))
+    pairs = placed.join(fixes.where("last_id is not null and odometer >= 0"), ["TRIP_ID", "id"]).join(last, ["TRIP_ID", "last_id"])
+    pairs = kept(pairs, "pairs")
+    same = (F.col("u") == F.col("last_u")) & (F.col("v") == F.col("last_v")) & (F.col("along") >= F.col("last_along"))
+    ends = pairs.where(~same).groupBy(F.col("last_v").alias("origin")).agg((F.max("odometer") + slack_m).cast("double").alias("reach"))
+    best = shortest_paths(edges, ends, "length").select(F.col("origin").alias("last_v"), F.col("node").alias("u"), "dist")
+    out = pairs.join(best, ["last_v", "u"], "left")
+    by_path = (1 - F.col("last_along")) * F.col("last_length") + F.col("dist") + F.col("along") * F.col("length")
+    out = out.withColumn("route", F.when(same, (F.col("along") - F.col("last_along")) * F.col("length")).otherwise(by_path))
+    out = out.where(F.col("route") <= F.col("odometer") + slack_m)
+    return out.select("TRIP_ID", "id", "u", "v", F.col("last_u").alias("from_u"), F.col("last_v").alias("from_v"), (F.col("route") / 1000).alias("route_km"), (F.col("odometer") / 1000).alias("odometer_km"))
+
+
+#: What a step costs that no route explains, and the least probability that is told apart, as logarithms.
+NO_ROUTE, LEAST_LOG = -60.0, 1e-25
+
+
+def match_trips(cands: DataFrame, edges: DataFrame, sigma: float | None = None, beta: float | None = None, slack_m: float = 5.0) -> DataFrame:
     """(TRIP_ID, id, timedate, u, v) of the likeliest edge of each fix: Viterbi's algorithm, a trip at a time.
 
-    Staying on an edge costs nothing, going on to the next one little, anything else by ``beta``
-    an unlinked step. Edges are joined as the neighbours that a candidate can go on to, so that
-    the decoder reads its trip alone.
+    Fixes agree with edges by ``emission`` (``sigma`` metres, by default each trip's own
+    ``sigma_z``, 1 at least), steps between edges with the odometer by ``transition`` (``beta``
+    kilometres, by default ``beta_of`` all steps, 0.001 at least). Where no step is possible the
+    trip goes on at a high cost. ``edges`` has length in metres.
     """
-    after = edges.groupBy(F.col("u").alias("v")).agg(F.collect_set(F.col("v")).alias("onward"))
-    rows = cands.select("TRIP_ID", "id", "timedate", "u", "v", "distance").join(after, "v", "left")
+    moves = kept(steps(cands, edges, slack_m).withColumn("difference", F.abs(F.col("route_km") - F.col("odometer_km"))), "steps")
+    if beta is None:
+        beta = max(beta_of(moves).first()[0] or 0.0, 0.001)
+    near = F.least("route_km", "odometer_km")  # routes within the slack count as on the odometer
+    log = lambda p: F.log(F.greatest(p, F.lit(LEAST_LOG)))
+    back = moves.groupBy("TRIP_ID", "id", "u", "v").agg(F.collect_list(F.struct("from_u", "from_v", log(transition(near, F.col("odometer_km"), beta)).alias("p"))).alias("back"))
+    width = sigma_z(cands).select("TRIP_ID", F.greatest("sigma", F.lit(1.0)).alias("sigma")) if sigma is None else cands.select("TRIP_ID").distinct().withColumn("sigma", F.lit(float(sigma)))
+    rows = cands.join(width, "TRIP_ID").select("TRIP_ID", "id", "timedate", "u", "v", log(emission(F.col("distance"), F.col("sigma"))).alias("p"))
+    rows = rows.join(back, ["TRIP_ID", "id", "u", "v"], "left").select("TRIP_ID", "id", "timedate", "u", "v", "p", F.col("back.from_u").alias("from_u"), F.col("back.from_v").alias("from_v"), F.col("back.p").alias("step"))
 
     def decode(trip: pd.DataFrame) -> pd.DataFrame:
-        steps = [g for _, g in trip.sort_values(["timedate", "id", "u", "v"]).groupby(["timedate", "id"], sort=True)]
-        back, last, score = [], [], []
-        for g in steps:
-            here = [(int(u), int(v), set(o) if o is not None else set()) for u, v, o in zip(g.u, g.v, g.onward)]
-            emit = [-0.5 * (d / sigma) ** 2 for d in g.distance]
-            if not last:
-                score, back = emit, [[-1] * len(here)]
-            else:
-                new, frm = [], []
-                for (u, v, _), e in zip(here, emit):
-                    costs = [s - (0.0 if (a, b) == (u, v) else 0.01 if b == u and v in o and v != a else 4.0 / beta) for s, (a, b, o) in zip(score, last)]
-                    k = max(range(len(costs)), key=lambda i: (costs[i], -i))
-                    new.append(costs[k] + e)
-                    frm.append(k)
-                score = new
-                back.append(frm)
-            last = here
-        k, out = max(range(len(score)), key=lambda i: (score[i], -i)), []
-        for g, frm in zip(reversed(steps), reversed(back)):
-            r = g.iloc[k]
-            out.append((r.TRIP_ID, r.id, r.timedate, r.u, r.v))
-            k = frm[k]
-        return pd.DataFrame(out[::-1], columns=["TRIP_ID", "id", "timedate", "u", "v"])
+        trip = trip.sort_values(["timedate", "id", "u", "v"], ignore_index=True)
+        starts = np.flatnonzero(trip["id"].ne(trip["id"].shift()).to_numpy())
+        ends = [*starts[1:], len(trip)]
+        emit, us, vs = trip["p"].to_numpy(), trip["u"].to_numpy(), trip["v"].to_numpy()
+        score, frm = emit.copy(), np.full(len(trip), -1)
+        for k in range(1, len(starts)):
+            a, b, c = starts[k - 1], starts[k], ends[k]
+            place = {(u, v): a + n for n, (u, v) in enumerate(zip(us[a:b], vs[a:b]))}
+            best = a + int(np.argmax(score[a:b]))
+            for i in range(b, c):
+                frm[i], top = best, score[best] + NO_ROUTE
+                if trip["from_u"][i] is not None:
+                    for u, v, p in zip(trip["from_u"][i], trip["from_v"][i], trip["step"][i]):
+                        j = place[u, v]
+                        if score[j] + p > top or (score[j] + p == top and j < frm[i]):
+                            frm[i], top = j, score[j] + p
+                score[i] = top + emit[i]
+        chosen, i = [], int(starts[-1] + np.argmax(score[starts[-1] :]))
+        while i >= 0:
+            chosen.append(i)
+            i = int(frm[i])
+        return trip.loc[chosen[::-1], ["TRIP_ID", "id", "timedate", "u", "v"]]
 
     schema = f"TRIP_ID string, id long, timedate {dict(cands.dtypes)['timedate']}, u long, v long"
     return rows.groupBy("TRIP_ID").applyInPandas(decode, schema)
 
 
-def traversals(matched: DataFrame, fixes: DataFrame, max_speed: int = 190) -> DataFrame:
-    """(TRIP_ID, sequenza, u, v, idtrace, timedate, mean_speed): one row per stretch on an edge.
+def stretches(matched: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(TRIP_ID, sequenza, u, v, idtrace, timedate, mean_speed): one row per stretch on an edge that fixes were matched to.
 
     The speed is that of the odometer between the stretch's first fix and the next stretch's, the
-    last fix's instant speed for the last; implausible ones are left out.
+    last fix's instant speed for the last.
     """
     w = Window.partitionBy("TRIP_ID").orderBy(*BY_TIME)
     rows = matched.join(fixes.select("id", "progressive", "speed"), "id")
@@ -134,7 +164,21 @@ def traversals(matched: DataFrame, fixes: DataFrame, max_speed: int = 190) -> Da
     metres, seconds = F.lead("progressive").over(w) - F.col("progressive"), epoch(F.lead("timedate").over(w)) - epoch("timedate")
     speed = F.coalesce(F.try_divide(metres * 3.6, seconds), F.col("speed").cast("double")).cast("long")
     out = first.withColumn("mean_speed", speed).withColumn("sequenza", F.row_number().over(w) - 1)
-    return out.where((F.col("mean_speed") > 0) & (F.col("mean_speed") < max_speed)).select("TRIP_ID", "sequenza", "u", "v", F.col("id").alias("idtrace"), "timedate", "mean_speed")
+    return out.select("TRIP_ID", "sequenza", "u", "v", F.col("id").alias("idtrace"), "timedate", "mean_speed")
+
+
+def traversals(matched: DataFrame, fixes: DataFrame, edges: DataFrame, max_speed: int = 190) -> DataFrame:
+    """(TRIP_ID, sequenza, u, v, idtrace, timedate, mean_speed): the edges of each trip's whole route, once each.
+
+    Edges that close gaps between fixes take fix, time and speed from the stretch before them;
+    implausible speeds are left out.
+    """
+    found = kept(stretches(matched, fixes), "stretches")
+    route = matched_route(found, edges).withColumn("sequenza", F.col("order") - 1)
+    own = found.groupBy("TRIP_ID", "u", "v").agg(F.min_by(F.struct("idtrace", "timedate", "mean_speed"), "sequenza").alias("o"))
+    rows = route.join(own, ["TRIP_ID", "u", "v"], "left").select("TRIP_ID", "sequenza", "u", "v", "o.*")
+    filled = fill_gaps(rows, ["TRIP_ID"], ["sequenza"], ["idtrace", "timedate", "mean_speed"])
+    return filled.where((F.col("mean_speed") > 0) & (F.col("mean_speed") < max_speed))
 
 
 def match_accuracy(trav: DataFrame, clean: DataFrame, key: str = "idtrajectory") -> DataFrame:
@@ -162,19 +206,23 @@ def accuracy_bands(acc: DataFrame, lo: float, hi: float, most_m: float = 25000,
     return acc.where((F.col("accuracy") > lo) & (F.col("accuracy") <= hi) & (F.col("matched") < most_m) & (F.col("matched") > least_m))
 
 
-def matched_route(matched: DataFrame, edges: DataFrame, weight: str = "length") -> DataFrame:
+def matched_route(matched: DataFrame, edges: DataFrame, weight: str = "length", shared: int = 2) -> DataFrame:
     """(TRIP_ID, u, v, order): the edges of each trip, gaps between matched edges closed by least paths.
 
     ``matched`` has TRIP_ID, sequenza, u and v. A gap's path comes from one batch over all distinct
-    (end, next start) pairs; an edge of a trip is listed once, where it comes first.
+    (end, next start) pairs. The last leg (gap and edge) is left out if the one before has
+    ``shared`` or more of its edges; an edge of a trip is listed once, where it comes first.
     """
     w = Window.partitionBy("TRIP_ID").orderBy("sequenza")
-    steps = matched.withColumns({"next_u": F.lead("u").over(w)})
-    gaps = steps.where(F.col("next_u").isNotNull() & (F.col("next_u") != F.col("v"))).select("TRIP_ID", "sequenza", F.col("v").alias("origin"), F.col("next_u").alias("destination"))
+    legs = matched.withColumns({"next_u": F.lead("u").over(w), "leg": F.row_number().over(w), "legs": F.count(F.lit(1)).over(Window.partitionBy("TRIP_ID"))})
+    gaps = legs.where(F.col("next_u").isNotNull() & (F.col("next_u") != F.col("v"))).select("TRIP_ID", (F.col("leg") + 1).alias("leg"), "legs", F.col("v").alias("origin"), F.col("next_u").alias("destination"))
     pairs = gaps.select("origin", "destination").distinct()
     fill = path_edges(shortest_paths(edges, pairs.select("origin"), weight), pairs)
-    between = gaps.join(fill, ["origin", "destination"]).select("TRIP_ID", "u", "v", "sequenza", (-F.col("back")).alias("at"), F.lit(1).alias("kind"))
-    own = steps.select("TRIP_ID", "u", "v", "sequenza", F.lit(0).alias("at"), F.lit(0).alias("kind"))
-    place = F.struct("sequenza", "kind", "at")
-    once = own.unionByName(between).groupBy("TRIP_ID", "u", "v").agg(F.min(place).alias("p"))
+    between = gaps.join(fill, ["origin", "destination"]).select("TRIP_ID", "u", "v", "leg", "legs", F.lit(0).alias("kind"), (-F.col("back")).alias("at"))
+    whole = kept(legs.select("TRIP_ID", "u", "v", "leg", "legs", F.lit(1).alias("kind"), F.lit(0).alias("at")).unionByName(between), "legs")
+    ends = whole.where("leg >= legs - 1 and legs > 1").groupBy("TRIP_ID", "u", "v").agg(F.count_distinct("leg").alias("n"))
+    back = ends.groupBy("TRIP_ID").agg(F.count_if(F.col("n") == 2).alias("common")).where(F.col("common") >= shared).select("TRIP_ID", F.lit(True).alias("back"))
+    whole = whole.join(back, "TRIP_ID", "left").where("back is null or leg < legs")
+    place = F.struct("leg", "kind", "at")
+    once = whole.groupBy("TRIP_ID", "u", "v").agg(F.min(place).alias("p"))
     return once.select("TRIP_ID", "u", "v", F.row_number().over(Window.partitionBy("TRIP_ID").orderBy("p")).alias("order"))

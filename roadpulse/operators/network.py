@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpulse.functions.geo import cell, haversine
+from roadpulse.functions.geo import EARTH_KM, cell, haversine, to_segment
+from roadpulse.functions.store import kept, remove, written
 
 #: km/h of each road class where an edge has no usable limit (fixed values).
 CLASS_SPEED = {
@@ -15,6 +14,8 @@ CLASS_SPEED = {
     "primary_link": 50, "motorway_link": 80, "trunk_link": 42, "motorway": 110, "living_street": 20, "road": 30, "other": 30,
 }
 OTHER_SPEED = 30
+#: The sine of 60 degrees; metres of a degree of latitude.
+HALF_ROOT, METRES_PER_DEGREE = 3**0.5 / 2, 111195.0
 #: Classes that vehicles don't drive on.
 EXCLUDED = ("footway", "service", "path", "steps", "cycleway", "pedestrian", "track")
 
@@ -61,54 +62,103 @@ def road_class_stats(edges: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("highway", "n", "km", F.bround(F.col("n") / F.col("all_n") * 100, 4).alias("n_pct"), F.bround(F.col("km") / F.col("all_km") * 100, 4).alias("km_pct"), "mean_limit", "max_limit", "min_limit")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (the warehouse where it has none) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def urban_totals(costed: DataFrame, urban_kmh: float = 50) -> DataFrame:
+    """Edges and kilometres of urban (speed by length and cost up to ``urban_kmh``) and extra-urban roads, and their percent."""
+    kmh = F.bround(F.col("length") / F.col("cost") * 3.6, 6)
+    per = costed.groupBy(F.when(kmh <= urban_kmh, "urban").otherwise("extra-urban").alias("area")).agg(F.count(F.lit(1)).alias("n"), (F.sum("length") / 1000).alias("km"))
+    total = per.agg(F.sum("n").alias("all_n"), F.sum("km").alias("all_km"))
+    return per.crossJoin(F.broadcast(total)).select("area", "n", "km", F.bround(F.col("n") / F.col("all_n") * 100, 4).alias("n_pct"), F.bround(F.col("km") / F.col("all_km") * 100, 4).alias("km_pct"))
+
+
+#: Rounds of ``shortest_paths`` after which its labels become one table again.
+COMPACT = 8
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length", max_iter: int = 1000) -> DataFrame:
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length", max_iter: int = 1_000_000, extra: DataFrame | None = None) -> DataFrame:
     """Least cost from each origin (column ``origin``, and any other key columns) to every node it reaches.
 
-    Batched relaxation: every round extends the labels that improved last by one edge and keeps
-    each node's best; ties take the smallest predecessor. Rows: keys, node, dist, pred. If
-    ``edges`` has key columns in common with ``origins`` (a scenario), paths use their own edges.
+    Batched relaxation: every round extends the labels that improved last by one edge and writes
+    those that improve now; ties take the smallest predecessor of the round. Rows: keys, node,
+    dist, pred. If ``edges`` has key columns in common with ``origins`` (a scenario), paths use
+    their own edges; ``extra`` (keys in common, u, v, extra) makes edges dearer in a scenario
+    without a copy of the others. If ``origins`` has a column ``reach``, nodes beyond that cost are left out.
     """
-    keys = [c for c in origins.columns if c != "origin"]
+    spark = edges.sparkSession
+    keys = [c for c in origins.columns if c not in ("origin", "reach")]
     shared = [c for c in keys if c in edges.columns]
     key = [*keys, "origin"]
+    reach = ["reach"] if "reach" in origins.columns else []
     roads = edges.groupBy(*shared, "u", "v").agg(F.min(weight).cast("double").alias("w"))
-    best = origins.distinct().select(*key, F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"))
-    front = best
+    dearer = [c for c in keys if extra is not None and c in extra.columns]
+    starts = origins.groupBy(*key).agg(F.max("reach").alias("reach")) if reach else origins.select(*key).distinct()
+    front, path = written(starts.select(*key, *reach, F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred")), "paths")
+    roads, roads_path = written(roads, "roads")
+    tables, paths = [front], [path]
     for k in range(max_iter):
         step = front.withColumnRenamed("node", "u").drop("pred").join(roads, [*shared, "u"])
-        step = step.select(*key, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("pred"), F.lit(True).alias("new"))
-        merged = best.withColumn("new", F.lit(False)).unionByName(step)
-        pick = F.min(F.struct("dist", F.col("new"), "pred")).alias("m")
-        best = kept(merged.groupBy(*key, "node").agg(pick).select(*key, "node", "m.dist", "m.pred", "m.new"), "paths")
-        front = best.where("new").drop("new")
-        best = best.drop("new")
-        if front.limit(1).count() == 0:
-            return best
-    raise RuntimeError(f"paths still improve after {max_iter} rounds")
-
-
-def path_edges(best: DataFrame, od: DataFrame, max_iter: int = 1000) -> DataFrame:
-    """The edges of the least path of each (origin, destination) and further keys of ``od``: keys, u, v, back (edges from the end)."""
+        if extra is not None:
+            step = step.join(extra, [*dearer, "u", "v"], "left").withColumn("w", F.col("w") + F.coalesce("extra", F.lit(0.0)))
+        step = step.select(*key, *reach, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("pred"))
+        step = step.where("dist <= reach") if reach else step
+        found = step.groupBy(*key, *reach, "node").agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, *reach, "node", "m.*")
+        known = _all(tables).groupBy(*key, "node").agg(F.min("dist").alias("known"))
+        better = found.join(known, [*key, "node"], "left").where("known is null or dist < known").drop("known")
+        front, path = written(better, "paths")
+        if front.first() is None:
+            remove(spark, [path])
+            break
+        tables.append(front)
+        paths.append(path)
+        if len(tables) > COMPACT:
+            best, path = written(_best(tables, [*key, *reach]), "paths")
+            remove(spark, paths[:-1])  # the last is the front
+            tables, paths = [best, front], [path, paths[-1]]
+    else:
+        raise RuntimeError(f"paths still improve after {max_iter} rounds")
+    out, _ = written(_best(tables, key), "paths")
+    remove(spark, [*paths, roads_path])
+    return out
+
+
+def _best(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    return _all(tables).groupBy(*key, "node").agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, "node", "m.*")
+
+
+def path_edges(best: DataFrame, od: DataFrame) -> DataFrame:
+    """The edges of the least path of each (origin, destination) and further keys of ``od``: keys, u, v, back (edges from the end).
+
+    Predecessors of predecessors are joined, so a path of any length takes a number of joins that
+    grows with its logarithm. Destinations that can't be reached have no rows.
+    """
     keys = [c for c in od.columns if c != "destination"]
-    labels = best.select(*keys, F.col("node").alias("at"), "pred").where("pred is not null")
-    walk = kept(od.distinct().withColumn("at", F.col("destination")), "walk")
-    out = None
-    for k in range(max_iter):
-        step = kept(walk.join(labels, [*keys, "at"]).select(*keys, "destination", F.col("pred").alias("u"), F.col("at").alias("v"), F.lit(k).alias("back")), "walk")
-        if step.limit(1).count() == 0:
+    jump, _ = written(best.select(*keys, F.col("node").alias("at"), F.col("pred").alias("to")).where("pred is not null"), "jumps")
+    labels, jumps = jump, [jump]
+    while True:  # each table leaps twice as far as the one before
+        onward = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("far"))
+        jump, _ = written(jump.join(onward, [*keys, "to"]).select(*keys, "at", F.col("far").alias("to")), "jumps")
+        if jump.first() is None:
             break
-        out = step if out is None else out.unionByName(step)
-        walk = step.select(*keys, "destination", F.col("u").alias("at"))
-    return out if out is not None else step
+        jumps.append(jump)
+    walk = od.distinct().withColumns({"at": F.col("destination"), "back": F.lit(0)})
+    for k in range(len(jumps) - 1, -1, -1):
+        further = walk.join(jumps[k], [*keys, "at"]).select(*keys, "destination", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back"))
+        walk, _ = written(walk.unionByName(further), "walk")
+    return walk.join(labels, [*keys, "at"]).select(*keys, "destination", F.col("to").alias("u"), F.col("at").alias("v"), "back")
+
+
+def path_totals(paths: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFrame:
+    """Kilometres, hours and mean speed (km/h) of each path: keys, destination, n_edges, km, hours, kmh."""
+    keys = [c for c in paths.columns if c not in ("u", "v", "back")]
+    priced = edges.groupBy("u", "v").agg(F.min("length").alias("_m"), F.min(cost).alias("_s"))
+    per = paths.join(priced, ["u", "v"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"), (F.sum("_m") / 1000).alias("km"), (F.sum("_s") / 3600).alias("hours"))
+    return per.withColumn("kmh", F.try_divide("km", "hours"))
 
 
 def closeness(edges: DataFrame) -> DataFrame:
@@ -158,14 +208,21 @@ def _shares(edges: DataFrame, weight: str, sources: DataFrame | None) -> tuple[D
     return delta, share
 
 
-def betweenness_nodes(edges: DataFrame, weight: str = "length", sources: DataFrame | None = None, normalized: bool = True) -> DataFrame:
-    """Betweenness of nodes over all or given source nodes (column ``origin``)."""
+def betweenness_nodes(edges: DataFrame, weight: str = "length", sources: DataFrame | None = None, normalized: bool = True, endpoints: bool = False) -> DataFrame:
+    """Betweenness of nodes over all or given source nodes (column ``origin``); with ``endpoints`` a path's ends count as on it."""
     delta, _ = _shares(edges, weight, sources)
     n = edges.select("u").union(edges.select("v")).distinct().count()
-    scale = 1 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+    scale = (1 / (n * (n - 1)) if endpoints else 1 / ((n - 1) * (n - 2))) if normalized and n > 2 else 1.0
     if sources is not None:
         scale *= n / max(sources.count(), 1)
-    return delta.groupBy("node").agg(F.bround(F.sum(F.when(F.col("node") != F.col("origin"), F.col("n")).otherwise(0.0)) * scale, 9).alias("betweenness"))
+    own = F.col("node") == F.col("origin")
+    if endpoints:  # a node that an origin reaches ends a path there; an origin begins as many as it reaches nodes
+        reached = delta.where(~own).groupBy("origin").agg(F.count(F.lit(1)).cast("double").alias("r"))
+        delta = delta.join(reached, "origin", "left").withColumn("n", F.when(own, F.coalesce("r", F.lit(0.0))).otherwise(F.col("n") + 1))
+        value = F.col("n")
+    else:
+        value = F.when(own, 0.0).otherwise(F.col("n"))
+    return delta.groupBy("node").agg(F.bround(F.sum(value) * scale, 9).alias("betweenness"))
 
 
 def betweenness_edges(edges: DataFrame, weight: str = "length", sources: DataFrame | None = None, normalized: bool = True) -> DataFrame:
@@ -192,13 +249,68 @@ def closure_routes(edges: DataFrame, closures: DataFrame, legs: DataFrame, weigh
     return path_edges(best, legs.select("origin", "destination"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, size: float = 0.02) -> DataFrame:
-    """The nearest node of each point (id, x, y) among those in its cell and the eight around, ties to the smallest."""
+def _nearest(points: DataFrame, things: DataFrame, extent: DataFrame, size: float, distance: Column, bound, pick: list[str]) -> DataFrame:
+    """The nearest of ``things`` for each point (id, px, py): id, ``pick`` columns, m (distance, metres).
+
+    ``things`` has their box (ax, bx, ay, by). Points are held against what lies in their square
+    and the eight around; where the best is farther than all outside of those may be, the point
+    is held against squares four times as large, until it is certain or they hold everything.
+    """
+    spark, out = points.sparkSession, None
+    ends = extent.first()
+    if ends["ax"] is None:
+        return None
+    width = max(ends["bx"] - ends["ax"], ends["by"] - ends["ay"])
+    span = lambda a, b: F.sequence(cell(F.col(a), size), cell(F.col(b), size))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    p = points.withColumn("_c", F.explode(around)).select("id", F.col("x").alias("px"), F.col("y").alias("py"), (cell(F.col("x"), size) + F.col("_c.i")).alias("cx"), (cell(F.col("y"), size) + F.col("_c.j")).alias("cy"))
-    n = nodes.select("node", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    d = p.join(n, ["cx", "cy"]).withColumn("m", F.bround(haversine(F.col("px"), F.col("py"), F.col("x"), F.col("y")) * 1000, 3))
-    return d.groupBy("id").agg(F.min_by("node", F.struct("m", "node")).alias("node"), F.min("m").alias("m"))
+    rest = points
+    while True:
+        squares = things.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+        # a square beside the things' own extent may be reached too: points outside are moved to its border
+        x, y = F.greatest(F.lit(ends["ax"]), F.least(F.lit(ends["bx"]), F.col("px"))), F.greatest(F.lit(ends["ay"]), F.least(F.lit(ends["by"]), F.col("py")))
+        last = size > width
+        asked = rest.withColumn("_c", F.explode(around)).withColumns({"cx": cell(x if last else F.col("px"), size) + F.col("_c.i"), "cy": cell(y if last else F.col("py"), size) + F.col("_c.j")}).drop("_c")
+        met = asked.join(squares, ["cx", "cy"]).withColumn("m", distance)
+        best = met.groupBy("id").agg(F.min(F.struct("m", *pick)).alias("b"))
+        found, _ = written(rest.join(best, "id", "left").withColumn("sure", F.lit(last) | F.coalesce(F.col("b.m") <= bound(size), F.lit(False))), "nearest")
+        sure = found.where("sure and b is not null").select("id", *(F.col(f"b.{c}").alias(c) for c in pick), "b.m")
+        out = sure if out is None else out.unionByName(sure)
+        rest = found.where("not sure").select("id", "px", "py")
+        if last or rest.first() is None:
+            return out
+        size *= 4
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, size: float = 0.02) -> DataFrame:
+    """The nearest node of each point (id, x, y) by great circle, ties to the smallest: id, node, m (metres)."""
+    p = points.where("x is not null and y is not null").groupBy("id").agg(F.first("x").alias("px"), F.first("y").alias("py"))
+    n = nodes.select("node", "x", "y", F.col("x").alias("ax"), F.col("x").alias("bx"), F.col("y").alias("ay"), F.col("y").alias("by"))
+    far = F.bround(haversine(F.col("px"), F.col("py"), F.col("x"), F.col("y")) * 1000, 3)
+    # what lies outside is a whole square off in one direction: a parallel or a meridian away
+    off = lambda s: F.least(F.radians(F.lit(s)), F.asin(F.cos(F.radians("py")) * F.sin(F.radians(F.lit(min(s, 90.0)))))) * (EARTH_KM * 1000 * 0.999999)
+    out = _nearest(p, n, n.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, ["node"])
+    return p.select("id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("m")).where("false") if out is None else out
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (u, v) with the coordinates of both ends (x1, y1, x2, y2)."""
+    at = lambda side, node: nodes.select(F.col("node").alias(node), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"))
+    return edges.select("u", "v").distinct().join(at(1, "u"), "u").join(at(2, "v"), "v")
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, nodes: DataFrame, size: float = 0.01) -> DataFrame:
+    """The nearest edge of each point (id, x, y) on the local plane, and its nearer end by great circle: id, u, v, m, node."""
+    p = points.where("x is not null and y is not null").groupBy("id").agg(F.first("x").alias("px"), F.first("y").alias("py"))
+    e = with_ends(edges, nodes)
+    e = e.withColumns({"ax": F.least("x1", "x2"), "bx": F.greatest("x1", "x2"), "ay": F.least("y1", "y2"), "by": F.greatest("y1", "y2")})
+    far = F.bround(to_segment(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))), 3)
+    off = lambda s: F.lit(s) * F.cos(F.radians("py")) * (METRES_PER_DEGREE * 0.999999)
+    out = _nearest(p, e, e.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, ["u", "v"])
+    if out is None:
+        return p.select("id", *(F.lit(None).cast(t).alias(c) for c, t in (("u", "long"), ("v", "long"), ("m", "double"), ("node", "long")))).where("false")
+    ends = out.join(e.select("u", "v", "x1", "y1", "x2", "y2"), ["u", "v"]).join(p, "id")
+    one, two = (F.bround(haversine(F.col("px"), F.col("py"), F.col(x), F.col(y)) * 1000, 3) for x, y in (("x1", "y1"), ("x2", "y2")))
+    return ends.select("id", "u", "v", "m", F.when((one < two) | ((one == two) & (F.col("u") < F.col("v"))), F.col("u")).otherwise(F.col("v")).alias("node"))
 
 
 def hex_grid(nodes: DataFrame, d_m: float = 400) -> DataFrame:
@@ -215,14 +327,20 @@ def hex_grid(nodes: DataFrame, d_m: float = 400) -> DataFrame:
     return rows.select((F.col("row") * F.col("n_cols") + F.col("col")).alias("cell"), "row", "col", F.bround(x, 9).alias("x"), F.bround(y, 9).alias("y"), F.bround("w", 9).alias("w"))
 
 
-def cell_edges(hexes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cell, u, v) of edges whose bounding box meets the hexagon's, by a join on grid squares."""
-    at = lambda side, node: nodes.select(F.col("node").alias(node), F.col("x").alias(f"x{side}"), F.col("y").alias(f"y{side}"))
-    size = 0.01
-    ends = edges.select("u", "v").join(at(1, "u"), "u").join(at(2, "v"), "v")
-    boxes = ends.select("u", "v", F.least("x1", "x2").alias("ax"), F.greatest("x1", "x2").alias("bx"), F.least("y1", "y2").alias("ay"), F.greatest("y1", "y2").alias("by"))
+def cell_edges(hexes: DataFrame, edges: DataFrame, nodes: DataFrame, size: float = 0.01) -> DataFrame:
+    """(cell, u, v) of the edges that meet each hexagon, by a join on grid squares and a clip by the six sides."""
+    ends = with_ends(edges, nodes)
+    boxes = ends.withColumns({"ax": F.least("x1", "x2"), "bx": F.greatest("x1", "x2"), "ay": F.least("y1", "y2"), "by": F.greatest("y1", "y2")})
     half_h = F.col("w") / (3**0.5)
-    h = hexes.select("cell", (F.col("x") - F.col("w") / 2).alias("hx0"), (F.col("x") + F.col("w") / 2).alias("hx1"), (F.col("y") - half_h).alias("hy0"), (F.col("y") + half_h).alias("hy1"))
+    h = hexes.select("cell", F.col("x").alias("hx"), F.col("y").alias("hy"), "w", (F.col("x") - F.col("w") / 2).alias("hx0"), (F.col("x") + F.col("w") / 2).alias("hx1"), (F.col("y") - half_h).alias("hy0"), (F.col("y") + half_h).alias("hy1"))
     squares = lambda df, a, b, c, d: df.withColumn("sx", F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))).withColumn("sy", F.explode(F.sequence(cell(F.col(c), size), cell(F.col(d), size))))
     met = squares(boxes, "ax", "bx", "ay", "by").join(squares(h, "hx0", "hx1", "hy0", "hy1"), ["sx", "sy"])
-    return met.where("ax <= hx1 and bx >= hx0 and ay <= hy1 and by >= hy0").select("cell", "u", "v").distinct()
+    low, high, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
+    for nx, ny in ((1.0, 0.0), (-1.0, 0.0), (0.5, HALF_ROOT), (-0.5, HALF_ROOT), (0.5, -HALF_ROOT), (-0.5, -HALF_ROOT)):
+        room = F.col("w") / 2 - ((F.col("x1") - F.col("hx")) * nx + (F.col("y1") - F.col("hy")) * ny)
+        go = (F.col("x2") - F.col("x1")) * nx + (F.col("y2") - F.col("y1")) * ny
+        at = F.try_divide(room, go)
+        outside = outside | ((go == 0) & (room < 0))
+        low = F.when(go < 0, F.greatest(low, at)).otherwise(low)
+        high = F.when(go > 0, F.least(high, at)).otherwise(high)
+    return met.where(~outside & (low <= high)).select("cell", "u", "v").distinct()

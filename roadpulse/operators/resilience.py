@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadpulse.functions.store import kept
 from roadpulse.operators.traffic import EDGE
 
 
@@ -51,6 +52,7 @@ def recovery(dense: DataFrame) -> DataFrame:
 
 def resilience(dense: DataFrame) -> DataFrame:
     """Resistance of edges whose mean density is up to their peak density, else recovery; values up to 1 are stored as 1 - x."""
+    dense = kept(dense, "dense")  # read ten times below
     mean = dense.groupBy(*EDGE).agg(F.avg("density").alias("density"))
     out = mean.join(peak_density(dense), EDGE).join(resistance(dense), EDGE).join(recovery(dense), EDGE)
     x = F.when(F.col("density") <= F.col("peak_density"), F.col("resistance")).otherwise(F.col("recovery"))

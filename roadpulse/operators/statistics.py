@@ -26,7 +26,7 @@ def _shares(trips: DataFrame, part: str) -> DataFrame:
     base = base.withColumn("weekday", F.weekday("timedate_o")) if part == "weekday" else base.withColumn("hour", F.hour("timedate_o"))
     per = base.groupBy("month", part).agg(F.count(F.lit(1)).alias("n"), F.sum(km).alias("km"))
     total = per.groupBy("month").agg(F.sum("n").alias("all_n"), F.sum("km").alias("all_km"))
-    return per.join(F.broadcast(total), "month").select("month", part, F.bround(F.col("n") / F.col("all_n") * 100, 4).alias("trips_pct"), F.bround(F.col("km") / F.col("all_km") * 100, 4).alias("km_pct"))
+    return per.join(total, "month").select("month", part, F.bround(F.col("n") / F.col("all_n") * 100, 4).alias("trips_pct"), F.bround(F.col("km") / F.col("all_km") * 100, 4).alias("km_pct"))
 
 
 def weekday_shares(trips: DataFrame) -> DataFrame:
@@ -70,6 +70,16 @@ def fleet_counts(fixes: DataFrame) -> DataFrame:
     return per.groupBy("vehtype").agg(F.sum("n").alias("fixes"), F.count(F.lit(1)).alias("vehicles"), F.min_by("idterm", F.struct(-F.col("n"), "idterm")).alias("busiest"), F.max("top").alias("max_speed"))
 
 
+def speed_counts(fixes: DataFrame) -> DataFrame:
+    """Fixes per vehicle and speed."""
+    return fixes.groupBy("idterm", "speed").agg(F.count(F.lit(1)).alias("fixes"))
+
+
+def distinct_trips(trav: DataFrame) -> DataFrame:
+    """Trips and vehicles per vehicle type."""
+    return trav.groupBy("vehtype").agg(F.count_distinct("idtrajectory").alias("trips"), F.count_distinct("idterm").alias("vehicles"))
+
+
 def sample_trips(trips: DataFrame, percent: int = 20) -> DataFrame:
     """The trips whose number modulo 100 is below ``percent``: the same ones every time."""
     return trips.where(F.col("idtrajectory") % 100 < percent)
@@ -92,6 +102,11 @@ def sensor_hourly(sensor: DataFrame) -> DataFrame:
     return classed(sensor).groupBy(hour.alias("hour"), "direzione", "corsia", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sensor_totals(sensor: DataFrame) -> DataFrame:
+    """Vehicles per direction and class, per direction (class null), per class (direction null) and of all."""
+    return sensor_hourly(sensor).cube("direzione", "class").agg(F.sum("n").alias("n"))
+
+
 def sensor_15min(sensor: DataFrame) -> DataFrame:
     """Vehicles per quarter hour, summed by direction, month, day and hour."""
     quarter = classed(sensor).withColumn("q", F.floor(F.minute("timedate") / 15))
@@ -106,6 +121,15 @@ def penetration(fcd: DataFrame, sensor: DataFrame, cap: float = 8) -> DataFrame:
     return out.where(F.col("ratio").isNotNull() & (F.col("ratio") < cap)).select(*keys, "ratio")
 
 
+def stacked(sections: dict[str, DataFrame]) -> DataFrame:
+    """The ratios of several sections as one table, each row with its section's name."""
+    out = None
+    for name, df in sections.items():
+        rows = df.withColumn("section", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def normal_fit(df: DataFrame, by: str, col: str) -> DataFrame:
     """Gaussian fit per section: mean, sd, and their standard errors."""
     n, sd = F.count(col), F.stddev_pop(col)
@@ -117,7 +141,16 @@ def mean_hour_profile(sensor: DataFrame) -> DataFrame:
     day = classed(sensor).groupBy("direzione", "class", F.to_date("timedate").alias("day"), F.hour("timedate").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     mean = day.groupBy("direzione", "class", "hour").agg(F.avg("n").alias("n")).groupBy("direzione", "class").agg(F.sum("n").alias("n"))
     total = mean.groupBy("direzione").agg(F.sum("n").alias("total"))
-    return mean.join(F.broadcast(total), "direzione").select("direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
+    return mean.join(total, "direzione").select("direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
+
+
+def weekday_profile(sensor: DataFrame) -> DataFrame:
+    """As ``mean_hour_profile``, of working days and of weekends each."""
+    rows = sensor.withColumn("part", F.when(F.weekday("timedate") < 5, "weekday").otherwise("weekend"))
+    day = classed(rows).groupBy("part", "direzione", "class", F.to_date("timedate").alias("day"), F.hour("timedate").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    mean = day.groupBy("part", "direzione", "class", "hour").agg(F.avg("n").alias("n")).groupBy("part", "direzione", "class").agg(F.sum("n").alias("n"))
+    total = mean.groupBy("part", "direzione").agg(F.sum("n").alias("total"))
+    return mean.join(total, ["part", "direzione"]).select("part", "direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
 
 
 def class_bins(df: DataFrame, col: str, n: int = 13) -> DataFrame:

@@ -20,7 +20,7 @@ def enrich_traversals(trav: DataFrame, fixes: DataFrame, vehtype: int | None = N
 
 def _share_of_max(counts: DataFrame, by: list[str], least: int) -> DataFrame:
     top = counts.groupBy(*by).agg(F.max("counts").alias("top")) if by else counts.agg(F.max("counts").alias("top"))
-    out = counts.join(F.broadcast(top), by) if by else counts.crossJoin(F.broadcast(top))
+    out = counts.join(top, by) if by else counts.crossJoin(F.broadcast(top))
     out = out.withColumn("frequency", F.bround(F.col("counts") / F.col("top") * 100, 0).cast("int"))
     return out.where(F.col("frequency") >= least).drop("top")
 
@@ -115,11 +115,15 @@ def min_records(trav: DataFrame, least: int = 15) -> DataFrame:
     return trav.join(seen.select(*EDGE), EDGE, "left_semi")
 
 
-def select_edges(trav: DataFrame, fixes: DataFrame, pairs: DataFrame, max_speed: int = 200) -> DataFrame:
-    """Traversals of the edges in ``pairs``: their number and median speeds per edge."""
-    found = trav.where(F.col("mean_speed") < max_speed).join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
-    out = enrich_traversals(found, fixes).groupBy(*EDGE)
-    return out.agg(F.count(F.lit(1)).alias("records"), F.median("mean_speed").alias("median_speed"), F.median("speed").alias("median_instant"))
+def select_edges(trav: DataFrame, fixes: DataFrame, pairs: DataFrame, edges: DataFrame, vehicles: DataFrame, max_speed: int = 200) -> DataFrame:
+    """Traversals of the edges in ``pairs``: their number and median speeds per edge and vehicle type, with road class and length.
+
+    ``vehicles`` has idterm and vehtype (see ``vehicle_types``); the vehicle is the trip's ``idterm``.
+    """
+    found = trav.where(F.col("mean_speed") < max_speed).drop("vehtype").join(pairs.select(*EDGE).distinct(), EDGE, "left_semi")
+    out = enrich_traversals(found, fixes).join(vehicles.select("idterm", "vehtype"), "idterm", "left").groupBy(*EDGE, "vehtype")
+    out = out.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("idterm").alias("vehicles"), F.median("mean_speed").alias("median_speed"), F.median("speed").alias("median_instant"))
+    return out.join(edges.select(*EDGE, "highway", "length"), EDGE, "left")
 
 
 def speed_distribution(trav: DataFrame) -> DataFrame:
@@ -142,6 +146,21 @@ def flux_15min(trav: DataFrame) -> DataFrame:
     return quarter.groupBy(*EDGE).agg(F.bround(F.avg(F.col("n") / 0.25), 6).alias("flux"))
 
 
+#: km/h of each road class that its level of service is judged by (fixed values).
+CLASS_LIMIT = {
+    "residential": 50, "secondary": 90, "primary": 70, "tertiary": 70, "unclassified": 60, "secondary_link": 55, "trunk": 90, "tertiary_link": 50,
+    "primary_link": 90, "motorway_link": 100, "trunk_link": 70, "motorway": 130, "living_street": 50, "road": 30, "other": 30, "service": 30,
+}
+#: Classes that are judged.
+JUDGED = ("motorway", "motorway_link", "secondary", "primary", "tertiary", "residential", "unclassified", "trunk", "trunk_link", "tertiary_link", "secondary_link", "service")
+
+
+def class_limits(edges: DataFrame) -> DataFrame:
+    """Edges of judged classes with maxspeed, their class's limit."""
+    table = F.create_map(*(F.lit(x) for pair in CLASS_LIMIT.items() for x in pair))
+    return edges.where(F.col("highway").isin(*JUDGED)).withColumn("maxspeed", F.try_element_at(table, F.col("highway")))
+
+
 #: Level of service: (grade, class, share of time in %, density, speed at limit 50, speed at limit 90),
 #: each an open range (fixed values).
 LOS_BANDS = (

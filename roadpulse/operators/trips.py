@@ -130,23 +130,34 @@ def route_summary(clean: DataFrame, max_time_s: int = 25200, min_break_s: int =
     return out.where(good).select("idtrajectory", "idterm", "idtrace_o", "idtrace_d", "timedate_o", "tripdistance_m", "triptime_s", "checkcode", "breaktime_s", "deviation_pos_m", path)
 
 
-def valid_trips(trips: DataFrame) -> DataFrame:
-    """Trips of plausible distance, time, speed and break."""
+#: Open ranges of a plausible trip: kilometres, hours, km/h and seconds of break (fixed values); the second form looks at no break.
+VALID = {"km": (0, 150), "hours": (60 / 3600, 20500 / 3600), "kmh": (15, 220), "break_s": (60, 100000)}
+VALID_SHORT = {"km": (0, 150), "hours": (0.016, 5), "kmh": (15, 150)}
+
+
+def valid_trips(trips: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Trips of plausible distance, time, speed and break; ``limits`` are VALID or, of the second form, VALID_SHORT."""
     km, h = F.col("tripdistance_m") / 1000, F.col("triptime_s") / 3600
-    speed = F.try_divide(km, h)
-    return trips.where((km > 0) & (km < 150) & F.col("triptime_s").between(61, 20499) & (speed > 15) & (speed < 220) & F.col("breaktime_s").between(61, 99999))
+    has = {"km": km, "hours": h, "kmh": F.try_divide(km, h), "break_s": F.col("breaktime_s")}
+    out = trips
+    for name, (low, high) in (VALID if limits is None else limits).items():
+        out = out.where((has[name] > low) & (has[name] < high))
+    return out
 
 
 def stop_classes(trips: DataFrame, late_h: float = 26, strange_h: float = 4, strange_km: float = 60) -> DataFrame:
-    """Class of the stop after each trip: 220 night, 210 day.
+    """Class of the stop after each trip, 220 night or 210 day, and of its end before the trip (start_class), 120 or 110.
 
+    A vehicle's last trip has no stop after it and its first none before it: both classes are 0.
     ``trips`` has idterm, trip_no, end_hour, stop_h, km and hours. A stop that lasts past two in
     the morning is a night; so is one before a trip of ``strange_h`` hours or more over at most
     ``strange_km``.
     """
     w = Window.partitionBy("idterm").orderBy("trip_no")
     strange = (F.lead("hours").over(w) >= strange_h) & (F.lead("km").over(w) <= strange_km)
-    return trips.withColumn("stop_class", F.when(F.col("end_hour") + F.col("stop_h") > late_h, 220).when(strange, 220).otherwise(210))
+    last = F.lead("trip_no").over(w).isNull()
+    out = trips.withColumn("stop_class", F.when(last, 0).when(F.col("end_hour") + F.col("stop_h") > late_h, 220).when(strange, 220).otherwise(210))
+    return out.withColumn("start_class", F.coalesce(F.lag("stop_class").over(w) - 100, F.lit(0)))
 
 
 def trip_flags(fixes: DataFrame, d_sec: int = 300, box: tuple[float, float, float, float] = (14.86, 37.426, 15.25, 37.625), long_s: int = 7200, short_km: float = 0.01) -> DataFrame:

@@ -16,27 +16,44 @@ SELECT event_id AS id, user_id AS idterm, ts AS timedate,
   CAST(SUM(CAST(FLOOR(value*10) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) % 20000 AS progressive
 FROM {events}"""
+#: Nodes a side of the square network: it grows with the customers.
+_SIDE = "(SELECT CAST(FLOOR(POWER(COUNT(*), 0.3)) AS BIGINT) FROM {customer})"
+_PLACES = "(SELECT CAST(c_custkey AS BIGINT) AS n, " + _SIDE + " AS side FROM {customer})"
 _NODES = """
-SELECT 1000 + n AS node, {D1490} + (n % 4)*{D001} AS x, {D3745} + CAST(FLOOR(n / 4) AS BIGINT)*{D001} AS y
-FROM (SELECT CAST(r_regionkey AS BIGINT)*5 + k AS n FROM {region} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) t) g
-WHERE n < 16"""
+SELECT 1000 + n AS node, {D1490} + (n % side)*{D001} AS x, {D3745} + CAST(FLOOR(n / side) AS BIGINT)*{D001} AS y
+FROM """ + _PLACES + """ g WHERE n < side*side"""
 _EDGES = """
 SELECT u, v, 0 AS key, 100 + (u*31 + v*17) % 900 AS length,
   CASE (u+v) % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' WHEN 4 THEN 'residential' ELSE 'service' END AS highway,
   CASE WHEN (u*v) % 4 = 0 THEN 30 + 10*((u + 2*v) % 8) END AS maxspeed,
   ROW_NUMBER() OVER (ORDER BY u, v) - 1 AS edge_idx
-FROM (SELECT a.node AS u, b.node AS v FROM {nodes} a CROSS JOIN {nodes} b
-      WHERE (b.node - a.node IN (4, -4)) OR (b.node - a.node = 1 AND (a.node - 1000) % 4 < 3) OR (a.node - b.node = 1 AND (b.node - 1000) % 4 < 3)) p"""
+FROM (SELECT 1000 + n AS u, 1000 + n + dx + dy*side AS v
+      FROM (SELECT n, side, n % side AS c, CAST(FLOOR(n / side) AS BIGINT) AS r, dx, dy FROM """ + _PLACES + """ g
+            CROSS JOIN (SELECT 1 AS dx, 0 AS dy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1) d WHERE n < side*side) w
+      WHERE c + dx BETWEEN 0 AND side - 1 AND r + dy BETWEEN 0 AND side - 1) p"""
 _TRAVERSALS = """
 SELECT t.idtrajectory, t.idterm, t.sequenza, e.u, e.v, e.length, t.timedate, t.mean_speed, t.vehtype, t.idtrace
 FROM (SELECT l_orderkey AS idtrajectory, l_suppkey AS idterm,
   ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS sequenza,
-  (l_partkey*7 + l_suppkey*3 + l_linenumber) % 48 AS edge,
+  (l_partkey*7 + l_suppkey*3 + l_linenumber) % (SELECT COUNT(*) FROM {edges}) AS edge,
   {TIME} AS timedate,
   5 + CAST(l_quantity AS BIGINT)*2 AS mean_speed,
   CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 1 END AS vehtype,
   (l_orderkey*11 + l_linenumber*7) % (SELECT COUNT(*) FROM {events}) AS idtrace
   FROM {lineitem}) t JOIN {edges} e ON t.edge = e.edge_idx"""
+#: Trips along rows and columns of the network, back and forth, one fix an edge.
+_DRIVES = """
+SELECT trip*64 + k AS id, trip % 500 AS idterm, CONCAT('t', trip) AS TRIP_ID, {DTIME} AS timedate,
+  {D1490} + (a % side)*{D001} + ((b % side) - (a % side))*tenth*{D0001} + (CASE flat WHEN 1 THEN 0 ELSE (trip + k) % 5 - 2 END)*{D00001} AS longitude,
+  {D3745} + CAST(FLOOR(a / side) AS BIGINT)*{D001} + (CAST(FLOOR(b / side) AS BIGINT) - CAST(FLOOR(a / side) AS BIGINT))*tenth*{D0001} + (CASE flat WHEN 1 THEN (trip + k) % 5 - 2 ELSE 0 END)*{D00001} AS latitude,
+  20 + (trip + k) % 60 AS speed, 1 AS panel, 1 AS vehtype, k, e.u, e.v, e.length,
+  CAST(SUM(e.length) OVER (PARTITION BY trip ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - e.length + FLOOR(tenth*e.length / 10) AS BIGINT) AS progressive
+FROM (SELECT *, CASE flat WHEN 1 THEN line*side + p ELSE p*side + line END AS a, CASE flat WHEN 1 THEN line*side + q ELSE q*side + line END AS b
+  FROM (SELECT trip, k, side, (trip*7 + k*3) % 8 + 1 AS tenth, trip % 2 AS flat, CAST(FLOOR(trip / 7) AS BIGINT) % side AS line,
+      abs((trip + k) % (2*(side - 1)) - (side - 1)) AS p, abs((trip + k + 1) % (2*(side - 1)) - (side - 1)) AS q
+    FROM (SELECT CAST(l_orderkey AS BIGINT) AS trip, """ + _SIDE + """ AS side,
+        ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS k FROM {lineitem}) b) c) d
+  JOIN {edges} e ON e.u = 1000 + d.a AND e.v = 1000 + d.b"""
 _SENSOR = """
 SELECT {STIME} AS timedate, CASE o_orderkey % 2 WHEN 0 THEN 'A' ELSE 'D' END AS direzione,
   CAST(1 + o_orderkey % 3 AS VARCHAR(9)) AS corsia, CAST(1 + o_orderkey % 10 AS VARCHAR(9)) AS classe FROM {orders}"""
@@ -48,16 +65,17 @@ FROM {traversals} GROUP BY idtrajectory"""
 
 _SECONDS = "(l_orderkey % 28)*86400 + (l_partkey % 24)*3600 + (l_linenumber % 60)*60"
 _SENSOR_SECONDS = "(o_orderkey % 28)*86400 + (o_custkey % 24)*3600"
+_DRIVE_SECONDS = "(trip % 28)*86400 + k*60"
 _SPARK = {
-    "D1470": "14.70D", "D3730": "37.30D", "D1490": "14.90D", "D3745": "37.45D", "D001": "0.01D", "D0001": "0.001D",
+    "D1470": "14.70D", "D3730": "37.30D", "D1490": "14.90D", "D3745": "37.45D", "D001": "0.01D", "D0001": "0.001D", "D00001": "0.00001D", "DTIME": f"timestampadd(SECOND, {_DRIVE_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')",
     "TIME": f"timestampadd(SECOND, {_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')", "STIME": f"timestampadd(SECOND, {_SENSOR_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')",
 }
 _DUCK = {
-    "D1470": "14.70::DOUBLE", "D3730": "37.30::DOUBLE", "D1490": "14.90::DOUBLE", "D3745": "37.45::DOUBLE", "D001": "0.01::DOUBLE", "D0001": "0.001::DOUBLE",
+    "D1470": "14.70::DOUBLE", "D3730": "37.30::DOUBLE", "D1490": "14.90::DOUBLE", "D3745": "37.45::DOUBLE", "D001": "0.01::DOUBLE", "D0001": "0.001::DOUBLE", "D00001": "0.00001::DOUBLE", "DTIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_DRIVE_SECONDS})",
     "TIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_SECONDS})", "STIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_SENSOR_SECONDS})",
 }
-_ALL = {"fixes": _FIXES, "nodes": _NODES, "edges": _EDGES, "traversals": _TRAVERSALS, "sensor": _SENSOR, "registry": _REGISTRY, "trips": _TRIPS}
-_NEEDS = {"fixes": ["events"], "nodes": ["region"], "edges": ["nodes"], "traversals": ["edges", "events", "lineitem"], "sensor": ["orders"], "registry": ["supplier"], "trips": ["traversals"]}
+_ALL = {"fixes": _FIXES, "nodes": _NODES, "edges": _EDGES, "traversals": _TRAVERSALS, "drives": _DRIVES, "sensor": _SENSOR, "registry": _REGISTRY, "trips": _TRIPS}
+_NEEDS = {"fixes": ["events"], "nodes": ["customer"], "edges": ["customer"], "traversals": ["edges", "events", "lineitem"], "drives": ["edges", "lineitem", "customer"], "sensor": ["orders"], "registry": ["supplier"], "trips": ["traversals"]}
 
 
 class Fixtures:
@@ -89,7 +107,7 @@ def duck(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    given = {k: k for k in ("events", "region", "lineitem", "orders", "supplier", *_ALL)}
+    given = {k: k for k in ("events", "customer", "lineitem", "orders", "supplier", *_ALL)}
     ctes = [f"{n} AS ({_ALL[n].format(**_DUCK, **given)})" for n in order]
     body = body.strip()
     if body.upper().startswith("WITH "):

@@ -44,11 +44,15 @@ def read_registry(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
 def read_sensor_counts(spark: SparkSession, path: str, skip: int = 48, sep: str = ";", columns: int = 10) -> DataFrame:
     """Sensor rows below a preamble of ``skip`` lines and a header: its first columns, names in lower case with underscores, timedate parsed."""
     name = lambda x: "".join(c if c.isalnum() else "_" for c in x.strip().lower()).strip("_")
-    head = spark.read.text(path).limit(skip + 1).collect()[skip][0]  # the preamble is of fixed length
+    text = spark.read.text(path)
+    first = spark.read.text(text.inputFiles()[0]).limit(skip + 1).collect() if text.inputFiles() else []  # the preamble is of fixed length
+    if len(first) <= skip:
+        raise ValueError(f"{path} has no header below {skip} lines")
+    head = first[skip][0]
     names = [name(x) for x in head.split(sep)][:columns]
+    rows = text.where(F.col("value") != head)  # lines of a preamble have no time in front
     cells = F.split("value", sep, -1)
-    rows = spark.read.text(path).where(F.size(cells) >= len(names)).where(F.col("value") != head)
-    out = rows.select(*(F.trim(cells[k]).alias(n) for k, n in enumerate(names)))
+    out = rows.where(F.size(cells) >= len(names)).select(*(F.trim(cells[k]).alias(n) for k, n in enumerate(names)))
     when = F.coalesce(*(F.try_to_timestamp(F.col(names[0]), F.lit(f)) for f in ("dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss")))
     return out.withColumn(names[0], when.cast("timestamp_ntz")).where(F.col(names[0]).isNotNull()).withColumnRenamed(names[0], "timedate")
 
@@ -59,14 +63,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>") -> DataFrame:
-    """One row per feature: its properties (a schema text) and the geometry's type and coordinates."""
+    """One row per feature: its properties (a schema text) and the geometry's type and coordinates.
+
+    Files hold one collection over several lines, or one on each line (as ``write_geojson`` writes them).
+    """
     schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {coordinates}>>>"
-    features = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    lines = spark.read.text(path).where(F.get_json_object("value", "$.type") == "FeatureCollection").first() is not None
+    features = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("features").alias("f"))
     return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str]) -> None:
-    """A feature as a line of JSON per row (geometry_type, coordinates and ``properties``)."""
+    """A FeatureCollection of one feature as a line of JSON per row (geometry_type, coordinates and ``properties``)."""
     geometry = F.struct(F.col("geometry_type").alias("type"), "coordinates")
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
     df.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.text(path)

@@ -63,6 +63,8 @@ def test_nearest_and_hexes(spark):
     nodes = spark.createDataFrame([(1, 14.90, 37.45), (2, 14.91, 37.45), (3, 14.90, 37.46)], "node long, x double, y double")
     points = spark.createDataFrame([(9, 14.9045, 37.45)], "id long, x double, y double")
     assert network.nearest_node(points, nodes).first().node == 1
+    far = spark.createDataFrame([(1, 0.0395, 0.0395), (2, -0.0205, 0.0)], "node long, x double, y double")
+    assert network.nearest_node(spark.createDataFrame([(9, 0.0, 0.0)], "id long, x double, y double"), far).first().node == 2
     cells = network.cell_edges(network.hex_grid(nodes), spark.createDataFrame([(1, 2), (1, 3)], "u long, v long"), nodes)
     assert cells.select("u", "v").distinct().count() == 2
 
@@ -74,3 +76,71 @@ def test_matched_route_closes_gaps(spark):
     matched = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 3, 4), ("b", 0, 1, 2)], "TRIP_ID string, sequenza int, u long, v long")
     out = matching.matched_route(matched, edges).orderBy("TRIP_ID", "order").collect()
     assert [(r.TRIP_ID, r.u, r.v) for r in out] == [("a", 1, 2), ("a", 2, 3), ("a", 3, 4), ("b", 1, 2)]
+
+
+def test_nearest_against_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    nodes = [(k, 14.9 + r.random() * 0.3, 37.4 + r.random() * 0.2) for k in range(40)]
+    points = [(k, 14.5 + r.random() * 1.2, 37.1 + r.random() * 0.9) for k in range(150)] + [(200, 100.0, -60.0), (201, None, 1.0)]
+    edges = [(a, (a * 7 + 3) % 40) for a in range(40)]
+    at = {k: (x, y) for k, x, y in nodes}
+
+    def sphere(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
+
+    def plane(p, a, b):
+        k = math.cos(math.radians(p[1]))
+        ax, ay, bx, by = (p[0] - a[0]) * k, p[1] - a[1], (b[0] - a[0]) * k, b[1] - a[1]
+        t = max(0, min(1, (ax * bx + ay * by) / (bx * bx + by * by) if bx or by else 0))
+        return math.hypot(ax - t * bx, ay - t * by) * 111195
+
+    n, p = spark.createDataFrame(nodes, "node long, x double, y double"), spark.createDataFrame(points, "id long, x double, y double")
+    out = {x.id: x for x in network.nearest_node(p, n).collect()}
+    assert set(out) == {k for k, x, _ in points if x is not None}
+    for k, x, y in points[:-1]:
+        assert out[k].m == pytest.approx(min(sphere((x, y), b) for b in at.values()), abs=0.01)
+    out = {x.id: x for x in network.nearest_edge(p, spark.createDataFrame(edges, "u long, v long"), n).collect()}
+    for k, x, y in points[:-1]:
+        assert out[k].m == pytest.approx(min(plane((x, y), at[a], at[b]) for a, b in edges), abs=0.01)
+        assert out[k].node in (out[k].u, out[k].v) and sphere((x, y), at[out[k].node]) <= min(sphere((x, y), at[out[k].u]), sphere((x, y), at[out[k].v])) + 0.01
+    empty = n.where("false")
+    assert network.nearest_node(p, empty).collect() == [] and network.nearest_edge(p, spark.createDataFrame([], "u long, v long"), n).collect() == []
+
+
+def test_long_paths_and_totals(spark):
+    edges = graph(spark, [(k, k + 1, 2) for k in range(30)]).withColumn("cost", F.col("length") * 1.8)
+    od = spark.createDataFrame([(0, 30), (0, 6), (3, 3), (30, 0)], "origin long, destination long")
+    best = network.shortest_paths(edges, od.select("origin"))
+    paths = network.path_edges(best, od)
+    rows = sorted((r.origin, r.destination, -r.back, r.u, r.v) for r in paths.collect())
+    assert rows == sorted([(0, 30, k - 29, k, k + 1) for k in range(30)] + [(0, 6, k - 5, k, k + 1) for k in range(6)])
+    t = {r.destination: r for r in network.path_totals(paths, edges).collect()}
+    assert (t[30].n_edges, t[30].km, t[30].hours) == (30, pytest.approx(0.06), pytest.approx(0.03)) and t[6].kmh == pytest.approx(2.0)
+    near = network.shortest_paths(edges, spark.createDataFrame([(0, 7.0), (10, 3.0)], "origin long, reach double"))
+    assert sorted((r.origin, r.node) for r in near.collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (10, 10), (10, 11)]
+
+
+def test_endpoints_count(spark):
+    path3 = graph(spark, both([(1, 2, 1), (2, 3, 1)]))
+    assert {r.node: r.betweenness for r in network.betweenness_nodes(path3, normalized=False, endpoints=True).collect()} == {1: 4, 2: 6, 3: 4}
+
+
+def test_edges_beside_a_hexagon_are_not_in_it(spark):
+    hexes = spark.createDataFrame([(1, 0.0, 0.0, 0.02)], "cell long, x double, y double, w double")
+    nodes = spark.createDataFrame([(1, 0.0095, 0.0105), (2, 0.0098, 0.02), (3, -0.02, 0.0), (4, 0.02, 0.0), (5, 0.001, 0.001), (6, 0.002, 0.001)], "node long, x double, y double")
+    edges = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "u long, v long")  # the first meets the bounding box alone
+    assert {(r.u, r.v) for r in network.cell_edges(hexes, edges, nodes).collect()} == {(3, 4), (5, 6)}
+
+
+def test_last_leg_that_goes_back_is_dropped(spark):
+    from roadpulse.operators import matching
+
+    edges = graph(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 2, 1), (4, 2, 1)])
+    matched = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 4, 5), ("a", 2, 3, 4)], "TRIP_ID string, sequenza int, u long, v long")
+    out = matching.matched_route(matched, edges).orderBy("order").collect()
+    assert [(r.u, r.v) for r in out] == [(1, 2), (2, 3), (3, 4), (4, 5)]

@@ -34,8 +34,11 @@ def test_geojson_and_wkb(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps(collection))
     df = files.read_geojson(spark, str(tmp_path / "g.json"), "u: long")
     assert df.first().u == 1 and df.first().coordinates == [[15.0, 37.5], [15.1, 37.6]]
-    files.write_geojson(df, str(tmp_path / "out"), ["u"])
-    assert files.read_geojson(spark, str(tmp_path / "out"), "u: long").collect() == df.collect()
+    (tmp_path / "h.json").write_text(json.dumps(collection, indent=1))
+    assert files.read_geojson(spark, str(tmp_path / "h.json"), "u: long").collect() == df.collect()
+    many = spark.range(50).select(F.col("id").alias("u"), F.lit("Point").alias("geometry_type"), F.array(F.array(F.col("id") * 0.5, F.lit(37.5))).alias("coordinates"))
+    files.write_geojson(many.coalesce(1), str(tmp_path / "out"), ["u"])
+    assert sorted(files.read_geojson(spark, str(tmp_path / "out"), "u: long").collect()) == sorted(many.collect())
     lines = spark.createDataFrame([([(1.0, 2.0)],), ([(1.0, 2.0), (3.0, 4.0)],), (None,)], "p array<struct<x double, y double>>")
     again = lines.select("p", files.wkb_hex_to_points(files.points_to_wkb_hex("p")).alias("q")).collect()
     assert all(r.p == r.q for r in again)
@@ -62,18 +65,43 @@ def test_streams(spark, tmp_path):
 
 def test_match_on_a_line(spark):
     nodes = spark.createDataFrame([(0, 15.0, 37.5), (1, 15.01, 37.5), (5, 15.01, 37.51), (9, 15.01, 37.52)], "node long, x double, y double")
-    edges = spark.createDataFrame([(0, 1), (1, 5), (5, 9)], "u long, v long")
+    edges = spark.createDataFrame([(0, 1, 900), (1, 0, 900), (1, 5, 1100), (5, 9, 1100)], "u long, v long, length long")
     start, rows = dt.datetime(2019, 2, 1), []
     for k, (x, y) in enumerate([(15.001, 37.5), (15.005, 37.5), (15.009, 37.5), (15.01, 37.503), (15.01, 37.507), (15.01, 37.512), (15.01, 37.518)]):
         rows.append(("1_0", k, start + dt.timedelta(seconds=30 * k), x, y, 400 * k, 50))
     fixes = spark.createDataFrame(rows, "TRIP_ID string, id long, timedate timestamp_ntz, longitude double, latitude double, progressive long, speed long")
     found = matching.candidates(fixes, edges, nodes, radius_m=30.0)
-    matched = matching.match_trips(matching.drop_ambiguous(found), edges)
+    matched = matching.match_trips(matching.drop_ambiguous(found), edges, slack_m=50)
     assert [(r.u, r.v) for r in matched.orderBy("timedate").collect()] == [(0, 1)] * 3 + [(1, 5)] * 2 + [(5, 9)] * 2
-    out = matching.traversals(matched, fixes).orderBy("sequenza").collect()
+    out = matching.traversals(matched, fixes, edges).orderBy("sequenza").collect()
     assert [(r.u, r.v, r.mean_speed) for r in out] == [(0, 1, 48), (1, 5, 48), (5, 9, 50)]
 
 
+def test_routes_longer_than_the_odometer_are_rejected(spark):
+    """Two parallel roads: the fix lies a little nearer to the far one, which can't be reached in time."""
+    nodes = spark.createDataFrame([(0, 15.0, 37.5), (1, 15.01, 37.5), (2, 15.02, 37.5), (3, 15.01, 37.5001), (4, 15.02, 37.5001)], "node long, x double, y double")
+    edges = spark.createDataFrame([(0, 1, 880), (1, 2, 880), (3, 4, 880), (2, 3, 5000)], "u long, v long, length long")
+    start = dt.datetime(2019, 2, 1)
+    fixes = spark.createDataFrame([("a", 1, start, 15.005, 37.5, 440, 50), ("a", 2, start + dt.timedelta(seconds=60), 15.015, 37.50006, 1320, 50)], "TRIP_ID string, id long, timedate timestamp_ntz, longitude double, latitude double, progressive long, speed long")
+    found = matching.candidates(fixes, edges, nodes, radius_m=20.0)
+    assert {(r.u, r.v) for r in found.where("id = 2").collect()} >= {(1, 2), (3, 4)}
+    assert [(r.u, r.v) for r in matching.match_trips(found, edges, slack_m=20).orderBy("id").collect()] == [(0, 1), (1, 2)]
+
+
+def test_row_numbers_of_a_wide_frame(spark):
+    from roadpulse.operators import cleaning
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+    n = 2_000_000
+    df = spark.range(n).select(((F.col("id") * 1_000_003) % n).alias("x"), F.repeat(F.lit("ab"), 64).alias("wide"), F.lit(1).alias("_n"))
+    for merge in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+        got = cleaning.add_row_id(df, ["x"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("row_id") != F.col("x") + 1).alias("wrong"), F.max(F.length("wide")).alias("w")).first()
+        assert (got.n, got.wrong, got.w) == (n, 0, 128)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_two_homes_and_clusters(spark):
     stops = [(k, 1, 15.0, 37.5) for k in range(5)] + [(k, 1, 15.1, 37.6) for k in range(5, 8)] + [(8, 1, 16.0, 38.0)]
     df = spark.createDataFrame(stops, "id long, idterm long, lon double, lat double")
