@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,32 +123,45 @@ def match_trips(cands: DataFrame, edges: DataFrame, sigma: float | None = None,
     rows = cands.join(width, "TRIP_ID").select("TRIP_ID", "id", "timedate", "u", "v", log(emission(F.col("distance"), F.col("sigma"))).alias("p"))
     rows = rows.join(back, ["TRIP_ID", "id", "u", "v"], "left").select("TRIP_ID", "id", "timedate", "u", "v", "p", F.col("back.from_u").alias("from_u"), F.col("back.from_v").alias("from_v"), F.col("back.p").alias("step"))
 
-    def decode(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values(["timedate", "id", "u", "v"], ignore_index=True)
-        starts = np.flatnonzero(trip["id"].ne(trip["id"].shift()).to_numpy())
+    def best_of(trip: list[tuple]) -> list[tuple]:
+        """(TRIP_ID, id, timedate, u, v) of one trip's rows, which come in order of time."""
+        starts = [k for k, r in enumerate(trip) if not k or r[2] != trip[k - 1][2]]
         ends = [*starts[1:], len(trip)]
-        emit, us, vs = trip["p"].to_numpy(), trip["u"].to_numpy(), trip["v"].to_numpy()
-        score, frm = emit.copy(), np.full(len(trip), -1)
+        score, frm = [r[5] for r in trip], [-1] * len(trip)
         for k in range(1, len(starts)):
-            a, b, c = starts[k - 1], starts[k], ends[k]
-            place = {(u, v): a + n for n, (u, v) in enumerate(zip(us[a:b], vs[a:b]))}
-            best = a + int(np.argmax(score[a:b]))
-            for i in range(b, c):
-                frm[i], top = best, score[best] + NO_ROUTE
-                if trip["from_u"][i] is not None:
-                    for u, v, p in zip(trip["from_u"][i], trip["from_v"][i], trip["step"][i]):
-                        j = place[u, v]
-                        if score[j] + p > top or (score[j] + p == top and j < frm[i]):
-                            frm[i], top = j, score[j] + p
-                score[i] = top + emit[i]
-        chosen, i = [], int(starts[-1] + np.argmax(score[starts[-1] :]))
+            a, b = starts[k - 1], starts[k]
+            place = {trip[n][3:5]: n for n in range(a, b)}
+            top_of = max(range(a, b), key=score.__getitem__)
+            for i in range(b, ends[k]):
+                frm[i], top = top_of, score[top_of] + NO_ROUTE
+                for u, v, p in zip(*(x or () for x in trip[i][6:9])):
+                    j = place[u, v]
+                    if score[j] + p > top or (score[j] + p == top and j < frm[i]):
+                        frm[i], top = j, score[j] + p
+                score[i] += top
+        chosen, i = [], max(range(starts[-1], len(trip)), key=score.__getitem__)
         while i >= 0:
-            chosen.append(i)
-            i = int(frm[i])
-        return trip.loc[chosen[::-1], ["TRIP_ID", "id", "timedate", "u", "v"]]
-
-    schema = f"TRIP_ID string, id long, timedate {dict(cands.dtypes)['timedate']}, u long, v long"
-    return rows.groupBy("TRIP_ID").applyInPandas(decode, schema)
+            chosen.append((trip[i][0], trip[i][2], trip[i][1], *trip[i][3:5]))
+            i = frm[i]
+        return chosen[::-1]
+
+    def decode(batches):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        kinds = (pa.string(), pa.int64(), pa.timestamp("us"), pa.int64(), pa.int64())
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["TRIP_ID", "id", "timedate", "u", "v"])
+        out: list[tuple] = []
+        for _, trip in groupby(rows, key=lambda r: r[0]):
+            out += best_of(list(trip))
+            if len(out) > 10_000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    n = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("TRIP_ID", F.col("timedate").cast("timestamp_ntz").alias("timedate"), "id", "u", "v", "p", "from_u", "from_v", "step")
+    ordered = ordered.repartition(n, "TRIP_ID").sortWithinPartitions("TRIP_ID", "timedate", "id", "u", "v")
+    return ordered.mapInArrow(decode, "TRIP_ID string, id long, timedate timestamp_ntz, u long, v long")
 
 
 def stretches(matched: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -72,6 +72,8 @@ def urban_totals(costed: DataFrame, urban_kmh: float = 50) -> DataFrame:
 
 #: Rounds of ``shortest_paths`` after which its labels become one table again.
 COMPACT = 8
+#: Edges by which a round extends labels before it writes those that improve.
+HOPS = 3
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -84,8 +86,8 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length", max_iter: int = 1_000_000, extra: DataFrame | None = None) -> DataFrame:
     """Least cost from each origin (column ``origin``, and any other key columns) to every node it reaches.
 
-    Batched relaxation: every round extends the labels that improved last by one edge and writes
-    those that improve now; ties take the smallest predecessor of the round. Rows: keys, node,
+    Batched relaxation: every round extends the labels that improved last by up to HOPS edges and
+    writes those that improve now; ties take the smallest predecessor of the round. Rows: keys, node,
     dist, pred. If ``edges`` has key columns in common with ``origins`` (a scenario), paths use
     their own edges; ``extra`` (keys in common, u, v, extra) makes edges dearer in a scenario
     without a copy of the others. If ``origins`` has a column ``reach``, nodes beyond that cost are left out.
@@ -102,12 +104,16 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length",
     roads, roads_path = written(roads, "roads")
     tables, paths = [front], [path]
     for k in range(max_iter):
-        step = front.withColumnRenamed("node", "u").drop("pred").join(roads, [*shared, "u"])
-        if extra is not None:
-            step = step.join(extra, [*dearer, "u", "v"], "left").withColumn("w", F.col("w") + F.coalesce("extra", F.lit(0.0)))
-        step = step.select(*key, *reach, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("pred"))
-        step = step.where("dist <= reach") if reach else step
-        found = step.groupBy(*key, *reach, "node").agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, *reach, "node", "m.*")
+        found, steps = front.select(*key, *reach, "node", "dist"), []
+        for _ in range(HOPS):
+            step = found.withColumnRenamed("node", "u").join(roads, [*shared, "u"])
+            if extra is not None:
+                step = step.join(extra, [*dearer, "u", "v"], "left").withColumn("w", F.col("w") + F.coalesce("extra", F.lit(0.0)))
+            step = step.select(*key, *reach, F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("pred"))
+            step = step.where("dist <= reach") if reach else step
+            steps.append(step.groupBy(*key, *reach, "node").agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, *reach, "node", "m.*"))
+            found = steps[-1].drop("pred")
+        found = _all(steps).groupBy(*key, *reach, "node").agg(F.min(F.struct("dist", "pred")).alias("m")).select(*key, *reach, "node", "m.*")
         known = _all(tables).groupBy(*key, "node").agg(F.min("dist").alias("known"))
         better = found.join(known, [*key, "node"], "left").where("known is null or dist < known").drop("known")
         front, path = written(better, "paths")

@@ -476,7 +476,7 @@ def _od(t):
     return traffic.trip_od(t.traversals).select(F.col("ORIGIN").alias("origin"), F.col("DESTINATION").alias("destination")).distinct()
 
 
-#: Doublings of the paths' most edges in the statements: enough for networks of 17 nodes a side.
+#: Doublings of the paths' most edges in the statements: enough for networks of 32 nodes a side.
 _DOUBLINGS = 6
 
 

@@ -17,7 +17,7 @@ SELECT event_id AS id, user_id AS idterm, ts AS timedate,
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) % 20000 AS progressive
 FROM {events}"""
 #: Nodes a side of the square network: it grows with the customers.
-_SIDE = "(SELECT CAST(FLOOR(POWER(COUNT(*), 0.3)) AS BIGINT) FROM {customer})"
+_SIDE = "(SELECT 2 + CAST(FLOOR(POWER(COUNT(*), 0.2)) AS BIGINT) FROM {customer})"
 _PLACES = "(SELECT CAST(c_custkey AS BIGINT) AS n, " + _SIDE + " AS side FROM {customer})"
 _NODES = """
 SELECT 1000 + n AS node, {D1490} + (n % side)*{D001} AS x, {D3745} + CAST(FLOOR(n / side) AS BIGINT)*{D001} AS y
