@@ -87,8 +87,8 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length",
     """Least cost from each origin (column ``origin``, and any other key columns) to every node it reaches.
 
     Batched relaxation: every round extends the labels that improved last by up to HOPS edges and
-    writes those that improve now; ties take the smallest predecessor of the round. Rows: keys, node,
-    dist, pred. If ``edges`` has key columns in common with ``origins`` (a scenario), paths use
+    writes those that improve now. Of several predecessors on least paths the smallest is taken,
+    whatever round found it. Rows: keys, node, dist, pred. If ``edges`` has key columns in common with ``origins`` (a scenario), paths use
     their own edges; ``extra`` (keys in common, u, v, extra) makes edges dearer in a scenario
     without a copy of the others. If ``origins`` has a column ``reach``, nodes beyond that cost are left out.
     """
@@ -128,8 +128,15 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, weight: str = "length",
             tables, paths = [best, front], [path, paths[-1]]
     else:
         raise RuntimeError(f"paths still improve after {max_iter} rounds")
-    out, _ = written(_best(tables, key), "paths")
-    remove(spark, [*paths, roads_path])
+    best, path = written(_best(tables, key), "paths")
+    on = best.select(*key, F.col("node").alias("u"), F.col("dist").alias("before")).join(roads, [*shared, "u"])
+    if extra is not None:
+        on = on.join(extra, [*dearer, "u", "v"], "left").withColumn("w", F.col("w") + F.coalesce("extra", F.lit(0.0)))
+    on = on.select(*key, F.col("v").alias("node"), "before", (F.col("before") + F.col("w")).alias("dist"), "u")
+    # edges of no cost keep the predecessor of the round that found them, so that none closes a ring
+    first = best.select(*key, "node", "dist").join(on.where("before < dist"), [*key, "node", "dist"]).groupBy(*key, "node").agg(F.min("u").alias("first"))
+    out, _ = written(best.join(first, [*key, "node"], "left").select(*key, "node", "dist", F.coalesce("first", "pred").alias("pred")), "paths")
+    remove(spark, [*paths, path, roads_path])
     return out
 
 

@@ -561,10 +561,14 @@ def e11_scale_scores(t):
     return network.scale_scores(counts, "counts").select("u", "v", "scales", "share")
 
 
-_CLOSED = f"closed AS (SELECT u, v, length + CASE WHEN edge_idx % {{n}} = 0 THEN 864000 ELSE 0 END AS cost, length FROM edges), {_least('cost', 'closed')}, {_PAIRS}, paths AS ({_on_paths('e.cost', 'closed')})"
+# closures make ties: the path of the smallest predecessors, walked back from the destination
+_CLOSED = f"""closed AS (SELECT u, v, length + CASE WHEN edge_idx % {{n}} = 0 THEN 864000 ELSE 0 END AS cost, length FROM edges), {_least('cost', 'closed')}, {_PAIRS},
+  pred AS (SELECT a.o, e.v, MIN(e.u) AS u FROM d a JOIN closed e ON e.u = a.t JOIN d x ON x.o = a.o AND x.t = e.v WHERE a.c + e.cost = x.c GROUP BY 1, 2),
+  paths AS (SELECT p.origin, p.destination, r.u, r.v, 0 AS back FROM od p JOIN pred r ON r.o = p.origin AND r.v = p.destination
+    UNION ALL SELECT w.origin, w.destination, r.u, r.v, w.back + 1 FROM paths w JOIN pred r ON r.o = w.origin AND r.v = w.u)"""
 
 
-@query("WITH " + _CLOSED.format(n=7) + " SELECT * FROM paths", "nodes", "edges", "traversals")
+@query("WITH RECURSIVE " + _CLOSED.format(n=7) + " SELECT * FROM paths", "nodes", "edges", "traversals")
 def e12_closure_routes(t):
     return network.closure_routes(t.edges, t.edges.where("edge_idx % 7 = 0"), _od(t))
 
@@ -950,9 +954,9 @@ def i4_travel_demand(t):
 
 
 @query(f"""WITH {_BY_COST}, q AS (SELECT u, v, time_bucket(INTERVAL 15 MINUTE, timedate) AS q, COUNT(*) AS n FROM traversals GROUP BY 1, 2, 3)
-  SELECT origin, destination, round_even(AVG(n) / 0.25::DOUBLE, 6) AS demand FROM (SELECT p.origin, p.destination, q.q, AVG(q.n) AS n FROM paths p JOIN q ON p.u = q.u AND p.v = q.v GROUP BY 1, 2, 3) GROUP BY 1, 2""", "nodes", "edges", "traversals")
+  SELECT origin, destination, round_even(round_even(AVG(n) / 0.25::DOUBLE, 9), 6) AS demand FROM (SELECT p.origin, p.destination, q.q, AVG(q.n) AS n FROM paths p JOIN q ON p.u = q.u AND p.v = q.v GROUP BY 1, 2, 3) GROUP BY 1, 2""", "nodes", "edges", "traversals")
 def i4_travel_demand_15min(t):
-    return demand.travel_demand_15min(_paths(t)[1], t.traversals).withColumn("demand", F.bround("demand", 6))
+    return demand.travel_demand_15min(_paths(t)[1], t.traversals).withColumn("demand", F.bround(F.bround("demand", 9), 6))  # sums in any order give one value
 
 
 def _cells(t):
@@ -1062,12 +1066,12 @@ def j5_time_bands(t):
 _REROUTED = _CLOSED.format(n=11)
 
 
-@query("WITH " + _REROUTED + ", c AS (SELECT u, v, COUNT(*) AS counts FROM paths GROUP BY 1, 2) SELECT u, v, counts, round_even(counts::DOUBLE / MAX(counts) OVER () * 100, 4) AS load FROM c", "nodes", "edges", "traversals")
+@query("WITH RECURSIVE " + _REROUTED + ", c AS (SELECT u, v, COUNT(*) AS counts FROM paths GROUP BY 1, 2) SELECT u, v, counts, round_even(counts::DOUBLE / MAX(counts) OVER () * 100, 4) AS load FROM c", "nodes", "edges", "traversals")
 def j6_disrupted_loads(t):
     return disruption.disrupted_loads(_od(t), t.edges, t.edges.where("edge_idx % 11 = 0"))
 
 
-@query("WITH " + _REROUTED + f", priced AS ({_COST}) SELECT p.origin, p.destination, CAST(FLOOR(round_even(SUM(c.cost) / 60, 6)) AS INTEGER) AS minutes FROM paths p JOIN priced c ON p.u = c.u AND p.v = c.v GROUP BY 1, 2", "nodes", "edges", "traversals")
+@query("WITH RECURSIVE " + _REROUTED + f", priced AS ({_COST}) SELECT p.origin, p.destination, CAST(FLOOR(round_even(SUM(c.cost) / 60, 6)) AS INTEGER) AS minutes FROM paths p JOIN priced c ON p.u = c.u AND p.v = c.v GROUP BY 1, 2", "nodes", "edges", "traversals")
 def j6_route_times(t):
     return disruption.route_times(disruption.disrupted_routes(_od(t), t.edges, t.edges.where("edge_idx % 11 = 0")), _costed(t))
 

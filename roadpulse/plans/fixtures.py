@@ -110,6 +110,8 @@ def duck(body: str, *names: str) -> str:
     given = {k: k for k in ("events", "customer", "lineitem", "orders", "supplier", *_ALL)}
     ctes = [f"{n} AS ({_ALL[n].format(**_DUCK, **given)})" for n in order]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*ctes, body[5:]]) if ctes else body
     return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body

@@ -144,3 +144,12 @@ def test_last_leg_that_goes_back_is_dropped(spark):
     matched = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 4, 5), ("a", 2, 3, 4)], "TRIP_ID string, sequenza int, u long, v long")
     out = matching.matched_route(matched, edges).orderBy("order").collect()
     assert [(r.u, r.v) for r in out] == [(1, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_ties_take_the_smallest_predecessor_of_any_round(spark):
+    """Of two least paths to 9 the one of five edges ends in the smaller predecessor, and a later round finds it."""
+    edges = spark.createDataFrame([(1, 8, 4.0), (8, 9, 4.0), (1, 4, 1.0), (4, 5, 1.0), (5, 6, 1.0), (6, 2, 1.0), (2, 9, 4.0), (9, 7, 0.0), (7, 9, 0.0)], "u long, v long, length double")
+    found = network.shortest_paths(edges, spark.createDataFrame([(1,)], "origin long"))
+    assert {r.node: (r.dist, r.pred) for r in found.collect()} == {1: (0, None), 8: (4, 1), 4: (1, 1), 5: (2, 4), 6: (3, 5), 2: (4, 6), 9: (8, 2), 7: (8, 9)}
+    ends = spark.createDataFrame([(1, 7)], "origin long, destination long")
+    assert [(r.u, r.v) for r in network.path_edges(found, ends).orderBy("back").collect()] == [(9, 7), (2, 9), (6, 2), (5, 6), (4, 5), (1, 4)]
