@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.llm import fingerprints, html_text, licences, line_dedup, packing, quality, repeats, simhash, tokens, warc
+from roadpulse.llm import alignment, fingerprints, html_text, licences, line_dedup, mixing, packing, quality, repeats, simhash, tokens, warc, whitening
 from roadpulse.llm.common import tables
 
 
@@ -54,4 +54,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tables(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_html_text, op4_line_dedup, op5_warc, op6_fingerprints, op7_simhash, op8_repeated_bytes, op9_licence_scan, op10_byte_bpe)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(tables(spark, sf_dir, "embeddings"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer(tables(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_best_fit_packing, op3_html_text, op4_line_dedup, op5_warc, op6_fingerprints, op7_simhash,
+        op8_repeated_bytes, op9_licence_scan, op10_byte_bpe, op11_whitening, op12_cross_tokenizer, op13_mixing,
+    )
+}

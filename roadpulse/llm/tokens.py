@@ -172,7 +172,7 @@ class Codec:
         return at
 
     def bytes_of(self, token: int) -> bytes:
-        return bytes(_byte_letters()[c] for c in self.tokenizer.id_to_token(token))
+        return bytes(byte_letters()[c] for c in self.tokenizer.id_to_token(token))
 
 
 @lru_cache(1)
@@ -184,7 +184,7 @@ def _pattern():
 
 
 @lru_cache(1)
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next from U+0100."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = (b for b in range(256) if b not in plain)
