@@ -33,6 +33,10 @@ MARKS = frozenset(
 )
 #: Of these, those under which no article is the page's own.
 OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus respond reply replies".split())
+#: Words that make another word of their class a state or what isn't there: "no-sidebar", "ad-free", "comments-open".
+STATES = frozenset("no non not without has have with free less off on open opened close closed enabled disabled inactive layout".split())
+#: Characters and share of the content that release an element from a mark of its class, or a form from its own.
+RELEASED, HELD = 200, 0.8
 #: Their class says nothing of all that they hold.
 ROOTS = frozenset(("html", "body", "main", "article"))
 #: Elements of a head; any other ends it.
@@ -45,21 +49,34 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of the content that the region holds; share of a line's characters in links that makes it one of a list of links.
 SHARE, LINKED = 0.8, 0.8
 _WORDS = re.compile(r"[a-z]+")
+
+
+def class_words(names: str) -> set[str]:
+    """Words of class names that tell what an element is. A name with a word of ``STATES`` beside others tells nothing."""
+    found: set[str] = set()
+    for name in names.split():
+        words = set(_WORDS.findall(name))
+        if len(words) < 2 or not words & STATES:
+            found |= words
+    return found
+
+
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, element, marked) per block of a page.
+    """Collects (text, tags, link characters, element, mark, doubted) per block of a page.
 
-    Elements are numbers, each with its name and the number of the block around it.
+    Elements are numbers, each with its name and the number of the block around it. A mark of 1,
+    by a class or a form, is in doubt; ``doubted`` are the blocks that have one, -1 for an inline element.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, tuple]] = []
         self.kinds: list[str] = []
         self.parents: list[int] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # name, 2 dropped or 1 marked or 0, whether a block, innermost block
+        self.open: list[tuple[str, int, bool, int, tuple]] = []  # name, 2 dropped or 1 marked or 0, whether a block, innermost block, marked blocks
         self.count: dict[str, int] = {}  # how many of each name are open
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -68,7 +85,7 @@ class Lines(HTMLParser):
         if self.text:
             said = " ".join("".join(self.text).split())
             if said:
-                self.lines.append((said, self.tags + 1, self.linked, self.here(), self.state() > 0))
+                self.lines.append((said, self.tags + 1, self.linked, self.here(), self.state(), self.open[-1][4] if self.open else ()))
         self.text, self.tags, self.linked = [], 0, 0
 
     def state(self) -> int:
@@ -77,13 +94,14 @@ class Lines(HTMLParser):
     def here(self) -> int:
         return self.open[-1][3] if self.open else -1
 
-    def push(self, tag: str, mark: int, block: bool) -> None:
+    def push(self, tag: str, own: int, around: int, block: bool) -> None:
         number = self.here()
         if block:
             self.kinds.append(tag)
             self.parents.append(number)
             number = len(self.kinds) - 1
-        self.open.append((tag, mark, block, number))
+        doubted = (self.open[-1][4] if self.open and around else ()) + ((number if block else -1,) if own == 1 else ())
+        self.open.append((tag, max(own, around), block, number, doubted))
         self.count[tag] = self.count.get(tag, 0) + 1
 
     def judged(self, tag: str, attrs: list) -> int:
@@ -92,7 +110,7 @@ class Lines(HTMLParser):
             return 2
         if tag == "header":
             return 0 if self.count.get("article") else 2
-        found = set(_WORDS.findall(f"{has.get('class', '')} {has.get('id', '')}"))
+        found = class_words(f"{has.get('class', '')} {has.get('id', '')}")
         if tag == "article":
             return 2 * any(x.startswith(("comment", "repl")) for x in found)
         if tag in ROOTS:
@@ -108,11 +126,11 @@ class Lines(HTMLParser):
             self.tags += 1
             return
         if tag in INLINE:
-            mark = max(self.judged(tag, attrs), self.state())
+            own = self.judged(tag, attrs)
             self.tags += 1
-            if mark > self.state():  # its own words are no part of the line around it
+            if own > self.state():  # its own words are no part of the line around it
                 self.end_line()
-            self.push(tag, mark, False)
+            self.push(tag, own, self.state(), False)
             return
         self.end_line()
         self.close_open("p", ("td", "th", "li", "div", "article", "section", "body", "table", "blockquote"))
@@ -121,7 +139,7 @@ class Lines(HTMLParser):
                 self.close_open(name, ENDS[tag][1])
         # an article is its page's own whatever the class of a wrapper or a form around it says
         around = 0 if tag in ("article", "main") and self.state() == 1 else self.state()
-        self.push(tag, max(self.judged(tag, attrs), around), True)
+        self.push(tag, self.judged(tag, attrs), around, True)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -183,14 +201,28 @@ def upper_cluster(values: np.ndarray, rounds: int = 20) -> np.ndarray:
     return values >= (low + high) / 2
 
 
+def released(lines: list, content: np.ndarray, sizes: np.ndarray) -> set[int]:
+    """Marked blocks that hold the content after all: nearly all of what no surer mark drops, and as much as an article has."""
+    open_ = np.array([x[4] < 2 for x in lines])
+    share = sizes * content * open_
+    total, found = float(share.sum()), {}
+    for x, n in zip(lines, share.tolist()):
+        for k in x[5] if x[4] == 1 else ():
+            found[k] = found.get(k, 0.0) + n
+    return {k for k, n in found.items() if k >= 0 and n >= max(HELD * total, RELEASED)}
+
+
 def region(lines: list, kinds: list[str], parents: list[int]) -> list[str]:
     """The texts of the lines that belong to the page's main text, in page order."""
-    if all(x[4] for x in lines):
-        return []
     sizes = np.array([len(x[0]) for x in lines], float)
+    if not len(lines):
+        return []
     # notices and menus beside the content take part in the clusters, as they tell what low ratios are
     content = upper_cluster(np.log1p(smoothed(sizes / np.array([x[1] for x in lines]))))
-    plain = np.array([not x[4] for x in lines])
+    free = released(lines, content, sizes)
+    plain = np.array([not x[4] or (x[4] == 1 and free.issuperset(x[5])) for x in lines])
+    if not plain.any():
+        return []
     content = content & plain if (content & plain).any() else plain
     mass = [0.0] * len(kinds)
     for x, n in zip(lines, sizes * content):

@@ -87,14 +87,15 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, host: str = "source"
 
     Blank lines stay; a null text stays null; a null host is a host; repeated rows each count
     as a document unless ``copies`` is false (see ``boilerplate_beside_copies``). With
-    ``counts``, columns n_lines and n_dropped are added. The lines to drop are gathered per
-    host, in short lists (see ``boilerplate``).
+    ``counts``, columns n_lines and n_dropped are added, with underscores before them where
+    ``docs`` has such. The lines to drop are gathered per host, in short lists (see ``boilerplate``).
+    Lines are told apart by 64-bit hashes.
     """
-    out, n_lines, n_dropped = free_name(docs, "kept_lines"), "n_lines", "n_dropped"
-    hosts = _listed((boilerplate if copies else boilerplate_beside_copies)(docs, ratio, host, text))
-    joined = docs.join(hosts, docs[host].eqNullSafe(hosts["listed_host"]), "left")
+    out, n_lines, n_dropped, listed, drop = (free_name(docs, c) for c in ("kept_lines", "n_lines", "n_dropped", "listed_host", "drop_list"))
+    hosts = _listed((boilerplate if copies else boilerplate_beside_copies)(docs, ratio, host, text)).withColumnsRenamed({"listed_host": listed, "drop_list": drop})
+    joined = docs.join(hosts, docs[host].eqNullSafe(hosts[listed]), "left")
     lines = _lines(docs, text)
-    kept = F.when(F.col("drop_list").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop_list", F.xxhash64(_key(x)))))
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(drop, F.xxhash64(_key(x)))))
     joined = joined.withColumn(out, kept)
     columns = [F.when(docs[c].isNotNull(), F.array_join(F.col(out), "\n")).alias(c) if c == text else docs[c] for c in docs.columns]
     if counts:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import few_rows, stored
+from roadpulse.llm.common import few_rows, free_name, stored
 from roadpulse.llm.tokens import slices
 
 LENGTH = 100
@@ -373,20 +373,21 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str, kept: list[str]) -> DataFrame:
-    """``kept`` columns of ``docs`` with span_low and span_high, arrays."""
+def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str, kept: list, low: str = "span_low", high: str = "span_high") -> DataFrame:
+    """``kept`` columns of ``docs`` with ``low`` and ``high``, arrays; ``docs`` has no columns of these names."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ends = lambda spans, key: spans.select(F.col("doc_id").alias(key), F.col("spans.low").alias("span_low"), F.col("spans.high").alias("span_high"))
+    own, hashed, said = (free_name(docs, c) for c in ("span_doc", "span_hash", "span_text"))
+    ends = lambda spans, key: spans.select(F.col("doc_id").alias(key), F.col("spans.low").alias(low), F.col("spans.high").alias(high))
     ids = source.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.where("n > 1").limit(1).count() == 0:
-        return docs.join(ends(repeated_spans(source, length), "span_doc"), F.col(doc_id) == F.col("span_doc"), "left").select(*kept, "span_low", "span_high")
+        return docs.join(ends(repeated_spans(source, length), own), F.col(doc_id) == F.col(own), "left").select(*kept, low, high)
     # different texts of one id are documents of their own, numbered in order of id and text
     rows = source.where("doc_id is not null and text is not null").distinct().orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "numbered")
     spans = ends(repeated_spans(rows.select(F.col("row").alias("doc_id"), "text"), length), "row")
-    named = rows.join(spans, "row").select(F.col("doc_id").alias("span_doc"), F.xxhash64("text").alias("span_hash"), F.col("text").alias("span_text"), "span_low", "span_high")
-    same = (F.col(doc_id) == F.col("span_doc")) & (F.xxhash64(docs[text]) == F.col("span_hash")) & (docs[text] == F.col("span_text"))
-    return docs.join(named, same, "left").select(*kept, "span_low", "span_high")
+    named = rows.join(spans, "row").select(F.col("doc_id").alias(own), F.xxhash64("text").alias(hashed), F.col("text").alias(said), low, high)
+    same = (F.col(doc_id) == F.col(own)) & (F.xxhash64(docs[text]) == F.col(hashed)) & (docs[text] == F.col(said))
+    return docs.join(named, same, "left").select(*kept, low, high)
 
 
 def _spans(low, high) -> list[tuple[int, int]]:
@@ -420,6 +421,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     def kept(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or low is None else without(t.encode(), merged(list(zip(low, high)))).decode(errors="ignore") for t, low, high in zip(texts, lows, highs)], dtype=object)
 
-    rows = _with_spans(docs, length, doc_id, text, [docs[c] for c in docs.columns])
-    shown = kept(F.col(text), "span_low", "span_high")
+    low, high = free_name(docs, "span_low"), free_name(docs, "span_high")
+    rows = _with_spans(docs, length, doc_id, text, [docs[c] for c in docs.columns], low, high)
+    shown = kept(F.col(text), low, high)
     return rows.select(*(shown.alias(c) if c == text else F.col(c) for c in docs.columns))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from roadpulse.llm import fingerprints, line_dedup, repeats, simhash
 
@@ -264,3 +265,18 @@ def test_rows_without_or_with_equal_ids(make):
     out = repeats.drop_repeats(make(rows)).collect()
     assert len(out) == 5 and sorted(len(r.text or "") for r in out)[-2:] == [len(long)] * 2
     assert {r.text for r in out if r.doc_id is None} == {long}
+
+
+CLASH = ["span_doc", "span_low", "span_high", "span_hash", "span_text", "drop_list", "listed_host", "n_lines", "n_dropped", "kept_lines", "line_hash", "own", "row"]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_columns_of_the_operators_own_names(spark, make, twice):
+    """Columns named as those that the operators add inside stay as they are."""
+    long = "word " * 60
+    docs = make([(1, long), (2, f"a line\n{long}"), (2 if twice else 3, "other"), (None, None)]).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit("-"))) for c in CLASH})
+    for found in (repeats.drop_repeats(docs), line_dedup.drop_boilerplate(docs), line_dedup.drop_boilerplate(docs, copies=False)):
+        assert found.columns == docs.columns
+        assert sorted(map(str, found.drop("text").collect())) == sorted(map(str, docs.drop("text").collect()))
+    counted = line_dedup.drop_boilerplate(docs, counts=True)
+    assert counted.columns == [*docs.columns, "_n_lines", "_n_dropped"] and len(set(counted.columns)) == len(counted.columns)

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from roadpulse.llm import html_text, warc
 
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav>menu</nav><div id="cookie-notice">We use cookies</div><main><article><header><h1>Title &amp; more</h1></header>
@@ -30,6 +32,30 @@ def test_left_out_tags_and_wrappers():
     assert html_text.main_text("<article>own</article><div class='comments'><article>said a reader at some length</article></div>") == "own"
 
 
+STORY = "<h1>Head</h1><p>" + "A sentence of the story, of some length. " * 4 + "</p><p>" + "The rest of it, just as long as before. " * 4 + "</p>"
+TOLD = " ".join(["Head", *["A sentence of the story, of some length."] * 4, *["The rest of it, just as long as before."] * 4])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='page no-sidebar'>{}</div>", "<div class='content ad-free'>{}</div>", "<div class='menu-closed'>{}</div>", "<body><form id='aspnetForm' action='x'>{}</form></body>",
+        "<div class='post has-comments'><article>{}</article></div>", "<article class='post comments-open'>{}</article>", "<div id='sidebar'>{}</div>", "<div class='layout-right-sidebar'>{}<div class='sidebar'>Other news</div></div>",
+        "<div class='social'><div>{}</div></div><div class='ad'>Buy now</div>", "<div class='banner-off'>{}</div><div class='share-buttons'>Share this</div><div class='cookie-notice'>We use cookies</div>",
+        "<form><div class='ad'>Buy</div>{}</form><div class='comments'><p>%s</p></div>" % ("A reader says a lot more than the story does. " * 30),
+    ],
+)
+def test_class_names_do_not_drop_articles(page):
+    assert html_text.main_text(page.format(STORY)) == TOLD
+
+
+def test_marks_still_drop_what_is_beside(spark):
+    page = f"<div class='page no-sidebar'>{STORY}<div class='ad-slot'>Buy now</div><div id='related-posts'>More</div><div class='sidebar sidebar-left'>Links</div></div><form>Sign up</form>"
+    assert html_text.main_text(page) == TOLD
+    assert html_text.main_text(f"<article>{STORY}<form><p>Sign up</p></form></article>") == TOLD
+    assert html_text.main_text("<div class='comments'>" + STORY + "</div>") == ""
+
+
 LONG = ["A sentence of the story that goes on for a while, and then for a while more. " * 3, "Another one, as long as the first, of which there is nothing else to say here. " * 3]
 BARE = "<div><div><a href=1>Home</a></div>" + "<div><a href=2>News of the day</a></div>" * 6 + "</div><div><div>{0}</div><div>Short end.</div><div>{1}</div></div><div>" + "<div><a href=5>More of us</a></div>" * 6 + "<div><a href=4>Terms</a></div><div>(c) us</div></div>"
 
