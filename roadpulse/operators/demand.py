@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.store import kept
 from roadpulse.operators.network import path_edges, shortest_paths
+from roadpulse.operators.repair import repaired_costs
 from roadpulse.operators.traffic import EDGE, edge_speed_time
 from roadpulse.operators.traffic import trip_od as ends_of_trips
 
@@ -28,9 +29,12 @@ def peak_slice(trav: DataFrame, month: int, part: str = "morning") -> DataFrame:
     return trav.where((F.month("timedate") == month) & (F.weekday("timedate") < 5) & F.hour("timedate").isin(*hours))
 
 
-def travel_demand(paths: DataFrame, counts: DataFrame, months: int = 1, hours: int = 16) -> DataFrame:
-    """Vehicles per hour along each path (origin, destination): summed counts of its edges / months / 30 / hours."""
-    on = paths.join(counts, EDGE).groupBy("origin", "destination")
+def travel_demand(paths: DataFrame, counts: DataFrame, months: int = 1, hours: int = 16, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Vehicles per hour along each path (origin, destination): summed counts of its edges / months / 30 / hours.
+
+    ``tags`` are columns of ``counts``, such as the day, of whose values each has a demand of its own.
+    """
+    on = paths.join(counts, EDGE).groupBy(*tags, "origin", "destination")
     return on.agg((F.sum("counts") / months / 30 / hours).alias("demand"))
 
 
@@ -46,28 +50,37 @@ def delay(demand: Column, dt: Column, closed_h: float) -> Column:
     return F.when(dt < closed_h, demand * dt * (closed_h - dt / 2)).otherwise(demand * closed_h * closed_h / 2)
 
 
-def closure_impact(cell_edges: DataFrame, od: DataFrame, edges: DataFrame, demand: DataFrame, penalty: float = 18000) -> DataFrame:
-    """(cell, origin, destination, dt, delay) of closing all edges of a cell, for the cells on the pair's path.
+def closure_detours(cell_edges: DataFrame, od: DataFrame, edges: DataFrame, penalty: float = 18000, weight: str = "cost") -> DataFrame:
+    """(cell, origin, destination, dt) of closing all edges of a cell, for the cells on the pair's path; dt in hours.
 
-    Paths are found once without closures and once per cell that some path crosses, with its
-    edges ``penalty`` seconds longer. ``edges`` has cost in seconds.
+    Trees of least paths are grown once, without closures. A cell's closure makes its edges
+    ``penalty`` seconds longer; only what lies below them in an origin's tree is computed again.
     """
-    base = shortest_paths(edges, od.select("origin"), "cost")
+    base = shortest_paths(edges, od.select("origin"), weight)
     along = path_edges(base, od.select("origin", "destination"))
-    crossed = along.join(cell_edges, EDGE).select("cell", "origin", "destination").distinct()
-    crossed = kept(crossed, "crossed")
-    more = cell_edges.select("cell", *EDGE).distinct().withColumn("extra", F.lit(float(penalty)))
-    then = shortest_paths(edges, crossed.select("cell", "origin"), "cost", extra=more).select("cell", "origin", F.col("node").alias("destination"), F.col("dist").alias("t1"))
+    closed = cell_edges.select("cell", *EDGE).distinct()
+    crossed = kept(along.join(closed, EDGE).select("cell", "origin", "destination").distinct(), "crossed")
+    then = repaired_costs(base, edges, closed, crossed, weight, penalty)
     before = base.select("origin", F.col("node").alias("destination"), F.col("dist").alias("t0"))
-    out = crossed.join(before, ["origin", "destination"]).join(then, ["cell", "origin", "destination"]).join(demand, ["origin", "destination"])
-    out = out.withColumn("dt", (F.col("t1") - F.col("t0")) / 3600)
-    return out.select("cell", "origin", "destination", F.bround("dt", 9).alias("dt"), F.bround(delay(F.col("demand"), F.col("dt"), penalty / 3600), 6).alias("delay"))
+    return then.join(before, ["origin", "destination"]).select("cell", "origin", "destination", ((F.col("dist") - F.col("t0")) / 3600).alias("dt"))
+
+
+def detour_impact(detours: DataFrame, demand: DataFrame, penalty: float = 18000) -> DataFrame:
+    """``detours`` with the delay of each pair's demand: (further columns of ``demand``), cell, origin, destination, dt, delay."""
+    tags = [c for c in demand.columns if c not in ("origin", "destination", "demand")]
+    out = detours.join(demand, ["origin", "destination"])
+    return out.select(*tags, "cell", "origin", "destination", F.bround("dt", 9).alias("dt"), F.bround(delay(F.col("demand"), F.col("dt"), penalty / 3600), 6).alias("delay"))
+
+
+def closure_impact(cell_edges: DataFrame, od: DataFrame, edges: DataFrame, demand: DataFrame, penalty: float = 18000) -> DataFrame:
+    """(cell, origin, destination, dt, delay) of closing all edges of a cell; ``edges`` has cost in seconds. See ``closure_detours``."""
+    return detour_impact(closure_detours(cell_edges, od, edges, penalty), demand, penalty)
 
 
-def cell_importance(impacts: DataFrame, cell_edges: DataFrame) -> DataFrame:
-    """Summed delay of each cell, whole, for each of its edges."""
-    per = impacts.groupBy("cell").agg(F.floor(F.sum("delay")).cast("long").alias("importance"))
-    return cell_edges.select(*EDGE, "cell").distinct().join(per, "cell").select(*EDGE, "cell", "importance")
+def cell_importance(impacts: DataFrame, cell_edges: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Summed delay of each cell, whole, for each of its edges; ``tags`` are columns of ``impacts`` of whose values each has sums of its own."""
+    per = impacts.groupBy(*tags, "cell").agg(F.floor(F.sum("delay")).cast("long").alias("importance"))
+    return cell_edges.select(*EDGE, "cell").distinct().join(per, "cell").select(*tags, *EDGE, "cell", "importance")
 
 
 def normalise_vulnerability(df: DataFrame, tags: tuple[str, ...] = (), per_edge: bool = False) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from roadpulse.functions.geo import along_segment, cell, to_segment
 from roadpulse.functions.store import kept
 from roadpulse.operators.cleaning import BY_TIME, epoch, fill_gaps
+from roadpulse.operators.hubs import hub_index, pair_costs
 from roadpulse.operators.network import path_edges, shortest_paths, with_ends
+from roadpulse.operators.ranks import exact_median
 
 
 def matchable_trips(clean: DataFrame, min_fixes: int = 6) -> DataFrame:
@@ -70,17 +72,18 @@ def transition(route_km: Column, odometer_km: Column, beta: float = 1.0) -> Colu
     return F.when(route_km <= odometer_km, F.exp(-F.abs(route_km - odometer_km) / beta))
 
 
-def beta_of(differences: DataFrame, col: str = "difference") -> DataFrame:
-    """Estimate of beta: the median difference over ln 2."""
-    return differences.agg((F.median(col) / math.log(2)).alias("beta"))
+def beta_of(differences: DataFrame, col: str = "difference") -> float | None:
+    """Estimate of beta: the median difference, exact over all rows, over ln 2; None without rows."""
+    median = exact_median(differences, col)
+    return None if median is None else median / math.log(2)
 
 
 def steps(cands: DataFrame, edges: DataFrame, slack_m: float = 5.0) -> DataFrame:
     """Pairs of candidates of consecutive fixes with the route between them: TRIP_ID, id, u, v, from_u, from_v, route_km, odometer_km.
 
     A route goes along the first edge to its end, by the least path to the start of the second
-    and along that. Least paths come from one batch over the distinct pairs of nodes and go no
-    farther than some odometer does. Pairs whose route is longer than the odometer by more than
+    and along that. Least costs come from hub labels of the distinct pairs of nodes, so a jump of one
+    odometer makes no origin search the network. Pairs whose route is longer than the odometer by more than
     ``slack_m`` are left out, as are those without a route.
     """
     w = Window.partitionBy("TRIP_ID").orderBy(*BY_TIME)
@@ -92,8 +95,8 @@ def steps(cands: DataFrame, edges: DataFrame, slack_m: float = 5.0) -> DataFrame
     pairs = placed.join(fixes.where("last_id is not null and odometer >= 0"), ["TRIP_ID", "id"]).join(last, ["TRIP_ID", "last_id"])
     pairs = kept(pairs, "pairs")
     same = (F.col("u") == F.col("last_u")) & (F.col("v") == F.col("last_v")) & (F.col("along") >= F.col("last_along"))
-    ends = pairs.where(~same).groupBy(F.col("last_v").alias("origin")).agg((F.max("odometer") + slack_m).cast("double").alias("reach"))
-    best = shortest_paths(edges, ends, "length").select(F.col("origin").alias("last_v"), F.col("node").alias("u"), "dist")
+    ends = pairs.where(~same).select(F.col("last_v").alias("origin"), F.col("u").alias("destination")).distinct()
+    best = pair_costs(hub_index(edges, "length"), ends).select(F.col("origin").alias("last_v"), F.col("destination").alias("u"), "dist")
     out = pairs.join(best, ["last_v", "u"], "left")
     by_path = (1 - F.col("last_along")) * F.col("last_length") + F.col("dist") + F.col("along") * F.col("length")
     out = out.withColumn("route", F.when(same, (F.col("along") - F.col("last_along")) * F.col("length")).otherwise(by_path))
@@ -115,7 +118,7 @@ def match_trips(cands: DataFrame, edges: DataFrame, sigma: float | None = None,
     """
     moves = kept(steps(cands, edges, slack_m).withColumn("difference", F.abs(F.col("route_km") - F.col("odometer_km"))), "steps")
     if beta is None:
-        beta = max(beta_of(moves).first()[0] or 0.0, 0.001)
+        beta = max(beta_of(moves) or 0.0, 0.001)
     near = F.least("route_km", "odometer_km")  # routes within the slack count as on the odometer
     log = lambda p: F.log(F.greatest(p, F.lit(LEAST_LOG)))
     back = moves.groupBy("TRIP_ID", "id", "u", "v").agg(F.collect_list(F.struct("from_u", "from_v", log(transition(near, F.col("odometer_km"), beta)).alias("p"))).alias("back"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import EARTH_KM, cell, haversine, to_segment
 from roadpulse.functions.store import kept, remove, written
+from roadpulse.operators import pyramid
 
 #: km/h of each road class where an edge has no usable limit (fixed values).
 CLASS_SPEED = {
@@ -189,13 +190,13 @@ def _waves(tight: DataFrame, value: DataFrame, src: str, dst: str, given) -> Dat
     A node passes its value on once all edges into it have brought theirs; ``given`` is the
     column expression of what an edge brings, of n (the sender's value) and the edge's columns.
     """
-    waiting, done = tight, None
+    waiting, waves = tight, []
     while True:
         blocked = waiting.select("origin", F.col(dst).alias("node")).distinct()
-        now = kept(value.join(blocked, ["origin", "node"], "left_anti"), "wave")
-        done = now if done is None else done.unionByName(now)
+        now, path = written(value.join(blocked, ["origin", "node"], "left_anti"), "wave")
+        waves.append(path)
         if waiting.limit(1).count() == 0:
-            return done
+            return now.sparkSession.read.schema(now.schema).parquet(*waves)  # one scan, however many waves
         sent = waiting.join(now.withColumnRenamed("node", src), ["origin", src])
         add = sent.groupBy("origin", F.col(dst).alias("node")).agg(F.sum(given).alias("add"))
         left = value.join(now.select("origin", "node"), ["origin", "node"], "left_anti").join(add, ["origin", "node"], "left")
@@ -262,36 +263,29 @@ def closure_routes(edges: DataFrame, closures: DataFrame, legs: DataFrame, weigh
     return path_edges(best, legs.select("origin", "destination"))
 
 
-def _nearest(points: DataFrame, things: DataFrame, extent: DataFrame, size: float, distance: Column, bound, pick: list[str]) -> DataFrame:
+def _nearest(points: DataFrame, things: DataFrame, extent: DataFrame, size: float, distance: Column, bound, bounds: tuple[Column, Column], pick: list[str]) -> DataFrame:
     """The nearest of ``things`` for each point (id, px, py): id, ``pick`` columns, m (distance, metres).
 
     ``things`` has their box (ax, bx, ay, by). Points are held against what lies in their square
-    and the eight around; where the best is farther than all outside of those may be, the point
-    is held against squares four times as large, until it is certain or they hold everything.
+    and the eight around; where the best is farther than what lies outside of those may be, or
+    there is none, the point goes down a pyramid of the occupied squares.
     """
-    spark, out = points.sparkSession, None
     ends = extent.first()
     if ends["ax"] is None:
         return None
     width = max(ends["bx"] - ends["ax"], ends["by"] - ends["ay"])
     span = lambda a, b: F.sequence(cell(F.col(a), size), cell(F.col(b), size))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    rest = points
-    while True:
-        squares = things.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
-        # a square beside the things' own extent may be reached too: points outside are moved to its border
-        x, y = F.greatest(F.lit(ends["ax"]), F.least(F.lit(ends["bx"]), F.col("px"))), F.greatest(F.lit(ends["ay"]), F.least(F.lit(ends["by"]), F.col("py")))
-        last = size > width
-        asked = rest.withColumn("_c", F.explode(around)).withColumns({"cx": cell(x if last else F.col("px"), size) + F.col("_c.i"), "cy": cell(y if last else F.col("py"), size) + F.col("_c.j")}).drop("_c")
-        met = asked.join(squares, ["cx", "cy"]).withColumn("m", distance)
-        best = met.groupBy("id").agg(F.min(F.struct("m", *pick)).alias("b"))
-        found, _ = written(rest.join(best, "id", "left").withColumn("sure", F.lit(last) | F.coalesce(F.col("b.m") <= bound(size), F.lit(False))), "nearest")
-        sure = found.where("sure and b is not null").select("id", *(F.col(f"b.{c}").alias(c) for c in pick), "b.m")
-        out = sure if out is None else out.unionByName(sure)
-        rest = found.where("not sure").select("id", "px", "py")
-        if last or rest.first() is None:
-            return out
-        size *= 4
+    squares = things.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+    asked = points.withColumn("_c", F.explode(around)).withColumns({"cx": cell(F.col("px"), size) + F.col("_c.i"), "cy": cell(F.col("py"), size) + F.col("_c.j")}).drop("_c")
+    met = asked.join(squares, ["cx", "cy"]).withColumn("m", distance)
+    best = met.groupBy("id").agg(F.min(F.struct("m", *pick)).alias("b"))
+    found = kept(points.join(best, "id", "left").withColumn("sure", F.coalesce(F.col("b.m") <= bound(size), F.lit(False))), "nearest")
+    sure = found.where("sure").select("id", *(F.col(f"b.{c}").alias(c) for c in pick), "b.m")
+    rest = found.where("not sure").select("id", "px", "py")
+    if rest.first() is None:
+        return sure
+    return sure.unionByName(pyramid.nearest(rest, things, size, width, distance, bounds, pick))
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, size: float = 0.02) -> DataFrame:
@@ -301,7 +295,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, size: float = 0.02) -> Dat
     far = F.bround(haversine(F.col("px"), F.col("py"), F.col("x"), F.col("y")) * 1000, 3)
     # what lies outside is a whole square off in one direction: a parallel or a meridian away
     off = lambda s: F.least(F.radians(F.lit(s)), F.asin(F.cos(F.radians("py")) * F.sin(F.radians(F.lit(min(s, 90.0)))))) * (EARTH_KM * 1000 * 0.999999)
-    out = _nearest(p, n, n.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, ["node"])
+    out = _nearest(p, n, n.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, pyramid.sphere_bounds(), ["node"])
     return p.select("id", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("m")).where("false") if out is None else out
 
 
@@ -318,7 +312,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, nodes: DataFrame, size: fl
     e = e.withColumns({"ax": F.least("x1", "x2"), "bx": F.greatest("x1", "x2"), "ay": F.least("y1", "y2"), "by": F.greatest("y1", "y2")})
     far = F.bround(to_segment(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))), 3)
     off = lambda s: F.lit(s) * F.cos(F.radians("py")) * (METRES_PER_DEGREE * 0.999999)
-    out = _nearest(p, e, e.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, ["u", "v"])
+    out = _nearest(p, e, e.agg(F.min("ax").alias("ax"), F.max("bx").alias("bx"), F.min("ay").alias("ay"), F.max("by").alias("by")), size, far, off, pyramid.plane_bounds(METRES_PER_DEGREE), ["u", "v"])
     if out is None:
         return p.select("id", *(F.lit(None).cast(t).alias(c) for c, t in (("u", "long"), ("v", "long"), ("m", "double"), ("node", "long")))).where("false")
     ends = out.join(e.select("u", "v", "x1", "y1", "x2", "y2"), ["u", "v"]).join(p, "id")
@@ -348,12 +342,12 @@ def cell_edges(hexes: DataFrame, edges: DataFrame, nodes: DataFrame, size: float
     h = hexes.select("cell", F.col("x").alias("hx"), F.col("y").alias("hy"), "w", (F.col("x") - F.col("w") / 2).alias("hx0"), (F.col("x") + F.col("w") / 2).alias("hx1"), (F.col("y") - half_h).alias("hy0"), (F.col("y") + half_h).alias("hy1"))
     squares = lambda df, a, b, c, d: df.withColumn("sx", F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))).withColumn("sy", F.explode(F.sequence(cell(F.col(c), size), cell(F.col(d), size))))
     met = squares(boxes, "ax", "bx", "ay", "by").join(squares(h, "hx0", "hx1", "hy0", "hy1"), ["sx", "sy"])
-    low, high, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
+    ends_at, begins_at, outside = [F.lit(1.0)], [F.lit(0.0)], F.lit(False)
     for nx, ny in ((1.0, 0.0), (-1.0, 0.0), (0.5, HALF_ROOT), (-0.5, HALF_ROOT), (0.5, -HALF_ROOT), (-0.5, -HALF_ROOT)):
         room = F.col("w") / 2 - ((F.col("x1") - F.col("hx")) * nx + (F.col("y1") - F.col("hy")) * ny)
         go = (F.col("x2") - F.col("x1")) * nx + (F.col("y2") - F.col("y1")) * ny
-        at = F.try_divide(room, go)
         outside = outside | ((go == 0) & (room < 0))
-        low = F.when(go < 0, F.greatest(low, at)).otherwise(low)
-        high = F.when(go > 0, F.least(high, at)).otherwise(high)
+        begins_at.append(F.when(go < 0, F.try_divide(room, go)))
+        ends_at.append(F.when(go > 0, F.try_divide(room, go)))
+    low, high = F.greatest(*begins_at), F.least(*ends_at)  # nulls don't count
     return met.where(~outside & (low <= high)).select("cell", "u", "v").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import cell, haversine
 from roadpulse.functions.store import kept
+from roadpulse.operators.clusters import density_clusters
 
 
 def _boxed(stops: DataFrame, dlon: float, dlat: float) -> DataFrame:
@@ -127,26 +128,12 @@ def parking_nights(route: DataFrame, fixes: DataFrame, least_s: int = 14400, shi
 def night_place(stops: DataFrame, eps_m: float = 120, min_records: int = 3, min_points: int = 1) -> DataFrame:
     """Per vehicle with enough stops: the DBSCAN cluster with most nights (id, idterm, longitude, latitude, n_nights).
 
-    Neighbours come from a join on cells of ``eps_m``; clusters are the components of core points
-    and take the border points they reach. Returns idterm, n_points, n_nights and the centre.
+    Clusters are those of ``density_clusters``; of equal ones that of the smallest label is taken.
+    Returns idterm, n_points, n_nights and the centre.
     """
     w = Window.partitionBy("idterm")
     s = kept(stops.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= min_records).drop("_n"), "stops")
-    lat = eps_m / 111195.0
-    pairs = _boxed(s.select("idterm", "id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), lat * 2, lat * 1.01)
-    ends = lambda p: s.select("idterm", F.col("id").alias(p), F.col("longitude").alias(f"{p}x"), F.col("latitude").alias(f"{p}y"))
-    near = pairs.select("idterm", "a", "b").join(ends("a"), ["idterm", "a"]).join(ends("b"), ["idterm", "b"])
-    near = kept(near.where(haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) * 1000 <= eps_m).select("idterm", "a", "b"), "near")
-    core = near.groupBy("idterm", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("idterm", "a")
-    links = kept(near.join(core, ["idterm", "a"]).join(core.withColumnRenamed("a", "b"), ["idterm", "b"]), "links")
-    labels = core.select("idterm", "a", F.col("a").alias("label"))
-    while True:
-        least = links.join(labels.select("idterm", F.col("a").alias("b"), "label"), ["idterm", "b"]).groupBy("idterm", "a").agg(F.min("label").alias("least"))
-        after = kept(labels.join(least, ["idterm", "a"]).select("idterm", "a", F.col("label").alias("last"), F.least("label", "least").alias("label")), "labels")
-        labels = after.drop("last")
-        if after.where("label <> last").limit(1).count() == 0:
-            break
-    reach = near.join(labels, ["idterm", "a"]).groupBy("idterm", F.col("b").alias("id")).agg(F.min("label").alias("label"))
+    reach = density_clusters(s, eps_m, min_points)
     size = reach.join(s, ["idterm", "id"]).groupBy("idterm", "label").agg(F.count(F.lit(1)).alias("n_points"), F.sum("n_nights").alias("n_nights"), F.bround(F.avg("longitude"), 6).alias("longitude"), F.bround(F.avg("latitude"), 6).alias("latitude"))
     best = F.min_by(F.struct("n_points", "n_nights", "longitude", "latitude"), F.struct(-F.col("n_nights"), "label")).alias("m")
     return size.groupBy("idterm").agg(best).select("idterm", "m.*")

@@ -136,21 +136,21 @@ def normal_fit(df: DataFrame, by: str, col: str) -> DataFrame:
     return df.groupBy(by).agg(F.bround(F.avg(col), 6).alias("mean"), F.bround(sd, 6).alias("sd"), F.bround(sd / F.sqrt(n), 6).alias("se_mean"), F.bround(sd / F.sqrt(2 * n), 6).alias("se_sd"))
 
 
+def _profile(rows: DataFrame, by: list[str]) -> DataFrame:
+    day = classed(rows).groupBy(*by, "direzione", "class", F.to_date("timedate").alias("date"), F.hour("timedate").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    mean = day.groupBy(*by, "direzione", "class", "hour").agg(F.avg("n").alias("n")).groupBy(*by, "direzione", "class").agg(F.sum("n").alias("n"))
+    total = mean.groupBy(*by, "direzione").agg(F.sum("n").alias("total"))
+    return mean.join(total, [*by, "direzione"]).select(*by, "direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
+
+
 def mean_hour_profile(sensor: DataFrame) -> DataFrame:
-    """Per direction and class: the mean daily count of each hour, summed over hours, and its share of the direction."""
-    day = classed(sensor).groupBy("direzione", "class", F.to_date("timedate").alias("day"), F.hour("timedate").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    mean = day.groupBy("direzione", "class", "hour").agg(F.avg("n").alias("n")).groupBy("direzione", "class").agg(F.sum("n").alias("n"))
-    total = mean.groupBy("direzione").agg(F.sum("n").alias("total"))
-    return mean.join(total, "direzione").select("direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
+    """Per month, weekday (0 is Monday), direction and class: the mean count of each hour over the weekday's dates, summed over hours, and its percent of the direction's on that weekday."""
+    return _profile(sensor.withColumns({"month": F.month("timedate"), "weekday": F.weekday("timedate")}), ["month", "weekday"])
 
 
 def weekday_profile(sensor: DataFrame) -> DataFrame:
-    """As ``mean_hour_profile``, of working days and of weekends each."""
-    rows = sensor.withColumn("part", F.when(F.weekday("timedate") < 5, "weekday").otherwise("weekend"))
-    day = classed(rows).groupBy("part", "direzione", "class", F.to_date("timedate").alias("day"), F.hour("timedate").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    mean = day.groupBy("part", "direzione", "class", "hour").agg(F.avg("n").alias("n")).groupBy("part", "direzione", "class").agg(F.sum("n").alias("n"))
-    total = mean.groupBy("part", "direzione").agg(F.sum("n").alias("total"))
-    return mean.join(total, ["part", "direzione"]).select("part", "direzione", "class", F.bround("n", 6).alias("n"), F.bround(F.col("n") / F.col("total") * 100, 4).alias("pct"))
+    """As ``mean_hour_profile``, of a month's working days and of its weekends."""
+    return _profile(sensor.withColumns({"month": F.month("timedate"), "part": F.when(F.weekday("timedate") < 5, "weekday").otherwise("weekend")}), ["month", "part"])
 
 
 def class_bins(df: DataFrame, col: str, n: int = 13) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import haversine
 from roadpulse.functions.store import kept, new_path
-from roadpulse.operators import cleaning, demand, disruption, matching, network, places, resilience, statistics, traffic, trips
+from roadpulse.operators import centrality, cleaning, demand, disruption, hubs, matching, network, places, ranks, resilience, statistics, traffic, trips
 from roadpulse.plans.fixtures import Fixtures, duck
 from roadpulse.sources import files
 from roadpulse.streaming import streams
@@ -419,7 +419,14 @@ def d7_parking_nights(t):
     return places.parking_nights(route, t.fixes)
 
 
-@query()
+# places of a vehicle, each with what stands there; places nearer than 120 m reach each other
+@query(f"""WITH RECURSIVE few AS (SELECT *, COUNT(*) OVER (PARTITION BY idterm) AS n FROM fixes), stood AS (SELECT idterm, longitude AS x, latitude AS y, MIN(id) AS place, COUNT(*) AS w, CAST(SUM(speed % 3) AS BIGINT) AS nights FROM few WHERE n >= 3 GROUP BY 1, 2, 3),
+  near AS (SELECT a.idterm, a.place AS a, b.place AS b FROM stood a JOIN stood b ON a.idterm = b.idterm AND {_far('a.x', 'a.y', 'b.x', 'b.y')} * 1000 <= 120),
+  reach(idterm, a, b) AS (SELECT idterm, place, place FROM stood UNION SELECT r.idterm, r.a, n.b FROM reach r JOIN near n ON n.idterm = r.idterm AND n.a = r.b),
+  label AS (SELECT idterm, a, MIN(b) AS label FROM reach GROUP BY 1, 2),
+  size AS (SELECT t.idterm, l.label, CAST(SUM(t.w) AS BIGINT) AS n_points, CAST(SUM(t.nights) AS BIGINT) AS n_nights FROM stood t JOIN label l ON l.idterm = t.idterm AND l.a = t.place GROUP BY 1, 2),
+  middle AS (SELECT t.idterm, l.label, round_even(AVG(f.longitude), 6) AS longitude, round_even(AVG(f.latitude), 6) AS latitude FROM fixes f JOIN stood t ON f.idterm = t.idterm AND f.longitude = t.x AND f.latitude = t.y JOIN label l ON l.idterm = t.idterm AND l.a = t.place GROUP BY 1, 2)
+  SELECT idterm, n_points, n_nights, longitude, latitude FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idterm ORDER BY n_nights DESC, label) AS r FROM size JOIN middle USING (idterm, label)) WHERE r = 1""", "fixes")
 def d8_night_place(t):
     return places.night_place(t.fixes.select("id", "idterm", "longitude", "latitude", (F.col("speed") % 3).alias("n_nights")))
 
@@ -501,10 +508,28 @@ def e6_shortest_paths(t):
     return network.shortest_paths(t.edges, t.nodes.select(F.col("node").alias("origin"))).select("origin", "node", "dist")
 
 
+# least costs from the depots of the wide network, each round those that improve
+_WIDE = """far(o, t, c) USING KEY (o, t) AS (SELECT DISTINCT origin, origin, 0::DOUBLE FROM rides
+    UNION SELECT f.o, f.t, f.c FROM (SELECT w.o, e.v AS t, MIN(w.c + e.metres) AS c FROM far w JOIN wide_edges e ON e.u = w.t GROUP BY 1, 2) f LEFT JOIN recurring.far k ON k.o = f.o AND k.t = f.t WHERE k.c IS NULL OR f.c < k.c)"""
+_WALKED = """pred AS (SELECT w.o, e.v, arg_min(e.u, w.c + e.metres) AS u FROM far w JOIN wide_edges e ON e.u = w.t WHERE e.v <> w.o GROUP BY 1, 2), asked AS (SELECT DISTINCT origin, destination FROM rides),
+  walked AS (SELECT a.origin, a.destination, p.u, p.v, 0 AS back FROM asked a JOIN pred p ON p.o = a.origin AND p.v = a.destination
+    UNION ALL SELECT w.origin, w.destination, p.u, p.v, w.back + 1 FROM walked w JOIN pred p ON p.o = w.origin AND p.v = w.u)"""
+
+
+@query(f"WITH RECURSIVE {_WIDE} SELECT DISTINCT r.origin, r.destination, round_even(far.c, 4) AS dist FROM rides r JOIN far ON far.o = r.origin AND far.t = r.destination", "wide_edges", "rides")
+def e6_pair_costs(t):
+    return hubs.pair_costs(hubs.hub_index(t.wide_edges, "metres"), t.rides).withColumn("dist", F.bround("dist", 4))
+
+
+@query(f"WITH RECURSIVE {_WIDE}, {_WALKED} SELECT * FROM walked", "wide_edges", "rides")
+def e7_pair_paths(t):
+    return hubs.pair_paths(hubs.hub_index(t.wide_edges, "metres"), t.rides)
+
+
 def _paths(t):
     """Pairs of the traversals, and the edges of their least paths by cost."""
     od = kept(_od(t), "od")
-    return od, kept(network.path_edges(network.shortest_paths(_costed(t), od.select("origin"), "cost"), od), "paths")
+    return od, kept(hubs.pair_paths(hubs.hub_index(_costed(t), "cost"), od), "paths")
 
 
 _OD = "SELECT idtrajectory, MAX(CASE WHEN a = 1 THEN u END) AS ORIGIN, MAX(CASE WHEN b = 1 THEN v END) AS DESTINATION FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY idtrajectory ORDER BY sequenza) AS a, ROW_NUMBER() OVER (PARTITION BY idtrajectory ORDER BY sequenza DESC) AS b FROM traversals) GROUP BY idtrajectory"
@@ -528,6 +553,12 @@ def e8_closeness(t):
     return network.closeness(t.edges)
 
 
+# up to some hundreds of nodes the counters are exact
+@query("WITH " + _least("1") + ", n AS (SELECT COUNT(*) AS n FROM nodes) SELECT o AS node, COUNT(*) AS reached, CAST(SUM(c) AS BIGINT) AS distance, round_even(COUNT(*) / SUM(c) * COUNT(*) / MAX(n.n - 1), 9) AS closeness FROM d CROSS JOIN n WHERE c > 0 GROUP BY o", "nodes", "edges")
+def e8_closeness_estimate(t):
+    return centrality.closeness_estimate(t.edges)
+
+
 # sigma: how many least paths; a node's share of a pair is the product of those to and from it over all
 def _sigma(weight: str) -> str:
     rounds = 2**5
@@ -552,6 +583,26 @@ def e10_betweenness_edges(t):
     return network.betweenness_edges(t.edges)
 
 
+#: Samples for an error of 0.1 with probability 0.9, by the number of nodes.
+_SAMPLES = """numbered AS (SELECT node, ROW_NUMBER() OVER (ORDER BY node) - 1 AS k, COUNT(*) OVER () AS n FROM nodes),
+  size AS (SELECT CAST(ceil(50 * (floor(log2(greatest(MAX(n) - 2, 1))) + 1 + ln(10::DOUBLE))) AS BIGINT) AS size, MAX(n) AS n FROM numbered),
+  drawn AS (SELECT CAST('0x' || substr(h, 1, 12) AS BIGINT) % n AS a, CAST('0x' || substr(h, 13, 12) AS BIGINT) % (n - 1) AS b, n FROM (SELECT md5('0-' || unnest(range(size))) AS h, n FROM size)),
+  times AS (SELECT x.node AS origin, y.node AS destination, COUNT(*) AS times FROM drawn d JOIN numbered x ON x.k = d.a JOIN numbered y ON y.k = (d.a + 1 + d.b) % d.n GROUP BY 1, 2)"""
+_SAMPLED = f"WITH costed AS ({_COST}), {_least('cost', 'costed')}, {_SAMPLES}, walked AS ({_on_paths('e.cost', 'costed', 'times')})"
+
+
+@query(_SAMPLED + """ SELECT nodes.node, round_even(COALESCE(SUM(t.times), 0)::DOUBLE / MAX(size.size), 9) AS betweenness FROM nodes CROSS JOIN size LEFT JOIN walked w ON w.v = nodes.node AND w.back > 0
+  LEFT JOIN times t ON t.origin = w.origin AND t.destination = w.destination GROUP BY 1""", "nodes", "edges")
+def e9_sampled_betweenness(t):
+    return centrality.sampled_betweenness(_costed(t), "cost", epsilon=0.1)
+
+
+@query(_SAMPLED + """ SELECT e.u, e.v, round_even(COALESCE(SUM(t.times), 0)::DOUBLE / MAX(size.size), 9) AS betweenness FROM edges e CROSS JOIN size LEFT JOIN walked w ON w.u = e.u AND w.v = e.v
+  LEFT JOIN times t ON t.origin = w.origin AND t.destination = w.destination GROUP BY 1, 2""", "nodes", "edges")
+def e10_sampled_betweenness(t):
+    return centrality.sampled_betweenness_edges(_costed(t), "cost", epsilon=0.1)
+
+
 _COUNTS = "SELECT u, v, COUNT(*) AS counts FROM traversals GROUP BY u, v"
 
 
@@ -616,10 +667,10 @@ def e15_cell_edges(t):
 
 # --- F: matching
 
-@query("SELECT TRIP_ID, COUNT(*) AS n FROM (SELECT id, idterm || '_0' AS TRIP_ID FROM fixes) GROUP BY TRIP_ID HAVING COUNT(*) >= 6", "fixes")
+@query("WITH " + _CODED + """ SELECT c.TRIP_ID, COUNT(*) AS n FROM coded c JOIN fixes f ON c.id = f.id
+  WHERE NOT (c.anomaly IN ('EQc3456', 'EQc3T5d') OR (c.anomaly = 'IQ2C4V6' AND f.vehtype = 1)) GROUP BY 1 HAVING COUNT(*) >= 2""", "fixes")
 def f1_matchable_trips(t):
-    clean = t.fixes.withColumns({"TRIP_ID": F.concat_ws("_", "idterm", F.lit(0)), "anomaly": F.lit("IQ23456")})
-    return matching.matchable_trips(clean).groupBy("TRIP_ID").agg(F.count(F.lit(1)).alias("n"))
+    return matching.matchable_trips(trips.anomaly_codes(_trips(t)), 2).groupBy("TRIP_ID").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH b AS (SELECT TRIP_ID, MIN(longitude) - 0.0042::DOUBLE AS x0, MAX(longitude) + 0.0042::DOUBLE AS x1, MIN(latitude) - 0.0042::DOUBLE AS y0, MAX(latitude) + 0.0042::DOUBLE AS y1 FROM drives GROUP BY 1)
@@ -650,14 +701,34 @@ def f5_sigma_z(t):
     return matching.sigma_z(_candidates(t, 150.0)).select("TRIP_ID", F.bround("sigma", 4).alias("sigma"))
 
 
-@query("SELECT id, round_even(exp(-power(speed / 40.0::DOUBLE, 2) / 2), 9) AS p FROM fixes", "fixes")
+@query(_NEAR.format(r=150) + ", wide AS (SELECT TRIP_ID, greatest(median(m) * 1.4826::DOUBLE, 1) AS sigma FROM cands GROUP BY 1) SELECT c.TRIP_ID, c.id, c.u, c.v, round_even(exp(-power(c.m / w.sigma, 2) / 2), 9) AS p FROM cands c JOIN wide w ON c.TRIP_ID = w.TRIP_ID", "drives", "nodes", "edges")
 def f6_emission(t):
-    return t.fixes.select("id", F.bround(matching.emission(F.col("speed"), F.lit(40.0)), 9).alias("p"))
+    near = kept(_candidates(t, 150.0), "candidates")
+    width = matching.sigma_z(near).withColumn("sigma", F.greatest("sigma", F.lit(1.0)))
+    return near.join(width, "TRIP_ID").select("TRIP_ID", "id", "u", "v", F.bround(matching.emission(F.col("distance"), F.col("sigma")), 9).alias("p"))
+
 
+_STEPS = "WITH pt AS (SELECT DISTINCT longitude AS px, latitude AS py FROM drives), " + _beside("pt") + ", " + _least("length") + """,
+  few AS (SELECT * FROM (SELECT d.TRIP_ID, d.id, d.timedate, d.progressive, n.u, n.v, n.along, e.length::DOUBLE AS length, COUNT(*) OVER (PARTITION BY d.TRIP_ID, d.id) AS n FROM drives d JOIN near n ON d.longitude = n.px AND d.latitude = n.py JOIN edges e ON e.u = n.u AND e.v = n.v WHERE n.m <= 9) WHERE n <= 3),
+  fx AS (SELECT TRIP_ID, id, LAG(id) OVER w AS last_id, progressive - LAG(progressive) OVER w AS odo FROM (SELECT DISTINCT TRIP_ID, id, timedate, progressive FROM few) WINDOW w AS (PARTITION BY TRIP_ID ORDER BY timedate, id)),
+  stepped AS (SELECT a.TRIP_ID, a.id, a.u, a.v, b.u AS from_u, b.v AS from_v, f.odo, CASE WHEN a.u = b.u AND a.v = b.v AND a.along >= b.along THEN (a.along - b.along) * a.length ELSE (1 - b.along) * b.length + x.c + a.along * a.length END AS route
+    FROM fx f JOIN few a ON a.TRIP_ID = f.TRIP_ID AND a.id = f.id JOIN few b ON b.TRIP_ID = f.TRIP_ID AND b.id = f.last_id LEFT JOIN d x ON x.o = b.v AND x.t = a.u WHERE f.odo >= 0)"""
 
-@query("SELECT id, CASE WHEN speed <= grade * 10 THEN round_even(exp(-abs(speed - grade * 10) / 2.0::DOUBLE), 9) END AS p FROM fixes", "fixes")
+
+def _steps(t):
+    return matching.steps(matching.drop_ambiguous(_candidates(t)), t.edges)
+
+
+@query(_STEPS + " SELECT TRIP_ID, id, u, v, from_u, from_v, round_even(exp(-abs(least(route, odo) - odo) / 1000 / 0.05::DOUBLE), 6) AS p FROM stepped WHERE route <= odo + 5", "drives", "nodes", "edges")
 def f7_transition(t):
-    return t.fixes.select("id", F.bround(matching.transition(F.col("speed"), F.col("grade") * 10, 2.0), 9).alias("p"))
+    near = F.least("route_km", "odometer_km")
+    return _steps(t).select("TRIP_ID", "id", "u", "v", "from_u", "from_v", F.bround(matching.transition(near, F.col("odometer_km"), 0.05), 6).alias("p"))
+
+
+@query(_STEPS + " SELECT round_even(median(abs(route - odo) / 1000) / ln(2::DOUBLE), 9) AS beta FROM stepped WHERE route <= odo + 5", "drives", "nodes", "edges")
+def f7_beta(t):
+    moves = kept(_steps(t).select(F.abs(F.col("route_km") - F.col("odometer_km")).alias("difference")), "moves")
+    return t.spark.createDataFrame([(matching.beta_of(moves),)], "beta double").select(F.bround("beta", 9).alias("beta"))
 
 
 def _matched(t):
@@ -808,9 +879,10 @@ def g12_drop_stub_edges(t):
     return traffic.drop_stub_edges(t.edges.select("u", "v", "length").unionByName(stubs)).select("u", "v")
 
 
-@query(f"SELECT t.idtrajectory, t.sequenza FROM traversals t JOIN (SELECT u, v FROM ({_COUNTS}) WHERE counts >= 1250) c ON t.u = c.u AND t.v = c.v", "traversals")
+@query(f"SELECT t.idtrajectory, t.sequenza FROM traversals t JOIN (SELECT u, v FROM ({_COUNTS}) WHERE counts >= (SELECT median(counts) FROM ({_COUNTS}))) c ON t.u = c.u AND t.v = c.v", "traversals")
 def g13_min_records(t):
-    return traffic.min_records(t.traversals, 1250).select("idtrajectory", "sequenza")
+    counts = kept(t.traversals.groupBy("u", "v").agg(F.count(F.lit(1)).alias("counts")), "counts")
+    return traffic.min_records(t.traversals, ranks.exact_median(counts, "counts") or 0).select("idtrajectory", "sequenza")
 
 
 @query(f"""SELECT t.u, t.v, f.vehtype, MIN(e.highway) AS highway, MIN(e.length) AS length, COUNT(*) AS records, COUNT(DISTINCT t.idterm) AS vehicles, median(t.mean_speed) AS median_speed, median(t.speed) AS median_instant
@@ -960,59 +1032,93 @@ def i4_travel_demand_15min(t):
 
 
 def _cells(t):
-    return network.cell_edges(network.hex_grid(t.nodes, 1800), t.edges, t.nodes)
+    return kept(network.cell_edges(network.hex_grid(t.nodes, 1800), t.edges, t.nodes), "cells")
 
 
-@query()
-def i5_closure_impact(t):
+#: Costs with a cell's edges closed, from the origins whose paths it cuts, each round those that improve.
+_DETOURS = f"""{_BY_COST}, {_CELL_EDGES.format(d=1800)}, crossed AS (SELECT DISTINCT k.cell, p.origin, p.destination FROM paths p JOIN cells k ON p.u = k.u AND p.v = k.v),
+  shut(cell, o, t, c) USING KEY (cell, o, t) AS (SELECT DISTINCT cell, origin, origin, 0::DOUBLE FROM crossed
+    UNION SELECT f.cell, f.o, f.t, f.c FROM (SELECT w.cell, w.o, e.v AS t, MIN(w.c + e.cost + CASE WHEN k.cell IS NULL THEN 0 ELSE 18000 END) AS c FROM shut w JOIN costed e ON e.u = w.t LEFT JOIN cells k ON k.cell = w.cell AND k.u = e.u AND k.v = e.v GROUP BY 1, 2, 3) f
+      LEFT JOIN recurring.shut x ON x.cell = f.cell AND x.o = f.o AND x.t = f.t WHERE x.c IS NULL OR f.c < x.c),
+  detours AS (SELECT k.cell, k.origin, k.destination, (y.c - x.c) / 3600 AS dt FROM crossed k JOIN shut y ON y.cell = k.cell AND y.o = k.origin AND y.t = k.destination JOIN d x ON x.o = k.origin AND x.t = k.destination)"""
+
+
+def _impact_sql(which: str = "TRUE", day: str = "0", name: str = "") -> str:
+    """Common tables impacts and imp (with ``name`` at the end) of the traffic ``which``, for each ``day``."""
+    counted = f"(SELECT {day} AS day, u, v, COUNT(*) AS counts FROM traversals WHERE {which} GROUP BY 1, 2, 3)"
+    return f"""demand{name} AS (SELECT n.day, p.origin, p.destination, SUM(n.counts) / 1 / 30.0::DOUBLE / 16 AS demand FROM paths p JOIN {counted} n ON p.u = n.u AND p.v = n.v GROUP BY 1, 2, 3),
+  impacts{name} AS (SELECT m.day, k.cell, k.origin, k.destination, round_even(k.dt, 9) AS dt, round_even(CASE WHEN k.dt < 5 THEN m.demand * k.dt * (5 - k.dt / 2) ELSE m.demand * 12.5::DOUBLE END, 6) AS delay FROM detours k JOIN demand{name} m ON m.origin = k.origin AND m.destination = k.destination),
+  imp{name} AS (SELECT s.day, k.u, k.v, CAST(k.cell AS INTEGER) AS cell, s.importance FROM cells k JOIN (SELECT day, cell, CAST(FLOOR(SUM(delay)) AS BIGINT) AS importance FROM impacts{name} GROUP BY 1, 2) s ON k.cell = s.cell)"""
+
+
+_IMPACTS = f"WITH RECURSIVE {_DETOURS}, {_impact_sql()}"
+_BY_DAY = f"WITH RECURSIVE {_DETOURS}, {_impact_sql(day='CASE WHEN isodow(timedate) <= 5 THEN 0 ELSE 1 END')}"
+_NETWORK = ("nodes", "edges", "traversals")
+
+
+def _detours(t):
+    """Pairs' detours around each cell, the pairs' paths, and the cells."""
     od, paths = _paths(t)
-    return demand.closure_impact(_cells(t), od, _costed(t), demand.travel_demand(paths, _edge_counts(t)))
+    cells = _cells(t)
+    return kept(demand.closure_detours(cells, od, _costed(t)), "detours"), paths, cells
 
 
-_IMPORTANCE = "SELECT e.u, e.v, e.edge_idx % 5 AS cell, c.importance FROM edges e JOIN (SELECT e.edge_idx % 5 AS cell, CAST(FLOOR(SUM(t.mean_speed / 2.0::DOUBLE)) AS BIGINT) AS importance FROM traversals t JOIN edges e ON t.u = e.u AND t.v = e.v GROUP BY 1) c ON e.edge_idx % 5 = c.cell"
+def _impacts(t, detours, paths, which="true", tags=()):
+    """Delays by the demand of the traffic ``which``; with ``tags`` those of each of their values."""
+    counts = t.traversals.where(which).withColumn("day", F.when(F.weekday("timedate") < 5, 0).otherwise(1)).groupBy(*tags, "u", "v").agg(F.count(F.lit(1)).alias("counts"))
+    return demand.detour_impact(detours, demand.travel_demand(paths, counts, tags=tags))
 
 
-_HEAVY = _IMPORTANCE.replace("t.v = e.v GROUP", "t.v = e.v WHERE t.vehtype = 2 GROUP")
+@query(f"{_IMPACTS} SELECT CAST(cell AS INTEGER) AS cell, origin, destination, dt, delay FROM impacts", *_NETWORK)
+def i5_closure_impact(t):
+    od, paths = _paths(t)
+    return demand.closure_impact(_cells(t), od, _costed(t), demand.travel_demand(paths, _edge_counts(t)))
 
 
-def _importance(t, which="true"):
-    cells = t.edges.select("u", "v", (F.col("edge_idx") % 5).alias("cell"))
-    impacts = t.traversals.where(which).join(cells, ["u", "v"]).select("cell", (F.col("mean_speed") / 2).alias("delay"))
-    return demand.cell_importance(impacts, cells)
+def _importance(t, *which, tags=()):
+    """Importance of the cells for each kind of traffic, from one set of detours."""
+    detours, paths, cells = _detours(t)
+    out = [demand.cell_importance(_impacts(t, detours, paths, w, tags), cells, tags) for w in which or ("true",)]
+    return out if len(out) > 1 else out[0]
 
 
-@query(_IMPORTANCE, "edges", "traversals")
+@query(f"{_IMPACTS} SELECT u, v, cell, importance FROM imp", *_NETWORK)
 def i6_cell_importance(t):
     return _importance(t)
 
 
-@query(f"SELECT u, v, cell, round_even(importance::DOUBLE / MAX(importance) OVER (), 4) AS importance, round_even(importance::DOUBLE / MAX(importance) OVER () * 3 + 0.1::DOUBLE, 4) AS scales FROM ({_IMPORTANCE})", "edges", "traversals")
+@query(f"{_IMPACTS} SELECT u, v, cell, round_even(importance::DOUBLE / MAX(importance) OVER (), 4) AS importance, round_even(importance::DOUBLE / MAX(importance) OVER () * 3 + 0.1::DOUBLE, 4) AS scales FROM imp", *_NETWORK)
 def i7_normalised(t):
     return demand.normalise_vulnerability(_importance(t))
 
 
-@query(f"""WITH r AS (SELECT u, v, 2 AS month, cell AS day, SUM(importance) AS x FROM (SELECT * FROM ({_IMPORTANCE}) UNION ALL SELECT u, v, cell, importance + u FROM ({_IMPORTANCE})) GROUP BY 1, 2, 3, 4)
-  SELECT u, v, month, day, round_even(x::DOUBLE / MAX(x) OVER (PARTITION BY month, day), 4) AS importance, round_even(x::DOUBLE / MAX(x) OVER (PARTITION BY month, day) * 3 + 0.1::DOUBLE, 4) AS scales FROM r""", "edges", "traversals")
+_PER_EDGE = "r AS (SELECT u, v, 2 AS month, day, SUM(importance) AS x FROM imp GROUP BY 1, 2, 3, 4), e7 AS (SELECT u, v, month, day, round_even(x::DOUBLE / MAX(x) OVER (PARTITION BY month, day), 4) AS importance, round_even(x::DOUBLE / MAX(x) OVER (PARTITION BY month, day) * 3 + 0.1::DOUBLE, 4) AS scales FROM r)"
+
+
+def _per_edge(t):
+    """Of working days (0) and of weekends (1)."""
+    return demand.normalise_vulnerability(_importance(t, tags=("day",)).withColumn("month", F.lit(2)), ("month", "day"), per_edge=True)
+
+
+@query(f"{_BY_DAY}, {_PER_EDGE} SELECT u, v, month, day, importance, scales FROM e7", *_NETWORK)
 def i7_normalised_edges(t):
-    rows = _importance(t)
-    twice = rows.unionByName(rows.withColumn("importance", F.col("importance") + F.col("u"))).withColumns({"month": F.lit(2), "day": F.col("cell")})
-    return demand.normalise_vulnerability(twice, ("month", "day"), per_edge=True)
+    return _per_edge(t)
 
 
-@query(f"SELECT a.u, a.v, a.cell, a.importance - b.importance AS difference FROM ({_IMPORTANCE}) a JOIN ({_HEAVY}) b ON a.u = b.u AND a.v = b.v AND a.cell = b.cell", "edges", "traversals")
+@query(f"WITH RECURSIVE {_DETOURS}, {_impact_sql()}, {_impact_sql('vehtype = 2', name='2')} SELECT a.u, a.v, a.cell, a.importance - b.importance AS difference FROM imp a JOIN imp2 b ON a.u = b.u AND a.v = b.v AND a.cell = b.cell", *_NETWORK)
 def i8_difference(t):
-    return demand.vulnerability_difference(_importance(t), _importance(t, "vehtype = 2"))
+    return demand.vulnerability_difference(*_importance(t, "true", "vehtype = 2"))
 
 
-@query(f"SELECT CASE WHEN u < v THEN 'A' ELSE 'D' END AS direction, 2 AS month, cell AS day, round_even(AVG(importance) * 100, 4) AS mean_pct FROM ({_IMPORTANCE}) GROUP BY 1, 2, 3", "edges", "traversals")
+@query(f"{_BY_DAY}, {_PER_EDGE} SELECT CASE WHEN u < v THEN 'A' ELSE 'D' END AS direction, month, day, round_even(AVG(importance) * 100, 4) AS mean_pct FROM e7 GROUP BY 1, 2, 3", *_NETWORK)
 def i9_summary(t):
     pairs = t.edges.select("u", "v", F.when(F.col("u") < F.col("v"), "A").otherwise("D").alias("direction"))
-    return demand.vulnerability_summary(_importance(t).withColumns({"month": F.lit(2), "day": F.col("cell")}), pairs)
+    return demand.vulnerability_summary(_per_edge(t), pairs)
 
 
-@query(f"SELECT i.u, i.v, i.importance, e.highway, e.length FROM ({_IMPORTANCE}) i JOIN edges e ON i.u = e.u AND i.v = e.v JOIN (SELECT DISTINCT u, v FROM drives) d ON d.u = e.u AND d.v = e.v", "edges", "traversals", "drives")
+@query(f"{_IMPACTS} SELECT i.u, i.v, i.cell, i.importance, e.highway, e.length FROM imp i JOIN edges e ON i.u = e.u AND i.v = e.v JOIN (SELECT DISTINCT u, v FROM drives) d ON d.u = e.u AND d.v = e.v", *_NETWORK, "drives")
 def i10_route_vulnerability(t):
-    return demand.route_vulnerability(_importance(t), t.drives, t.edges).select("u", "v", "importance", "highway", "length")
+    return demand.route_vulnerability(_importance(t), t.drives, t.edges).select("u", "v", "cell", "importance", "highway", "length")
 
 
 @query(f"SELECT DISTINCT t.u, t.v, o.ORIGIN, o.DESTINATION, a.x AS o_x, a.y AS o_y, b.x AS d_x, b.y AS d_y FROM traversals t JOIN ({_OD}) o ON t.idtrajectory = o.idtrajectory JOIN nodes a ON o.ORIGIN = a.node JOIN nodes b ON o.DESTINATION = b.node", "traversals", "nodes")
@@ -1076,9 +1182,12 @@ def j6_route_times(t):
     return disruption.route_times(disruption.disrupted_routes(_od(t), t.edges, t.edges.where("edge_idx % 11 = 0")), _costed(t))
 
 
-@query("SELECT idtrajectory, round_even(AVG(mean_speed), 6) AS mean_load, SUM(length)::BIGINT AS length, round_even(AVG(length / 1000.0::DOUBLE / mean_speed * 60), 6) AS mean_min FROM traversals GROUP BY idtrajectory HAVING SUM(CASE WHEN mean_speed > 15 THEN 1 ELSE 0 END) > COUNT(*) * (1 / 1.2::DOUBLE)", "traversals")
+@query(f"""SELECT d.idtrajectory, round_even(AVG(l.load), 6) AS mean_load, SUM(d.length)::BIGINT AS length, round_even(AVG(d.length / 1000.0::DOUBLE / d.mean_speed * 60), 6) AS mean_min FROM ({_DOWN}) d JOIN ({_LOADS}) l ON l.gateway = d.gateway AND l.u = d.u AND l.v = d.v
+  GROUP BY 1 HAVING SUM(CASE WHEN l.load > 15 THEN 1 ELSE 0 END) > COUNT(*) * (1 / 1.2::DOUBLE)""", "traversals", "edges")
 def j7_high_load_routes(t):
-    return disruption.high_load_routes(t.traversals.select("idtrajectory", F.col("mean_speed").alias("load"), "length", "mean_speed"))
+    down = kept(_down(t), "downstream")
+    loads = disruption.gateway_loads(down).select("gateway", "u", "v", "load")
+    return disruption.high_load_routes(down.join(loads, ["gateway", "u", "v"]).select("idtrajectory", "load", "length", "mean_speed"))
 
 
 @query(f"SELECT name, round_even(MAX(load), 0) AS load FROM (SELECT highway AS name, counts * 100.0::DOUBLE / MAX(counts) OVER () AS load FROM (SELECT e.highway, t.u, t.v, COUNT(*) AS counts FROM traversals t JOIN edges e ON t.u = e.u AND t.v = e.v GROUP BY 1, 2, 3)) WHERE load > 51 GROUP BY name", "traversals", "edges")
@@ -1199,14 +1308,17 @@ def k13_normal_fit(t):
     return statistics.normal_fit(t.fixes, "grade", "speed")
 
 
-@query(f"""SELECT direzione, class, round_even(n, 6) AS n, round_even(n / SUM(n) OVER (PARTITION BY direzione) * 100, 4) AS pct FROM (SELECT direzione, class, SUM(m) AS n FROM (SELECT direzione, class, hour, AVG(n) AS m FROM
-  (SELECT direzione, class, CAST(timedate AS DATE) AS d, hour(timedate) AS hour, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2)""", "sensor")
+def _profile_sql(by: str, name: str) -> str:
+    return f"""SELECT month, {name}, direzione, class, round_even(n, 6) AS n, round_even(n / SUM(n) OVER (PARTITION BY month, {name}, direzione) * 100, 4) AS pct FROM (SELECT month, {name}, direzione, class, SUM(m) AS n FROM (SELECT month, {name}, direzione, class, hour, AVG(n) AS m FROM
+  (SELECT CAST(month(timedate) AS INTEGER) AS month, {by} AS {name}, direzione, class, CAST(timedate AS DATE) AS d, hour(timedate) AS hour, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(_profile_sql("CAST(isodow(timedate) - 1 AS INTEGER)", "weekday"), "sensor")
 def k14_hour_profile(t):
     return statistics.mean_hour_profile(t.sensor)
 
 
-@query(f"""SELECT part, direzione, class, round_even(n, 6) AS n, round_even(n / SUM(n) OVER (PARTITION BY part, direzione) * 100, 4) AS pct FROM (SELECT part, direzione, class, SUM(m) AS n FROM (SELECT part, direzione, class, hour, AVG(n) AS m FROM
-  (SELECT CASE WHEN isodow(timedate) <= 5 THEN 'weekday' ELSE 'weekend' END AS part, direzione, class, CAST(timedate AS DATE) AS d, hour(timedate) AS hour, COUNT(*) AS n FROM ({_CLASSED}) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)""", "sensor")
+@query(_profile_sql("CASE WHEN isodow(timedate) <= 5 THEN 'weekday' ELSE 'weekend' END", "part"), "sensor")
 def k14_weekday_profile(t):
     return statistics.weekday_profile(t.sensor)
 

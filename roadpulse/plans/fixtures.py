@@ -16,21 +16,40 @@ SELECT event_id AS id, user_id AS idterm, ts AS timedate,
   CAST(SUM(CAST(FLOOR(value*10) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) % 20000 AS progressive
 FROM {events}"""
-#: Nodes a side of the square network: it grows with the customers.
+#: Nodes a side of the square network that trips drive on, and of the wide one of which each customer is a node.
 _SIDE = "(SELECT 2 + CAST(FLOOR(POWER(COUNT(*), 0.2)) AS BIGINT) FROM {customer})"
-_PLACES = "(SELECT CAST(c_custkey AS BIGINT) AS n, " + _SIDE + " AS side FROM {customer})"
-_NODES = """
+_WIDE_SIDE = "(SELECT CAST(FLOOR(SQRT(COUNT(*))) AS BIGINT) FROM {customer})"
+
+
+def _places(side: str) -> str:
+    return "(SELECT CAST(c_custkey AS BIGINT) AS n, " + side + " AS side FROM {customer})"
+
+
+def _nodes(side: str) -> str:
+    return """
 SELECT 1000 + n AS node, {D1490} + (n % side)*{D001} AS x, {D3745} + CAST(FLOOR(n / side) AS BIGINT)*{D001} AS y
-FROM """ + _PLACES + """ g WHERE n < side*side"""
-_EDGES = """
+FROM """ + _places(side) + """ g WHERE n < side*side"""
+
+
+def _edges(side: str, more: str = "") -> str:
+    return """
 SELECT u, v, 0 AS key, 100 + (u*31 + v*17) % 900 AS length,
   CASE (u+v) % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary' WHEN 4 THEN 'residential' ELSE 'service' END AS highway,
   CASE WHEN (u*v) % 4 = 0 THEN 30 + 10*((u + 2*v) % 8) END AS maxspeed,
-  ROW_NUMBER() OVER (ORDER BY u, v) - 1 AS edge_idx
+  ROW_NUMBER() OVER (ORDER BY u, v) - 1 AS edge_idx""" + more + """
 FROM (SELECT 1000 + n AS u, 1000 + n + dx + dy*side AS v
-      FROM (SELECT n, side, n % side AS c, CAST(FLOOR(n / side) AS BIGINT) AS r, dx, dy FROM """ + _PLACES + """ g
+      FROM (SELECT n, side, n % side AS c, CAST(FLOOR(n / side) AS BIGINT) AS r, dx, dy FROM """ + _places(side) + """ g
             CROSS JOIN (SELECT 1 AS dx, 0 AS dy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1) d WHERE n < side*side) w
       WHERE c + dx BETWEEN 0 AND side - 1 AND r + dy BETWEEN 0 AND side - 1) p"""
+
+
+_NODES, _EDGES = _nodes(_SIDE), _edges(_SIDE)
+#: The wide network has metres besides, of which no two paths have the same sum.
+_WIDE_NODES, _WIDE_EDGES = _nodes(_WIDE_SIDE), _edges(_WIDE_SIDE, ", 100 + (u*31 + v*17) % 900 + ((u*7919 + v*104729) % 100003) / {D100003} AS metres")
+#: Rides of the wide network, one an order, each from a depot (a node divisible by 20) to any node.
+_RIDES = """
+SELECT CAST(o_orderkey AS BIGINT) AS ride, 1000 + 20*((o_custkey*7) % CAST(CEIL(side*side / {D20}) AS BIGINT)) AS origin, 1000 + (o_orderkey*13 + o_custkey) % (side*side) AS destination
+FROM (SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, """ + _WIDE_SIDE + """ AS side FROM {orders}) o"""
 _TRAVERSALS = """
 SELECT t.idtrajectory, t.idterm, t.sequenza, e.u, e.v, e.length, t.timedate, t.mean_speed, t.vehtype, t.idtrace
 FROM (SELECT l_orderkey AS idtrajectory, l_suppkey AS idterm,
@@ -67,15 +86,15 @@ _SECONDS = "(l_orderkey % 28)*86400 + (l_partkey % 24)*3600 + (l_linenumber % 60
 _SENSOR_SECONDS = "(o_orderkey % 28)*86400 + (o_custkey % 24)*3600"
 _DRIVE_SECONDS = "(trip % 28)*86400 + k*60"
 _SPARK = {
-    "D1470": "14.70D", "D3730": "37.30D", "D1490": "14.90D", "D3745": "37.45D", "D001": "0.01D", "D0001": "0.001D", "D00001": "0.00001D", "DTIME": f"timestampadd(SECOND, {_DRIVE_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')",
+    "D1470": "14.70D", "D3730": "37.30D", "D1490": "14.90D", "D3745": "37.45D", "D001": "0.01D", "D0001": "0.001D", "D00001": "0.00001D", "D100003": "100003D", "D20": "20D", "DTIME": f"timestampadd(SECOND, {_DRIVE_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')",
     "TIME": f"timestampadd(SECOND, {_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')", "STIME": f"timestampadd(SECOND, {_SENSOR_SECONDS}, TIMESTAMP_NTZ '2019-02-01 00:00:00')",
 }
 _DUCK = {
-    "D1470": "14.70::DOUBLE", "D3730": "37.30::DOUBLE", "D1490": "14.90::DOUBLE", "D3745": "37.45::DOUBLE", "D001": "0.01::DOUBLE", "D0001": "0.001::DOUBLE", "D00001": "0.00001::DOUBLE", "DTIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_DRIVE_SECONDS})",
+    "D1470": "14.70::DOUBLE", "D3730": "37.30::DOUBLE", "D1490": "14.90::DOUBLE", "D3745": "37.45::DOUBLE", "D001": "0.01::DOUBLE", "D0001": "0.001::DOUBLE", "D00001": "0.00001::DOUBLE", "D100003": "100003::DOUBLE", "D20": "20::DOUBLE", "DTIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_DRIVE_SECONDS})",
     "TIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_SECONDS})", "STIME": f"TIMESTAMP '2019-02-01 00:00:00' + to_seconds({_SENSOR_SECONDS})",
 }
-_ALL = {"fixes": _FIXES, "nodes": _NODES, "edges": _EDGES, "traversals": _TRAVERSALS, "drives": _DRIVES, "sensor": _SENSOR, "registry": _REGISTRY, "trips": _TRIPS}
-_NEEDS = {"fixes": ["events"], "nodes": ["customer"], "edges": ["customer"], "traversals": ["edges", "events", "lineitem"], "drives": ["edges", "lineitem", "customer"], "sensor": ["orders"], "registry": ["supplier"], "trips": ["traversals"]}
+_ALL = {"fixes": _FIXES, "nodes": _NODES, "edges": _EDGES, "wide_nodes": _WIDE_NODES, "wide_edges": _WIDE_EDGES, "rides": _RIDES, "traversals": _TRAVERSALS, "drives": _DRIVES, "sensor": _SENSOR, "registry": _REGISTRY, "trips": _TRIPS}
+_NEEDS = {"fixes": ["events"], "nodes": ["customer"], "edges": ["customer"], "wide_nodes": ["customer"], "wide_edges": ["customer"], "rides": ["orders", "customer"], "traversals": ["edges", "events", "lineitem"], "drives": ["edges", "lineitem", "customer"], "sensor": ["orders"], "registry": ["supplier"], "trips": ["traversals"]}
 
 
 class Fixtures:
