@@ -25,6 +25,8 @@ from roadpulse.functions.store import remove, written
 CORE = 1000
 #: Rounds of unpacking, and levels of climbing, between two written tables.
 UNPACKED, CLIMBED = 3, 3
+#: Rows of the core's matrix that are worked on at once.
+STRIP = 32
 #: No node has this number.
 NONE = np.iinfo(np.int64).min
 
@@ -59,12 +61,13 @@ def _closed(core: int):
         costs[at, to] = w.to_numpy()
         np.fill_diagonal(costs, 0.0)
         for k in np.random.default_rng(len(ids)).permutation(len(ids)).tolist():
-            rows, columns = np.flatnonzero(np.isfinite(costs[:, k])), np.flatnonzero(np.isfinite(costs[k]))
-            block = np.ix_(rows, columns)
-            through, old = costs[rows, k][:, None] + costs[k, columns], costs[block]
-            better = through < old
-            costs[block] = np.where(better, through, old)
-            via[block] = np.where(better, k, via[block])
+            rows = np.flatnonzero(np.isfinite(costs[:, k]))
+            for part in np.array_split(rows, len(rows) // STRIP + 1):  # strips that stay in the processor's cache
+                through, old = costs[part, k][:, None] + costs[k], costs[part]
+                better = through < old
+                if better.any():
+                    costs[part] = np.minimum(through, old)
+                    via[part] = np.where(better, k, via[part])
         middle = np.full(costs.shape, NONE)
         middle[at, to] = mid.fill_null(int(NONE)).to_numpy()
         middle = np.where(via >= 0, ids[via], middle)

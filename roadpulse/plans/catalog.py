@@ -15,7 +15,7 @@ from roadpulse.functions.geo import haversine
 from roadpulse.functions.store import kept, new_path
 from roadpulse.operators import centrality, cleaning, demand, disruption, hubs, matching, network, places, ranks, resilience, statistics, traffic, trips
 from roadpulse.plans.fixtures import Fixtures, duck
-from roadpulse.sources import files
+from roadpulse.sources import commits, files
 from roadpulse.streaming import streams
 
 _QUERIES: dict[str, Callable] = {}
@@ -112,6 +112,18 @@ def a7_write_table(t):
     return t.spark.read.parquet(path).groupBy("vehtype").agg(F.count(F.lit(1)).alias("n"), F.sum("mean_speed").alias("speeds"))
 
 
+@query("SELECT vehtype, COUNT(*) AS n, SUM(mean_speed)::BIGINT AS speeds FROM traversals GROUP BY vehtype", "traversals")
+def a7_write_units(t):
+    """Two units of which one is written again after a run that ended before its commit."""
+    path, rows = new_path(t.spark, "units"), t.traversals.select("idtrajectory", "sequenza", "mean_speed", "vehtype", "u")
+    half = lambda k: rows.where(F.col("u") % 2 == k).drop("u")
+    half(1).write.partitionBy("vehtype").parquet(f"{path}/attempt=cut")
+    for k in (0, 1, 0):
+        commits.write_unit(half(k), path, f"u{k}", ["vehtype"])
+    kept_rows = commits.read_units(t.spark, path, "idtrajectory long, sequenza int, mean_speed long, vehtype int")
+    return kept_rows.groupBy("vehtype").agg(F.count(F.lit(1)).alias("n"), F.sum("mean_speed").alias("speeds"))
+
+
 @query("SELECT e.u, e.v, round_even(a.x, 6) AS x1, round_even(b.y, 6) AS y2 FROM edges e JOIN nodes a ON e.u = a.node JOIN nodes b ON e.v = b.node", "edges", "nodes")
 def a8_geojson(t):
     ends = network.with_ends(t.edges, t.nodes)
@@ -1340,7 +1352,9 @@ def _streamed(t, df, make, label):
     given, out, state = (new_path(t.spark, f"{label}-{x}") for x in ("in", "out", "state"))
     df.write.parquet(given)
     stream = make(t.spark.readStream.schema(df.schema).parquet(given))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with streams.rocksdb(t.spark):
+        running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
@@ -1358,3 +1372,20 @@ def l1_stream_flux(t):
 def l2_stream_trips(t):
     out = _streamed(t, t.fixes.select("idterm", "timedate", "progressive"), lambda df: streams.stream_trips(df, GAP), "trips")
     return out.select("idterm", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"), "fixes", "metres")
+
+
+_PASSED = "(SELECT MAX(timedate) FROM fixes) - INTERVAL 1 HOUR"
+
+
+def _split(sql: str, behind: str) -> str:
+    return f"SELECT n.id, n.idterm, n.trip_no FROM ({sql}) n JOIN (SELECT id, timedate, LEAD(timedate) OVER (PARTITION BY idterm ORDER BY timedate, id) AS following FROM fixes) f ON f.id = n.id WHERE f.{behind} < {_PASSED}"
+
+
+@query(_split(_NUMBERED.format(starts=f"last IS NULL OR panel = 0 OR (panel = 2 AND last = 2) OR (panel = 1 AND last = 2) OR (panel = 1 AND last <= 1 AND gap > {GAP}) OR (panel <> 0 AND jump > 10000)"), "timedate"), "fixes")
+def l3_stream_panel(t):
+    return _streamed(t, t.fixes, lambda df: streams.stream_split_panel(df, GAP), "panel")
+
+
+@query(_split(_NUMBERED.format(starts=f"gap >= {GAP} AND (panel <> 1 OR (last IS NOT NULL AND last <> 1)) AND (vehtype <> 2 OR (next_speed > 0 AND speed = 0))"), "following"), "fixes")
+def l4_stream_engine(t):
+    return _streamed(t, _off_on(t), lambda df: streams.stream_split_engine(df, GAP), "engine")
