@@ -344,7 +344,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def planned(distinct: DataFrame, distance: int, words: int) -> tuple[list[list[int]], list[int]]:
-    """Groups of correlated bits and their thresholds: of the plans with 2 to distance + 1 partitions the cheapest.
+    """Groups of correlated bits and their thresholds: of the plans with 2 and with distance + 1 partitions the cheaper.
 
     With many rows wide partitions with probes around their values win over narrow ones, as the
     rows that share a narrow value grow with the table.
@@ -563,7 +563,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_
     candidates of one value a spanning forest is compared exactly. Where a link of it fails,
     all documents of that value are compared further, those of different components alone:
     pairs that share none of their rarest shingles, or too late, can't be similar; of the others
-    first the likeliest, then all are compared exactly. A null text has no words; texts without
+    first the likeliest, then all are compared exactly. Candidates that differ in more bits than the mean
+    of a pair at the bound and three standard deviations aren't compared: about one in 700 of such pairs. A null text has no words; texts without
     words form one group; rows without id join no group; repeated rows repeat.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
