@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import along_segment, cell, to_segment
 from roadpulse.functions.store import kept
 from roadpulse.operators.cleaning import BY_TIME, epoch, fill_gaps
+from roadpulse.operators.decoding import decoded
 from roadpulse.operators.hubs import hub_index, pair_costs
 from roadpulse.operators.network import path_edges, shortest_paths, with_ends
 from roadpulse.operators.ranks import exact_median
@@ -109,13 +108,14 @@ NO_ROUTE, LEAST_LOG = -60.0, 1e-25
 
 
 def match_trips(cands: DataFrame, edges: DataFrame, sigma: float | None = None, beta: float | None = None, slack_m: float = 5.0) -> DataFrame:
-    """(TRIP_ID, id, timedate, u, v) of the likeliest edge of each fix: Viterbi's algorithm, a trip at a time.
+    """(TRIP_ID, id, timedate, u, v) of the likeliest edge of each fix: Viterbi's algorithm, many trips at a time (``decoding``).
 
     Fixes agree with edges by ``emission`` (``sigma`` metres, by default each trip's own
     ``sigma_z``, 1 at least), steps between edges with the odometer by ``transition`` (``beta``
     kilometres, by default ``beta_of`` all steps, 0.001 at least). Where no step is possible the
     trip goes on at a high cost. ``edges`` has length in metres.
     """
+    cands = kept(cands, "candidates")
     moves = kept(steps(cands, edges, slack_m).withColumn("difference", F.abs(F.col("route_km") - F.col("odometer_km"))), "steps")
     if beta is None:
         beta = max(beta_of(moves) or 0.0, 0.001)
@@ -126,45 +126,10 @@ def match_trips(cands: DataFrame, edges: DataFrame, sigma: float | None = None,
     rows = cands.join(width, "TRIP_ID").select("TRIP_ID", "id", "timedate", "u", "v", log(emission(F.col("distance"), F.col("sigma"))).alias("p"))
     rows = rows.join(back, ["TRIP_ID", "id", "u", "v"], "left").select("TRIP_ID", "id", "timedate", "u", "v", "p", F.col("back.from_u").alias("from_u"), F.col("back.from_v").alias("from_v"), F.col("back.p").alias("step"))
 
-    def best_of(trip: list[tuple]) -> list[tuple]:
-        """(TRIP_ID, id, timedate, u, v) of one trip's rows, which come in order of time."""
-        starts = [k for k, r in enumerate(trip) if not k or r[2] != trip[k - 1][2]]
-        ends = [*starts[1:], len(trip)]
-        score, frm = [r[5] for r in trip], [-1] * len(trip)
-        for k in range(1, len(starts)):
-            a, b = starts[k - 1], starts[k]
-            place = {trip[n][3:5]: n for n in range(a, b)}
-            top_of = max(range(a, b), key=score.__getitem__)
-            for i in range(b, ends[k]):
-                frm[i], top = top_of, score[top_of] + NO_ROUTE
-                for u, v, p in zip(*(x or () for x in trip[i][6:9])):
-                    j = place[u, v]
-                    if score[j] + p > top or (score[j] + p == top and j < frm[i]):
-                        frm[i], top = j, score[j] + p
-                score[i] += top
-        chosen, i = [], max(range(starts[-1], len(trip)), key=score.__getitem__)
-        while i >= 0:
-            chosen.append((trip[i][0], trip[i][2], trip[i][1], *trip[i][3:5]))
-            i = frm[i]
-        return chosen[::-1]
-
-    def decode(batches):
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        kinds = (pa.string(), pa.int64(), pa.timestamp("us"), pa.int64(), pa.int64())
-        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["TRIP_ID", "id", "timedate", "u", "v"])
-        out: list[tuple] = []
-        for _, trip in groupby(rows, key=lambda r: r[0]):
-            out += best_of(list(trip))
-            if len(out) > 10_000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-
     n = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select("TRIP_ID", F.col("timedate").cast("timestamp_ntz").alias("timedate"), "id", "u", "v", "p", "from_u", "from_v", "step")
     ordered = ordered.repartition(n, "TRIP_ID").sortWithinPartitions("TRIP_ID", "timedate", "id", "u", "v")
-    return ordered.mapInArrow(decode, "TRIP_ID string, id long, timedate timestamp_ntz, u long, v long")
+    return ordered.mapInArrow(decoded(NO_ROUTE), "TRIP_ID string, id long, timedate timestamp_ntz, u long, v long")
 
 
 def stretches(matched: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from roadpulse.functions.geo import haversine
 from roadpulse.functions.store import kept, new_path
 from roadpulse.operators import centrality, cleaning, demand, disruption, hubs, matching, network, places, ranks, resilience, statistics, traffic, trips
 from roadpulse.plans.fixtures import Fixtures, duck
-from roadpulse.sources import commits, files
+from roadpulse.sources import commits, files, sensors
 from roadpulse.streaming import streams
 
 _QUERIES: dict[str, Callable] = {}
@@ -104,6 +104,34 @@ def a6_read_sensor_counts(t):
     return back.groupBy(cleaning.epoch("timedate").alias("seconds"), "direzione", "corsia", "classe").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT id, idterm, speed FROM fixes", "fixes")
+def a3_read_folder(t):
+    """A glob over folders of files whose columns stand in three orders."""
+    path = new_path(t.spark, "many")
+    for k, names in enumerate((("id", "idterm", "speed"), ("speed", "id", "idterm"), ("idterm", "speed", "id"))):
+        t.fixes.where(f"id % 3 = {k}").select(*names).write.csv(f"{path}/part {k}", sep=";", header=True)
+    return files.read_many(t.spark, f"{path}/*/*.csv").select(*(F.col(c).cast("long").alias(c) for c in ("id", "idterm", "speed")))
+
+
+_SENSOR_FILES = """SELECT CAST(FLOOR(epoch(timedate)) AS BIGINT) AS seconds, direzione, corsia, classe, COUNT(*) AS n, 0 AS rejected FROM sensor GROUP BY 1, 2, 3, 4
+UNION ALL SELECT NULL, NULL, NULL, NULL, n, n FROM (SELECT COUNT(DISTINCT CAST(FLOOR(epoch(timedate) / 86400) AS BIGINT)) AS n FROM sensor) WHERE n > 0"""
+
+
+@query(_SENSOR_FILES, "sensor")
+def a6_sensor_files(t):
+    """A file a day; odd days have a longer preamble and another order of columns, each day a line without a time."""
+    day, odd = F.dayofmonth("timedate").alias("day"), F.dayofmonth("timedate") % 2 == 1
+    when = F.date_format("timedate", "dd/MM/yyyy HH:mm:ss")
+    line = F.when(odd, F.concat_ws(";", "corsia", when, F.lit("more"), "classe", "direzione")).otherwise(F.concat_ws(";", when, "direzione", F.concat(F.lit(" "), "corsia"), "classe", F.lit("more")))
+    top = F.when(odd, F.array(F.lit("Station"), F.lit("Unit; 7"), F.lit(""), F.lit("Corsia;Data Ora;Other;Classe!;Direzione"), F.lit("1;no time;x;2;A"))).otherwise(F.array(F.lit("Station"), F.lit("Data Ora;Direzione;Corsia;Classe!;Other"), F.lit("no time;A;1;2;x")))
+    heads = t.sensor.select(day, top.alias("top")).distinct().select("day", F.posexplode("top").alias("at", "value"))
+    path, n = new_path(t.spark, "sensors"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    heads.unionByName(t.sensor.select(day, F.lit(9).alias("at"), line.alias("value"))).repartition(n, "day").sortWithinPartitions("day", "at").select("day", "value").write.partitionBy("day").text(path)
+    back = sensors.read_sensor_files(t.spark, path, time="data_ora", columns=4)
+    keys = [cleaning.epoch("timedate").alias("seconds"), "direzione", "corsia", "classe"]
+    return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("rejected").alias("rejected"))
+
+
 @query("SELECT vehtype, COUNT(*) AS n, SUM(mean_speed)::BIGINT AS speeds FROM traversals GROUP BY vehtype", "traversals")
 def a7_write_table(t):
     path = new_path(t.spark, "table")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import re
 import struct
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadpulse.sources.sensors import file_heads
+
 FIXES = "idrequest long, idterm long, timedate timestamp_ntz, latitude double, longitude double, speed long, direction long, grade long, panel int, event int, vehtype int, progressive long"
 LEGACY = "idRequest long, deviceId long, dateTime timestamp_ntz, latitude double, longitude double, speedKmh long, heading long, accuracyDop long, engineStatus int, type int, odometer long"
 LEGACY_NAMES = {"idRequest": "idrequest", "deviceId": "idterm", "dateTime": "timedate", "speedKmh": "speed", "heading": "direction", "accuracyDop": "grade", "engineStatus": "panel", "type": "vehtype", "odometer": "progressive"}
@@ -27,13 +32,26 @@ def read_fixes_legacy(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed(LEGACY_NAMES)
 
 
-def read_many(spark: SparkSession, paths: list[str], sep: str = ";") -> DataFrame:
-    """CSV files with headers, of the same columns in any order, as one table."""
-    out = None
-    for path in paths:
-        df = spark.read.csv(path, sep=sep, header=True)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+def read_many(spark: SparkSession, paths: str | list[str], sep: str = ";", fill: bool = False) -> DataFrame:
+    """CSV files with headers, of the same columns in any order, as one table of texts.
+
+    ``paths`` are files, folders or globs. One pass finds each file's header; the files of each different header are one scan,
+    however many they are. A column that some file lacks is an error that names both, or null with ``fill``. Files without a line have no rows;
+    where no file has a line the table has no columns. Folders named key=value give no columns.
+    """
+    heads = file_heads(spark.read.text(paths), F.trim("value") != "").where("head is not null")
+    groups = sorted(((next(csv.reader([r.head], delimiter=sep)), sorted(r.files)) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()), key=lambda g: g[1])
+    names = list(dict.fromkeys(n for head, _ in groups for n in head))
+    out = spark.createDataFrame([], T.StructType([]))
+    for k, (head, found) in enumerate(groups):
+        if len(set(head)) < len(head):
+            raise ValueError(f"{found[0]} has a column twice")
+        if not fill and (lacking := [n for n in names if n not in head]):
+            raise ValueError(f"{found[0]} has no column {', '.join(lacking)}")
+        plain = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", unquote(f)) for f in found]
+        rows = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in head])).csv(plain, sep=sep, header=True)
+        out = out.unionByName(rows, allowMissingColumns=True) if k else rows
+    return out.select(*(F.col("`" + n.replace("`", "``") + "`") for n in names))
 
 
 def read_registry(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
