@@ -127,7 +127,7 @@ def a6_sensor_files(t):
     heads = t.sensor.select(day, top.alias("top")).distinct().select("day", F.posexplode("top").alias("at", "value"))
     path, n = new_path(t.spark, "sensors"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     heads.unionByName(t.sensor.select(day, F.lit(9).alias("at"), line.alias("value"))).repartition(n, "day").sortWithinPartitions("day", "at").select("day", "value").write.partitionBy("day").text(path)
-    back = sensors.read_sensor_files(t.spark, path, time="data_ora", columns=4)
+    back = sensors.read_sensor_files(t.spark, path, time="data_ora", names=["direzione", "corsia", "classe"])
     keys = [cleaning.epoch("timedate").alias("seconds"), "direzione", "corsia", "classe"]
     return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("rejected").alias("rejected"))
 

@@ -36,12 +36,12 @@ def file_heads(lines: DataFrame, head: Column) -> DataFrame:
     return placed.groupBy("file").agg(F.min_by("value", F.when(head, at)).alias("head"))
 
 
-def read_sensor_files(spark: SparkSession, path: str | list[str], time: str = "riferimento_temporale", sep: str = ";", columns: int = 10, encoding: str = "UTF-8") -> DataFrame:
+def read_sensor_files(spark: SparkSession, path: str | list[str], time: str = "riferimento_temporale", sep: str = ";", columns: int = 10, names: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Rows of sensor files whose preambles differ in length and whose columns differ in order: timedate, the other
     columns as trimmed texts, and rejected.
 
     A file's header is its first line with a cell named ``time`` (names as ``column_name`` makes them), wherever it
-    stands; the first ``columns`` names of the first file's header, by path, are read from all files. A line with the header's number of
+    stands; ``names``, by default the first ``columns`` of the first file's header by path, are read from all files. A line with the header's number of
     cells but no time, or with a time but too few cells, is a row of nulls with the whole line as ``rejected``; other
     lines without a time (preambles, notes, blank lines) and repeated headers give no rows. A file without a header, or without one of
     the columns, is an error that names it; no files at all give no rows.
@@ -50,11 +50,11 @@ def read_sensor_files(spark: SparkSession, path: str | list[str], time: str = "r
     cells = F.split("value", F.lit("\\Q" + sep + "\\E"), -1)
     is_head = F.array_contains(F.transform(cells, column_name), time)
     heads = kept(file_heads(lines, is_head), "sensor-heads")
-    names = F.transform(F.split("head", F.lit("\\Q" + sep + "\\E"), -1), column_name)
-    kinds = heads.groupBy("head").agg(F.min("file").alias("file")).withColumn("names", names).orderBy("file").collect()  # a row per different header
+    found = F.transform(F.split("head", F.lit("\\Q" + sep + "\\E"), -1), column_name)
+    kinds = heads.groupBy("head").agg(F.min("file").alias("file")).withColumn("names", found).orderBy("file").collect()  # a row per different header
     if bare := [r.file for r in kinds if r.head is None]:
         raise ValueError(f"{bare[0]} has no header with {time}")
-    wanted = _unique(list(kinds[0].names))[:columns] if kinds else [time]
+    wanted = list(names or (_unique(list(kinds[0].names))[:columns] if kinds else [time]))
     wanted += [time] if time not in wanted else []
     places = []
     for r in kinds:

@@ -17,6 +17,7 @@ def test_preambles_and_orders_differ(spark, tmp_path):
         (dt.datetime(2019, 2, 22, 0, 0, 1), "3", "4", "8", None),
         (dt.datetime(2019, 2, 22, 0, 0, 2), "5", "", "7", None),
     }
+    assert sensors.read_sensor_files(spark, str(tmp_path), names=["classe"]).columns == ["timedate", "classe", "rejected"]
     bad = out.where("rejected is not null").collect()
     assert {r.rejected for r in bad} == {"no time;1;2;3;x", "21/02/2019 10:16:00; 2"} and all(r.timedate is None and r.corsia is None for r in bad)
 
