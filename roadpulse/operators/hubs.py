@@ -1,7 +1,8 @@
 """Least paths between given pairs of nodes by hub labels.
 
 An index is made once: in rounds, nodes of least degree of which no two are neighbours are
-taken out, and a shortcut replaces each two edges that met in one. What is left, at most
+taken out, and a shortcut replaces each two edges that met in one, unless two edges that stay are
+no longer. What is left, at most
 ``core`` nodes, becomes a matrix of least costs. From a node, paths then climb: only along edges
 to nodes that were taken out later. A node's label is what it reaches so with its cost; a
 pair's least cost is the least sum over the hubs that both labels hold, or over two core
@@ -23,6 +24,8 @@ from roadpulse.functions.store import remove, written
 
 #: Nodes that are left to one task as a matrix of 12 bytes a pair.
 CORE = 1000
+#: Passes over a round's nodes that look for more of which no two are neighbours, and edges of a node that are tried as witnesses.
+PASSES, WITNESSES = 3, 32
 #: Rounds of unpacking, and levels of climbing, between two written tables.
 UNPACKED, CLIMBED = 3, 3
 #: Rows of the core's matrix that are worked on at once.
@@ -78,6 +81,43 @@ def _closed(core: int):
     return close
 
 
+def _independent(ends: DataFrame, seed: int) -> tuple[DataFrame, list[str]]:
+    """Nodes (node) of ``ends`` (u, v: both ways) of which no two are neighbours, those of few neighbours first, and their tables' paths.
+
+    In a pass each node that comes before all its neighbours still in question is taken, and its neighbours are out of question. A
+    few passes find nearly as many nodes as can be found.
+    """
+    # of neighbours with one degree a hash decides, another one each round
+    place = F.struct("n", F.xxhash64("u", F.lit(seed)).alias("h"), "u")
+    places = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", place.alias("own"))
+    asked, path = written(ends.join(places, "u").join(places.select(F.col("u").alias("v"), F.col("own").alias("other")), "v"), "hub-places")
+    found, used = [], []
+    for k in range(PASSES):
+        before = asked.groupBy("u").agg(F.first("own").alias("own"), F.min("other").alias("least"))
+        picked, picked_path = written(before.where("least is null or own < least").select(F.col("u").alias("node")), "hub-nodes")
+        found.append(picked)
+        used.append(picked_path)
+        if k + 1 < PASSES:
+            gone = picked.union(ends.join(picked, F.col("v") == F.col("node")).select("u")).distinct()
+            asked = asked.join(gone, F.col("u") == F.col("node"), "left_anti").join(gone, F.col("v") == F.col("node"), "left")
+            asked = asked.select("u", "v", "own", F.when(F.col("node").isNull(), F.col("other")).alias("other"))
+    remove(ends.sparkSession, [path])
+    return _union(found), used
+
+
+def _witnessed(shortcuts: DataFrame, rest: DataFrame) -> DataFrame:
+    """(u, v) of the shortcuts that two edges which stay do as well as: leaving them out changes no least cost.
+
+    Of a node only its WITNESSES least edges are tried, so nodes of many edges make no rows without bound; a shortcut kept in vain
+    costs a row and no result.
+    """
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("w", "v"))
+    first = rest.withColumn("rank", rank).where(F.col("rank") <= WITNESSES).select("u", F.col("v").alias("x"), F.col("w").alias("w1"))
+    second = rest.select(F.col("u").alias("x"), "v", F.col("w").alias("w2"))
+    tried = shortcuts.select("u", "v", "w").join(first, "u").where("w1 <= w and x <> v")
+    return tried.join(second, ["x", "v"]).where("w1 + w2 <= w").select("u", "v").distinct()
+
+
 def hub_index(edges: DataFrame, weight: str = "length", core: int = CORE) -> HubIndex:
     """The index of a network (u, v and ``weight``, which must not be below zero).
 
@@ -89,28 +129,29 @@ def hub_index(edges: DataFrame, weight: str = "length", core: int = CORE) -> Hub
     spark = edges.sparkSession
     roads = edges.where(F.col(weight).isNotNull() & (F.col("u") != F.col("v"))).groupBy("u", "v").agg(F.min(weight).cast("double").alias("w"))
     now, path = written(roads.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "w", F.lit(None).cast("long").alias("mid")), "hub-edges")
-    paths, taken, climbs, height = [path], [], [], 0
+    paths, taken, climbs, spent, height = [path], [], [], [], 0
     while True:
         ends, ends_path = written(now.select("u", "v").union(now.select("v", "u")).distinct(), "hub-ends")
         if ends.select("u").distinct().count() <= core:
             remove(spark, [ends_path])
             break
-        # of neighbours with one degree a hash decides, another one each round
-        place = F.struct("n", F.xxhash64("u", F.lit(height)).alias("h"), "u")
-        degrees = ends.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", place.alias("place"))
-        beside = ends.join(degrees.select(F.col("u").alias("v"), "place"), "v").groupBy("u").agg(F.min("place").alias("least"))
-        chosen, chosen_path = written(degrees.join(beside, "u").where("place < least").select(F.col("u").alias("node")), "hub-nodes")
+        chosen, used = _independent(ends, height)
         out = now.join(chosen, F.col("u") == F.col("node")).select("node", F.col("v").alias("to"), "w", "mid")
         into = now.join(chosen, F.col("v") == F.col("node")).select("node", F.col("u").alias("to"), "w", "mid")
-        climb, _ = written(out.select(F.lit(0).alias("side"), "*").unionByName(into.select(F.lit(1).alias("side"), "*")).withColumn("level", F.lit(height)), "hub-climb")
+        climb, climb_path = written(out.select(F.lit(0).alias("side"), "*").unionByName(into.select(F.lit(1).alias("side"), "*")).withColumn("level", F.lit(height)), "hub-climb")
         first, second = climb.where("side = 1").select("node", F.col("to").alias("u"), F.col("w").alias("w1")), climb.where("side = 0").select("node", F.col("to").alias("v"), F.col("w").alias("w2"))
-        shortcuts = first.join(second, "node").where("u <> v").select("u", "v", (F.col("w1") + F.col("w2")).alias("w"), F.col("node").alias("mid"))
-        rest = now.join(chosen.select(F.col("node").alias("u")), "u", "left_anti").join(chosen.select(F.col("node").alias("v")), "v", "left_anti")
-        now, path = written(rest.select("u", "v", "w", "mid").unionByName(shortcuts).groupBy("u", "v").agg(F.min(F.struct("w", "mid")).alias("m")).select("u", "v", "m.*"), "hub-edges")
-        remove(spark, [paths[-1], ends_path])
+        least = F.min(F.struct(F.col("w"), F.col("mid"))).alias("m")
+        shortcuts = first.join(second, "node").where("u <> v").groupBy("u", "v").agg(F.min(F.struct((F.col("w1") + F.col("w2")).alias("w"), F.col("node").alias("mid"))).alias("m"))
+        shortcuts, short_path = written(shortcuts.select("u", "v", "m.*"), "hub-shortcuts")
+        rest = now.join(chosen.select(F.col("node").alias("u")), "u", "left_anti").join(chosen.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v", "w", "mid")
+        rest, rest_path = written(rest, "hub-rest")
+        needed = shortcuts.join(_witnessed(shortcuts, rest), ["u", "v"], "left_anti")
+        now, path = written(rest.unionByName(needed).groupBy("u", "v").agg(least).select("u", "v", "m.*"), "hub-edges")
+        remove(spark, [paths[-1], ends_path, short_path, rest_path])
         paths.append(path)
         taken.append(chosen.withColumn("level", F.lit(height)))
         climbs.append(climb)
+        spent += [*used, climb_path]
         height += 1
     closed, _ = written(now.coalesce(1).mapInArrow(_closed(core), "u long, v long, w double, mid long"), "hub-core")
     remove(spark, [paths[-1]])
@@ -119,6 +160,7 @@ def hub_index(edges: DataFrame, weight: str = "length", core: int = CORE) -> Hub
     rows = union(climbs, "side int, node long, to long, w double, mid long, level int")
     above = levels.select(F.col("node").alias("to"), F.col("level").alias("to_level"))
     climb, _ = written(rows.join(above, "to", "left").select("side", "node", "to", "w", "mid", "level", F.coalesce("to_level", F.lit(height)).alias("to_level")), "hub-climb")
+    remove(spark, spent)
     along = climb.where("side = 0").select(F.col("node").alias("u"), F.col("to").alias("v"), "w", "mid")
     steps = along.unionByName(climb.where("side = 1").select(F.col("to").alias("u"), F.col("node").alias("v"), "w", "mid")).unionByName(closed)
     table = closed.select("u", "v", "w").toArrow()  # at most core * core rows
