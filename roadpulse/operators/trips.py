@@ -173,9 +173,9 @@ def trip_flags(fixes: DataFrame, d_sec: int = 300, box: tuple[float, float, floa
     inside = F.col("longitude").between(box[0], box[2]) & F.col("latitude").between(box[1], box[3])
     df = fixes.withColumn("inside", inside)
     gap = epoch("timedate") - epoch(F.lag("timedate").over(w))
-    moved = F.greatest(F.coalesce(F.col("progressive") - F.lag("progressive").over(w), F.lit(0)), F.lit(0)) / 1000
-    df = df.withColumns({"_gap": gap, "_km": moved, "_was": F.lag("inside").over(w), "_panel": F.lag("panel").over(w)})
-    crossing = (F.col("_was") != F.col("inside")) & (F.col("_gap") > d_sec) & (F.col("_km") > 0.5)
+    moved = F.greatest(F.coalesce(F.col("progressive") - F.lag("progressive").over(w), F.lit(0)), F.lit(0))
+    df = df.withColumns({"_gap": gap, "_m": moved, "_was": F.lag("inside").over(w), "_panel": F.lag("panel").over(w)})
+    crossing = (F.col("_was") != F.col("inside")) & (F.col("_gap") > d_sec) & (F.col("_m") > 500)
     split = F.month("timedate") != F.month(F.lag("timedate").over(w))
     start = (
         F.when(F.col("_panel").isNull() | ((F.col("panel") == 1) & (F.col("_panel") == 0)), 10).when(crossing, 11)
@@ -185,10 +185,11 @@ def trip_flags(fixes: DataFrame, d_sec: int = 300, box: tuple[float, float, floa
     df = df.withColumn("trip_no", F.sum(F.when(F.col("_start") > 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inner = F.col("_start") == 0
     per = df.groupBy("idterm", "trip_no").agg(
-        F.sum(F.when(inner, F.col("_km")).otherwise(0.0)).alias("_len"), (F.max(epoch("timedate")) - F.min(epoch("timedate"))).alias("_dur"),
+        F.sum(F.when(inner, F.col("_m")).otherwise(0)).alias("_len"), (F.max(epoch("timedate")) - F.min(epoch("timedate"))).alias("_dur"),
         F.max(F.when(inner, F.col("_gap"))).alias("_longest"), F.max_by("id", F.struct("timedate", "id")).alias("_last_id"),
     )
-    odd = (F.col("_len") < short_km) | ((F.col("_dur") > long_s) & (F.coalesce("_longest", F.lit(0)) > 2 * d_sec))
+    # whole metres are summed: 0.009 and 0.001 km add up to less than 0.01
+    odd = (F.col("_len") / 1000 < short_km) | ((F.col("_dur") > long_s) & (F.coalesce("_longest", F.lit(0)) > 2 * d_sec))
     out = df.withColumn("_next", F.lead("_start").over(w)).join(per.withColumn("_odd", odd), ["idterm", "trip_no"])
     end = F.when(F.col("_next").isNull() | (F.col("_next") == 10), 20).when(F.col("_next") == 11, 21).when(F.col("inside"), 22).otherwise(23)
     ends = F.col("id") == F.col("_last_id")

@@ -76,3 +76,11 @@ def test_trip_flags_and_table(spark):
     out = trips.trip_table(flagged).orderBy("start").collect()
     assert [(r.trip_id, r.km) for r in out] == [("1_1", 0.9), ("1_2", 1.1), ("1_3", 2.0)]
     assert out[0].stop_h == out[1].stop_before_h and out[2].stop_h is None
+
+
+def test_trip_flags_sum_whole_metres(spark):
+    """A trip of 9 and 1 metres is exactly as long as the least, not shorter."""
+    df = fixes(spark, [(0, 1, 0), (60, 1, 9), (120, 1, 10), (180, 0, 10)])
+    assert [r.flag for r in trips.trip_flags(df).orderBy("id").collect()] == [10, 0, 0, 20]
+    shorter = fixes(spark, [(0, 1, 0), (60, 1, 8), (120, 1, 9), (180, 0, 9)])
+    assert [r.flag for r in trips.trip_flags(shorter).orderBy("id").collect()] == [5, 0, 0, 5]
