@@ -41,7 +41,11 @@ def travel_demand(paths: DataFrame, counts: DataFrame, months: int = 1, hours: i
 def travel_demand_15min(paths: DataFrame, trav: DataFrame) -> DataFrame:
     """Vehicles per hour along each path: the mean, over its quarters of an hour with traffic, of the records per edge and quarter / 0.25."""
     quarter = trav.groupBy(*EDGE, F.window(F.col("timedate").cast("timestamp"), "15 minutes").alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    per = paths.join(quarter, EDGE).groupBy("origin", "destination", "q").agg(F.avg("n").alias("n"))
+    quarter = kept(quarter.select(*EDGE, F.col("q.start").alias("q"), "n"), "quarters")
+    # paths are partitioned by pair before, in a set number of parts as their rows multiply; where quarters are few enough to be broadcast, the
+    # rows of each edge and quarter of a path aren't shuffled
+    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = paths.repartition(n, "origin", "destination").join(quarter, EDGE).groupBy("origin", "destination", "q").agg(F.avg("n").alias("n"))
     return per.groupBy("origin", "destination").agg((F.avg("n") / 0.25).alias("demand"))
 
 

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from roadpulse.operators import matching
+from roadpulse.operators import demand, matching
 
 
 def network(spark):
@@ -40,3 +40,12 @@ def test_candidates_of_equal_fixes_count_once(spark):
     nodes, edges = network(spark)
     twice = fixes(spark).unionByName(fixes(spark))
     assert matching.candidates(twice, edges, nodes, radius_m=30.0).count() == 8
+
+
+def test_quarters_of_paths_take_no_shuffle_after_the_paths(spark):
+    start = dt.datetime(2019, 2, 1)
+    trav = spark.createDataFrame([(0, 1, start), (0, 1, start), (1, 2, start), (1, 2, start + dt.timedelta(minutes=20))], "u long, v long, timedate timestamp_ntz")
+    paths = spark.createDataFrame([(0, 2, 0, 1), (0, 2, 1, 2)], "origin long, destination long, u long, v long")
+    out = demand.travel_demand_15min(paths, trav)
+    assert exchanges(out) == 1
+    assert [tuple(r) for r in out.collect()] == [(0, 2, 5.0)]  # quarters of 1.5 and 1 records an edge
