@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ KEPT = 600_000
 SIGN = "\u27c2"
 
 _LATIN = re.compile("[!-~\xa1-\xac\xae-\xff]+")
+#: Lower-case letters of Latin-1.
+_LETTERS = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+#: Such letters and signs of ASCII after them, none an apostrophe.
+_LETTERS_SIGNS = re.compile("([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+)")
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]|\x00")
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 
@@ -60,14 +65,18 @@ class Codec:
 
     def __init__(self, path: str, units):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on every core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.units = units
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
+        self.bare, self.blanks = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)  # the model is shared
+        self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.blanks.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that end a word
+        self.last[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.odd: dict[str, str] = {}  # units that decode to something else
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -79,15 +88,35 @@ class Codec:
         """Packed ids of many units.
 
         Latin-1 units are their own NFC form, so lower case is all that the normaliser does to
-        them; they are encoded in a few long texts, with a sign that no unit has between them.
+        them. Those of letters alone are one piece by the pattern and end with a token that ends a
+        word, so they are encoded in long texts that are cut at blanks alone; letters and signs
+        after them are two pieces; the others are encoded in texts with a sign that no unit has between them.
         """
-        low = {u: u.lower() for u in units if _LATIN.fullmatch(u) and not any(x in u.lower() for x in self.specials)}
-        rest = [u for u in units if u not in low]
-        out = {u: _packed(i) for u, i in zip(rest, self._encode(rest))}
-        plain = list(set(low.values()))
-        sign = self.bare.encode(SIGN, add_special_tokens=False).ids
-        parts = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        low = {u: u.lower() for u in units if _LATIN.fullmatch(u)}
+        together = "\n".join(low.values())
+        if any(x in together for x in self.specials):
+            low = {u: x for u, x in low.items() if not any(s in x for s in self.specials)}
+        out: dict[str, bytes] = {}
+        if len(low) < len(units):
+            rest = [u for u in units if u not in low]
+            out.update(zip(rest, map(_packed, self._encode(rest))))
+        plain = set(low.values())
+        letters = set(filter(_LETTERS.fullmatch, plain))
+        ends = {u: m.groups() for u in plain - letters if (m := _LETTERS_SIGNS.fullmatch(u))}
+        letters = list(letters.union(x for x, _ in ends.values()))
         known: dict[str, bytes] = {}
+        parts = [letters[k : k + 2000] for k in range(0, len(letters), 2000)]
+        for part, e in zip(parts, self.blanks.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            hit = np.flatnonzero(self.last[ids]) + 1
+            if len(hit) == len(part):  # else some letter isn't in the vocabulary
+                packed, at = ids.tobytes(), 0
+                for u, end in zip(part, (hit * 4).tolist()):
+                    known[u] = packed[at:end]
+                    at = end
+        signed = list({x for u in plain if u not in known for x in ends.get(u, (u,)) if x not in known})
+        sign = self.bare.encode(SIGN, add_special_tokens=False).ids
+        parts = [signed[k : k + 2000] for k in range(0, len(signed), 2000)]
         for part, e in zip(parts, self.bare.encode_batch_fast([f" {SIGN} ".join([*x, ""]) for x in parts], add_special_tokens=False)):
             ids = np.asarray(e.ids, "<u4")
             hit = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - len(sign) + 1 + k] == x for k, x in enumerate(sign)]))
@@ -95,7 +124,33 @@ class Codec:
             for u, end in zip(part, (hit * 4).tolist()):
                 known[u] = packed[at:end]
                 at = end + 4 * len(sign)
-        return out | {u: known[x] for u, x in low.items()}
+        known.update((u, known[a] + known[b]) for u, (a, b) in ends.items())
+        out.update((u, known[x]) for u, x in low.items())
+        return out
+
+    def word_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` in a row, and where each text's begin and the last one's end, by the word tokenizer.
+
+        Arrow cuts at ASCII white space, which that tokenizer drops, and numbers the units, so only different units are looked up.
+        """
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        numbered = pc.dictionary_encode(cut.flatten())
+        units, at = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy()
+        new = [u for u in units if u not in self.known]
+        full = len(self.known) > KEPT
+        if new:
+            self.learn(new, False)
+        found = list(map(self.known.__getitem__, units))
+        if full:
+            for u in new:
+                del self.known[u]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = sizes[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], each)
+        place += np.arange(len(place))
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        return np.frombuffer(b"".join(found), "<u4")[place], ends[offsets - offsets[0]]
 
     def learn(self, new: list[str], decoding: bool) -> None:
         if self.units is word_units:
@@ -208,6 +263,17 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def sized(batches, column: int, most: int = 4 << 20):
+    """Batches cut into runs of rows whose strings of a column have ``most`` bytes together, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def byte_bpe(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text with a byte-level tokenizer file.
 
@@ -250,10 +316,11 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str, text: str, size: int,
 
     def cut(batches):
         c = codec(path, "word")
-        for batch in slices(batches):
+        for batch in sized(batches, len(kept)):
             rows, made = [], []
-            for k, (ids, _) in enumerate(c.ids([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])):
-                ids += end
+            flat, starts = c.word_ids(batch.column(batch.num_columns - 1))
+            for k, (low, high) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                ids = flat[low:high].tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append(k)

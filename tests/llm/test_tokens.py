@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,3 +70,17 @@ def test_bounds_hold_and_gaps_are_repacked(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 60)
     rows = packing.pack_pieces(spark.createDataFrame([(int(x),) for x in lengths], "length long")).toPandas()
     assert len(rows) == 900 and rows.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_words_by_number_match_the_library():
+    """Ids of texts in a row equal the library's, in runs of rows of few bytes, with every kind of unit."""
+    own = tokens.Codec(WORD, tokens.word_units)
+    texts = ["", None, " \t\n", "The cat, the CAT's 12 cats\x0b\x0cend", "été Été naïve µª Straße", "a\x1cb\x1db <|endoftext|>x <|StartOfText|>", "　全角 ＡＢ é İ", "x" * 3000, "it's I'LL 3.14 --%%", f"a {tokens.SIGN} b{tokens.SIGN}c"]
+    for _ in range(2):  # learned, then known
+        flat, at = own.word_ids(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert flat[at[k] : at[k + 1]].tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    cut = list(tokens.sized([batch, batch.slice(0, 0), batch.slice(2)], 0, 40))
+    assert [t for b in cut for t in b.column(0).to_pylist()] == texts + texts[2:]
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(0).to_pylist()) <= 40 for b in cut)
