@@ -31,8 +31,9 @@ LENGTH = 100
 PREFIX = 32
 #: Documents whose samples are settled among themselves before they are dealt out.
 SLICE = 1024
-#: Names of more places with different contexts are split into the strings around them.
-LONG_NAME = 1024
+#: Names of more places with different contexts than a task's share of all of them are split into the strings around
+#: them; a share counts as SHORT_NAME places at least and as LONG_NAME at most.
+SHORT_NAME, LONG_NAME = 1024, 16384
 #: Low bits of a place that hold the bytes of context after the prefix.
 REST_BITS = 16
 _ONE, _TWO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -259,7 +260,8 @@ def different_contexts(around: DataFrame, length: int, prefix: int) -> DataFrame
             up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _TWO, np.uint64)]), dtype=np.uint64)
             down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, pow(_TWO, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
             sums = np.zeros((len(name), size + 1), np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[:, 1:])
+            for k in range(0, len(name), 1024):  # little at once beside the sums
+                np.cumsum((data[k : k + 1024].astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[k : k + 1024, 1:])
             run_key = mixed(name.view(np.uint64))
             for start in range(reach + 1):  # string from ``start``: reach - start bytes before the place
                 valid = np.flatnonzero((start >= reach - before) & (start + length <= sizes))
@@ -346,12 +348,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX,
     source = docs.where("doc_id is not null and text is not null")
     told = stored(same_contexts(samples(source, length, prefix, periodic), length, prefix), "contexts")
     asked = told.where("low is null").select("doc_id", "high", "name").distinct()
-    long = stored(asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_NAME).select("name"), "long-names")
+    share = told.where("low is null").count() // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(LONG_NAME, max(SHORT_NAME, share))
+    long = stored(asked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("name"), "long-names")
     some = long.first() is not None
-    short = asked.join(few_rows(long), "name", "left_anti").select("doc_id", "high", "name") if some else asked
-    spans = told.where("low is not null").select("doc_id", "low", "high").union(different_contexts(contexts(source, short, length, prefix), length, prefix))
+    around = contexts(source, asked, length, prefix)
+    if some:  # written once, as each reading of the contexts shuffles the texts
+        around = stored(around, "around")
+        many, around = (around.join(few_rows(long), "name", how) for how in ("left_semi", "left_anti"))
+    spans = told.where("low is not null").select("doc_id", "low", "high").union(different_contexts(around, length, prefix))
     if some:
-        spans = spans.union(by_strings(contexts(source, asked.join(few_rows(long), "name", "left_semi").select("doc_id", "high", "name"), length, prefix), length, prefix))
+        spans = spans.union(by_strings(many, length, prefix))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -280,3 +281,23 @@ def test_columns_of_the_operators_own_names(spark, make, twice):
         assert sorted(map(str, found.drop("text").collect())) == sorted(map(str, docs.drop("text").collect()))
     counted = line_dedup.drop_boilerplate(docs, counts=True)
     assert counted.columns == [*docs.columns, "_n_lines", "_n_dropped"] and len(set(counted.columns)) == len(counted.columns)
+
+
+def test_names_of_a_tasks_share_are_not_split(spark, make, monkeypatch):
+    """A name that has no more places than a task's share of all is compared in its task, others string by string, with the same spans."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passage = word(180)
+    docs = make([(k, word(40) + passage + word(40)) for k in range(1200)]).select("doc_id", "text")
+    keep, seen = repeats.stored, []
+    monkeypatch.setattr(repeats, "stored", lambda df, label: seen.append(label) or keep(df, label))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (2, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found[parts] = {x.doc_id: repeats.merged([(s.low, s.high) for s in x.spans]) for x in repeats.repeated_spans(docs).collect()}
+            assert ("strings" in seen) == (parts == 64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[2] == found[64] and set(found[2]) == set(range(1, 1200))
+    assert all(low <= 40 and high >= 220 for ((low, high),) in found[2].values())
