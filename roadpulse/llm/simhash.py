@@ -27,6 +27,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 RUN = 256
 #: Values that more rows share are split by further bits.
 LONG_RUN = 2048
+#: Rows of whole runs that are compared before the next are, and links that are made Python's at once.
+PIECE, AT_ONCE = 2048, 16384
 #: What sending a row costs, in comparisons.
 ROW_COST = 16
 #: The most partitions (a key is value * PARTS + partition).
@@ -222,6 +224,16 @@ def forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] |
     in longer runs each row that joins is held against those still outside. Without ``spare``
     their forest is any, not a minimum one.
     """
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)) if len(keys) else np.empty(0, int)
+    out, at = [], 0
+    while at < len(keys):  # links grow with a piece's rows times RUN
+        end = int(ends[max(np.searchsorted(ends, at + PIECE, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        out += [(at + a, at + b, d) for a, b, d in _piece_forest(rows[at:end], keys[at:end], distance, spare)]
+        at = end
+    return out
+
+
+def _piece_forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] | None) -> list[tuple[int, int, int]]:
     n = len(keys)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.empty(0, int)
     lengths = np.diff(np.append(starts, n))
@@ -244,11 +256,13 @@ def forest(rows: np.ndarray, keys: np.ndarray, distance: int, spare: set[int] |
         return x
 
     out = []
-    for d, a, b in links[np.argsort(links[:, 0], kind="stable")].tolist():
-        x, y = top(a), top(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b, d))
+    order = np.argsort(links[:, 0], kind="stable")
+    for k in range(0, len(order), AT_ONCE):
+        for d, a, b in links[order[k : k + AT_ONCE]].tolist():
+            x, y = top(a), top(b)
+            if x != y:
+                root[x] = y
+                out.append((a, b, d))
     if spare is not None:
         run = np.repeat(np.arange(len(lengths)), lengths)
         more = np.bincount(run[links[:, 1]], minlength=len(lengths)) > np.bincount(run[[x[0] for x in out]], minlength=len(lengths)) if out else np.zeros(len(lengths), bool)
@@ -536,9 +550,9 @@ def next_pairs(firsts: DataFrame, labels: DataFrame, similarity: float, most: in
             pairs: set[tuple[int, int]] = set()
             for start, end in zip([0, *ends], [*ends, len(key)]):
                 pairs.update(bounded_pairs(*(c[start:end] for c in columns), similarity, most))
-            if pairs:
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if len(pairs) > AT_ONCE or pairs and end == len(key):
+                    yield _paired(list(pairs), "a b")
+                    pairs.clear()
 
     return _dealt(rows).mapInArrow(run, "a long, b long").distinct()
 

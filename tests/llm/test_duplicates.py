@@ -301,3 +301,21 @@ def test_names_of_a_tasks_share_are_not_split(spark, make, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[2] == found[64] and set(found[2]) == set(range(1, 1200))
     assert all(low <= 40 and high >= 220 for ((low, high),) in found[2].values())
+
+
+def test_forest_of_many_runs_in_little_memory():
+    """Runs of near rows have as many links as pairs; the forest keeps one a row and few of the others at once."""
+    import tracemalloc
+
+    from roadpulse.llm.simhash import forest
+
+    r = np.random.default_rng(1)
+    rows = np.repeat(r.integers(0, 1 << 62, (40, 10), dtype=np.uint64), 250, axis=0)
+    rows[:, 0] ^= np.uint64(1) << r.integers(0, 60, len(rows)).astype(np.uint64)
+    keys, spare = np.repeat(np.arange(40), 250), set()
+    tracemalloc.start()
+    found = forest(rows, keys, 5, spare)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 40 * 249 and spare == set(range(40)) and all(keys[a] == keys[b] for a, b, _ in found)
+    assert most < 60e6
