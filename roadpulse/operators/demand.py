@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.store import kept
+from roadpulse.operators import hubs
 from roadpulse.operators.network import path_edges, shortest_paths
 from roadpulse.operators.repair import repaired_costs
 from roadpulse.operators.traffic import EDGE, edge_speed_time
@@ -57,14 +58,23 @@ def delay(demand: Column, dt: Column, closed_h: float) -> Column:
 def closure_detours(cell_edges: DataFrame, od: DataFrame, edges: DataFrame, penalty: float = 18000, weight: str = "cost") -> DataFrame:
     """(cell, origin, destination, dt) of closing all edges of a cell, for the cells on the pair's path; dt in hours.
 
-    Trees of least paths are grown once, without closures. A cell's closure makes its edges
+    Trees of least paths are grown once, without closures; those of a network that the matrix of a hub index holds are read off it. A cell's closure makes its edges
     ``penalty`` seconds longer; only what lies below them in an origin's tree is computed again.
     """
-    base = shortest_paths(edges, od.select("origin"), weight)
-    along = path_edges(base, od.select("origin", "destination"))
     closed = cell_edges.select("cell", *EDGE).distinct()
-    crossed = kept(along.join(closed, EDGE).select("cell", "origin", "destination").distinct(), "crossed")
-    then = repaired_costs(base, edges, closed, crossed, weight, penalty)
+    few = edges.select("u").union(edges.select("v")).distinct().limit(hubs.CORE + 1).count() <= hubs.CORE
+    trees = hubs.matrix_trees(hubs.hub_index(edges, weight), od.select("origin")) if few else None
+    if trees is None:
+        base, below = shortest_paths(edges, od.select("origin"), weight), None
+        along = path_edges(base, od.select("origin", "destination"))
+        crossed = kept(along.join(closed, EDGE).select("cell", "origin", "destination").distinct(), "crossed")
+    else:  # a small network's trees come with their paths
+        base = kept(trees, "trees")
+        below = hubs.tree_edges(base, "origin", "node").join(closed, EDGE).groupBy("cell", "origin", "node").agg(F.count(F.lit(1)).alias("n"))
+        below = kept(below, "below")
+        pairs = od.select("origin", F.col("destination").alias("node")).distinct()
+        crossed = below.join(pairs, ["origin", "node"]).select("cell", "origin", F.col("node").alias("destination"))
+    then = repaired_costs(base, edges, closed, crossed, weight, penalty, below)
     before = base.select("origin", F.col("node").alias("destination"), F.col("dist").alias("t0"))
     return then.join(before, ["origin", "destination"]).select("cell", "origin", "destination", ((F.col("dist") - F.col("t0")) / 3600).alias("dt"))
 

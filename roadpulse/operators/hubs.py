@@ -30,6 +30,8 @@ PASSES, WITNESSES = 3, 32
 UNPACKED, CLIMBED = 3, 3
 #: Rows of the core's matrix that are worked on at once.
 STRIP = 32
+#: Weights must differ from nothing by more than this share of all weights, or rounding could close a ring of predecessors.
+ROUNDING = 1e-9
 #: No node has this number.
 NONE = np.iinfo(np.int64).min
 
@@ -45,6 +47,7 @@ class HubIndex:
     height: int
     core: np.ndarray
     costs: np.ndarray
+    direct: np.ndarray  # whether the least cost between two core nodes is that of an edge
 
 
 def _closed(core: int):
@@ -163,13 +166,63 @@ def hub_index(edges: DataFrame, weight: str = "length", core: int = CORE) -> Hub
     remove(spark, spent)
     along = climb.where("side = 0").select(F.col("node").alias("u"), F.col("to").alias("v"), "w", "mid")
     steps = along.unionByName(climb.where("side = 1").select(F.col("to").alias("u"), F.col("node").alias("v"), "w", "mid")).unionByName(closed)
-    table = closed.select("u", "v", "w").toArrow()  # at most core * core rows
+    table = closed.select("u", "v", "w", F.col("mid").isNull().alias("direct")).toArrow()  # at most core * core rows
     u, v = table["u"].to_numpy(), table["v"].to_numpy()
     ids = np.unique(np.concatenate([u, v]))
-    costs = np.full((len(ids), len(ids)), np.inf)
+    costs, direct = np.full((len(ids), len(ids)), np.inf), np.zeros((len(ids), len(ids)), bool)
     costs[np.searchsorted(ids, u), np.searchsorted(ids, v)] = table["w"].to_numpy()
+    direct[np.searchsorted(ids, u), np.searchsorted(ids, v)] = table["direct"].to_numpy(zero_copy_only=False)
     np.fill_diagonal(costs, 0.0)
-    return HubIndex(steps, climb.drop("mid"), levels, height, ids, costs)
+    return HubIndex(steps, climb.drop("mid"), levels, height, ids, costs, direct)
+
+
+def matrix_trees(index: HubIndex, origins: DataFrame) -> DataFrame | None:
+    """Trees of least paths from ``origins`` (origin) where the matrix holds the whole network: origin, node, dist, pred and path,
+    the nodes from ``node`` back to the origin.
+
+    Of equal predecessors the smallest is taken, to within rounding. None for larger networks and where weights are next to nothing.
+    """
+    core, costs = index.core, index.costs
+    v, u = np.nonzero(index.direct.T)  # by v, then u
+    w = costs[u, v]
+    if index.height or (len(w) and w.min() <= ROUNDING * w.sum()):
+        return None
+    ends, first = np.unique(v, return_index=True)
+    width = np.diff(np.append(first, len(v)))
+
+    def grow(batches):
+        for batch in batches:
+            columns = [[], [], [], [], []]
+            for origin in batch.column(0).to_pylist():
+                at = int(np.searchsorted(core, origin))
+                if at == len(core) or core[at] != origin:
+                    for c, x in zip(columns, (origin, origin, 0.0, None, [origin])):
+                        c.append(x)
+                    continue
+                through = costs[at, u] + w
+                least = np.minimum.reduceat(through, first)
+                near = through <= np.repeat(least, width) * (1 + 1e-13)
+                pred = np.full(len(core), -1)
+                pred[ends] = u[np.minimum.reduceat(np.where(near, np.arange(len(v)), len(v)), first)]
+                paths = {at: [origin]}
+                for k in np.argsort(costs[at], kind="stable").tolist():
+                    if np.isfinite(costs[at, k]):
+                        if k != at:
+                            paths[k] = [int(core[k]), *paths[int(pred[k])]]
+                        for c, x in zip(columns, (origin, int(core[k]), float(costs[at, k]), None if k == at else int(core[pred[k]]), paths[k])):
+                            c.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["origin", "node", "dist", "pred", "path"])
+
+    n = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = origins.select(F.col("origin").cast("long").alias("origin")).where("origin is not null").distinct().repartition(n, "origin")
+    return asked.mapInArrow(grow, "origin long, node long, dist double, pred long, path array<long>")
+
+
+def tree_edges(trees: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the edges of the paths of ``matrix_trees``: u, v, back (edges from the end)."""
+    edge = F.transform("path", lambda x, k: F.struct(F.get("path", k + 1).alias("u"), x.alias("v"), k.alias("back")))
+    return trees.where(F.size("path") > 1).select(*columns, F.inline(F.slice(edge, F.lit(1), F.size("path") - 1)))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -284,6 +337,9 @@ def pair_paths(index: HubIndex, pairs: DataFrame) -> DataFrame:
     the two steps it stands for; the rounds are at most the index's levels and those of the core.
     """
     spark = pairs.sparkSession
+    if (trees := matrix_trees(index, pairs.select("origin"))) is not None:
+        asked = pairs.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("node")).distinct()
+        return tree_edges(trees.join(asked, ["origin", "node"]).withColumnRenamed("node", "destination"), "origin", "destination")
     met, met_path = written(_met(index, pairs, True).where(F.size("hops") > 1), "met")
     hop = F.transform(F.sequence(F.lit(0), F.size("hops") - 2), lambda k: F.struct(F.get("hops", k).alias("u"), F.get("hops", k + 1).alias("v"), F.lpad(k.cast("string"), 6, "0").alias("place")))
     open_ = met.select("origin", "destination", F.inline(hop), F.lit(False).alias("whole"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadpulse.operators import network, repair
+from roadpulse.operators import hubs, network, repair
 from tests.test_hubs import grid, least
 
 
@@ -48,3 +48,38 @@ def test_rows_are_those_below(spark):
     assert got == {("a", k): 1 + (k >= 25) for k in range(20, 30)}  # what isn't on the tree, or against it, cuts nothing
     assert repair.cut_nodes(base, cut.where("false")).count() == 0
     assert repair.repaired_costs(base.withColumn("dist", F.col("node") * 1.0), spark.createDataFrame([], "u long, v long, cost double"), cut.select("cell", "u", "v").where("false"), spark.createDataFrame([("a", 1, 5)], "cell string, origin long, destination long")).count() == 0
+
+
+def test_few_jobs_for_any_depth(spark, monkeypatch):
+    """A detour along a line of 60 nodes takes no more jobs than a short one, and rounds give the same costs."""
+    line = [(k, k + 1, 1.0) for k in range(60)] + [(0, 300, 5.0), *((300 + k, 301 + k, 1.5) for k in range(30)), (330, 30, 1.5)]
+    table = spark.createDataFrame(line, "u long, v long, length double")
+    base = network.shortest_paths(table, spark.createDataFrame([(0,)], "origin long")).cache()
+    closed = spark.createDataFrame([("a", 20, 21), ("b", 1, 2)], "cell string, u long, v long")
+    asked = spark.createDataFrame([("a", 0, 60), ("b", 0, 60), ("b", 0, 25)], "cell string, origin long, destination long")
+    tracker = spark.sparkContext.statusTracker()
+
+    def costs(label):
+        spark.sparkContext.setJobGroup(label, label)
+        found = {(r.cell, r.destination): r.dist for r in repair.repaired_costs(base, table, closed, asked, "length", 1000.0, repair.cut_nodes(base, asked.select("cell", "origin").distinct().join(closed, "cell"))).collect()}
+        jobs = len(tracker.getJobIdsForGroup(label))
+        spark.sparkContext.setJobGroup("after", "after")
+        return found, jobs
+
+    found, jobs = costs("local")
+    assert found == {("a", 60): 81.5, ("b", 60): 81.5, ("b", 25): 1025.0}
+    monkeypatch.setattr(repair, "LOCAL", 45)  # of a 40 nodes are cut off, of b 59
+    by_rounds, more = costs("rounds")
+    assert by_rounds == found and jobs < more / 2
+
+
+def test_trees_of_the_matrix_equal_shortest_paths(spark):
+    edges = grid(7, 5) + [(100, 101, 1.0)]
+    table = spark.createDataFrame(edges, "u long, v long, length double")
+    origins = spark.createDataFrame([(0,), (24,), (100,), (999,), (24,)], "origin long")
+    trees = hubs.matrix_trees(hubs.hub_index(table), origins)
+    got = {(r.origin, r.node): (round(r.dist, 9), r.pred) for r in trees.collect()}
+    assert got == {(r.origin, r.node): (round(r.dist, 9), r.pred) for r in network.shortest_paths(table, origins).collect()}
+    for r in trees.collect():
+        assert r.path[0] == r.node and r.path[-1] == r.origin and all(got[r.origin, a][1] == b for a, b in zip(r.path, r.path[1:]))
+    assert hubs.matrix_trees(hubs.hub_index(spark.createDataFrame([(1, 2, 0.0), (2, 3, 1.0)], "u long, v long, length double")), origins) is None
