@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,11 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
 
 
-FIX = "id long, s long, ms long, panel long, vehtype long, speed long, progressive long"
+COLUMNS = ("id", "s", "ms", "panel", "vehtype", "speed", "progressive")
 #: The trip number so far, the fix before the held one, and the held fix, which waits for its successor.
-HELD = "trip_no long, last_s long, last_panel long, last_progressive long, " + FIX
+HELD = "trip_no long, last_s long, last_panel long, last_progressive long, " + ", ".join(f"{c} long" for c in COLUMNS)
+#: Of a value that is null.
+NULL = np.iinfo(np.int64).min
 
 
 def panel_rule(gap_s: int, jump_m: int):
@@ -87,36 +90,38 @@ class TripNumbers(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", FIX)
+        self.waiting = handle.getListState("waiting", "fixes binary, least long")  # a batch's fixes are one entry
         self.held = handle.getValueState("held", HELD)
 
     def handleInputRows(self, key, rows, timerValues):
-        names = [x.split()[0] for x in FIX.split(", ")]
         for batch in rows:
             if len(batch):
-                batch = batch[names].astype(object).where(batch[names].notna(), None)
-                self.waiting.appendList([tuple(None if v is None else int(v) for v in r) for r in batch.itertuples(index=False)])
-                self.handle.registerTimer(int(batch["ms"].min()) + 1)
+                self._wait(np.column_stack([batch[c].fillna(NULL).to_numpy(np.int64) for c in COLUMNS]))
         return iter(())
 
+    def _wait(self, fixes: np.ndarray) -> None:
+        least = int(fixes[:, 2].min())
+        self.waiting.appendValue((fixes.tobytes(), least))
+        self.handle.registerTimer(least + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        names = [x.split()[0] for x in FIX.split(", ")]
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = [dict(zip(names, r)) for r in self.waiting.get()]
-        ready = sorted((r for r in waiting if r["ms"] < passed), key=lambda r: (r["ms"], r["id"]))
-        rest = [r for r in waiting if r["ms"] >= passed]
-        if not ready:
+        entries = list(self.waiting.get())
+        if not any(least < passed for _, least in entries):
             return
+        fixes = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, len(COLUMNS)) for x, _ in entries])
+        ready = fixes[fixes[:, 2] < passed]
+        ready = ready[np.lexsort((ready[:, 0], ready[:, 2]))]
+        ready = [dict(zip(COLUMNS, (None if v == NULL else v for v in r))) for r in ready.tolist()]
         self.waiting.clear()
-        if rest:
-            self.waiting.put([tuple(r.values()) for r in rest])
-            self.handle.registerTimer(min(r["ms"] for r in rest) + 1)
+        if len(fixes) > len(ready):
+            self._wait(fixes[fixes[:, 2] >= passed])
         state = self.held.get() if self.held.exists() else None
         number, last, fix = 0, None, None
         if state is not None:
             number, s, panel, progressive = state[:4]
             last = None if s is None else {"s": s, "panel": panel, "progressive": progressive}
-            fix = dict(zip(names, state[4:]))
+            fix = dict(zip(COLUMNS, state[4:]))
         out = []
         for following in ready:
             if self.ahead:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +39,43 @@ def test_splits_equal_the_batch_form(spark, tmp_path, kind):
         last = {x.id for x in batch.where("id < 9999").groupBy("idterm").agg(F.max_by("id", F.struct("timedate", "id")).alias("id")).collect()}
         want = {k: v for k, v in want.items() if k not in last}
     assert got == want and len(set(got.values())) > 5
+
+
+def test_fixes_of_a_batch_are_one_entry_of_state():
+    class Kept:
+        def __init__(self):
+            self.rows, self.value = [], None
+        def appendValue(self, row):
+            self.rows.append(row)
+        def clear(self):
+            self.rows.clear()
+        def exists(self):
+            return self.value is not None
+        def update(self, value):
+            self.value = value
+        def get(self):
+            return list(self.rows) if self.value is None and self.rows else self.value
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.waiting, self.held = [], Kept(), Kept()
+        def getListState(self, name, schema):
+            return self.waiting
+        def getValueState(self, name, schema):
+            return self.held
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 60_000
+
+    handle = Handle()
+    numbers = streams.TripNumbers(streams.panel_rule(600, 10_000), False)
+    numbers.init(handle)
+    rows = [(k, k, 1000 * k, 0 if k == 30 else 1, 1, None, 2**60 + k) for k in range(100)]
+    numbers.handleInputRows((7,), [pd.DataFrame(rows[50:] + rows[:50], columns=list(streams.COLUMNS))], None)
+    assert len(handle.waiting.rows) == 1 and handle.timers == [1]
+    (out,) = numbers.handleExpiredTimer((7,), Watermark(), None)
+    assert out.values.tolist() == [[7, k, 1 + (k >= 30)] for k in range(60)]
+    assert len(handle.waiting.rows) == 1 and handle.waiting.rows[0][1] == 60_000 and handle.held.value[-1] == 2**60 + 59
