@@ -11,12 +11,12 @@ from roadpulse.operators.clusters import density_clusters
 
 
 def _boxed(stops: DataFrame, dlon: float, dlat: float) -> DataFrame:
-    """(idterm, a, b): stops b inside the box around stop a, by a join on grid cells of the box's size."""
+    """(idterm, a, b, bx, by, weight): stops b inside the box around stop a, by a join on grid cells of the box's size."""
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = stops.withColumn("_c", F.explode(around)).select("idterm", F.col("id").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), (cell(F.col("lon"), dlon) + F.col("_c.i")).alias("cx"), (cell(F.col("lat"), dlat) + F.col("_c.j")).alias("cy"))
-    b = stops.select("idterm", F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), cell(F.col("lon"), dlon).alias("cx"), cell(F.col("lat"), dlat).alias("cy"))
+    b = stops.select("idterm", F.col("id").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), "weight", cell(F.col("lon"), dlon).alias("cx"), cell(F.col("lat"), dlat).alias("cy"))
     near = (F.abs(F.col("ax") - F.col("bx")) <= dlon) & (F.abs(F.col("ay") - F.col("by")) <= dlat)
-    return a.join(b, ["idterm", "cx", "cy"]).where(near).select("idterm", "a", "b", "bx", "by")
+    return a.join(b, ["idterm", "cx", "cy"]).where(near).select("idterm", "a", "b", "bx", "by", "weight")
 
 
 def home_locations(stops: DataFrame, dlon: float = 0.0065, dlat: float = 0.0045, rounds: int = 2, least: int = 2) -> DataFrame:
@@ -29,7 +29,7 @@ def home_locations(stops: DataFrame, dlon: float = 0.0065, dlat: float = 0.0045,
     # stops at the very same place are one point with a weight, so a depot's stops are not paired with each other
     rest = kept(stops.groupBy("idterm", "lon", "lat").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "points")
     for k in range(rounds):
-        pairs = kept(_boxed(rest, dlon, dlat).join(rest.select("idterm", F.col("id").alias("b"), "weight"), ["idterm", "b"]), "boxes")
+        pairs = kept(_boxed(rest, dlon, dlat), "boxes")
         size = pairs.groupBy("idterm", "a").agg(F.sum("weight").alias("n")).where(F.col("n") >= least)
         best = size.groupBy("idterm").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a"))
         members = kept(pairs.join(best, ["idterm", "a"]), "members")

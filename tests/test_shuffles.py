@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from roadpulse.operators import demand, matching
+from roadpulse.operators import demand, matching, places
 
 
 def network(spark):
@@ -49,3 +49,9 @@ def test_quarters_of_paths_take_no_shuffle_after_the_paths(spark):
     out = demand.travel_demand_15min(paths, trav)
     assert exchanges(out) == 1
     assert [tuple(r) for r in out.collect()] == [(0, 2, 5.0)]  # quarters of 1.5 and 1 records an edge
+
+
+def test_boxes_bring_their_weights(spark):
+    points = spark.createDataFrame([(1, 7, 15.0, 37.5, 3), (2, 7, 15.001, 37.501, 4), (3, 7, 16.0, 37.5, 5)], "id long, idterm long, lon double, lat double, weight long")
+    out = places._boxed(points, 0.0065, 0.0045)
+    assert sorted((r.a, r.b, r.weight) for r in out.collect()) == [(1, 1, 3), (1, 2, 4), (2, 1, 3), (2, 2, 4), (3, 3, 5)]
